@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from speechframes.llm import language, licenses, sentencepieces, sharding, warc
+from speechframes.llm import decontamination, fingerprints, language, licenses, sentencepieces, sharding, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_sharding": sharding.op2_sharding,
     "op3_warc": warc.op3_warc,
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_language_id": language.op5_language_id,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
