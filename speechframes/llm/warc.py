@@ -1,8 +1,8 @@
 """WARC archives: an index first, then coalesced byte-range reads.
 
 ``write_archives`` writes one archive for each task into a folder that all
-executors share, and with it an index: for each record the archive, offset,
-length, URL and payload digest. ``read_records`` takes any selection of index
+executors share, each record a gzip member of its own, and with it an index:
+for each record the archive, offset, length, URL and payload digest. ``read_records`` takes any selection of index
 rows, sorts them by archive and offset, joins neighbouring ranges into few
 large reads, and parses the records out of them.
 
@@ -25,6 +25,7 @@ no archive; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -41,6 +42,7 @@ INDEX_SCHEMA = "archive string, offset long, length long, page_id long, url stri
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 GAP, SPAN = 64 << 10, 8 << 20
 FLUSH = 4 << 20
+GZIP_LEVEL = 4
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
 
@@ -62,12 +64,12 @@ def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = head + (payload if refers_to is None else b"")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}", "", ""]
-    return "\r\n".join(lines).encode() + body + b"\r\n\r\n", named
+    return gzip.compress("\r\n".join(lines).encode() + body + b"\r\n\r\n", GZIP_LEVEL, mtime=0), named
 
 
 def parse(data: memoryview) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload of the record that fills data."""
-    raw = bytes(data)
+    """Header fields and payload of the record whose gzip member fills data."""
+    raw = gzip.decompress(data)
     top, _, rest = raw.partition(b"\r\n\r\n")
     first, *lines = top.decode().split("\r\n")
     if first != "WARC/1.1":
@@ -91,7 +93,7 @@ def _writer(folder: str):
 
         where, path = filesystem(folder)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc"
+        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
         out, offset = None, 0
         for batch in batches:
             rows = []
@@ -99,7 +101,7 @@ def _writer(folder: str):
                 if out is None:
                     if isinstance(where, fs.LocalFileSystem):
                         where.create_dir(path, recursive=True)
-                    out = where.open_output_stream(f"{path}/{name}", buffer_size=FLUSH)
+                    out = where.open_output_stream(f"{path}/{name}", compression=None, buffer_size=FLUSH)
                 url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
                 data, named = record(page_id, url, payload, refers_to)
                 out.write(data)
