@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframes.llm import decontamination, fingerprints, language, licenses, sentencepieces, sharding, toxicity, warc
+from speechframes.llm import decontamination, fingerprints, language, licenses, sentencepieces, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece": sentencepieces.op4_sentencepiece,
     "op5_language_id": language.op5_language_id,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op10_license_scan": licenses.op10_license_scan,
 }
