@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframes.llm import decontamination, fingerprints, language, licenses, sentencepieces, sharding, suffixes, toxicity, warc
+from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, sentencepieces, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
 }
 

@@ -43,10 +43,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import table, utf8, written
+from speechframes.llm.common import LOWEST, ordered_keys, table, utf8, written
 
 LENGTH = 100
 GRAM = 24
@@ -54,7 +54,6 @@ MOST = 20_000
 CHUNK = 1 << 19
 BLOCK_STEP = 17
 LPF_BYTES = 6 << 20
-LOWEST = -(1 << 63)
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(104_729)
@@ -370,26 +369,6 @@ def find_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _in_parts(found(), [("key", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())], 20_000)
 
 
-def ordered_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """docs with _key, a number in the order of the ids, and whether that is the id itself."""
-    plain = docs.withColumn("_key", F.col(id_col).cast("long"))
-    counted = plain.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1 OR _key IS NULL").limit(1).count()
-    if not counted:
-        return plain.withColumn("_key", F.coalesce("_key", F.lit(LOWEST))), True
-    # ids that repeat or lack: number the pairs of id and text hash
-    hashed = plain.withColumn("_hash", F.xxhash64(utf8(F.col(text_col)))).withColumn("_id", F.coalesce("_key", F.lit(LOWEST))).drop("_key")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = written(
-        hashed.select("_id", "_hash").distinct().repartitionByRange(parts, "_id", "_hash").sortWithinPartitions("_id", "_hash").withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
-        "suffix-keys",
-    )
-    # one row for each partition
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = pairs.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_shift"))
-    numbered = pairs.join(F.broadcast(shifts), "_part").select("_id", "_hash", (F.col("_nth") + F.col("_shift")).alias("_key"))
-    return hashed.join(numbered, ["_id", "_hash"]).drop("_id", "_hash").withColumn("_key", F.coalesce("_key", F.lit(LOWEST))), False
-
-
 ANCHORS = "gram long, context long, key long, place int, later boolean"
 MARKS = "gram long, key long, place int, copy boolean"
 
