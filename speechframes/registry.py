@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = None
+from speechframes.plans import streams, timed
+
+QUERIES = timed.QUERIES | streams.QUERIES
+ORACLES = timed.ORACLES | streams.ORACLES
+FLAGSHIP = timed.speaker_segments
