@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from speechframes.plans import streams, timed
+from speechframes.plans import ordering, streams, timed
 
-QUERIES = timed.QUERIES | streams.QUERIES
-ORACLES = timed.ORACLES | streams.ORACLES
+QUERIES = timed.QUERIES | streams.QUERIES | ordering.QUERIES
+ORACLES = timed.ORACLES | streams.ORACLES | ordering.ORACLES
 FLAGSHIP = timed.speaker_segments
