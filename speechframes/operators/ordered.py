@@ -55,7 +55,7 @@ def new_words(words: DataFrame, keys: list[str], key_schema: str, window: str, o
             yield {c: row[c] for c in (window, *order, "word")}
 
     columns = ", ".join(f"{c} long" for c in (window, *order))
-    return fold_sessions(words, keys, [window, *order], lambda: {"window": None, "printed": -1, "newest": -1}, step, f"{key_schema}, {columns}, word string")
+    return fold_sessions(words, keys, [window, *order], lambda: {"window": None, "printed": 0, "newest": 0}, step, f"{key_schema}, {columns}, word string")
 
 
 def forced_endpoints(updates: DataFrame, keys: list[str], key_schema: str, order: list[str], longest: int) -> DataFrame:
