@@ -50,9 +50,9 @@ from speechframes.llm.common import LOWEST, ordered_keys, table, utf8, written
 
 LENGTH = 100
 GRAM = 24
-MOST = 20_000
+MOST = 1_000
 CHUNK = 1 << 19
-BLOCK_STEP = 17
+BLOCK_STEP = 8
 LPF_BYTES = 6 << 20
 
 _U = np.uint64
