@@ -59,20 +59,20 @@ def fold(id_col, parts: int) -> F.Column:
 
 
 def ordered_keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
-    """docs with _key, a number in the order of the ids, and whether that is the id itself."""
-    plain = docs.withColumn("_key", F.col(id_col).cast("long"))
-    counted = plain.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1 OR _key IS NULL").limit(1).count()
+    """docs with __sf_key, a number in the order of the ids, and whether that is the id itself."""
+    plain = docs.withColumn("__sf_key", F.col(id_col).cast("long"))
+    counted = plain.groupBy("__sf_key").agg(F.count("*").alias("n")).where("n > 1 OR __sf_key IS NULL").limit(1).count()
     if not counted:
-        return plain.withColumn("_key", F.coalesce("_key", F.lit(LOWEST))), True
+        return plain.withColumn("__sf_key", F.coalesce("__sf_key", F.lit(LOWEST))), True
     # ids that repeat or lack: number the pairs of id and text hash
-    hashed = plain.withColumn("_hash", F.xxhash64(utf8(F.col(text_col)))).withColumn("_id", F.coalesce("_key", F.lit(LOWEST))).drop("_key")
+    hashed = plain.withColumn("__sf_hash", F.xxhash64(utf8(F.col(text_col)))).withColumn("__sf_id", F.coalesce("__sf_key", F.lit(LOWEST))).drop("__sf_key")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = written(
-        hashed.select("_id", "_hash").distinct().repartitionByRange(parts, "_id", "_hash").sortWithinPartitions("_id", "_hash").withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        hashed.select("__sf_id", "__sf_hash").distinct().repartitionByRange(parts, "__sf_id", "__sf_hash").sortWithinPartitions("__sf_id", "__sf_hash").withColumn("__sf_part", F.spark_partition_id()).withColumn("__sf_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "row-keys",
     )
     # one row for each partition
-    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    shifts = pairs.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(before, F.lit(0)).alias("_shift"))
-    numbered = pairs.join(F.broadcast(shifts), "_part").select("_id", "_hash", (F.col("_nth") + F.col("_shift")).alias("_key"))
-    return hashed.join(numbered, ["_id", "_hash"]).drop("_id", "_hash").withColumn("_key", F.coalesce("_key", F.lit(LOWEST))), False
+    before = F.sum("__sf_rows").over(Window.orderBy("__sf_part").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = pairs.groupBy("__sf_part").agg(F.count("*").alias("__sf_rows")).select("__sf_part", F.coalesce(before, F.lit(0)).alias("__sf_shift"))
+    numbered = pairs.join(F.broadcast(shifts), "__sf_part").select("__sf_id", "__sf_hash", (F.col("__sf_nth") + F.col("__sf_shift")).alias("__sf_key"))
+    return hashed.join(numbered, ["__sf_id", "__sf_hash"]).drop("__sf_id", "__sf_hash").withColumn("__sf_key", F.coalesce("__sf_key", F.lit(LOWEST))), False

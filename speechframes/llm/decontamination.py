@@ -226,8 +226,8 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id") -> DataFrame:
     """docs without the documents that hold a test item."""
-    found = find_matches(docs, benchmark, error_rate, id_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_leak"), "left_anti")
+    found = find_matches(docs, benchmark, error_rate, id_col).select(F.col(id_col).alias("__sf_leak")).distinct()
+    return docs.join(found, docs[id_col] == F.col("__sf_leak"), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

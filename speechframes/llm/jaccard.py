@@ -248,17 +248,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
     if plain:
         as_id = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
         return judged.select(as_id("key").alias(id_col), as_id("class").alias("class_id"), "n_links", as_id("text_class").alias("text_class"))
-    ids = keyed.select("_key", F.col(id_col).cast("long").alias("_id")).distinct()
+    ids = keyed.select("__sf_key", F.col(id_col).cast("long").alias("_id")).distinct()
     for column, name in (("key", "_own"), ("class", "class_id"), ("text_class", "_text")):
-        judged = judged.join(ids.select(F.col("_key").alias(column), F.col("_id").alias(name)), column)
-    rows = keyed.select(F.col("_key").alias("key")).join(judged, "key")  # as often as the row occurs
+        judged = judged.join(ids.select(F.col("__sf_key").alias(column), F.col("_id").alias(name)), column)
+    rows = keyed.select(F.col("__sf_key").alias("key")).join(judged, "key")  # as often as the row occurs
     return rows.select(F.col("_own").alias(id_col), "class_id", "n_links", F.col("_text").alias("text_class"))
 
 
 def classified(keyed: DataFrame, threshold: float, text_col: str, plain: bool) -> DataFrame:
-    """(key, class, n_links, text_class) for each _key."""
+    """(key, class, n_links, text_class) for each __sf_key."""
     spark = keyed.sparkSession
-    texts = keyed.select(F.col("_key").alias("key"), F.col(text_col).alias("text"))
+    texts = keyed.select(F.col("__sf_key").alias("key"), F.col(text_col).alias("text"))
     if not plain:
         texts = texts.dropDuplicates(["key"])
     sets = written(texts.mapInArrow(_prepare(depth_for(threshold)), "key long, n int, one long, two long, labels array<long>"), "jaccard-sets")
@@ -288,9 +288,9 @@ def classified(keyed: DataFrame, threshold: float, text_col: str, plain: bool) -
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the first by id) of each class."""
     keyed, plain = ordered_keys(docs, id_col, text_col)
-    first = classified(keyed, threshold, text_col, plain).where(F.col("key") == F.col("class")).select(F.col("key").alias("_first"))
-    kept = keyed.join(first, F.col("_key") == F.col("_first"), "left_semi")
-    return (kept if plain else kept.dropDuplicates(["_key"])).select(*docs.columns)
+    first = classified(keyed, threshold, text_col, plain).where(F.col("key") == F.col("class")).select(F.col("key").alias("__sf_first"))
+    kept = keyed.join(first, F.col("__sf_key") == F.col("__sf_first"), "left_semi")
+    return (kept if plain else kept.dropDuplicates(["__sf_key"])).select(*docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,22 +225,39 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _in_parts(rows(), [("gram", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())], 5_000)
 
 
-def _hash_rows(batches: Iterator[pa.RecordBatch], slices) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = []
-        for key, data, spots in _document_rows(batch):
-            array = np.frombuffer(data, np.uint8)
-            places = np.array(sorted({s["place"] for s in spots}), np.int64)
-            place, start, stop = slices(places, len(array))
-            if len(start):
-                parts.append((np.full(len(start), key, np.int64), place, Hashes(array).of(start, stop), Hashes(array, 1).of(start, stop)))
-        if parts:
-            key, place, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place.astype(np.int32)), _signed(one), _signed(two)], ["key", "place", "one", "two"])
+def _slice_hashes(batch: pa.RecordBatch, slices) -> tuple[np.ndarray, ...] | None:
+    """(key, place, one, two, first) of the slices of a batch by key and place; first: the index of the first equal slice here."""
+    parts = []
+    for key, data, spots in _document_rows(batch):
+        array = np.frombuffer(data, np.uint8)
+        place, start, stop = slices(np.array(sorted({s["place"] for s in spots}), np.int64), len(array))
+        if len(start):
+            parts.append((np.full(len(start), key, np.int64), place, Hashes(array).of(start, stop), Hashes(array, 1).of(start, stop)))
+    if not parts:
+        return None
+    key, place, one, two = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, key))
+    key, place, one, two = key[order], place[order], one[order], two[order]
+    order = np.lexsort((two, one))  # stable: equal slices stay in order
+    begins = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    first = np.empty(len(key), np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(begins, np.arange(len(order)), 0))]
+    return key, place, one, two, first
+
+
+HASHED = "key long, place int, one long, two long, stop int"
+
+
+def _hashed(key, place, one, two, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place.astype(np.int32)), _signed(one), _signed(two), pa.array(stop.astype(np.int32), mask=stop < 0)], ["key", "place", "one", "two", "stop"])
 
 
 def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each spot the hashes of blocks such that every window around it holds one of them."""
+    """Of each spot the hashes of blocks such that every window around it holds one of them.
+
+    Spots with a block that repeats in the batch come out as such (stop is 0);
+    of equal blocks the first stands for all of the batch (stop is null).
+    """
 
     def slices(places, size):
         steps = np.arange(0, LENGTH - GRAM + 1, BLOCK_STEP)
@@ -250,18 +267,42 @@ def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = (start >= 0) & (stop <= size)
         return place[fits], start[fits], stop[fits]
 
-    yield from _hash_rows(batches, slices)
+    for batch in batches:
+        if (made := _slice_hashes(batch, slices)) is None:
+            continue
+        key, place, one, two, first = made
+        own = first == np.arange(len(first))
+        repeats = np.bincount(first, minlength=len(first))[first] > 1
+        sure = np.flatnonzero(repeats)
+        sure = sure[np.concatenate([[True], (np.diff(key[sure]) != 0) | (np.diff(place[sure]) != 0)])] if len(sure) else sure
+        yield _hashed(key[own], place[own], one[own], two[own], np.full(own.sum(), -1))
+        yield _hashed(key[sure], place[sure], one[sure], two[sure], np.zeros(len(sure), np.int64))
 
 
 def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of all windows around the spots; place is the window's start."""
+    """The hashes of all windows around the spots; place is the window's start.
+
+    Windows that repeat in the batch come out as runs (place, stop) of later
+    copies; of equal windows the first stands for all of the batch (stop is null).
+    """
 
     def slices(places, size):
         start = np.unique(places[:, None] - np.arange(LENGTH - GRAM + 1)[None, :])
         start = start[(start >= 0) & (start + LENGTH <= size)]
         return start, start, start + LENGTH
 
-    yield from _hash_rows(batches, slices)
+    for batch in batches:
+        if (made := _slice_hashes(batch, slices)) is None:
+            continue
+        key, place, one, two, first = made
+        own = first == np.arange(len(first))
+        yield _hashed(key[own], place[own], one[own], two[own], np.full(own.sum(), -1))
+        again = np.flatnonzero(~own)
+        if len(again):
+            begins = np.concatenate([[True], (np.diff(key[again]) != 0) | (np.diff(place[again]) > 1)])
+            ends = np.append(begins[1:], True)
+            head, tail = again[begins], again[ends]
+            yield _hashed(key[head], place[head], one[head], two[head], place[tail] + LENGTH)
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
@@ -394,14 +435,16 @@ def later_spans(texts: DataFrame) -> DataFrame:
         return found
     # blocks first, then the windows of what shares a block
     spot = ["key", "place", F.lit(0).cast("long").alias("gram")]
-    hashed = "key long, place int, one long, two long"
-    blocks = written(with_spots(edges.where(F.col("n") > MOST).select(*spot)).mapInArrow(block_hashes, hashed), "suffix-blocks")
-    shared = blocks.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
-    kept = blocks.join(shared, ["one", "two"]).select(*spot).distinct()
-    windows = written(with_spots(kept).mapInArrow(window_hashes, hashed), "suffix-windows")
-    firsts = windows.groupBy("one", "two").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = windows.join(firsts, ["one", "two"]).where(F.struct("key", "place") > F.col("first"))
-    return found.unionByName(again.select("key", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("stop")))
+    blocks = written(with_spots(edges.where(F.col("n") > MOST).select(*spot)).mapInArrow(block_hashes, HASHED), "suffix-blocks")
+    alone = blocks.where("stop IS NULL")
+    shared = alone.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
+    kept = blocks.where("stop = 0").select(*spot).union(alone.join(shared, ["one", "two"]).select(*spot)).distinct()
+    windows = written(with_spots(kept).mapInArrow(window_hashes, HASHED), "suffix-windows")
+    alone = windows.where("stop IS NULL")
+    firsts = alone.groupBy("one", "two").agg(F.min(F.struct("key", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    again = alone.join(firsts, ["one", "two"]).where(F.struct("key", "place") > F.col("first"))
+    again = again.select("key", F.col("place").alias("start"), (F.col("place") + LENGTH).alias("stop"))
+    return found.unionByName(again).unionByName(windows.where("stop IS NOT NULL").select("key", F.col("place").alias("start"), "stop"))
 
 
 def kept_runs(spans: list[dict] | None, size: int) -> tuple[list[tuple[int, int]], int]:
@@ -420,26 +463,27 @@ def kept_runs(spans: list[dict] | None, size: int) -> tuple[list[tuple[int, int]
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, bool]:
-    """docs with _key, the spans that go by key, and whether the key is the id."""
+    """docs with __sf_key, the spans that go by key, and whether the key is the id."""
     keyed, plain = ordered_keys(docs, id_col, text_col)
-    texts = keyed.select(F.col("_key").alias("key"), utf8(F.col(text_col)).alias("data"))
+    texts = keyed.select(F.col("__sf_key").alias("key"), utf8(F.col(text_col)).alias("data"))
     spans = later_spans(texts if plain else texts.dropDuplicates(["key"]))
     return keyed, spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), plain
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text replaced by what stays of it, and n_removed and removed (spans in bytes) added.
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with text replaced by what stays of it, and n_removed and removed (spans in bytes) added; ``prefix`` goes before both names.
 
     Characters that a removed run cuts in two go as a whole.
     """
     keyed, spans, _ = _judged(docs, id_col, text_col)
-    names = [c for c in docs.columns if c not in ("n_removed", "removed")]
+    made_names = [f"{prefix}n_removed", f"{prefix}removed"]
+    names = [c for c in docs.columns if c not in made_names]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, removed, gone = [], [], []
-            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, found in zip(batch.column(text_col).to_pylist(), batch.column("__sf_spans").to_pylist(), strict=True):
                 data = (text or "").encode()
                 kept, _ = kept_runs(found, len(data))
                 left = b"".join(data[a:b] for a, b in kept)
@@ -448,10 +492,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 edges = [0, *[x for k in kept for x in k], len(data)]
                 gone.append([{"start": a, "stop": b} for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a])
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(gone, span_type)], [*names, "n_removed", "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64()), pa.array(gone, span_type)], [*names, *made_names])
 
-    joined = keyed.select(*names, "_key").join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").select(*names, "_spans")
-    schema = docs.select(*names).withColumns({"n_removed": F.lit(0).cast("long"), "removed": F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")}).schema
+    joined = keyed.select(*names, "__sf_key").join(spans.select(F.col("key").alias("__sf_key"), F.col("spans").alias("__sf_spans")), "__sf_key", "left").select(*names, "__sf_spans")
+    schema = docs.select(*names).withColumns(dict(zip(made_names, (F.lit(0).cast("long"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>")), strict=True))).schema
     return joined.mapInArrow(run, schema)
 
 
@@ -471,11 +515,11 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [batch.schema.names[0], *names])
 
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    texts = keyed.select(F.col("_key").alias("key"), utf8(F.col(text_col)).alias("data"))
+    texts = keyed.select(F.col("__sf_key").alias("key"), utf8(F.col(text_col)).alias("data"))
     if plain:  # the same columns as in later_spans: Spark then exchanges the texts once
         rows = texts.join(spans, "key", "left")
     else:
-        rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("_key").alias("key"), utf8(F.col(text_col)).alias("data")).join(spans, "key", "left").drop("key")
+        rows = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("__sf_key").alias("key"), utf8(F.col(text_col)).alias("data")).join(spans, "key", "left").drop("key")
     first = rows.columns[0]
     judged = rows.mapInArrow(run, f"{first} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     ids = F.when(F.col("key") != LOWEST, F.col("key")) if plain else F.col("id")
