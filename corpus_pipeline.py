@@ -24,9 +24,9 @@ from speechframes.llm.common import fold, table, written
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taught = docs.where(fold(F.col("doc_id"), 4).isin(0, 1, 3))
-    judged = language.identify(docs, language.train(taught))
-    kept = judged.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") > 0))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    judged = language.identify(docs, language.train(taught), prefix="__sf_")
+    kept = judged.where((F.col("__sf_lang_pred") != language.UNDETERMINED) & (F.col("__sf_score") > 0))
+    return kept.withColumn("lang", F.col("__sf_lang_pred")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffixes.deduplicate(docs)
+    cut = suffixes.deduplicate(docs, prefix="__sf_")
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -52,7 +52,9 @@ class Profiler:
 
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every n-gram its document and its code, and of every document the number of letters."""
-        text = "\0".join(t.lower() for t in texts)
+        # a gap before and after every text
+        lower = [f" {t.lower()} " for t in texts]
+        text = "".join(lower)
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         number = self.number[points]
         if len(new := np.unique(points[number < 0])):
@@ -63,12 +65,11 @@ class Profiler:
                 else:
                     self.number[p] = 0
             number = self.number[points]
-        doc = np.cumsum(points == 0, dtype=np.int32) if "\0" in text else np.zeros(len(points), np.int32)
-        if doc.size and doc[-1] != len(texts) - 1:  # a text holds NUL itself
-            doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t.lower()) + (i < len(texts) - 1) for i, t in enumerate(texts)])
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in lower])
         letters = np.bincount(doc[number > 0], minlength=len(texts))
         keep = number > 0
-        keep[1:] |= number[:-1] > 0  # of a run of gaps the first stays
+        keep[1:] |= (number[:-1] > 0) | (doc[1:] != doc[:-1])  # of a run of gaps the first stays
+        keep[:1] = True
         number, doc = number[keep].astype(np.int64), doc[keep]
         n = len(self.letters)
         code = np.zeros(max(0, len(number) - self.gram + 1), np.int64)
@@ -137,10 +138,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     return dict(sorted(found.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score added."""
-    names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), -1)
-    kept_names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred and score added; ``prefix`` goes before both names."""
+    names, matrix = list(prototypes), np.array(list(prototypes.values()), np.float32).reshape(len(prototypes), DIMENSIONS)
+    made_names = [f"{prefix}lang_pred", f"{prefix}score"]
+    kept_names = [c for c in docs.columns if c not in made_names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler()
@@ -155,9 +157,9 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
                 langs += [names[i] if ok else UNDETERMINED for i, ok in zip(best.tolist(), known.tolist(), strict=True)]
                 scores += np.where(known, np.clip(cosine.max(1), 0, 1), 0).tolist()
             kept = batch.select(kept_names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept_names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*kept_names, *made_names])
 
-    schema = docs.select(*kept_names).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = docs.select(*kept_names).withColumns(dict(zip(made_names, (F.lit(""), F.lit(0.0)), strict=True))).schema
     return docs.select(*kept_names).mapInArrow(run, schema)
 
 
