@@ -44,6 +44,7 @@ MOST_WORDS = 50_000
 WINDOW = 48
 STEPS = 60
 SPAN_AT = 0.5
+NEIGHBOUR = 0.25  # value of a neighbouring word's feature; the word's own is 1
 CHUNK_CHARS = 4_000_000
 WORD = re.compile(r"\w+")
 LEAST_LOG_ODDS = 3.0
@@ -180,17 +181,18 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     known = [np.bincount(s.ravel(), weights=y.ravel(), minlength=size) for s in seen]
     for step in range(1, STEPS + 1):
         w = theta[: 3 * size].reshape(3, size)
-        e = np.exp(np.clip(w[0][seen[0]] + w[1][seen[1]] + w[2][seen[2]] + theta[3 * size], -30, 30))
+        e = np.exp(np.clip(w[1][seen[1]] + NEIGHBOUR * (w[0][seen[0]] + w[2][seen[2]]) + theta[3 * size], -30, 30))
         marginal, expected, _ = _pairwise(e, np.exp(theta[-4:].reshape(2, 2)))
         grad = np.empty_like(theta)
         for k in range(3):
-            grad[k * size : (k + 1) * size] = known[k] - np.bincount(seen[k].ravel(), weights=marginal.ravel(), minlength=size)
+            grad[k * size : (k + 1) * size] = (1 if k == 1 else NEIGHBOUR) * (known[k] - np.bincount(seen[k].ravel(), weights=marginal.ravel(), minlength=size))
         grad[3 * size] = y.sum() - marginal.sum()
         grad[-4:] = (observed - expected).ravel()
         grad = grad / math.sqrt(total) - 1e-3 * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         theta = theta + 0.25 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    model = Model(words, theta[: 3 * size].reshape(3, size), float(theta[3 * size]), theta[-4:].reshape(2, 2), np.zeros(3))
+    values = np.array([NEIGHBOUR, 1, NEIGHBOUR])[:, None]
+    model = Model(words, theta[: 3 * size].reshape(3, size) * values, float(theta[3 * size]), theta[-4:].reshape(2, 2), np.zeros(3))
     x = np.array([[1, m, s] for m, s, _ in marginals(model, [d for d, _ in docs])])
     labels = np.array([t for _, t in docs], float)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))  # classes count alike
