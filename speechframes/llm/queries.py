@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, sentencepieces, sharding, suffixes, toxicity, warc
+from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, oracles, sentencepieces, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -17,6 +17,4 @@ QUERIES = {
     "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLES = {
-    "op10_license_scan": licenses.ORACLE,
-}
+ORACLES = oracles.ORACLES
