@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from speechframes.llm.common import fold, table
 
-SAMPLE_ROWS = 1_500
-SAMPLE_CHARS = 12_000_000
+SAMPLE_ROWS = 1_000
+SAMPLE_CHARS = 8_000_000
 MOST_WORDS = 50_000
 WINDOW = 48
 STEPS = 60
@@ -150,7 +150,7 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     marks = toxic_words(toxic, clean)
     counts = Counter(w for d, _ in docs for w in d)
     words = {w: i for i, (w, c) in enumerate([("", 0), *[x for x in counts.most_common(MOST_WORDS - 1) if x[1] > 1]])}
-    ids = [np.array([0, *[words.get(w, 0) for w in d], 0]) for d, _ in docs]
+    ids = [np.array([0, *[words.get(w, 0) for w in d], 0], np.int32) for d, _ in docs]
     tags = [np.array([y and w in marks for w in d], float) for d, y in docs]
     # windows of equal length; the last one of a document reaches back
     before, middle, after, gold = [], [], [], []
