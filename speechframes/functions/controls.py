@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: names and limits that senders and workers share
 OUTPUTS = ("realtime", "refined", "final")
 DEFAULT_TRACKS = ("whisperx",)
 WINDOW_LIMITS = (10.0, 600.0)
