@@ -25,13 +25,18 @@ def iso_or_null(text: Column) -> Column:
     return F.try_to_timestamp(text)
 
 
+def in_utc(ts: Column) -> Column:
+    """A timestamp that the session's time zone shows as UTC does."""
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
 def utc_ms_iso(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(in_utc(ts), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def recording_key(prefix: str, tenant: Column, ts: Column, session: Column) -> Column:
     """prefix/tenant/YYYY/MM/DD/session/audio.wav; an empty tenant is called default."""
-    return F.concat_ws("/", F.lit(prefix.strip("/")), F.coalesce(F.nullif(tenant, F.lit("")), F.lit("default")), F.date_format(ts, "yyyy/MM/dd"), session, F.lit("audio.wav"))
+    return F.concat_ws("/", F.lit(prefix.strip("/")), F.coalesce(F.nullif(tenant, F.lit("")), F.lit("default")), F.date_format(in_utc(ts), "yyyy/MM/dd"), session, F.lit("audio.wav"))
 
 
 def speaker_label(tag: Column) -> Column:

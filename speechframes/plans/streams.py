@@ -112,7 +112,7 @@ def upload_failures(spark, sf):
     rows = views.uploads(spark, sf)
     reason = validate.upload_reason(F.col("session_id"), F.col("tenant_id"), F.col("source_url"), "speech")
     rejected = rows.withColumn("reason", reason).where("reason IS NOT NULL")
-    return sinks.failure_events(rejected, F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    return sinks.failure_events(rejected, F.timestamp_seconds(F.lit(1767323045)))
 
 
 def session_recordings(spark, sf):

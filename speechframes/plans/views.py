@@ -39,7 +39,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session_id"),
         (F.col("user_id") % 5).alias("tenant_id"),
         (F.row_number().over(order) - 1).cast("long").alias("seq"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+        F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("ts_us"),
         F.floor(F.col("value") * 100).cast("long").alias("n_samples"),
         (F.col("event_type") == "signup").alias("end_marker"),
         "event_id",
