@@ -62,6 +62,18 @@ def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: st
     return found.withColumn(out, F.least(rank("_a"), rank("_b"))["s"]).drop("_at", "_turn", "_point", "_a", "_b")
 
 
+def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms") -> DataFrame:
+    """Best overlap, else the nearest turn, else blank.
+
+    The nearest turn is looked up for all rows in the pass over the session that
+    coalescing needs anyway; singling out the few rows without overlap first
+    would run the overlap join twice.
+    """
+    first = assign_by_overlap(segments, turns, keys, segment_id, "", coverage, start, end)
+    both = nearest_turn(first, turns, keys, start, end, out="_near")
+    return both.withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), "_near", F.lit(""))).drop("_near")
+
+
 def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | None, order: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """rows with island, numbered from 1 in each key.
 

@@ -95,9 +95,7 @@ def realtime_finals(words: DataFrame, turns: DataFrame, commits: DataFrame, keys
     """Speaker-labelled finals per commit: turns merged, words owned once, best overlap or else the nearest turn, coalesced."""
     merged = intervals.merge_turns(turns, keys, gap).withColumnRenamed("island", "turn_ord")
     owned = intervals.owned_words(words, commits, keys).drop("s_ms", "e_ms").withColumnsRenamed({"w_start": "s_ms", "w_end": "e_ms"})
-    first = intervals.assign_by_overlap(owned, merged, keys, ["idx"])
-    near = intervals.nearest_turn(first.where("speaker = ''").drop("speaker"), merged, keys)
-    labelled = first.where("speaker <> ''").unionByName(near.withColumn("speaker", F.coalesce("speaker", F.lit(""))))
+    labelled = intervals.assign_speakers(owned, merged, keys, ["idx"])
     if names is not None:
         labelled = gallery.apply_names(labelled, names, keys)
     return assemble.word_segments(labelled, [*keys, "commit"], ["s_ms", "idx"])
@@ -114,10 +112,8 @@ def split_by_turn(asr: DataFrame, turns: DataFrame, keys: list[str], longest: in
 
 def enrich_epochs(words: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
     """Restored words (text carries its spacing) of each epoch with epoch-scoped speakers, coalesced without separators."""
-    first = intervals.assign_by_overlap(words, turns, [*keys, "epoch"], ["idx"], coverage=None)
-    near = intervals.nearest_turn(first.where("speaker = ''").drop("speaker"), turns, [*keys, "epoch"])
-    labelled = first.where("speaker <> ''").unionByName(near)
-    labelled = labelled.withColumn("speaker", F.when(F.coalesce("speaker", F.lit("")) != "", formats.epoch_label(F.col("epoch"), F.col("speaker"))).otherwise(""))
+    labelled = intervals.assign_speakers(words, turns, [*keys, "epoch"], ["idx"], coverage=None)
+    labelled = labelled.withColumn("speaker", F.when(F.col("speaker") != "", formats.epoch_label(F.col("epoch"), F.col("speaker"))).otherwise(""))
     return assemble.word_segments(labelled, [*keys, "epoch"], ["idx"], separator="raw")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from speechframes.functions import controls, formats
-from speechframes.operators import assemble, gallery, intervals, reports, sessions, updates, validate
+from speechframes.operators import assemble, gallery, intervals, languages, reports, sessions, updates, validate
 from speechframes.plans import views
 from speechframes.plans.views import CHUNKS, HEADERS, PROBES, TURNS, UPLOADS
 
@@ -271,11 +271,31 @@ def turn_crops(spark, sf):
     return pairs.groupBy("session_id", "turn_ord").agg(F.count("*").alias("n_pieces"), F.sum(F.col("overlap") * 20).alias("n_bytes"))
 
 
+def language_lookup(spark, sf):
+    n = F.col("event_id") % 6
+    given = F.when(n == 0, "German").when(n == 1, "en-US").when(n == 2, " FR ").when(n == 3, "xx-YY").when(n == 4, "").otherwise(None)
+    made = languages.public_language(views.chunks(spark, sf).withColumn("lang", given), "lang", "und")
+    return made.select("event_id", "language")
+
+
+def fluent_drafts(spark, sf):
+    """Drafts of five chunks each; one with a high ratio is withheld whole."""
+    rows = views.chunks(spark, sf).select("session_id", F.expr("seq div 5").alias("draft"), "seq", (F.col("n_samples") / 8000).alias("ratio"))
+    return languages.keep_fluent_drafts(rows, ["session_id", "draft"], "ratio", 2.4).groupBy("session_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+
+
+def activity(spark, sf):
+    """First and last activity of each session, its longest silence, and the sessions' wall-clock base."""
+    line = Window.partitionBy("session_id").orderBy("ts_us", "seq")
+    rows = views.chunks(spark, sf).withColumn("gap", F.col("ts_us") - F.lag("ts_us").over(line))
+    return rows.groupBy("session_id").agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), F.max("gap").alias("longest_gap_us"), F.min(F.expr("ts_us - n_samples * 1000000 div 16000")).alias("wall_base_us"))
+
+
 QUERIES = {f.__name__: f for f in (
     stream_controls, window_clamp, track_routing, unsafe_policy, overrides, config_conflicts, header_upsert, chunk_validation, valid_prefix, upload_validation, upload_failures,
     session_recordings, idle_sessions, idle_session_windows, end_marker_sessions, two_source_mix, track_union, replay_dedup, retention_plan, pending_outputs, iso_keys,
     gallery_mean, gallery_strict, gallery_last_wins, enroll_match, enroll_margin, stream_stats, cadence_report, outcome_histogram, peak_concurrency, audio_check, live_line,
-    native_update_dedup, replacement_interval, monotonic_errors, turn_crops,
+    native_update_dedup, replacement_interval, monotonic_errors, turn_crops, language_lookup, fluent_drafts, activity,
 )}
 
 REASON = """CASE WHEN NOT regexp_full_match(session_id, '[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}') THEN 'invalid-session-id'
@@ -321,4 +341,7 @@ SELECT event_id, window_s, CASE WHEN f AND w / 2 - 1 >= 0 AND w / 2 - 1 < window
     "replacement_interval": f"WITH {KINDS} SELECT event_id, coalesce(last_value(CASE WHEN kind = 'FINAL' THEN ts_us + n_samples END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at FROM kinds",
     "monotonic_errors": f"WITH {CHUNKS}, m AS (SELECT *, max(n_samples) OVER (PARTITION BY session_id) + 1000 AS duration, n_samples + seq % 1500 AS end_at, coalesce(lag(n_samples) OVER (PARTITION BY session_id ORDER BY seq), 0) AS prev FROM chunks) SELECT event_id FROM m WHERE NOT (prev - 2000 <= n_samples AND n_samples <= end_at AND end_at <= duration)",
     "turn_crops": f"WITH {TURNS} SELECT t.session_id, turn_ord, count(*) AS n_pieces, CAST(sum((least(t.e_ms, w.s_ms + 250) - greatest(t.s_ms, w.s_ms)) * 20) AS BIGINT) AS n_bytes FROM turns t JOIN words w ON t.session_id = w.session_id AND w.s_ms < t.e_ms AND t.s_ms < w.s_ms + 250 GROUP BY ALL",
+    "language_lookup": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' ELSE 'und' END AS language FROM events",
+    "fluent_drafts": f"WITH {CHUNKS}, d AS (SELECT session_id, seq // 5 AS draft, seq, max(n_samples / 8000) OVER (PARTITION BY session_id, seq // 5) AS worst FROM chunks) SELECT session_id, count(*) AS n, min(seq) AS first_seq FROM d WHERE worst <= 2.4 GROUP BY session_id",
+    "activity": f"WITH {CHUNKS}, g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, seq) AS gap FROM chunks) SELECT session_id, min(ts_us) AS first_us, max(ts_us) AS last_us, max(gap) AS longest_gap_us, min(ts_us - n_samples * 1000000 // 16000) AS wall_base_us FROM g GROUP BY session_id",
 }

@@ -88,10 +88,7 @@ def vad_merge_pad(spark, sf):
 
 def full_assignment(spark, sf):
     """Every word with a speaker: best overlap, else the nearest turn."""
-    first = assigned(spark, sf)
-    missing = first.where("speaker = ''").drop("speaker")
-    near = intervals.nearest_turn(missing, views.turns(spark, sf), KEY)
-    return first.where("speaker <> ''").unionByName(near)
+    return intervals.assign_speakers(views.words(spark, sf), views.turns(spark, sf), KEY, WORD_ID)
 
 
 FULL = f"""{TURNS}, {BEST}, {MISSING}, near AS ({NEAREST}), full_words AS (

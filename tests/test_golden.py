@@ -271,3 +271,24 @@ def test_finalize(spark, rows):
 def test_transcript_fallback_text(spark, rows):
     seg = spark.createDataFrame([(1, 1, 0, 10, "", " ", "raw")], "session_id int, island long, s_ms long, e_ms long, speaker string, text string, raw string")
     assert rows(assemble.transcripts(seg, ["session_id"], raw_text="raw"), "full_text") == [("raw",)]
+
+
+def test_enrich_epochs_and_split(spark, rows):
+    words = spark.createDataFrame([(1, 0, 0, "Hi, ", 0, 400), (1, 0, 1, "you. ", 500, 900), (1, 0, 2, "Far", 5000, 5200)], "session_id int, epoch int, idx int, word string, s_ms long, e_ms long")
+    spoken = spark.createDataFrame([(1, 0, 0, 0, 1000, "A"), (1, 0, 1, 4000, 4900, "B")], "session_id int, epoch int, turn_ord int, s_ms long, e_ms long, speaker string")
+    assert rows(jobs.enrich_epochs(words, spoken, ["session_id"]), "speaker", "text", "s_ms", "e_ms") == [("EPOCH_0000/A", "Hi, you.", 0, 900), ("EPOCH_0000/B", "Far", 5000, 5200)]
+    asr = spark.createDataFrame([(1, 0, 0, 900), (2, 0, 0, 900)], "session_id int, idx int, s_ms long, e_ms long")
+    two = turns(spark, (0, 1000, "A"), (1100, 3000, "B")).unionByName(spark.createDataFrame([(2, 0, 0, 800, "A")], TURN))
+    assert rows(jobs.split_by_turn(asr, two, ["session_id"]), "session_id", "speaker", "mode") == [(1, "A", "turn"), (1, "B", "turn"), (2, "A", "overlap")]
+    assert rows(jobs.offline_crops(turns(spark, (0, 70_000, "A"), (60_000, 80_000, "B")), ["session_id"]), "speaker", "crop_s", "crop_e") == [("A", 0, 30_000), ("A", 30_000, 60_000), ("A", 60_000, 70_000), ("B", 70_000, 80_000)]
+
+
+def test_ingest_uploads(spark, rows):
+    good, bad = "00000000-0000-4000-8000-00000000000%d", "nope"
+    url = lambda i: f"s3://b/t/uploads/{good % i}/source"
+    events = spark.createDataFrame([(good % 1, "t", url(1)), (good % 2, "t", url(2)), (bad, "t", url(3)), (good % 4, "t", url(4))], "session_id string, tenant_id string, recording_url string")
+    files = [(url(1), audio.riff(b"\x00\x10" * 160)), (url(2), b"junk")]
+    df = spark.createDataFrame([(p, len(c), c) for p, c in files], "path string, length long, content binary")
+    made, failed = jobs.ingest_uploads(events, df, "b", F.lit("2026-01-01").cast("timestamp"))
+    assert rows(made, "session_id", "n_samples", "duration_s") == [(good % 1, 160, 0.01)]
+    assert rows(failed, "key", F.get_json_object("value", "$.reason")) == [(good % 2, "not-wav"), (good % 4, "missing-source")]
