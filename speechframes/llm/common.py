@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +57,21 @@ def utf8(text) -> F.Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most_bytes`` in a column of texts, bytes or lists (or one row)."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_list(values.type):
+        sizes *= 4
+    start, ends = 0, np.cumsum(sizes)
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def fold(id_col, parts: int) -> F.Column:
     """crc32 of the id as text, modulo parts; null ids fall into fold -1."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts, F.lit(-1))

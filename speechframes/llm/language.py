@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import fold, table
+from speechframes.llm.common import fold, pieces, table
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -117,7 +117,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, total = Profiler(), {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             for a, b in _chunks(texts):
                 names = sorted(set(langs[a:b]))
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler = Profiler()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, text_col)):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             langs, scores = [], []
             for a, b in _chunks(texts):

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import fold, table
+from speechframes.llm.common import fold, pieces, table
 
 SAMPLE_ROWS = 1_000
 SAMPLE_CHARS = 8_000_000
@@ -45,7 +45,6 @@ WINDOW = 48
 STEPS = 60
 SPAN_AT = 0.5
 NEIGHBOUR = 0.25  # value of a neighbouring word's feature; the word's own is 1
-CHUNK_CHARS = 4_000_000
 WORD = re.compile(r"\w+")
 LEAST_LOG_ODDS = 3.0
 
@@ -284,34 +283,19 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            scores, found = [], []
-            for texts in chunks(batch.column(text_col).to_pylist()):
-                if model is None:
-                    scores += [0.0] * len(texts)
-                    found += [[] for _ in texts]
-                    continue
-                for text, (largest, log_sum, p) in zip(texts, marginals(model, [words_of(t) for t in texts]), strict=True):
-                    scores.append(document_score(model, largest, log_sum))
-                    found.append(spans(text, p) if largest >= SPAN_AT else [])
+        for batch in (part for whole in batches for part in pieces(whole, text_col)):
+            texts = batch.column(text_col).to_pylist()
+            scores, found = [0.0] * len(texts), [[] for _ in texts]
+            for i, (largest, log_sum, p) in enumerate(marginals(model, [words_of(t) for t in texts]) if model else ()):
+                scores[i] = document_score(model, largest, log_sum)
+                if largest >= SPAN_AT:
+                    found[i] = spans(texts[i], p)
             yield pa.RecordBatch.from_arrays([*batch.select(kept_names).columns, pa.array(scores, pa.float64()), pa.array(found, span_type)], [*kept_names, "score", "toxic_spans"])
 
     schema = docs.select(*kept_names).withColumns({"score": F.lit(0.0), "toxic_spans": F.lit(None).cast("array<struct<start:bigint,end:bigint,p:double>>")}).schema
     return docs.select(*kept_names).mapInArrow(run, schema)
 
 
-def chunks(texts: list[str | None]) -> Iterator[list[str | None]]:
-    chunk, chars = [], 0
-    for t in texts:
-        chunk.append(t)
-        chars += len(t or "")
-        if chars >= CHUNK_CHARS:
-            yield chunk
-            chunk, chars = [], 0
-    if chunk:
-        yield chunk
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     return fit(sample(docs, labels, id_col, text_col, label_col))
 
