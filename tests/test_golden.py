@@ -292,3 +292,36 @@ def test_ingest_uploads(spark, rows):
     made, failed = jobs.ingest_uploads(events, df, "b", F.lit("2026-01-01").cast("timestamp"))
     assert rows(made, "session_id", "n_samples", "duration_s") == [(good % 1, 160, 0.01)]
     assert rows(failed, "key", F.get_json_object("value", "$.reason")) == [(good % 2, "not-wav"), (good % 4, "missing-source")]
+
+
+def test_session_audio_files(spark, tmp_path, rows):
+    import datetime as dt
+
+    rec = spark.createDataFrame([("", "s1", dt.datetime(2026, 3, 4, 5), b"\x01\x02"), ("t", "s2", dt.datetime(2026, 3, 5), None)], "tenant_id string, session_id string, ts timestamp, pcm binary")
+    wav.write_session_wavs(rec, str(tmp_path / "wav"))
+    back = spark.read.parquet(str(tmp_path / "wav"))
+    assert rows(back, "tenant", "session_id", "object_key") == [("default", "s1", "default/2026/03/04/s1/audio.wav"), ("t", "s2", "t/2026/03/05/s2/audio.wav")]
+    assert bytes(back.where("session_id = 's1'").first()["wav"]) == audio.riff(b"\x01\x02")
+    folder = tmp_path / "flat"
+    folder.mkdir()
+    for name in ("ann_1.wav", "bob.wav", "note.txt"):
+        (folder / name).write_bytes(audio.riff(b"\x01\x02" * 4))
+    assert rows(wav.legacy_samples(spark, str(folder)), "label") == [("ann",), ("bob",)]
+    scanned = wav.scan_wavs(wav.read_files(spark, str(folder)), recording=True)
+    assert rows(scanned, "n_frames", "reason") == [(4, None), (4, None)]
+
+
+def test_strict_manifests(spark, rows):
+    url = "s3://b/root/t/speakers/s1/samples/%s"
+    data = [("s1", "Ann", [url % "a.wav"]), ("s9", "Ann", [url % "a.wav"]), ("s1", "SPEAKER_01", [url % "a.wav"]), ("s1", "Ann", [url % "../x"]), ("s1", "Ann", [url % i for i in range(6)]), ("s1", "Ann", ["s3://b/root/t/speakers/s2/samples/a"])]
+    df = spark.createDataFrame([(i, s, l, [(u,) for u in us]) for i, (s, l, us) in enumerate(data)], "id int, speaker_id string, label string, samples array<struct<url:string>>")
+    reason = validate.strict_manifest_reason(F.lit("s1"), "s3://b/root", F.lit("t"))
+    assert rows(df, "id", reason.alias("r")) == [(0, None), (1, "foreign-folder"), (2, "bad-label"), (3, "foreign-sample"), (4, "too-many-samples"), (5, "foreign-sample")]
+
+
+def test_word_timings_and_unsupported(spark):
+    from speechframes.operators import languages
+
+    df = spark.createDataFrame([([(0.0, 1.0, "a", None), (None, 1.0, "b", None), (1.0, 2.0, None, " c "), (2.0, 3.0, " ", None)], ["en", "xx", "xx", "de"])], "words array<struct<start:double,end:double,word:string,text:string>>, langs array<string>")
+    row = df.select(assemble.word_timings(F.col("words")).alias("w"), languages.unsupported(F.col("langs"), ["en", "de"]).alias("u")).first()
+    assert [w["text"] for w in row["w"]] == ["a", "c"] and row["u"] == ["xx"]
