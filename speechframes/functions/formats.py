@@ -36,7 +36,7 @@ def utc_ms_iso(ts: Column) -> Column:
 
 def recording_key(prefix: str, tenant: Column, ts: Column, session: Column) -> Column:
     """prefix/tenant/YYYY/MM/DD/session/audio.wav; an empty tenant is called default."""
-    return F.concat_ws("/", F.lit(prefix.strip("/")), F.coalesce(F.nullif(tenant, F.lit("")), F.lit("default")), F.date_format(in_utc(ts), "yyyy/MM/dd"), session, F.lit("audio.wav"))
+    return F.concat_ws("/", F.lit(prefix.strip("/") or None), F.coalesce(F.nullif(tenant, F.lit("")), F.lit("default")), F.date_format(in_utc(ts), "yyyy/MM/dd"), session, F.lit("audio.wav"))
 
 
 def speaker_label(tag: Column) -> Column:
