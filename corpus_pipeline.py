@@ -43,9 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = sentencepieces.default_model()
-    decoded = sentencepieces.decode(sentencepieces.encode(docs, model), model)
-    return decoded.withColumn("text", F.col("decoded")).drop("decoded")
+    return sentencepieces.encode(docs, sentencepieces.default_model(), decoded_col="text")
 
 
 STAGES = [

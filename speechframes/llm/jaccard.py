@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import LOWEST, ordered_keys, table, written
+from speechframes.llm.common import LOWEST, ordered_keys, pieces, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -123,7 +123,7 @@ def labels(found: np.ndarray, depth: int) -> np.ndarray:
 
 def _prepare(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             n, one, two, made = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
@@ -213,7 +213,7 @@ def _verify(threshold: float):
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         rows, last = [], None
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             for *group, block, key, text in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "block", "key", "text")), strict=True):
                 if group != last and rows:
                     yield rows

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import table
+from speechframes.llm.common import pieces, table
 
 CACHE_WORDS = 200_000
 CACHED_CHARS = 48
@@ -266,22 +266,25 @@ def _columns_but(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens and ids added."""
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", decoded_col: str | None = None) -> DataFrame:
+    """docs with n_tokens and ids added, and the text decoded from the ids where a column for it is named (it may be text_col)."""
     shared = docs.sparkSession.sparkContext.broadcast(load_vocabulary(model_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, text_col)):
             rows = [ids for ids, _ in encoder.encode(batch.column(text_col).to_pylist())]
             sizes = [len(r) for r in rows]
             values = pa.array(np.concatenate(rows).astype(np.int32)) if rows else pa.array([], pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-            kept = batch.select(kept_names)
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sizes, pa.int64()), lists], [*kept_names, "n_tokens", "ids"])
+            columns = dict(zip(kept_names, batch.select(kept_names).columns, strict=True)) | {"n_tokens": pa.array(sizes, pa.int64()), "ids": lists}
+            if decoded_col:
+                columns[decoded_col] = pa.array([decode_ids(shared.value, r).decode() for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kept_names = _columns_but(docs, "n_tokens", "ids")
-    schema = docs.select(*kept_names).withColumns({"n_tokens": F.lit(None).cast("long"), "ids": F.lit(None).cast("array<int>")}).schema
+    made = docs.select(*kept_names).withColumns({"n_tokens": F.lit(None).cast("long"), "ids": F.lit(None).cast("array<int>")})
+    schema = (made.withColumn(decoded_col, F.lit(None).cast("string")) if decoded_col else made).schema
     return docs.select(*kept_names).mapInArrow(run, schema)
 
 
@@ -291,8 +294,11 @@ def decode(tokens: DataFrame, model_file: str, ids_col: str = "ids", out_col: st
     kept_names = _columns_but(tokens, out_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [decode_ids(shared.value, np.array(x or [], np.int64)).decode() for x in batch.column(ids_col).to_pylist()]
+        for batch in (part for whole in batches for part in pieces(whole, ids_col)):
+            lists = batch.column(ids_col)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            texts = [decode_ids(shared.value, ids[a:b]).decode() for a, b in zip(ends, ends[1:], strict=False)]
             kept = batch.select(kept_names)
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(texts, pa.string())], [*kept_names, out_col])
 
@@ -306,7 +312,7 @@ def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, "text")):
             sizes, told, decoded = [], [], []
             for ids, listed in encoder.encode(batch.column("text").to_pylist()):
                 sizes.append(len(ids))

@@ -46,14 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import LOWEST, ordered_keys, table, utf8, written
+from speechframes.llm.common import LOWEST, ordered_keys, pieces, table, utf8, written
 
 LENGTH = 100
 GRAM = 24
 MOST = 1_000
 CHUNK = 1 << 19
 BLOCK_STEP = 8
-LPF_BYTES = 6 << 20
+LPF_BYTES = 1 << 20
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(104_729)
@@ -154,7 +155,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (gram, context, key, place, later); later: a row of this batch with equal context is earlier."""
-    for batch in batches:
+    for batch in _bounded(batches):
         parts = []
         for keys, texts in _chunks(batch):
             doc, place, gram, context = anchors(texts)
@@ -193,6 +194,11 @@ def judge_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(key[keep]), pa.array(place[keep]), pa.array(copy[keep])], ["gram", "key", "place", "copy"])
 
 
+def _bounded(batches: Iterator[pa.RecordBatch], column: str = "data") -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield from pieces(batch, column, BATCH_BYTES)
+
+
 def _document_rows(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[dict]]]:
     yield from zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), batch.column("spots").to_pylist(), strict=True)
 
@@ -216,7 +222,7 @@ def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with spots (place, gram) to rows (gram, key, start, bytes)."""
 
     def rows():
-        for batch in batches:
+        for batch in _bounded(batches):
             for key, data, spots in _document_rows(batch):
                 for spot in spots:
                     a, b = context_of(spot["place"], len(data))
@@ -267,7 +273,7 @@ def block_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = (start >= 0) & (stop <= size)
         return place[fits], start[fits], stop[fits]
 
-    for batch in batches:
+    for batch in _bounded(batches):
         if (made := _slice_hashes(batch, slices)) is None:
             continue
         key, place, one, two, first = made
@@ -291,7 +297,7 @@ def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         start = start[(start >= 0) & (start + LENGTH <= size)]
         return start, start, start + LENGTH
 
-    for batch in batches:
+    for batch in _bounded(batches):
         if (made := _slice_hashes(batch, slices)) is None:
             continue
         key, place, one, two, first = made
@@ -481,7 +487,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches, text_col):
             texts, removed, gone = [], [], []
             for text, found in zip(batch.column(text_col).to_pylist(), batch.column("__sf_spans").to_pylist(), strict=True):
                 data = (text or "").encode()
@@ -504,7 +510,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     keyed, spans, plain = _judged(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _bounded(batches):
             out = []
             for data, found in zip(batch.column("data").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 kept, runs = kept_runs(found, len(data))
