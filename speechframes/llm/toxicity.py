@@ -13,8 +13,12 @@ model fitted on the sample's document labels; runs of words with a marginal of
 
 The model is fitted on a bounded sample of labelled rows: at most
 ``SAMPLE_ROWS`` rows of each class (least hash of the id first) and
-``SAMPLE_CHARS`` characters. The model has at most ``MOST_WORDS`` words and is
-broadcast. Scoring covers every whole text, without a shuffle.
+``SAMPLE_CHARS`` characters, of which each class has half and what the other
+does not need. A row that does not fit there is passed over; a class of which no
+row fits teaches by the beginning of its shortest one. Documents of fewer than
+``WINDOW`` words are windows of their own length. The model has at most
+``MOST_WORDS`` words and is broadcast. Scoring covers every whole text, without
+a shuffle.
 
 Defined cases: null and empty texts have no word and get the score of a text
 without any toxic word; rows without id, label or text teach nothing; equal
@@ -33,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechframes.llm.common import fold, pieces, table
@@ -114,29 +118,31 @@ def _odds_chain(e: np.ndarray, t: np.ndarray, lengths: np.ndarray) -> np.ndarray
     return forward
 
 
-def _pairwise(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Marginals, expected transitions and log partition of full windows (windows x time)."""
+def _pairwise(e: np.ndarray, t: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Marginals, expected transitions and log partition of windows (windows x time, longest first; all full without lengths)."""
     n, steps = e.shape
+    active = np.full(steps, n) if lengths is None else (lengths[:, None] > np.arange(steps)[None, :]).sum(0)
     alpha = np.empty((steps, n, 2))
-    scale = np.empty((steps, n))
+    scale = np.ones((steps, n))
     emit = np.stack([np.ones_like(e), e], axis=2)
     a = emit[:, 0]
     for i in range(steps):
-        if i:
-            a = (a @ t) * emit[:, i]
-        scale[i] = a.sum(1)
-        a = a / scale[i][:, None]
-        alpha[i] = a
+        k = active[i]
+        a = (a[:k] @ t) * emit[:k, i] if i else a[:k]
+        scale[i, :k] = a.sum(1)
+        a = a / scale[i, :k, None]
+        alpha[i, :k] = a
     beta = np.ones((n, 2))
-    marginal = np.empty((n, steps))
+    marginal = np.zeros((n, steps))
     expected = np.zeros((2, 2))
     for i in range(steps - 1, -1, -1):
-        joint = alpha[i] * beta
-        marginal[:, i] = joint[:, 1] / joint.sum(1)
+        k = active[i]
+        joint = alpha[i, :k] * beta[:k]
+        marginal[:k, i] = joint[:, 1] / joint.sum(1)
         if i:
-            x = emit[:, i] * beta / scale[i][:, None]
-            expected += t * (alpha[i - 1].T @ x)
-            beta = x @ t.T
+            x = emit[:k, i] * beta[:k] / scale[i, :k, None]
+            expected += t * (alpha[i - 1, :k].T @ x)
+            beta[:k] = x @ t.T
     return marginal, expected, float(np.log(scale).sum())
 
 
@@ -151,37 +157,35 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     words = {w: i for i, (w, c) in enumerate([("", 0), *[x for x in counts.most_common(MOST_WORDS - 1) if x[1] > 1]])}
     ids = [np.array([0, *[words.get(w, 0) for w in d], 0], np.int32) for d, _ in docs]
     tags = [np.array([y and w in marks for w in d], float) for d, y in docs]
-    # windows of equal length; the last one of a document reaches back
-    before, middle, after, gold = [], [], [], []
+    # windows of equal length; the last one of a document reaches back, a shorter document is padded behind its end
+    before, middle, after, gold, lengths = [], [], [], [], []
     for d, g in zip(ids, tags, strict=True):
         n = len(g)
+        size = min(n, WINDOW)
+        pad = WINDOW - size
         for start in range(0, n, WINDOW):
             a = max(0, min(start, n - WINDOW))
-            if n >= WINDOW:
-                before.append(d[a : a + WINDOW])
-                middle.append(d[a + 1 : a + 1 + WINDOW])
-                after.append(d[a + 2 : a + 2 + WINDOW])
-                gold.append(g[a : a + WINDOW])
-    if not gold:  # short texts only: pad with unknown words
-        for d, g in zip(ids, tags, strict=True):
-            pad = np.zeros(WINDOW, int)
-            full = np.concatenate([d, pad])
-            before.append(full[:WINDOW])
-            middle.append(full[1 : 1 + WINDOW])
-            after.append(np.concatenate([full, pad])[2 : 2 + WINDOW])
-            gold.append(np.concatenate([g, np.zeros(WINDOW)])[:WINDOW])
-    seen = [np.array(x) for x in (before, middle, after)]
-    y = np.array(gold)
-    size, total = len(words), y.size
+            before.append(np.pad(d[a : a + size], (0, pad)))
+            middle.append(np.pad(d[a + 1 : a + 1 + size], (0, pad)))
+            after.append(np.pad(d[a + 2 : a + 2 + size], (0, pad)))
+            gold.append(np.pad(g[a : a + size], (0, pad)))
+            lengths.append(size)
+    filled = np.array(lengths, int)
+    order = np.argsort(-filled, kind="stable")
+    filled = filled[order]
+    seen = [np.array(x, int).reshape(-1, WINDOW)[order] for x in (before, middle, after)]
+    y = np.array(gold, float).reshape(-1, WINDOW)[order]
+    size, total = len(words), max(1, int(filled.sum()))
     theta = np.zeros(3 * size + 1 + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     observed = np.zeros((2, 2))
-    np.add.at(observed, (y[:, :-1].astype(int).ravel(), y[:, 1:].astype(int).ravel()), 1)
+    inside = filled[:, None] > np.arange(1, WINDOW)[None, :]
+    np.add.at(observed, (y[:, :-1][inside].astype(int), y[:, 1:][inside].astype(int)), 1)
     known = [np.bincount(s.ravel(), weights=y.ravel(), minlength=size) for s in seen]
     for step in range(1, STEPS + 1):
         w = theta[: 3 * size].reshape(3, size)
         e = np.exp(np.clip(w[1][seen[1]] + NEIGHBOUR * (w[0][seen[0]] + w[2][seen[2]]) + theta[3 * size], -30, 30))
-        marginal, expected, _ = _pairwise(e, np.exp(theta[-4:].reshape(2, 2)))
+        marginal, expected, _ = _pairwise(e, np.exp(theta[-4:].reshape(2, 2)), filled)
         grad = np.empty_like(theta)
         for k in range(3):
             grad[k * size : (k + 1) * size] = (1 if k == 1 else NEIGHBOUR) * (known[k] - np.bincount(seen[k].ravel(), weights=marginal.ravel(), minlength=size))
@@ -256,6 +260,25 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
+def fitting(lengths: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """(number, characters) of the rows that teach, in their order: those that fit their class's part of SAMPLE_CHARS."""
+    need = [sum(n for n, y in zip(lengths, labels, strict=True) if y == c) for c in (0, 1)]
+    out = []
+    for c in (0, 1):
+        left = bound = max(SAMPLE_CHARS // 2, SAMPLE_CHARS - need[1 - c])
+        own = [i for i, y in enumerate(labels) if y == c]
+        taken = []
+        for i in own:
+            if lengths[i] <= left:
+                taken.append((i, lengths[i]))
+                left -= lengths[i]
+        if own and not any(n for _, n in taken):
+            i = min((i for i in own if lengths[i]), key=lambda i: lengths[i], default=None)
+            taken += [] if i is None else [(i, bound)]
+        out += taken
+    return sorted(out)
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
     """At most SAMPLE_ROWS rows of each class and SAMPLE_CHARS characters."""
     known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_y")).where("_of IS NOT NULL AND _y IN (0, 1)")
@@ -263,16 +286,19 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(SAMPLE_ROWS)
         chosen = some if chosen is None else chosen.union(some)
-    # at most 2 * SAMPLE_ROWS ids
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), F.col("_id") == F.col("_of"))
-    rows = rows.withColumn("_upto", F.length("_text")).orderBy(F.xxhash64("_id"), "_id", "_text").limit(2 * SAMPLE_ROWS)
-    out, chars = [], 0
-    for r in rows.select("_text", "_y", "_upto").toLocalIterator():
-        chars += r["_upto"]
-        if chars > SAMPLE_CHARS:
-            break
-        out.append((r["_text"], r["_y"]))
-    return out
+    # at most 2 * SAMPLE_ROWS ids; their lengths come first, so that only texts that fit reach the driver
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL")
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_id", F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_chars"), "_y").distinct()
+    nth = F.row_number().over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id", "_hash"))
+    found = rows.withColumn("_nth", nth).where(F.col("_nth") <= SAMPLE_ROWS).orderBy(F.xxhash64("_id"), "_id", "_hash", "_y").collect()
+    picked = [(i, found[i]["_id"], found[i]["_hash"], n) for i, n in fitting([r["_chars"] for r in found], [r["_y"] for r in found])]
+    if not picked:
+        return []
+    id_type = texts.schema["_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame(picked, f"_nth long, _of {id_type}, _same long, _upto int")
+    got = texts.join(F.broadcast(wanted), F.col("_id") == F.col("_of")).where(F.xxhash64("_text") == F.col("_same"))
+    got = dict(got.select("_nth", F.expr("substring(_text, 1, _upto)").alias("_text")).dropDuplicates(["_nth"]).collect())
+    return [(got[i], found[i]["_y"]) for i, *_ in picked]
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

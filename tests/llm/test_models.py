@@ -99,3 +99,47 @@ def test_toxicity_training_needs_labels(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (2, None), (99, 1)], "doc_id long, toxic int")
     assert X.sample(no_docs, labels, "doc_id", "text", "toxic") == []
     assert set(X.sample(odd_docs, labels, "doc_id", "text", "toxic")) == {("the cat sat", 1), ("the cat sat", 0), ("le chat est là", 0)}
+
+
+def test_chain_of_short_windows_matches_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    t = np.exp(rng.normal(size=(2, 2)))
+    lengths = np.array([4, 2, 1])
+    e = np.exp(rng.normal(size=(3, 4)))
+    p, expected, log_z = X._pairwise(e, t, lengths)
+    pairs, total = np.zeros((2, 2)), 0.0
+    for row, n in enumerate(lengths):
+        weight, moved, z = np.zeros(n), np.zeros((2, 2)), 0.0
+        for path in itertools.product((0, 1), repeat=int(n)):
+            w = np.prod([e[row, i] if s else 1 for i, s in enumerate(path)]) * np.prod([t[a, b] for a, b in zip(path, path[1:])])
+            z += w
+            weight += w * np.array(path)
+            for a, b in zip(path, path[1:]):
+                moved[a, b] += w
+        assert np.allclose(p[row, :n], weight / z) and not p[row, n:].any()
+        pairs, total = pairs + moved / z, total + math.log(z)
+    assert np.allclose(expected, pairs) and math.isclose(log_z, total)
+
+
+def test_toxicity_learns_from_short_texts_beside_long_ones(spark):
+    clean = [(" ".join(f"plain{(i * 7 + k) % 90} calm words you number" for k in range(30)), 0) for i in range(40)]
+    toxic = [(f"you {w} number {i}", 1) for i, w in zip(range(40), ["scum", "idiot"] * 20)]
+    model = X.fit(clean + toxic)
+    df = spark.createDataFrame([(1, "calm words"), (2, "hear me SCUM, really")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in X.score(df, model).collect()}
+    assert got[2]["score"] > 0.5 > got[1]["score"]
+    assert [(s["start"], s["end"]) for s in got[2]["toxic_spans"]] == [(8, 12)]
+    assert X.fit([("", 1), ("!", 0)]) is not None
+
+
+def test_toxicity_sample_passes_over_long_rows(spark, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE_CHARS", 100)
+    docs = spark.createDataFrame([(i, "x" * 101 if i % 3 == 0 else f"text {i}") for i in range(12)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(12)], "doc_id long, toxic int")
+    got = X.sample(docs, labels, "doc_id", "text", "toxic")
+    assert sorted(got) == sorted((f"text {i}", i % 2) for i in range(12) if i % 3)
+    # only long rows in one class: the shortest teaches by its beginning
+    docs = spark.createDataFrame([(1, "a" * 300), (3, "b" * 200), (2, "short"), (4, "c" * 400)], "doc_id long, text string")
+    assert sorted(X.sample(docs, labels, "doc_id", "text", "toxic")) == [("b" * 50, 1), ("short", 0)]
