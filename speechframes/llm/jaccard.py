@@ -187,14 +187,15 @@ def similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, thresho
 
 
 def _verify(threshold: float):
-    def judge(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        """rows: (key, block, set). Of each key its links here and the smallest key they connect it with here."""
+    def judge(low: int, high: int, rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
+        """rows: (key, block, set) of blocks low and high. Of each key its links here and the smallest key they connect it with here."""
         keys = np.array([r[0] for r in rows], np.int64)
         order = np.argsort(keys)
         keys, sets = keys[order], [rows[i][2] for i in order]
         blocks = np.array([rows[i][1] for i in order])
-        low, high = blocks.min(), blocks.max()
         left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+        if not (len(left) and len(right)):  # the other block's own pairs are another task's
+            return
         i, j = similar(sets, left, right, threshold)
         a, b = left[i], right[j]
         links = np.bincount(a, minlength=len(keys))
@@ -211,23 +212,23 @@ def _verify(threshold: float):
             root = new
         yield from zip(keys.tolist(), links.tolist(), keys[root].tolist(), strict=True)
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple]]]:
         rows, last = [], None
         for batch in (part for whole in batches for part in pieces(whole, "text")):
             for *group, block, key, text in zip(*(batch.column(c).to_pylist() for c in ("root", "low", "high", "block", "key", "text")), strict=True):
                 if group != last and rows:
-                    yield rows
+                    yield *last[1:], rows
                     rows = []
                 last = group
                 rows.append((key, block, shingles(text)))
         if rows:
-            yield rows
+            yield *last[1:], rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for rows in groups(batches):
+        for low, high, rows in groups(batches):
             if len(rows) > 1:
-                out += [x for x in judge(rows) if x[1]]
+                out += [x for x in judge(low, high, rows) if x[1]]
             if len(out) >= 20_000:
                 yield _ties(out)
                 out = []

@@ -90,6 +90,17 @@ def test_join_matches_brute_force(spark, corpus, corpus_df, monkeypatch, block):
     assert kept == {i for i, w in want.items() if w[0] == i}
 
 
+def test_join_counts_links_once_where_blocks_stay_empty(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 60)
+    docs = []
+    for group in range(12):  # two to four near copies, each group of several blocks
+        base = [f"w{group}x{k}" for k in range(60)]
+        docs += [(10 * group + k, " ".join([*base, f"end{k}"])) for k in range(2 + group % 3)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["text_class"]) for r in J.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_join(docs)
+    assert {n for _, n, _ in got.values()} == {1, 2, 3}
+
+
 def test_join_odd_rows(spark, odd_docs, no_docs):
     assert J.join(no_docs).count() == 0 and J.keep_one(no_docs).count() == 0
     got = sorted((tuple(r) for r in J.join(odd_docs).select("doc_id", "class_id", "n_links").collect()), key=repr)
