@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from speechframes.functions import controls as C
 from speechframes.functions import formats
-from speechframes.operators import assemble, gallery, intervals, sessions, validate, windows
+from speechframes.operators import assemble, gallery, intervals, ordered, sessions, validate, windows
 from speechframes.sources import sinks, wav
 
 KEYS = ["tenant_id", "session_id"]
@@ -91,14 +91,31 @@ def finalize_recordings(recordings: DataFrame, asr: DataFrame, aligned: DataFram
     return made.withColumn("track_id", F.lit(track)), rejected
 
 
-def realtime_finals(words: DataFrame, turns: DataFrame, commits: DataFrame, keys: list[str], names: DataFrame | None = None, gap: int = 750) -> DataFrame:
-    """Speaker-labelled finals per commit: turns merged, words owned once, best overlap or else the nearest turn, coalesced."""
+def with_coarse(segments: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
+    """segments, and one without a speaker for each row of whole (keys, text, s_ms, e_ms) that has a text and no segment."""
+    missed = whole.where(F.trim("text") != "").join(segments.select(*keys).distinct(), keys, "left_anti")
+    columns = {"island": F.lit(1), "speaker": F.lit(""), "n_words": F.lit(0), "text": F.trim("text")}
+    coarse = missed.withColumns(columns).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in segments.schema])
+    return segments.unionByName(coarse)
+
+
+def realtime_finals(words: DataFrame, turns: DataFrame, commits: DataFrame, keys: list[str], names: DataFrame | None = None, gap: int = 750, transcripts: DataFrame | None = None) -> DataFrame:
+    """Speaker-labelled finals per commit: turns merged, words owned once, best overlap or else the nearest turn, coalesced.
+
+    transcripts: keys, commit, text of the commit's own interval. A commit that
+    owns no word gives its text as one final without a speaker; without
+    transcripts it gives none.
+    """
     merged = intervals.merge_turns(turns, keys, gap).withColumnRenamed("island", "turn_ord")
     owned = intervals.owned_words(words, commits, keys).drop("s_ms", "e_ms").withColumnsRenamed({"w_start": "s_ms", "w_end": "e_ms"})
     labelled = intervals.assign_speakers(owned, merged, keys, ["idx"])
     if names is not None:
         labelled = gallery.apply_names(labelled, names, keys)
-    return assemble.word_segments(labelled, [*keys, "commit"], ["s_ms", "idx"])
+    made = assemble.word_segments(labelled, [*keys, "commit"], ["s_ms", "idx"])
+    if transcripts is None:
+        return made
+    spans = commits.select(*keys, "commit", F.col("c_start").alias("s_ms"), F.col("c_end").alias("e_ms"))
+    return with_coarse(made, transcripts.select(*keys, "commit", "text").join(spans, [*keys, "commit"]), [*keys, "commit"])
 
 
 def split_by_turn(asr: DataFrame, turns: DataFrame, keys: list[str], longest: int = 90_000, least: int = 700, gap: int = 150, most: int = 40) -> DataFrame:
@@ -110,11 +127,20 @@ def split_by_turn(asr: DataFrame, turns: DataFrame, keys: list[str], longest: in
     return merged.unionByName(rest)
 
 
-def enrich_epochs(words: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
-    """Restored words (text carries its spacing) of each epoch with epoch-scoped speakers, coalesced without separators."""
+def enrich_epochs(words: DataFrame, turns: DataFrame, keys: list[str], epochs: DataFrame | None = None) -> DataFrame:
+    """Restored words (text carries its spacing) of each epoch with epoch-scoped speakers, coalesced without separators.
+
+    epochs: keys, epoch, text, s_ms, e_ms on the words' clock. An epoch without
+    restored words or turns, or with a segment of no length, gives its whole text
+    as one final without a speaker; without epochs it stays as the words give it.
+    """
     labelled = intervals.assign_speakers(words, turns, [*keys, "epoch"], ["idx"], coverage=None)
     labelled = labelled.withColumn("speaker", F.when(F.col("speaker") != "", formats.epoch_label(F.col("epoch"), F.col("speaker"))).otherwise(""))
-    return assemble.word_segments(labelled, [*keys, "epoch"], ["idx"], separator="raw")
+    made = assemble.word_segments(labelled, [*keys, "epoch"], ["idx"], separator="raw")
+    if epochs is None:
+        return made
+    failed = made.where((F.col("speaker") == "") | (F.col("e_ms") <= F.col("s_ms"))).select(*keys, "epoch").distinct()
+    return with_coarse(made.join(failed, [*keys, "epoch"], "left_anti"), epochs, [*keys, "epoch"])
 
 
 def build_gallery(manifests: DataFrame, sample_embeddings: DataFrame, strict_root: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,6 +165,22 @@ def ingest_uploads(events: DataFrame, files: DataFrame, bucket: str, created_at)
     return done.where("reason IS NULL").select(*KEYS, "recording_url", "n_samples", (F.col("n_samples") / 16000).alias("duration_s"), "pcm16"), sinks.failure_events(failed, created_at)
 
 
-def offline_crops(turns: DataFrame, keys: list[str], longest: int = 30_000) -> DataFrame:
-    """Crops of at most ``longest``, each part of the audio in one of them."""
-    return intervals.exclusive_crops(turns, keys, longest)
+def offline_crops(turns: DataFrame, keys: list[str], longest: int = 30_000, hypotheses: DataFrame | None = None) -> DataFrame:
+    """Crops of at most ``longest``, each part of the audio in one of them; with hypotheses the segments of these crops.
+
+    hypotheses: keys, turn_ord, crop_s, text, words (array of start_s, end_s,
+    text within the crop; null where nothing was aligned). Segments of crops with
+    a text carry its words restored and moved to the recording's clock, or null
+    where they cannot be restored.
+    """
+    crops = intervals.exclusive_crops(turns, keys, longest)
+    if hypotheses is None:
+        return crops
+    own = [*keys, "turn_ord", "crop_s"]
+    said = crops.join(hypotheses.withColumn("text", F.trim("text")).where("text <> ''"), own).withColumn("duration_s", (F.col("crop_e") - F.col("crop_s")) / 1000)
+    key_schema = ", ".join(f"{c} {said.schema[c].dataType.simpleString()}" for c in own)
+    restored = ordered.restore_text(said.where("words IS NOT NULL").withColumnRenamed("text", "transcript"), own, key_schema).where("reason IS NULL")
+    listed = restored.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "text"))).alias("words"))
+    base, last = F.col("crop_s") / 1000, F.col("crop_e") / 1000
+    moved = F.transform("words", lambda w: F.struct((base + w["start_s"]).alias("start_s"), F.least(last, base + w["end_s"]).alias("end_s"), w["text"].alias("text")))
+    return said.drop("words").join(listed, own, "left").select(*keys, "turn_ord", "speaker", F.col("crop_s").alias("s_ms"), F.col("crop_e").alias("e_ms"), "text", moved.alias("words"))

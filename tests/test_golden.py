@@ -283,6 +283,31 @@ def test_enrich_epochs_and_split(spark, rows):
     assert rows(jobs.offline_crops(turns(spark, (0, 70_000, "A"), (60_000, 80_000, "B")), ["session_id"]), "speaker", "crop_s", "crop_e") == [("A", 0, 30_000), ("A", 30_000, 60_000), ("A", 60_000, 70_000), ("B", 70_000, 80_000)]
 
 
+def test_epochs_that_fail_give_their_whole_text(spark, rows):
+    words = spark.createDataFrame([(1, 0, 0, "Hi, ", 0, 400), (1, 0, 1, "you. ", 500, 900), (1, 1, 0, None, None, None), (1, 2, 0, "No turns", 20_000, 20_500)], "session_id int, epoch int, idx int, word string, s_ms long, e_ms long")
+    spoken = spark.createDataFrame([(1, 0, 0, 0, 1000, "A"), (1, 1, 0, 10_000, 11_000, "B")], "session_id int, epoch int, turn_ord int, s_ms long, e_ms long, speaker string")
+    epochs = spark.createDataFrame([(1, 0, "Hi, you.", 0, 10_000), (1, 1, " Not aligned. ", 10_000, 20_000), (1, 2, "No turns", 20_000, 30_000), (1, 3, "No words", 30_000, 40_000), (1, 4, " ", 40_000, 50_000)], "session_id int, epoch int, text string, s_ms long, e_ms long")
+    got = rows(jobs.enrich_epochs(words, spoken, ["session_id"], epochs), "epoch", "speaker", "text", "s_ms", "e_ms")
+    assert got == [(0, "EPOCH_0000/A", "Hi, you.", 0, 900), (1, "", "Not aligned.", 10_000, 20_000), (2, "", "No turns", 20_000, 30_000), (3, "", "No words", 30_000, 40_000)]
+
+
+def test_commits_without_word_times_give_their_text(spark, rows):
+    words = spark.createDataFrame([(1, 0, "alpha", 1000, 1500)], "session_id int, idx int, word string, s_ms long, e_ms long")
+    commits = spark.createDataFrame([(1, 0, 0, 10_000, 0, 11_000), (1, 1, 10_000, 20_000, 9_000, 21_000), (1, 2, 20_000, 30_000, 19_000, 30_000)], "session_id int, commit int, c_start long, c_end long, a_start long, a_end long")
+    said = spark.createDataFrame([(1, 0, "alpha"), (1, 1, " untimed text "), (1, 2, "")], "session_id int, commit int, text string")
+    got = rows(jobs.realtime_finals(words, turns(spark, (0, 20_000, "A")), commits, ["session_id"], transcripts=said), "commit", "text", "speaker", "s_ms", "e_ms")
+    assert got == [(0, "alpha", "A", 1000, 1500), (1, "untimed text", "", 10_000, 20_000)]
+
+
+def test_offline_crops_give_segments_with_words(spark, rows):
+    spoken = turns(spark, (0, 40_000, "A"), (50_000, 52_000, "B"), (60_000, 61_000, "A"))
+    said = [(1, 0, 0, " Hi, you. ", [(0.5, 0.9, "hi"), (1.0, 1.5, "you")]), (1, 0, 30_000, "More", [(0.0, 99.0, "more")]), (1, 1, 50_000, "Other words", [(0.0, 1.0, "mismatch")]), (1, 2, 60_000, " ", None)]
+    said = spark.createDataFrame(said, "session_id int, turn_ord int, crop_s long, text string, words array<struct<start_s:double,end_s:double,text:string>>")
+    got = rows(jobs.offline_crops(spoken, ["session_id"], hypotheses=said), "speaker", "s_ms", "e_ms", "text", F.to_json("words"))
+    first = '[{"start_s":0.5,"end_s":0.9,"text":"Hi, "},{"start_s":1.0,"end_s":1.5,"text":"you."}]'
+    assert got == [("A", 0, 30_000, "Hi, you.", first), ("A", 30_000, 40_000, "More", '[{"start_s":30.0,"end_s":40.0,"text":"More"}]'), ("B", 50_000, 52_000, "Other words", None)]
+
+
 def test_ingest_uploads(spark, rows):
     good, bad = "00000000-0000-4000-8000-00000000000%d", "nope"
     url = lambda i: f"s3://b/t/uploads/{good % i}/source"
