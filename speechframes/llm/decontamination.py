@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import table
+from speechframes.llm.common import pieces, table, written
 
 ERROR_RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -224,10 +224,28 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[
     yield block
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, id_col: str = "doc_id") -> DataFrame:
-    """docs without the documents that hold a test item."""
-    found = find_matches(docs, benchmark, error_rate, id_col).select(F.col(id_col).alias("__sf_leak")).distinct()
-    return docs.join(found, docs[id_col] == F.col("__sf_leak"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """docs without the rows that hold a test item; every row is judged by its own text, whatever its id.
+
+    Between blocks of items the rows left are written, so that a task holds one block.
+    """
+    spark = docs.sparkSession
+
+    def run_with(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            searcher = Searcher(block.value, error_rate)
+            for batch in (part for whole in batches for part in pieces(whole, "text")):
+                clean = [not (text and searcher.search(normal(text))) for text in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    kept, searched = docs, False
+    for block in item_blocks(benchmark, "item_id", "text"):
+        if block:
+            kept = written(kept, "decontamination-block") if searched else kept
+            kept, searched = kept.mapInArrow(run_with(spark.sparkContext.broadcast(block)), docs.schema), True
+    return kept
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,17 @@ def test_offsets_in_the_original(spark, rows):
     assert rows(D.drop_contaminated(df, bench), "doc_id") == [(3,), (4,), (5,)]
 
 
+def test_drop_judges_each_row_by_its_own_text(spark, rows, monkeypatch):
+    other = "another question that is long enough to count"
+    docs = [(None, f"Intro {ITEM}"), (None, "clean without id"), (7, f"{ITEM} end"), (7, "clean with the same id"), (8, other), (9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("source", F.lit("s"))
+    bench = spark.createDataFrame([(1, ITEM), (2, other)], "item_id long, text string")
+    want = sorted([(None, "clean without id", "s"), (7, "clean with the same id", "s"), (9, None, "s")], key=repr)
+    assert rows(D.drop_contaminated(df, bench)) == want
+    monkeypatch.setattr(D, "BLOCK_CHARS", 10)
+    assert rows(D.drop_contaminated(df, bench)) == want
+
+
 def test_blocks_give_the_same(spark, rows, monkeypatch):
     df = spark.createDataFrame([(1, ITEM), (2, "another question that is long enough to count")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM), (2, "another question that is long enough to count"), (3, "x" * 30)], "item_id long, text string")
