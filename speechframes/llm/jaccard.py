@@ -1,14 +1,15 @@
-"""Join of documents with similar word n-grams: MinHash LSH forest, exact verification.
+"""Join of documents with similar word n-grams: MinHash banding, exact verification.
 
 A document is its set of shingles (``WORDS`` consecutive words, lower case, any
 white space between). Documents with equal sets form one text class; its
 smallest id stands for it from then on.
 
-Forest. Each of ``TREES`` trees labels a set by ``DEPTH`` MinHash values; sorted
-labels are a trie, and sets that share a prefix lie together in it. Starting from
-whole labels, prefixes are shortened until two sets of just the threshold's
-similarity share one in some tree with the target recall; 1 - (1 - t^d)^trees is
-that probability at depth d. Sets that share a prefix are tied to the smallest
+Banding. Each of ``TREES`` trees labels a set by the first d of ``DEPTH`` MinHash
+values. d is fixed before any data are read (``depth_for``): the longest prefix
+that two sets of just the threshold's similarity share in some tree with the
+target recall; 1 - (1 - t^d)^trees is that probability. There are no sorted
+tries and no prefix is shortened for want of matches; where even one value
+misses the recall, it is missed. Sets that share a prefix are tied to the smallest
 of them only, so a prefix that very many share makes no pairs; the connected
 groups of these ties hold all candidates.
 
