@@ -1,23 +1,27 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Labels mark documents, so token labels come first: in the documents labelled
-toxic, the words that are far more frequent there than in clean ones are tagged
-(``toxic_words``). On these tagged tokens a conditional random field with two
-states learns weights for a word, its neighbours, and the transitions between
+Labels mark documents, so token labels come first. ``marking_words`` counts, over
+all labelled training rows, in how many toxic and clean documents each word
+stands; words of ``LEAST_LOG_ODDS`` or more that stand in ``LEAST_GROUPS`` or more
+groups of near copies (documents of one least three-word hash) mark toxicity, however
+rare they are beside others. Their occurrences in toxic documents are the tagged
+tokens. On these a conditional random field with two states learns weights for
+a word, its neighbours, the step of its log-odds, and the transitions between
 states, by the exact gradient from the forward-backward recursions.
 
 For any text the same recursions give each word's marginal probability of being
-toxic. Their maximum and their sum give the document's score through a logistic
-model fitted on the sample's document labels; runs of words with a marginal of
-``SPAN_AT`` or more are the offending spans.
+toxic. Their maximum, their sum and the text's length give the document's score
+through a logistic model fitted on the sample's document labels; runs of words
+with a marginal of ``SPAN_AT`` or more are the offending spans.
 
-The model is fitted on a bounded sample of labelled rows: at most
+The weights are fitted on a bounded sample of labelled rows: at most
 ``SAMPLE_ROWS`` rows of each class (least hash of the id first) and
 ``SAMPLE_CHARS`` characters, of which each class has half and what the other
 does not need. A row that does not fit there is passed over; a class of which no
 row fits teaches by the beginning of its shortest one. Documents of fewer than
 ``WINDOW`` words are windows of their own length. The model has at most
-``MOST_WORDS`` words and is broadcast. Scoring covers every whole text, without
+``MOST_MARKS`` marking words (those of the most evidence) and ``MOST_WORDS``
+others and is broadcast. Scoring covers every whole text, without
 a shuffle.
 
 Defined cases: null and empty texts have no word and get the score of a text
@@ -31,6 +35,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,6 +53,9 @@ MOST_WORDS = 50_000
 WINDOW = 48
 STEPS = 60
 SPAN_AT = 0.5
+MOST_MARKS = 50_000
+LEAST_GROUPS = 5
+STEPS_OF_ODDS = 6
 NEIGHBOUR = 0.25  # value of a neighbouring word's feature; the word's own is 1
 WORD = re.compile(r"\w+")
 LEAST_LOG_ODDS = 3.0
@@ -57,31 +65,59 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def toxic_words(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Words that mark toxic documents.
+def log_odds(toxic: int, clean: int, n: int, m: int) -> float:
+    """Of a word in so many of n toxic and m clean documents."""
+    return math.log((toxic + 0.5) / (n + 1)) - math.log((clean + 0.5) / (m + 1))
 
-    A marking word has log-odds of ``LEAST_LOG_ODDS`` or more between the
-    classes. Of these, words half as frequent as the most frequent one are
-    taken, and then, while toxic documents without any remain, the word that
-    most of those share (two at least): words that only one group of near
-    copies shares stay out.
-    """
-    n, m = len(toxic), len(clean)
-    yes, no = Counter(w for d in toxic for w in d), Counter(w for d in clean for w in d)
-    odds = lambda w, c: math.log((c + 0.5) / (n + 1)) - math.log((no[w] + 0.5) / (m + 1))
-    marking = {w: c for w, c in yes.items() if c >= 2 and odds(w, c) >= LEAST_LOG_ODDS}
-    if not marking:
-        return set()
-    most = max(marking.values())
-    taken = {w for w, c in marking.items() if 2 * c >= most}
-    rest = [d & marking.keys() for d in toxic if not d & taken]
-    while rest:
-        word, count = max(Counter(w for d in rest for w in d).items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if count < max(2, most // 10):
-            break
-        taken.add(word)
-        rest = [d for d in rest if word not in d]
-    return taken
+
+def marking_words_of(rows: list[tuple[str, int]]) -> dict[str, float]:
+    """Marking words of a few texts, each of which stands for itself: two toxic texts are enough."""
+    sets = [(set(words_of(t)), y) for t, y in rows]
+    yes, no = (Counter(w for d, y in sets if y == c for w in d) for c in (1, 0))
+    n = sum(y for _, y in rows)
+    odds = {w: log_odds(c, no[w], n, len(rows) - n) for w, c in yes.items() if c >= 2}
+    return {w: x for w, x in odds.items() if x >= LEAST_LOG_ODDS}
+
+
+def near_copy_key(words: list[str]) -> int:
+    """The least hash of three consecutive words: mostly equal for near copies, and for few others."""
+    return min(zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2)))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts and labels to (word, group, toxic, clean) counts of documents; clean documents have no group."""
+    counts: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        words, groups, toxic, clean = zip(*((w, g, c * (g is not None), c * (g is None)) for (w, g), c in counts.items()), strict=True)
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(c, pa.int64()) for c in (groups, toxic, clean))], ["word", "group", "toxic", "clean"])
+
+    for batch in (part for whole in batches for part in pieces(whole, "text")):
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+            words = words_of(text)
+            found = set(words)
+            group = near_copy_key(words) if y else None
+            counts.update((w, group) for w in found)
+            if len(counts) >= 300_000:
+                yield flush()
+    if counts:
+        yield flush()
+
+
+def marking_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
+    """Marking words and their log-odds, counted over all labelled rows; groups of near copies count once each."""
+    known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("y")).where("_of IS NOT NULL AND y IN (0, 1)").distinct()
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(known, "_of")
+    total = dict(rows.groupBy("y").count().collect())
+    if len(total) < 2:
+        return {}
+    counts = rows.select("text", "y").mapInArrow(_count_words, "word string, group long, toxic long, clean long")
+    grouped = counts.groupBy("word", "group").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    by_word = grouped.groupBy("word").agg(F.count("group").alias("groups"), F.sum("clean").alias("clean"))
+    odds = F.log((F.col("groups") + 0.5) / (total[1] + 1)) - F.log((F.col("clean") + 0.5) / (total[0] + 1))
+    found = by_word.where(F.col("groups") >= LEAST_GROUPS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
+    return dict(found.orderBy(F.desc(F.col("odds") * F.col("groups")), "word").limit(MOST_MARKS).select("word", "odds").collect())
 
 
 @dataclass
@@ -146,15 +182,18 @@ def _pairwise(e: np.ndarray, t: np.ndarray, lengths: np.ndarray | None = None) -
     return marginal, expected, float(np.log(scale).sum())
 
 
-def fit(rows: list[tuple[str, int]]) -> Model | None:
-    """rows: texts and their labels, 0 or 1."""
-    docs = [(words_of(t), y) for t, y in dict(rows).items()]
-    toxic, clean = [set(w) for w, y in docs if y], [set(w) for w, y in docs if not y]
-    if not toxic or not clean:
+def fit(rows: list[tuple[str, int]], marks: dict[str, float] | None = None) -> Model | None:
+    """rows: texts and their labels, 0 or 1; marks: marking words with log-odds, else those of the rows."""
+    rows = list(dict(rows).items())
+    docs = [(words_of(t), y) for t, y in rows]
+    if len({y for _, y in docs}) < 2:
         return None
-    marks = toxic_words(toxic, clean)
+    marks = marking_words_of(rows) if marks is None else marks
     counts = Counter(w for d, _ in docs for w in d)
-    words = {w: i for i, (w, c) in enumerate([("", 0), *[x for x in counts.most_common(MOST_WORDS - 1) if x[1] > 1]])}
+    words = {w: i for i, w in enumerate(dict.fromkeys(["", *marks, *[w for w, c in counts.most_common(MOST_WORDS - 1) if c > 1]]))}
+    grade = np.zeros(len(words), int)  # step of the log-odds, 0 for words that mark nothing
+    for w, x in marks.items():
+        grade[words[w]] = 1 + max(0, min(STEPS_OF_ODDS - 1, int(x - LEAST_LOG_ODDS)))
     ids = [np.array([0, *[words.get(w, 0) for w in d], 0], np.int32) for d, _ in docs]
     tags = [np.array([y and w in marks for w in d], float) for d, y in docs]
     # windows of equal length; the last one of a document reaches back, a shorter document is padded behind its end
@@ -176,33 +215,39 @@ def fit(rows: list[tuple[str, int]]) -> Model | None:
     seen = [np.array(x, int).reshape(-1, WINDOW)[order] for x in (before, middle, after)]
     y = np.array(gold, float).reshape(-1, WINDOW)[order]
     size, total = len(words), max(1, int(filled.sum()))
-    theta = np.zeros(3 * size + 1 + 4)
+    steps = STEPS_OF_ODDS + 1
+    theta = np.zeros(3 * size + steps + 1 + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     observed = np.zeros((2, 2))
     inside = filled[:, None] > np.arange(1, WINDOW)[None, :]
     np.add.at(observed, (y[:, :-1][inside].astype(int), y[:, 1:][inside].astype(int)), 1)
-    known = [np.bincount(s.ravel(), weights=y.ravel(), minlength=size) for s in seen]
+    graded = grade[seen[1]]
+    known = [np.bincount(s.ravel(), weights=y.ravel(), minlength=n) for s, n in zip([*seen, graded], [size, size, size, steps], strict=True)]
     for step in range(1, STEPS + 1):
         w = theta[: 3 * size].reshape(3, size)
-        e = np.exp(np.clip(w[1][seen[1]] + NEIGHBOUR * (w[0][seen[0]] + w[2][seen[2]]) + theta[3 * size], -30, 30))
+        of_grade = theta[3 * size : 3 * size + steps]
+        e = np.exp(np.clip(w[1][seen[1]] + NEIGHBOUR * (w[0][seen[0]] + w[2][seen[2]]) + of_grade[graded] + theta[-5], -30, 30))
         marginal, expected, _ = _pairwise(e, np.exp(theta[-4:].reshape(2, 2)), filled)
         grad = np.empty_like(theta)
         for k in range(3):
             grad[k * size : (k + 1) * size] = (1 if k == 1 else NEIGHBOUR) * (known[k] - np.bincount(seen[k].ravel(), weights=marginal.ravel(), minlength=size))
-        grad[3 * size] = y.sum() - marginal.sum()
+        grad[3 * size : 3 * size + steps] = known[3] - np.bincount(graded.ravel(), weights=marginal.ravel(), minlength=steps)
+        grad[-5] = y.sum() - marginal.sum()
         grad[-4:] = (observed - expected).ravel()
         grad = grad / math.sqrt(total) - 1e-3 * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         theta = theta + 0.25 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     values = np.array([NEIGHBOUR, 1, NEIGHBOUR])[:, None]
-    model = Model(words, theta[: 3 * size].reshape(3, size) * values, float(theta[3 * size]), theta[-4:].reshape(2, 2), np.zeros(3))
-    x = np.array([[1, m, s] for m, s, _ in marginals(model, [d for d, _ in docs])])
+    emission = theta[: 3 * size].reshape(3, size) * values
+    emission[1] += theta[3 * size : 3 * size + steps][grade]
+    model = Model(words, emission, float(theta[-5]), theta[-4:].reshape(2, 2), np.zeros(4))
+    x = np.array([document_features(*found) for found in marginals(model, [d for d, _ in docs])])
     labels = np.array([t for _, t in docs], float)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))  # classes count alike
-    b = np.zeros(3)
+    b = np.zeros(4)
     for _ in range(30):  # Newton's method, lightly regularised
         p = 1 / (1 + np.exp(-x @ b))
-        b = b + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), x.T @ (weight * (labels - p)) - 0.05 * b)
+        b = b + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4), x.T @ (weight * (labels - p)) - 0.05 * b)
     model.document = b
     return model
 
@@ -239,8 +284,12 @@ def marginals(model: Model, docs: list[list[str]]) -> Iterator[tuple[float, floa
     yield from out
 
 
-def document_score(model: Model, largest: float, log_sum: float) -> float:
-    return 1 / (1 + math.exp(-float(np.dot(model.document, [1.0, largest, log_sum]))))
+def document_features(largest: float, log_sum: float, p: np.ndarray) -> list[float]:
+    return [1.0, largest, log_sum, math.log1p(len(p))]
+
+
+def document_score(model: Model, *found) -> float:
+    return 1 / (1 + math.exp(-float(np.dot(model.document, document_features(*found)))))
 
 
 def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -313,7 +362,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
             texts = batch.column(text_col).to_pylist()
             scores, found = [0.0] * len(texts), [[] for _ in texts]
             for i, (largest, log_sum, p) in enumerate(marginals(model, [words_of(t) for t in texts]) if model else ()):
-                scores[i] = document_score(model, largest, log_sum)
+                scores[i] = document_score(model, largest, log_sum, p)
                 if largest >= SPAN_AT:
                     found[i] = spans(texts[i], p)
             yield pa.RecordBatch.from_arrays([*batch.select(kept_names).columns, pa.array(scores, pa.float64()), pa.array(found, span_type)], [*kept_names, "score", "toxic_spans"])
@@ -323,7 +372,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
-    return fit(sample(docs, labels, id_col, text_col, label_col))
+    return fit(sample(docs, labels, id_col, text_col, label_col), marking_words(docs, labels, id_col, text_col, label_col))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

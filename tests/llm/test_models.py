@@ -88,11 +88,27 @@ def test_toxicity_finds_marked_words(spark, odd_docs, no_docs):
 
 
 def test_toxicity_held_out(spark):
-    rows = X.op6_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
-    clean, toxic = [r for r in rows if not r["toxic"]], [r for r in rows if r["toxic"]]
-    assert sum(r["predicted"] for r in clean) / len(clean) < 0.03
-    assert sum(r["predicted"] for r in toxic) / len(toxic) >= 0.5  # about a third of the toxic labels are on ordinary texts
-    assert np.mean([r["score"] for r in toxic]) > np.mean([r["score"] for r in clean]) + 0.2
+    """Per language: most toxic documents are found, clean ones are left alone."""
+    sf = "/root/testdata/sf0.1"
+    truth = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = X.op6_toxicity(spark, sf).join(truth, "doc_id").where("held_out").collect()
+    for lang in (None, "de", "en", "es", "fr"):
+        clean, toxic = ([r["predicted"] for r in rows if r["toxic"] == y and lang in (None, r["lang"])] for y in (0, 1))
+        assert len(toxic) > 5 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.05, lang
+
+
+def test_marking_words_count_near_copies_once(spark):
+    """A word of one group of copies marks nothing, a rare one of five unlike documents does; frequent ones set no bar."""
+    rows = [(i, f"scum a{i} b{i * 7} c{i * 11} d{i * 13}", 1) for i in range(200)]
+    rows += [(300 + i, f"gredin e{i} f{i * 7} g{i * 11} h{i * 13}", 1) for i in range(9)]
+    rows += [(400 + i, "copied once more", 1) for i in range(50)]
+    rows += [(500 + i, f"calm text {i} of j{i * 3} k{i * 5}", 0) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "scum"), (1000, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 0), (1000, 1), (7, None)], "doc_id long, toxic int")
+    found = X.marking_words(docs, labels)
+    assert set(found) == {"scum", "gredin"}
+    assert math.isclose(found["gredin"], X.log_odds(len({X.near_copy_key(r[1].split()) for r in rows if "gredin" in r[1]}), 0, 259, 600))
+    assert X.marking_words(docs, labels.where("toxic = 1")) == {} and X.marking_words(docs.limit(0), labels) == {}
 
 
 def test_toxicity_training_needs_labels(spark, odd_docs, no_docs):
