@@ -55,6 +55,7 @@ STEPS = 60
 SPAN_AT = 0.5
 MOST_MARKS = 50_000
 LEAST_GROUPS = 5
+BROADCAST_LABELS = 2_000_000  # ids and labels, some 50 MB; more of them meet the texts in a shuffle join
 STEPS_OF_ODDS = 6
 NEIGHBOUR = 0.25  # value of a neighbouring word's feature; the word's own is 1
 WORD = re.compile(r"\w+")
@@ -108,7 +109,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def marking_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
     """Marking words and their log-odds, counted over all labelled rows; groups of near copies count once each."""
     known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("y")).where("_of IS NOT NULL AND y IN (0, 1)").distinct()
-    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(known, "_of")
+    few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(known) if few else known, "_of")
     total = dict(rows.groupBy("y").count().collect())
     if len(total) < 2:
         return {}
