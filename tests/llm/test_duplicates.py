@@ -114,6 +114,47 @@ def test_depth_reaches_the_recall():
     assert 1 - (1 - 0.8**d) ** J.TREES >= J.RECALL and (d == J.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** J.TREES < J.RECALL)
 
 
+def test_prefix_is_shortened_until_the_measured_recall():
+    many = lambda **by: {i: {int(d[1:]): n for d, n in by.items()} for i in range(J.LEAST_PROBES)}
+    assert J.depth_to_use({}, 0.8) == J.depth_for(0.8) == 6
+    assert J.depth_to_use(many(d8=3), 0.8) == 8
+    assert J.depth_to_use(many(d8=999, d7=1), 0.8) == 7
+    assert J.depth_to_use(many(d8=90, d5=10), 0.8) == 6  # the threshold's own recall ends it
+    few = dict(list(many(d8=3).items())[1:])
+    assert J.depth_to_use(few, 0.8) == 6
+
+
+def test_probes_measure_links_exactly(corpus):
+    texts = [t for _, t in corpus if t]
+    probes = J.Probes(texts[:30])
+    for text in texts:
+        found = J.shingles(text)
+        path = J.paths(found)
+        want = []
+        for i, other in enumerate(texts[:30]):
+            theirs = J.shingles(other)
+            shared = len(np.intersect1d(found, theirs))
+            if shared < len(found) + len(theirs) - shared and shared / (len(found) + len(theirs) - shared) >= 0.8:
+                common = [next((d for d in range(J.DEPTH) if a[d] != b[d]), J.DEPTH) for a, b in zip(path, J.paths(theirs), strict=True)]
+                want.append((i, max(common)))
+        assert probes.links(found, path, 0.8) == want
+
+
+def test_join_of_a_large_group_in_bounded_tasks(spark, monkeypatch):
+    """600 different near copies beside unlike texts of the same boilerplate: exact counts, no task with the whole group."""
+    monkeypatch.setattr(J, "BLOCK", 100)
+    monkeypatch.setattr(J, "HUB", 50)
+    base = [f"w{k}" for k in range(100)]
+    docs = [(i, " ".join([*base[: i % 97], f"x{i}", *base[i % 97 + 1 :]])) for i in range(600)]
+    docs += [(1000 + i, " ".join([*base[:55], *[f"y{i}z{k}" for k in range(45)]])) for i in range(60)]
+    sizes = []
+    in_blocks = J.in_blocks
+    monkeypatch.setattr(J, "in_blocks", lambda members, *rest: sizes.append(members.groupBy("root").count().agg({"count": "max"}).first()[0]) or in_blocks(members, *rest))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["text_class"]) for r in J.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute_join(docs)
+    assert sizes[-1] == 600  # links are counted inside the class alone
+
+
 def test_components(spark, rows):
     ties = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (5, 5)]
     got = dict(rows(J.components(spark.createDataFrame(ties, "a long, b long"), "test-components")))

