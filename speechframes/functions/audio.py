@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 RATE = 16000
 MOST_SECONDS, MOST_BYTES = 60, 32 << 20
 SILENCE = 3e-5
+# fixed values: the extensible format's tag, and its identifier of plain PCM
+EXTENSIBLE, PCM_GUID = 0xFFFE, bytes.fromhex("0100000000001000800000aa00389b71")
 
 
 def n_samples(pcm: Column) -> Column:
@@ -37,15 +39,11 @@ def loud_enough(samples: Column, least: float = SILENCE) -> Column:
 
 def decode(pcm: bytes, width: int = 2, channels: int = 1) -> np.ndarray:
     """Samples in [-1, 1), channels averaged: 8 bit is unsigned, wider ones signed little endian."""
-    if width == 1:
-        x = np.frombuffer(pcm, np.uint8).astype(np.float32) / 128 - 1
-    elif width == 3:
-        raw = np.frombuffer(pcm, np.uint8).reshape(-1, 3).astype(np.int32)
-        value = raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16
-        x = (value - ((value & 0x800000) << 1)).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(pcm, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / (1 << 8 * width - 1)
-    return x.reshape(-1, channels).mean(1) if channels > 1 else x
+    octets = np.frombuffer(pcm, np.uint8).reshape(-1, width)
+    wide = np.zeros((len(octets), 4), np.uint8)  # every width as the high bytes of 32 bits
+    wide[:, 4 - width :] = octets if width > 1 else octets + np.uint8(128)
+    x = (wide.view("<i4").astype(np.float64) / 2.0**31).astype(np.float32)
+    return x.reshape(-1, channels).mean(1)
 
 
 def encode(samples: np.ndarray, scale: int = 32767) -> bytes:
@@ -89,6 +87,8 @@ def wav_fields(data: bytes) -> dict:
             return {"reason": "wrong-length"}
         if name == b"fmt " and size >= 16:
             kind, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", body)
+            if kind == EXTENSIBLE and body[24:40] == PCM_GUID:
+                kind = 1
             found |= {"format": kind, "channels": channels, "rate": rate, "width": bits // 8}
         elif name == b"data":
             found["pcm"] = body
@@ -118,7 +118,16 @@ def acceptable(fields: dict, size: int, recording: bool = False) -> str | None:
     return "too-long" if len(fields["pcm"]) // frame > MOST_SECONDS * fields["rate"] else None
 
 
-def riff(pcm: bytes, rate: int = RATE) -> bytes:
-    """Mono 16-bit PCM as a RIFF file."""
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data", len(pcm))
+def riff(pcm: bytes, rate: int = RATE, width: int = 2, channels: int = 1) -> bytes:
+    """PCM as a RIFF file."""
+    frame = width * channels
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * frame, frame, 8 * width, b"data", len(pcm))
     return head + pcm
+
+
+def riff_column(pcm: Column, rate: int = RATE) -> Column:
+    """Mono 16-bit PCM bytes as the bytes of a RIFF file; null stays null."""
+    little = lambda n: F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, s).bitwiseAND(F.lit(255))), 2, "0") for s in (0, 8, 16, 24)]))
+    size = F.octet_length(pcm).cast("long")
+    fixed = struct.pack("<4s4sIHHIIHH4s", b"WAVE", b"fmt ", 16, 1, 1, rate, rate * 2, 2, 16, b"data")
+    return F.concat(F.lit(b"RIFF"), little(size + 36), F.lit(fixed), little(size), pcm)

@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from speechframes.functions.text import strip
+
 # fixed values: names and limits that senders and workers share
 OUTPUTS = ("realtime", "refined", "final")
 DEFAULT_TRACKS = ("whisperx",)
 WINDOW_LIMITS = (10.0, 600.0)
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def header_value(headers: Column, name: str) -> Column:
     """The first value under the name, whatever its case; null if absent, '' if empty. Bytes that are no UTF-8 are left out."""
     first = F.try_element_at(F.filter(headers, lambda h: F.lower(h["key"]) == name.lower()), F.lit(1))
-    text = F.replace(F.make_valid_utf8(F.coalesce(first["value"].cast("string"), F.lit(""))), F.lit("\ufffd"), F.lit(""))
-    return F.when(first.isNotNull(), F.trim(text))
+    mark = F.lit("\U0010ffff")  # no character; stands for a replacement character that was sent as such
+    sent = F.replace(F.coalesce(first["value"].cast("string"), F.lit("")), F.lit("\ufffd"), mark)
+    text = F.replace(F.replace(F.make_valid_utf8(sent), F.lit("\ufffd"), F.lit("")), mark, F.lit("\ufffd"))
+    return F.when(first.isNotNull(), strip(text))
 
 
 def csv_tokens(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: strip(t)), lambda t: t != "")
 
 
 def lenient_bool(text: Column, default: bool) -> Column:
-    known = F.lower(F.trim(text))
+    known = F.lower(strip(text))
     return F.when(known.isin("1", "true", "yes", "y", "on"), True).when(known.isin("0", "false", "no", "n", "off"), False).otherwise(default)
 
 
@@ -47,7 +52,8 @@ def stream_controls(outputs: Column, store: Column, final_tracks: Column, refine
 
 def clamped_window(text: Column, default: float, least: float = WINDOW_LIMITS[0], most: float = WINDOW_LIMITS[1]) -> Column:
     """Seconds within the limits; the default if absent, not a number, or infinite."""
-    value = text.try_cast("double")
+    number = F.when(strip(text).rlike(NUMBER), strip(text))  # a cast alone would take 10d
+    value = number.try_cast("double")
     usable = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
     return F.when(usable, F.least(F.greatest(value, F.lit(least)), F.lit(most))).otherwise(F.lit(default))
 

@@ -1,14 +1,44 @@
-"""Text helpers for ordered jobs: echo removal, restoring spacing, native turns."""
+"""Text helpers: white space, echo removal, and restoring a transcript's own spacing as array expressions."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 LEAST_ECHO = 8
+BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
+LETTER = r"[\p{L}\p{N}]"
+
+
+def strip(text: Column | str) -> Column:
+    """Without white space of any kind on both sides."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
+def borders(pattern: Sequence[str]) -> list[int]:
+    """Of each beginning of the pattern the longest shorter beginning that also ends it."""
+    out, k = [0] * len(pattern), 0
+    for i in range(1, len(pattern)):
+        while k and pattern[i] != pattern[k]:
+            k = out[k - 1]
+        k += pattern[i] == pattern[k]
+        out[i] = k
+    return out
 
 
-def letters(text: str) -> str:
-    """Letters and digits only, case folded."""
-    return "".join(c for c in text.casefold() if c.isalnum())
+def overlap(left: Sequence[str], right: Sequence[str]) -> int:
+    """Length of the longest end of left that is a beginning of right, in linear time; '' equals nothing."""
+    fall, k = borders(right), 0
+    for symbol in left[max(0, len(left) - len(right)) :]:
+        while k and (k == len(right) or right[k] != symbol):
+            k = fall[k - 1]
+        if symbol and right and k < len(right) and right[k] == symbol:
+            k += 1
+        elif not symbol:
+            k = 0
+    return k
 
 
 def merge_echo(committed: str | None, hypothesis: str | None) -> str:
@@ -17,98 +47,85 @@ def merge_echo(committed: str | None, hypothesis: str | None) -> str:
     The longest repeat of eight or more characters counts, in any case; failing
     that, the longest run of words that agree in letters and digits.
     """
-    left, right = (committed or "").strip(), (hypothesis or "").strip()
-    if not left or not right:
-        return left or right
-    folded, head = left.casefold(), right.casefold()
-    if len(folded) == len(left) and len(head) == len(right):
-        size = next((n for n in range(min(len(left), len(right)), LEAST_ECHO - 1, -1) if folded.endswith(head[:n])), 0)
-    else:
-        size = next((n for n in range(min(len(left), len(right)), LEAST_ECHO - 1, -1) if left[-n:].casefold() == right[:n].casefold()), 0)
-    if size:
-        return (left + right[size:]).strip()
-    a, b = left.split(), right.split()
-    plain_a, plain_b = [letters(w) for w in a], [letters(w) for w in b]
-    for n in range(min(len(a), len(b)), 0, -1):
-        if plain_a[-n:] == plain_b[:n] and all(plain_a[-n:]):
-            return " ".join(a + b[n:])
-    return f"{left} {right}"
+    said, new = (committed or "").strip(), (hypothesis or "").strip()
+    if not (said and new):
+        return said + new
+    echo = overlap([c.casefold() for c in said[-len(new) :]], [c.casefold() for c in new])
+    if echo >= LEAST_ECHO:
+        return (said + new[echo:]).strip()
+    old_words, new_words = said.split(), new.split()
+    plain = lambda words: ["".join(filter(str.isalnum, w.casefold())) for w in words]
+    again = overlap(plain(old_words[-len(new_words) :]), plain(new_words))
+    return " ".join([*old_words, *new_words[again:]]) if again else f"{said} {new}"
 
 
 def novel_text(committed: str | None, hypothesis: str | None) -> str:
     """What the hypothesis adds to the committed text."""
-    left = (committed or "").strip()
-    whole = merge_echo(left, hypothesis)
-    return whole[len(left) :].strip() if left and whole.startswith(left) else whole
+    return added(committed, merge_echo(committed, hypothesis))
 
 
-def restore(words: list[tuple[float, float, str]], transcript: str, duration: float) -> tuple[list[tuple[float, float, str]], str | None]:
-    """Aligned words with the transcript's own spacing and punctuation, or no words and a reason.
-
-    Words are clipped to the audio; empty ones go. Each is looked up by its
-    letters and digits from where the last one ended; a word's text reaches up
-    to the next word.
-    """
-    kept, last = [], 0.0
-    for start, end, text in words:
-        start = min(max(start, 0.0), duration)
-        end = min(max(end, start), duration)
-        if not (text or "").strip() or not end > start:
-            continue
-        if start < last:
-            return [], "nonmonotonic"
-        kept.append((start, end, text))
-        last = start
-    if not kept:
-        return [], "empty"
-    plain, origin = [], []
-    for i, c in enumerate(transcript):
-        if c.isalnum():
-            folded = c.casefold()
-            plain.append(folded)
-            origin += [i] * len(folded)
-    haystack, at, begins = "".join(plain), 0, []
-    for _, _, text in kept:
-        needle = "".join(c.casefold() for c in text if c.isalnum())
-        found = haystack.find(needle, at) if needle else -1
-        if found < 0:
-            return [], "mismatch"
-        begins.append(origin[found])
-        at = found + len(needle)
-    begins[0] = 0
-    ends = [*begins[1:], len(transcript)]
-    return [(s, e, transcript[a:b]) for (s, e, _), a, b in zip(kept, begins, ends, strict=True)], None
-
-
-def turns_of(text: str, words: list[tuple[str, float, float, int]], start: float, end: float, tolerance: float = 0.02) -> list[tuple[str, float, float, int]]:
-    """Speaker turns of a final from its tagged words; none if anything about the words is wrong.
-
-    Every character of the text belongs to one turn; a turn ends at the next
-    one's first word at the latest.
-    """
-    spots, at, last = [], 0, start
-    for token, s, e, tag in words:
-        token = token.strip()
-        found = text.find(token, at) if token else -1
-        if found < 0 or text[at:found].strip() or not (last - tolerance <= s <= e < float("inf")) or tag not in range(5):
-            return []
-        spots.append(found)
-        at, last = found + len(token), s
-    if not words or text[at:].strip():
-        return []
-    heads = [0] + [i for i in range(1, len(words)) if words[i][3] != words[i - 1][3]]
-    out = []
-    for k, i in enumerate(heads):
-        j = heads[k + 1] if k + 1 < len(heads) else len(words)
-        onset = words[j][1] if j < len(words) else end
-        t0, t1 = max(start, words[i][1]), min(end, onset, max(w[2] for w in words[i:j]))
-        if t1 <= t0:
-            return []
-        out.append((text[spots[i] if i else 0 : spots[j] if j < len(words) else len(text)], t0, t1, words[i][3]))
-    return out
+def added(committed: str | None, whole: str) -> str:
+    """What a merged text has beyond the committed one; all of it where the committed text was respaced."""
+    return whole.removeprefix((committed or "").strip()).strip()
 
 
 def context_tail(text: str, n: int) -> str:
     return text[-n:] if n > 0 else ""
 
 
+def letters(text: Column) -> Column:
+    """Places (from 1) and lower-case forms of a text's letters and digits."""
+    spots = F.transform(F.split(text, ""), lambda c, i: F.struct((i + 1).alias("at"), F.left(F.lower(c), F.lit(1)).alias("c"), c.rlike(LETTER).alias("ok")))
+    return F.filter(spots, lambda s: s["ok"])
+
+
+def joined(spots: Column) -> Column:
+    return F.array_join(F.transform(spots, lambda s: s["c"]), "")
+
+
+def clipped(words: Column, duration: Column) -> Column:
+    """Words (start_s, end_s, text) inside the audio; blank and empty ones go, and those without finite times."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    inside = lambda x: F.least(F.greatest(x.cast("double"), F.lit(0.0)), duration.cast("double"))
+    good = F.filter(words, lambda w: (F.coalesce(strip(w["text"]), F.lit("")) != "") & finite(w["start_s"].cast("double")) & finite(w["end_s"].cast("double")))
+    moved = F.transform(good, lambda w: F.struct(inside(w["start_s"]).alias("start_s"), inside(w["end_s"]).alias("end_s"), w["text"].alias("text")))
+    return F.filter(moved, lambda w: w["end_s"] > w["start_s"])
+
+
+def looked_up(words: Column, spots: Column, plain: Column) -> Column:
+    """Where each word begins in a transcript: (begins, backward, lost), found by letters from where the last one ended."""
+    start = F.struct(F.lit(1).alias("at"), F.lit(0.0).alias("last"), F.array().cast("array<int>").alias("begins"), F.lit(False).alias("backward"), F.lit(False).alias("lost"))
+
+    def step(state: Column, w: Column) -> Column:
+        needle = joined(letters(w["text"]))
+        found = F.when(needle != "", F.position(needle, plain, state["at"])).otherwise(0)
+        return F.struct(
+            F.when(found > 0, found + F.length(needle)).otherwise(state["at"]).alias("at"),
+            w["start_s"].alias("last"),
+            F.concat(state["begins"], F.array(F.get(spots, found - 1)["at"])).alias("begins"),
+            (state["backward"] | (w["start_s"] < state["last"])).alias("backward"),
+            (state["lost"] | (found == 0)).alias("lost"),
+        )
+
+    return F.aggregate(words, start, step)
+
+
+def tagged_runs(text: Column, words: Column, start: Column, tolerance: float = 0.02) -> Column:
+    """Runs of words with one speaker tag, and whether the words do not fit the text: (at, last, wrong, runs)."""
+    run = "array<struct<begin:int,start:double,stop:double,speaker:int>>"
+    first = F.struct(F.lit(1).alias("at"), start.cast("double").alias("last"), F.lit(False).alias("wrong"), F.array().cast(run).alias("runs"))
+
+    def step(state: Column, w: Column) -> Column:
+        token = strip(w["text"])
+        s, e, tag = w["start_s"].cast("double"), w["end_s"].cast("double"), w["speaker"].cast("int")
+        found = F.when(F.coalesce(token, F.lit("")) != "", F.position(token, text, state["at"])).otherwise(0)
+        between = strip(F.substr(text, state["at"], F.greatest(found - state["at"], F.lit(0)))) == ""
+        fits = (found > 0) & between & (s >= state["last"] - tolerance) & (e >= s) & (e < float("inf")) & tag.between(0, 4)
+        before = F.get(state["runs"], F.size(state["runs"]) - 1)
+        made = lambda begin, begun, stop: F.array(F.struct(begin.alias("begin"), begun.alias("start"), stop.alias("stop"), tag.alias("speaker")))
+        longer = F.concat(F.slice(state["runs"], 1, F.greatest(F.size(state["runs"]) - 1, F.lit(0))), made(before["begin"], before["start"], F.greatest(before["stop"], e)))
+        head = F.when(F.size(state["runs"]) == 0, 1).otherwise(found)
+        runs = F.when(F.coalesce(before["speaker"] == tag, F.lit(False)), longer).otherwise(F.concat(state["runs"], made(head, s, e)))
+        return F.struct((found + F.length(token)).alias("at"), s.alias("last"), (state["wrong"] | ~F.coalesce(fits, F.lit(False))).alias("wrong"), runs.cast(run).alias("runs"))
+
+    return F.aggregate(words, first, step)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechframes.operators.intervals import gap_islands
+from speechframes.functions.text import strip
 
 
 def join_words(words: Column, separator: str = "smart") -> Column:
@@ -15,10 +16,10 @@ def join_words(words: Column, separator: str = "smart") -> Column:
     blank before every further word; raw: nothing, the words carry their spacing.
     """
     if separator == "space":
-        return F.trim(F.array_join(words, " "))
+        return strip(F.array_join(words, " "))
     if separator == "raw":
-        return F.trim(F.array_join(words, ""))
-    return F.trim(F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), w)).otherwise(w)), ""))
+        return strip(F.array_join(words, ""))
+    return strip(F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), w)).otherwise(w)), ""))
 
 
 def word_segments(words: DataFrame, keys: list[str], order: list[str], gap: int | None = None, separator: str = "smart", with_words: bool = False, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
@@ -41,7 +42,7 @@ def transcripts(segments: DataFrame, keys: list[str], start: str = "s_ms", end:
     extra = [F.first(raw_text, ignorenulls=True).alias("_raw")] if raw_text else []
     made = segments.groupBy(*keys).agg(listed.alias("segments"), *extra)
     made = made.withColumn("segments", F.transform("segments", lambda s: s.dropFields("s", "i")))
-    texts = F.filter(F.transform("segments", lambda s: F.trim(s["text"])), lambda t: t != "")
+    texts = F.filter(F.transform("segments", lambda s: strip(s["text"])), lambda t: t != "")
     full = F.array_join(texts, " ")
     if raw_text:
         full = F.coalesce(F.nullif(full, F.lit("")), "_raw")
@@ -57,12 +58,12 @@ def shift_segments(segments: Column, base_s: Column) -> Column:
 
 def clean_segments(segments: DataFrame, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Trimmed text; blank and empty segments go."""
-    return segments.withColumn("text", F.trim("text")).where((F.col("text") != "") & (F.col(end) > F.col(start)))
+    return segments.withColumn("text", strip("text")).where((F.col("text") != "") & (F.col(end) > F.col(start)))
 
 
 def word_timings(words: Column) -> Column:
     """Words with both times and a text, which may stand under word or text."""
-    named = F.transform(words, lambda w: F.struct(w["start"].alias("start_s"), w["end"].alias("end_s"), F.trim(F.coalesce(w["word"], w["text"])).alias("text")))
+    named = F.transform(words, lambda w: F.struct(w["start"].alias("start_s"), w["end"].alias("end_s"), strip(F.coalesce(w["word"], w["text"])).alias("text")))
     return F.filter(named, lambda w: w["start_s"].isNotNull() & w["end_s"].isNotNull() & (F.coalesce(w["text"], F.lit("")) != ""))
 
 

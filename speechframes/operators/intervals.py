@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechframes.functions.text import strip
+
 BIN_MS = 60_000
 
 
@@ -96,7 +98,7 @@ def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | No
 
 def merge_turns(turns: DataFrame, keys: list[str], gap: int, window_end: str | None = None, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Turns of one speaker at most ``gap`` apart become one. Turns are clipped to [0, window_end] first; blank or empty ones go."""
-    kept = turns.where(F.trim("speaker") != "").withColumn(start, F.greatest(F.lit(0).cast("long"), F.col(start)))
+    kept = turns.where(strip("speaker") != "").withColumn(start, F.greatest(F.lit(0).cast("long"), F.col(start)))
     if window_end:
         kept = kept.withColumn(end, F.least(F.col(end), F.col(window_end)))
     islands = gap_islands(kept.where(F.col(end) > F.col(start)), keys, ["speaker"], gap, [start, end, "speaker"], start, end)
@@ -105,7 +107,7 @@ def merge_turns(turns: DataFrame, keys: list[str], gap: int, window_end: str | N
 
 def merge_turns_capped(turns: DataFrame, keys: list[str], least: int, gap: int, most: int, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Short and blank turns go first, then merging; stops once ``most`` turns stand, the last of them unextended (never before the second)."""
-    kept = turns.where((F.trim("speaker") != "") & (F.col(end) > F.col(start)) & (F.col(end) - F.col(start) >= least))
+    kept = turns.where((strip("speaker") != "") & (F.col(end) > F.col(start)) & (F.col(end) - F.col(start) >= least))
     islands = gap_islands(kept, keys, ["speaker"], gap, [start, end], start, end)
     last = max(most, 2)
     first = F.row_number().over(Window.partitionBy(*keys, "island").orderBy(start, end)) == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechframes.functions.text import strip
+
 # fixed values: names and codes of the languages that the models share
 NAMES = [("de", "German"), ("en", "English"), ("es", "Spanish"), ("fr", "French"), ("it", "Italian"), ("ja", "Japanese"), ("ko", "Korean"), ("nl", "Dutch"), ("pl", "Polish"), ("pt", "Portuguese"), ("ru", "Russian"), ("zh", "Chinese")]
 
@@ -16,7 +18,7 @@ def public_language(rows: DataFrame, column: str, fallback: str = "", out: str =
     """
     known = {x.lower(): code for code, name in names or NAMES for x in (code, name)}
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    given = F.lower(F.trim(F.col(column)))
+    given = F.lower(strip(F.col(column)))
     found = F.coalesce(F.try_element_at(table, given), F.try_element_at(table, F.split(given, "[-_]")[0]))
     return rows.withColumn(out, F.coalesce(found, F.lit(fallback)))
 

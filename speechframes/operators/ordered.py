@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from speechframes.functions import formats
 from speechframes.functions import text as T
 
 
@@ -37,8 +39,8 @@ def merge_epochs(epochs: DataFrame, keys: list[str], order: list[str], key_schem
     """Per epoch its new text, the committed transcript's length, and the context for the next epoch."""
 
     def step(state, row):
-        new = T.novel_text(state["committed"], row[text])
-        state["committed"] = T.merge_echo(state["committed"], row[text])
+        whole = T.merge_echo(state["committed"], row[text])
+        new, state["committed"] = T.added(state["committed"], whole), whole
         yield {**{o: row[o] for o in order}, "novel": new, "committed_chars": len(state["committed"]), "context": T.context_tail(state["committed"], tail)}
 
     return fold_sessions(epochs, keys, order, lambda: {"committed": ""}, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, novel string, committed_chars long, context string")
@@ -127,41 +129,52 @@ def partial_updates(chunks: DataFrame, keys: list[str], key_schema: str, order:
     return fold_sessions(chunks, keys, order, partial_state, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, kind string, start_sample long, end_sample long, text string")
 
 
-def restore_text(crops: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later steps read without working them out anew."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def restore_text(crops: DataFrame, keys: list[str]) -> DataFrame:
     """Words with the transcript's spacing, one row each, or one row with the reason.
 
-    crops: keys, transcript, duration_s, words (array of start_s, end_s, text);
-    each row is a crop, so no grouping is needed.
+    crops: keys, transcript, duration_s, words (array of start_s, end_s, text).
+    Each word is looked up by its letters and digits from where the last one
+    ended; a word's text reaches up to the next word. Each row is a crop, so no
+    grouping is needed, and all of it are array expressions.
     """
+    rows = once(crops.select(*keys, "transcript", "duration_s", "words"), _kept=T.clipped(F.col("words"), F.col("duration_s")), _spots=T.letters(F.col("transcript")))
+    rows = once(rows, _plain=T.joined(F.col("_spots")))
+    rows = once(rows, _found=T.looked_up(F.col("_kept"), F.col("_spots"), F.col("_plain")))
+    reason = F.when(F.col("_found.backward"), "nonmonotonic").when(F.size("_kept") == 0, "empty").when(F.col("_found.lost"), "mismatch")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                words, reason = T.restore([(w["start_s"], w["end_s"], w["text"]) for w in row["words"]], row["transcript"], row["duration_s"])
-                key = {k: row[k] for k in keys}
-                out += [{**key, "idx": i, "start_s": s, "end_s": e, "text": t, "reason": None} for i, (s, e, t) in enumerate(words)]
-                if reason:
-                    out.append({**key, "idx": 0, "start_s": None, "end_s": None, "text": None, "reason": reason})
-            yield pd.DataFrame(out, columns=[*keys, "idx", "start_s", "end_s", "text", "reason"])
+    def word(w: Column, i: Column) -> Column:
+        begin = F.when(i == 0, 1).otherwise(F.get("_found.begins", i))
+        end = F.coalesce(F.get("_found.begins", i + 1), F.length("transcript") + 1)
+        return F.struct(i.cast("long").alias("idx"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"), F.substr(F.col("transcript"), begin, end - begin).alias("text"))
 
-    return crops.select(*keys, "transcript", "duration_s", "words").mapInPandas(run, f"{key_schema}, idx long, start_s double, end_s double, text string, reason string")
+    none = F.lit(None).cast("string")
+    refused = F.array(F.struct(F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), none.alias("text")))
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*keys, F.inline(F.when(F.col("reason").isNull(), F.transform("_kept", word)).otherwise(refused)), "reason")
 
 
-def native_turns(finals: DataFrame, keys: list[str], key_schema: str) -> DataFrame:
-    """Turns of each final from its tagged words, or the final itself without a speaker.
+def native_turns(finals: DataFrame, keys: list[str]) -> DataFrame:
+    """Turns of each final from its tagged words, or the final itself without a speaker if anything about the words is wrong.
 
     finals: keys, text, start_s, end_s, words (array of text, start_s, end_s, speaker).
+    Every character of the text belongs to one turn; a turn ends at the next
+    one's first word at the latest.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                words = [(w["text"], w["start_s"], w["end_s"], w["speaker"]) for w in row["words"]]
-                turns = T.turns_of(row["text"], words, row["start_s"], row["end_s"]) or [(row["text"], row["start_s"], row["end_s"], 0)]
-                for i, (text, s, e, tag) in enumerate(turns):
-                    out.append({**{k: row[k] for k in keys}, "pos": i, "start_s": s, "end_s": e, "text": text.strip(), "speaker": f"SPEAKER_{tag - 1:02d}" if tag else ""})
-            yield pd.DataFrame(out, columns=[*keys, "pos", "start_s", "end_s", "text", "speaker"])
-
-    return finals.select(*keys, "text", "start_s", "end_s", "words").mapInPandas(run, f"{key_schema}, pos long, start_s double, end_s double, text string, speaker string")
+    rows = once(finals.select(*keys, "text", "start_s", "end_s", "words"), _said=T.tagged_runs(F.col("text"), F.col("words"), F.col("start_s")))
+
+    def turn(r: Column, i: Column) -> Column:
+        after = F.get("_said.runs", i + 1)
+        said = F.substr(F.col("text"), r["begin"], F.coalesce(after["begin"], F.length("text") + 1) - r["begin"])
+        begin, end = F.greatest(F.col("start_s").cast("double"), r["start"]), F.least(F.col("end_s").cast("double"), r["stop"], after["start"])
+        return F.struct(i.cast("long").alias("pos"), begin.alias("start_s"), end.alias("end_s"), said.alias("text"), formats.speaker_label(r["speaker"]).alias("speaker"))
+
+    rows = once(rows, _turns=F.transform("_said.runs", turn))
+    fits = (F.size("words") > 0) & ~F.col("_said.wrong") & (T.strip(F.substr(F.col("text"), F.col("_said.at"))) == "") & F.forall("_turns", lambda t: t["end_s"] > t["start_s"])
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.col("text").alias("text"), F.lit("").alias("speaker")))
+    made = rows.select(*keys, F.inline(F.when(F.coalesce(fits, F.lit(False)), F.col("_turns")).otherwise(whole)))
+    return made.withColumn("text", T.strip("text"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechframes.functions.text import strip
+
 
 def live_line(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Per key the number of finals and the latest partial after the last of them (null if there is none)."""
@@ -16,7 +18,7 @@ def live_line(updates: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def dedup_updates(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Blank updates go, so do partials that repeat the update before them in the same replacement interval; finals stay."""
     line = Window.partitionBy(*keys).orderBy(*order)
-    rows = updates.withColumn("text", F.trim("text")).where("text <> ''")
+    rows = updates.withColumn("text", strip("text")).where("text <> ''")
     same = F.coalesce((F.lag("text").over(line) == F.col("text")) & (F.lag("kind").over(line) != "FINAL"), F.lit(False))
     return rows.withColumn("_same", same).where((F.col("kind") == "FINAL") | ~F.col("_same")).drop("_same")
 

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechframes.functions import formats
+from speechframes.functions.text import strip
 
+# fixed values: the rules of each kind of stream, in their order of precedence
 PROFILES = {
-    "strict": {"rate": 16000, "most_bytes": 32000, "allow_empty": False},
-    "epoch": {"rate": 16000, "most_bytes": 32000, "allow_empty": True},
-    "native": {"rate": 16000, "most_bytes": 1 << 20, "allow_empty": False},
-}
+    "strict": {"rate": 16000, "most_bytes": 32000, "rules": ("tenant-too-long", "tenant-changed", "language-changed", "unsupported-language", "sequence-gap", "sample-rate", "empty-payload", "odd-payload", "payload-too-long")},
+    "epoch": {"rate": 16000, "most_bytes": None, "rules": ("missing-session-id", "sequence-gap", "sample-rate", "odd-payload", "unsupported-language", "language-changed")},
+    "native": {"rate": 16000, "most_bytes": 1 << 20, "rules": ("invalid-session-id", "sequence-gap", "sample-rate", "odd-payload", "payload-too-long", "unsupported-language", "language-changed", "invalid-tenant-id", "tenant-changed")},
+}
+IDENTIFIER = r"^[A-Za-z0-9_-]{1,64}$"
 UPLOAD_BYTES = 512 << 20
 UPLOAD_SECONDS = 4 * 3600
 
@@ -21,26 +24,36 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(broken, name) for name, broken in rules])
 
 
-def validate_chunks(chunks: DataFrame, keys: list[str], languages: list[str], profile: str = "strict", order: list[str] = ("arrival",)) -> DataFrame:
-    """chunks with reason: tenant and language must stay those of the first chunk, seq must run without gap from any start."""
+def validate_chunks(chunks: DataFrame, keys: list[str], languages: list[str], profile: str = "strict", order: list[str] = ("arrival",), session: str = "session_id") -> DataFrame:
+    """chunks with reason: the first broken rule of the profile.
+
+    Tenant and language must stay those of the first chunk, and seq must run
+    without gap from any start. An empty language stands for none and is always
+    supported. ``native`` and ``epoch`` accept empty payloads and judge the
+    language's name at the first chunk only; ``epoch`` bounds no payload.
+    """
     p = PROFILES[profile]
     line = Window.partitionBy(*keys).orderBy(*order)
     ahead = F.lag("seq").over(line)
-    first = lambda c: F.first(c).over(line)
-    return chunks.withColumn(
-        "reason",
-        first_reason(
-            ("tenant-changed", ~F.col("tenant_id").eqNullSafe(first("tenant_id"))),
-            ("language-changed", ~F.col("lang").eqNullSafe(first("lang"))),
-            ("sequence-gap", ahead.isNotNull() & (F.col("seq") != ahead + 1)),
-            ("sample-rate", F.col("sample_rate") != p["rate"]),
-            ("empty-payload", F.lit(not p["allow_empty"]) & (F.col("payload_bytes") == 0)),
-            ("odd-payload", F.col("payload_bytes") % 2 != 0),
-            ("payload-too-long", F.col("payload_bytes") > p["most_bytes"]),
-            ("unsupported-language", ~F.col("lang").isin(languages)),
-            ("tenant-too-long", F.length(F.col("tenant_id").cast("string")) > 256),
-        ),
-    )
+    opening = F.row_number().over(line) == 1
+    lang, tenant = F.coalesce("lang", F.lit("")), F.coalesce(F.col("tenant_id").cast("string"), F.lit(""))
+    changed = lambda c: c != F.first(c).over(line)
+    unknown = (lang != "") & ~lang.isin(languages)
+    broken = {
+        "missing-session-id": F.coalesce(F.col(session).cast("string"), F.lit("")) == "",
+        "invalid-session-id": ~F.coalesce(F.col(session).cast("string").rlike(IDENTIFIER), F.lit(False)),
+        "tenant-too-long": F.length(tenant) > 256,
+        "invalid-tenant-id": opening & (tenant != "") & ~tenant.rlike(IDENTIFIER),
+        "tenant-changed": changed(tenant),
+        "language-changed": changed(lang),
+        "unsupported-language": unknown if profile == "strict" else unknown & opening,
+        "sequence-gap": ahead.isNotNull() & (F.col("seq") != ahead + 1),
+        "sample-rate": F.col("sample_rate") != p["rate"],
+        "empty-payload": F.col("payload_bytes") == 0,
+        "odd-payload": F.col("payload_bytes") % 2 != 0,
+        "payload-too-long": F.col("payload_bytes") > p["most_bytes"] if p["most_bytes"] else F.lit(False),
+    }
+    return chunks.withColumn("reason", first_reason(*[(rule, broken[rule]) for rule in p["rules"]]))
 
 
 def valid_prefix(validated: DataFrame, keys: list[str], order: list[str] = ("arrival",)) -> DataFrame:
@@ -71,10 +84,10 @@ def upload_bounds(n_bytes: Column, duration_s: Column | None = None, want_final:
 def manifest_reason(manifest: DataFrame) -> Column:
     """speaker_id, label, and at least one sample, all with a url."""
     return first_reason(
-        ("missing-speaker-id", F.coalesce(F.trim("speaker_id"), F.lit("")) == ""),
-        ("missing-label", F.coalesce(F.trim("label"), F.lit("")) == ""),
+        ("missing-speaker-id", F.coalesce(strip("speaker_id"), F.lit("")) == ""),
+        ("missing-label", F.coalesce(strip("label"), F.lit("")) == ""),
         ("no-samples", F.coalesce(F.size("samples"), F.lit(0)) <= 0),
-        ("sample-without-url", ~F.forall("samples", lambda s: F.coalesce(F.trim(s["url"]), F.lit("")) != "")),
+        ("sample-without-url", ~F.forall("samples", lambda s: F.coalesce(strip(s["url"]), F.lit("")) != "")),
     )
 
 
@@ -93,4 +106,4 @@ def strict_manifest_reason(folder: Column, root: str, tenant: Column) -> Column:
 def config_conflicts(configs: DataFrame, keys: list[str], knobs: list[str]) -> DataFrame:
     """Sessions whose settings change, after rounding to six decimals."""
     fingerprint = F.struct(*[F.round(F.col(k).cast("double"), 6).alias(k) for k in knobs])
-    return configs.groupBy(*keys).agg(F.count_distinct(F.xxhash64(fingerprint)).alias("n_configs")).where("n_configs > 1")
+    return configs.groupBy(*keys).agg(F.count_distinct(fingerprint).alias("n_configs")).where("n_configs > 1")

@@ -16,6 +16,7 @@ from speechframes.functions import controls as C
 from speechframes.functions import formats
 from speechframes.operators import assemble, gallery, intervals, ordered, sessions, validate, windows
 from speechframes.sources import sinks, wav
+from speechframes.functions.text import strip
 
 KEYS = ["tenant_id", "session_id"]
 
@@ -93,8 +94,8 @@ def finalize_recordings(recordings: DataFrame, asr: DataFrame, aligned: DataFram
 
 def with_coarse(segments: DataFrame, whole: DataFrame, keys: list[str]) -> DataFrame:
     """segments, and one without a speaker for each row of whole (keys, text, s_ms, e_ms) that has a text and no segment."""
-    missed = whole.where(F.trim("text") != "").join(segments.select(*keys).distinct(), keys, "left_anti")
-    columns = {"island": F.lit(1), "speaker": F.lit(""), "n_words": F.lit(0), "text": F.trim("text")}
+    missed = whole.where(strip("text") != "").join(segments.select(*keys).distinct(), keys, "left_anti")
+    columns = {"island": F.lit(1), "speaker": F.lit(""), "n_words": F.lit(0), "text": strip("text")}
     coarse = missed.withColumns(columns).select([F.col(f.name).cast(f.dataType).alias(f.name) for f in segments.schema])
     return segments.unionByName(coarse)
 
@@ -177,9 +178,8 @@ def offline_crops(turns: DataFrame, keys: list[str], longest: int = 30_000, hypo
     if hypotheses is None:
         return crops
     own = [*keys, "turn_ord", "crop_s"]
-    said = crops.join(hypotheses.withColumn("text", F.trim("text")).where("text <> ''"), own).withColumn("duration_s", (F.col("crop_e") - F.col("crop_s")) / 1000)
-    key_schema = ", ".join(f"{c} {said.schema[c].dataType.simpleString()}" for c in own)
-    restored = ordered.restore_text(said.where("words IS NOT NULL").withColumnRenamed("text", "transcript"), own, key_schema).where("reason IS NULL")
+    said = crops.join(hypotheses.withColumn("text", strip("text")).where("text <> ''"), own).withColumn("duration_s", (F.col("crop_e") - F.col("crop_s")) / 1000)
+    restored = ordered.restore_text(said.where("words IS NOT NULL").withColumnRenamed("text", "transcript"), own).where("reason IS NULL")
     listed = restored.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("idx", "start_s", "end_s", "text"))).alias("words"))
     base, last = F.col("crop_s") / 1000, F.col("crop_e") / 1000
     moved = F.transform("words", lambda w: F.struct((base + w["start_s"]).alias("start_s"), F.least(last, base + w["end_s"]).alias("end_s"), w["text"].alias("text")))

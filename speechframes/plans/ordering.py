@@ -28,7 +28,7 @@ def text_restore(spark, sf):
     listed = plain.groupBy("session_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", at("s_ms").alias("start_s"), at("e_ms").alias("end_s"), F.col("plain").alias("text")))), lambda w: w.dropFields("idx")).alias("words"))
     said = views.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("transcript"))
     crops = said.join(listed, ["session_id", "turn"]).withColumn("duration_s", F.lit(1e6))
-    made = ordered.restore_text(crops, ["session_id", "turn"], "session_id long, turn long")
+    made = ordered.restore_text(crops, ["session_id", "turn"])
     return made.groupBy("session_id", "turn").agg(F.count("text").alias("n_words"), F.max("reason").alias("reason"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), "")).alias("text_md5"))
 
 
@@ -38,7 +38,7 @@ def native_turns(spark, sf):
     word = F.struct("idx", F.col("word").alias("text"), (F.col("s_ms") / 1000).alias("start_s"), (F.col("e_ms") / 1000).alias("end_s"), "speaker")
     listed = rows.groupBy("session_id", "turn").agg(F.array_sort(F.collect_list(word)).alias("words"), F.min(F.col("s_ms") / 1000).alias("start_s"), F.max(F.col("e_ms") / 1000).alias("end_s"))
     said = views.table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "text")
-    made = ordered.native_turns(said.join(listed, ["session_id", "turn"]), ["session_id", "turn"], "session_id long, turn long")
+    made = ordered.native_turns(said.join(listed, ["session_id", "turn"]), ["session_id", "turn"])
     return made.select("session_id", "turn", "pos", "speaker", F.rint(F.col("start_s") * 1000).cast("long").alias("start_ms"), F.rint(F.col("end_s") * 1000).cast("long").alias("end_ms"))
 
 
@@ -56,17 +56,33 @@ def partial_gate(spark, sf):
     return ordered.partial_updates(rows, KEY, "session_id long", ["seq"])
 
 
+RATES = (8_000, 16_000, 22_050, 44_100)
+
+
 def riff_files(spark, sf):
-    """A WAV file for each event: a constant tone of two bytes a sample, every fifth one cut short."""
+    """A WAV file for each event, in turns of four rates, four widths, mono and stereo; every fifth one is cut short.
+
+    8 and 16 bit files hold a constant tone, wider ones a ramp of one step of
+    2**-23 a sample.
+    """
+    import numpy as np
+
     from speechframes.functions import audio
 
+    def content(event: int, n: int) -> bytes:
+        width, channels = event // 4 % 4 + 1, event // 16 % 2 + 1
+        if width < 3:
+            pcm = (b"\xa0" if width == 1 else b"\x10\x20") * (n * channels)
+        else:
+            ramp = np.repeat(np.arange(n, dtype=np.int64) << 8, channels).astype("<i4")
+            pcm = ramp.view(np.uint8).reshape(-1, 4)[:, 4 - width :].tobytes()
+        return audio.riff(pcm, RATES[event % 4], width, channels)[: None if event % 5 else -3]
+
     def make(batches):
         for batch in batches:
-            data = [audio.riff(b"\x10\x20" * n)[: None if e % 5 else -3] for e, n in zip(batch["event_id"], batch["n"], strict=True)]
-            yield batch.assign(path=batch["event_id"].astype(str), content=data)[["path", "content"]]
+            yield batch.assign(path=batch["event_id"].astype(str), content=[content(int(e), int(n)) for e, n in zip(batch["event_id"], batch["n_samples"], strict=True)])[["path", "content"]]
 
-    rows = views.chunks(spark, sf).select("event_id", F.expr("n_samples div 100").alias("n"))
-    return rows.mapInPandas(make, "path string, content binary")
+    return views.chunks(spark, sf).select("event_id", "n_samples").mapInPandas(make, "path string, content binary")
 
 
 def wav_scan(spark, sf):
@@ -76,16 +92,21 @@ def wav_scan(spark, sf):
 
 def resample(spark, sf):
     made = wav.normalise_audio(riff_files(spark, sf))
-    return made.select(F.col("path").cast("long").alias("event_id"), "n_samples", F.round("level", 6).alias("level"), "reason")
+    return made.select(F.col("path").cast("long").alias("event_id"), "n_samples", F.round("level", 4).alias("level"), "reason")
 
 
 QUERIES = {f.__name__: f for f in (text_merge, text_restore, native_turns, new_words, forced_endpoint, partial_gate, wav_scan, resample)}
 
-WAVS = "f AS (SELECT event_id, CAST(floor(value*100) AS BIGINT) // 100 AS n, event_id % 5 = 0 AS cut FROM events)"
+WAVS = """f AS (SELECT event_id, CAST(floor(value*100) AS BIGINT) AS n, event_id % 5 = 0 AS cut, [8000, 16000, 22050, 44100][event_id % 4 + 1] AS rate, event_id // 4 % 4 + 1 AS width, event_id // 16 % 2 + 1 AS channels FROM events),
+w AS (SELECT *, CASE WHEN cut THEN 'wrong-length' WHEN n = 0 THEN 'frames' WHEN n > 60 * rate THEN 'too-long' END AS reason FROM f)"""
+# the ramp read every n / m samples; past its last sample the last one holds
+LEVELS = """r AS (SELECT *, CAST(round_even(n * 16000 / rate, 0) AS BIGINT) AS m FROM w),
+j AS (SELECT *, n * 1.0 / m AS pace, CAST(floor((n - 1) * m / n) AS BIGINT) AS k FROM r WHERE m > 1 AND reason IS NULL),
+l AS (SELECT event_id, CASE width WHEN 1 THEN 0.25 WHEN 2 THEN 8208 / 32768 ELSE sqrt((pace * pace * k * (k + 1) * (2 * k + 1) / 6 + (m - 1 - k) * (n - 1.0) * (n - 1.0)) / m) / 8388608 END AS level FROM j)"""
 ORACLES = {
     "text_restore": f"WITH {WORDS}, n AS (SELECT session_id, turn, count(*) AS n_words FROM words WHERE regexp_replace(word, '[^\\p{{L}}\\p{{N}}]+', '', 'g') <> '' GROUP BY ALL) SELECT session_id, n.turn, n_words, CAST(NULL AS VARCHAR) AS reason, md5(text) AS text_md5 FROM n JOIN conversations c ON c.conv_id = n.session_id AND c.turn = n.turn",
     "native_turns": f"""WITH {WORDS}, t AS (SELECT *, (idx // 7 + turn) % 3 AS tag FROM words), g AS (SELECT session_id, turn, idx // 7 AS pos, tag, min(s_ms) AS s, max(e_ms) AS e FROM t GROUP BY ALL),
 n AS (SELECT *, lead(s) OVER (PARTITION BY session_id, turn ORDER BY pos) AS nx FROM g) SELECT session_id, turn, CAST(pos AS BIGINT) AS pos, CASE WHEN tag = 0 THEN '' ELSE printf('SPEAKER_%02d', tag - 1) END AS speaker, s AS start_ms, least(e, coalesce(nx, e)) AS end_ms FROM n""",
-    "wav_scan": f"WITH {WAVS} SELECT event_id, CASE WHEN NOT cut AND n > 0 THEN n END AS n_frames, CASE WHEN cut THEN 'wrong-length' WHEN n = 0 THEN 'frames' END AS reason, CASE WHEN NOT cut AND n > 0 THEN 2 * n END AS n_bytes FROM f",
-    "resample": f"WITH {WAVS} SELECT event_id, CASE WHEN NOT cut AND n > 0 THEN CASE WHEN n = 1 THEN 0 ELSE n END END AS n_samples, CASE WHEN NOT cut AND n > 1 THEN round(8208 / 32768, 6) WHEN NOT cut AND n = 1 THEN 0.0 END AS level, CASE WHEN cut THEN 'wrong-length' WHEN n = 0 THEN 'frames' END AS reason FROM f",
+    "wav_scan": f"WITH {WAVS} SELECT event_id, CASE WHEN reason IS NULL THEN n END AS n_frames, reason, CASE WHEN reason IS NULL THEN n * width * channels END AS n_bytes FROM w",
+    "resample": f"WITH {WAVS}, {LEVELS} SELECT event_id, CASE WHEN reason IS NULL THEN CASE WHEN m > 1 THEN m ELSE 0 END END AS n_samples, CASE WHEN reason IS NULL THEN round(coalesce(level, 0.0), 4) END AS level, reason FROM r LEFT JOIN l USING (event_id)",
 }

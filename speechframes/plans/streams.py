@@ -57,7 +57,7 @@ def overrides(spark, sf):
 
 
 def config_conflicts(spark, sf):
-    raw = views.headers(spark, sf).where("event_id % 4 = 3").select("session_id", (F.col("window_raw").cast("int") % 2).alias("window_s"))
+    raw = views.headers(spark, sf).select("session_id", controls.clamped_window(F.col("window_raw"), 60.0).alias("window_s"))
     return validate.config_conflicts(raw, KEY, ["window_s"])
 
 
@@ -73,20 +73,22 @@ def defective_chunks(spark, sf):
     return views.chunks(spark, sf).select(
         "session_id", "event_id", F.col("seq").alias("arrival"),
         F.when(n % 97 == 0, 99).otherwise(F.col("tenant_id")).alias("tenant_id"),
-        F.when(n % 89 == 0, "xx").otherwise("en").alias("lang"),
+        F.when(n % 89 == 0, "xx").when(F.col("session_id") % 7 == 0, "").otherwise("en").alias("lang"),
         (F.col("seq") + F.when(n % 83 == 0, 1).otherwise(0)).alias("seq"),
         F.when(n % 79 == 0, 8000).otherwise(16000).alias("sample_rate"),
-        (F.col("n_samples") * 2 + F.when(n % 73 == 0, 1).otherwise(0)).alias("payload_bytes"),
+        F.when(n % 71 == 0, 0).otherwise(F.col("n_samples") * 2 + F.when(n % 73 == 0, 1).otherwise(0)).alias("payload_bytes"),
     )
 
 
 DEFECTS = f"""{CHUNKS}, defective AS (
-  SELECT session_id, event_id, seq AS arrival, CASE WHEN event_id % 97 = 0 THEN 99 ELSE tenant_id END AS tenant_id, CASE WHEN event_id % 89 = 0 THEN 'xx' ELSE 'en' END AS lang,
-         seq + CASE WHEN event_id % 83 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN event_id % 79 = 0 THEN 8000 ELSE 16000 END AS sample_rate, n_samples * 2 + CASE WHEN event_id % 73 = 0 THEN 1 ELSE 0 END AS payload_bytes
+  SELECT session_id, event_id, seq AS arrival, CASE WHEN event_id % 97 = 0 THEN 99 ELSE tenant_id END AS tenant_id, CASE WHEN event_id % 89 = 0 THEN 'xx' WHEN session_id % 7 = 0 THEN '' ELSE 'en' END AS lang,
+         seq + CASE WHEN event_id % 83 = 0 THEN 1 ELSE 0 END AS seq, CASE WHEN event_id % 79 = 0 THEN 8000 ELSE 16000 END AS sample_rate, CASE WHEN event_id % 71 = 0 THEN 0 ELSE n_samples * 2 + CASE WHEN event_id % 73 = 0 THEN 1 ELSE 0 END END AS payload_bytes
   FROM chunks
 ), validated AS (
-  SELECT *, CASE WHEN tenant_id IS DISTINCT FROM first(tenant_id) OVER w THEN 'tenant-changed' WHEN lang IS DISTINCT FROM first(lang) OVER w THEN 'language-changed' WHEN seq <> lag(seq) OVER w + 1 THEN 'sequence-gap'
-                 WHEN sample_rate <> 16000 THEN 'sample-rate' WHEN payload_bytes = 0 THEN 'empty-payload' WHEN payload_bytes % 2 <> 0 THEN 'odd-payload' WHEN payload_bytes > 32000 THEN 'payload-too-long' WHEN lang <> 'en' THEN 'unsupported-language' END AS reason
+  SELECT *, CASE WHEN tenant_id IS DISTINCT FROM first(tenant_id) OVER w THEN 'tenant-changed' WHEN lang IS DISTINCT FROM first(lang) OVER w THEN 'language-changed' WHEN lang NOT IN ('', 'en') THEN 'unsupported-language' WHEN seq <> lag(seq) OVER w + 1 THEN 'sequence-gap'
+                 WHEN sample_rate <> 16000 THEN 'sample-rate' WHEN payload_bytes = 0 THEN 'empty-payload' WHEN payload_bytes % 2 <> 0 THEN 'odd-payload' WHEN payload_bytes > 32000 THEN 'payload-too-long' END AS reason,
+         CASE WHEN seq <> lag(seq) OVER w + 1 THEN 'sequence-gap' WHEN sample_rate <> 16000 THEN 'sample-rate' WHEN payload_bytes % 2 <> 0 THEN 'odd-payload' WHEN payload_bytes > 1048576 THEN 'payload-too-long'
+              WHEN row_number() OVER w = 1 AND lang NOT IN ('', 'en') THEN 'unsupported-language' WHEN lang IS DISTINCT FROM first(lang) OVER w THEN 'language-changed' WHEN tenant_id IS DISTINCT FROM first(tenant_id) OVER w THEN 'tenant-changed' END AS native_reason
   FROM defective WINDOW w AS (PARTITION BY session_id ORDER BY arrival)
 )"""
 
@@ -310,10 +312,10 @@ ORACLES = {
     "unsafe_policy": f"WITH {CONTROLS} SELECT CASE WHEN len(tracks) > 1 AND NOT store_recording THEN 'unsafe-policy' END AS reason, count(*) AS n FROM controls GROUP BY ALL",
     "overrides": f"""WITH {HEADERS}, v AS (SELECT event_id, try_cast(window_raw AS DOUBLE) AS w FROM headers), a AS (SELECT *, w IS NOT NULL AND NOT isnan(w) AND NOT isinf(w) AS f FROM v), b AS (SELECT *, CASE WHEN f AND w > 0.1 THEN w ELSE 10.0 END AS window_s FROM a)
 SELECT event_id, window_s, CASE WHEN f AND w / 2 - 1 >= 0 AND w / 2 - 1 < window_s THEN w / 2 - 1 ELSE 1.0 END AS overlap_s, CASE WHEN f AND w * 2 > 0 THEN least(w * 2, window_s) ELSE 0.7 END AS emit_s FROM b""",
-    "config_conflicts": f"WITH {HEADERS} SELECT session_id, count(DISTINCT CAST(window_raw AS INT) % 2) AS n_configs FROM headers WHERE event_id % 4 = 3 GROUP BY session_id HAVING count(DISTINCT CAST(window_raw AS INT) % 2) > 1",
+    "config_conflicts": f"WITH {HEADERS} SELECT session_id, count(DISTINCT w) AS n_configs FROM (SELECT session_id, CASE WHEN v IS NULL THEN 60.0 ELSE least(greatest(v, 10.0), 600.0) END AS w FROM (SELECT session_id, try_cast(nullif(window_raw, 'nan') AS DOUBLE) AS v FROM headers)) GROUP BY session_id HAVING count(DISTINCT w) > 1",
     "header_upsert": f"WITH {HEADERS} SELECT event_id, 1 + CAST(store_raw IS NOT NULL AS BIGINT) + CAST(tracks_raw IS NOT NULL AS BIGINT) + CAST(window_raw IS NOT NULL AS BIGINT) AS n_headers, 'a' || event_id AS outputs FROM headers",
     "chunk_validation": f"WITH {DEFECTS} SELECT event_id, reason FROM validated",
-    "valid_prefix": f"WITH {DEFECTS}, b AS (SELECT *, max(CAST(reason IS NOT NULL AND reason <> 'payload-too-long' AS INT)) OVER (PARTITION BY session_id ORDER BY arrival) AS bad FROM validated) SELECT session_id, count(*) AS n, max(arrival) AS last_arrival FROM b WHERE bad = 0 GROUP BY session_id",
+    "valid_prefix": f"WITH {DEFECTS}, b AS (SELECT *, max(CAST(native_reason IS NOT NULL AS INT)) OVER (PARTITION BY session_id ORDER BY arrival) AS bad FROM validated) SELECT session_id, count(*) AS n, max(arrival) AS last_arrival FROM b WHERE bad = 0 GROUP BY session_id",
     "upload_validation": f"WITH {UPLOADS} SELECT page_id, {REASON} WHEN n_bytes = 0 THEN 'no-audio' WHEN n_bytes > 3000 THEN 'too-large' END AS reason FROM uploads",
     "upload_failures": f"""WITH {UPLOADS}, r AS (SELECT *, {REASON} END AS reason FROM uploads) SELECT session_id AS key, '{{"schema_version":1,"session_id":"' || session_id || '","tenant_id":"' || tenant_id || '","reason":"' || reason || '","created_at":"2026-01-02T03:04:05.000Z"}}' AS value FROM r WHERE reason = 'foreign-source'""",
     "session_recordings": f"WITH {CHUNKS} SELECT session_id, arg_min(tenant_id, seq) AS tenant_id, CAST(sum(n_samples) AS BIGINT) AS total_samples, count(*) AS n_chunks, CAST(sum(n_samples) * 1000 // 16000 AS BIGINT) AS duration_ms, min(ts_us) AS first_us, max(ts_us) AS last_us, arg_max(event_type, seq) AS last_type FROM chunks GROUP BY session_id",

@@ -290,5 +290,5 @@ SELECT session_id, turn, idx, "commit", w_start, w_end FROM j WHERE w_end > w_st
     "speech_gate": f"WITH {TURNS} SELECT session_id, CAST(sum(greatest(0, e_ms - s_ms)) AS BIGINT) AS speech_ms, sum(greatest(0, e_ms - s_ms)) >= 100000 AS passes FROM turns GROUP BY session_id",
     "speaker_budget": f"WITH {TURNS}, l AS (SELECT *, greatest(0, e_ms - s_ms) AS len FROM turns), u AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY session_id, speaker ORDER BY s_ms, e_ms, turn_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used, sum(len) OVER (PARTITION BY session_id, speaker) AS total FROM l) SELECT session_id, speaker, turn_ord, CAST(greatest(0, least(len, 10000 - used)) AS BIGINT) AS take FROM u WHERE total >= 700 AND greatest(0, least(len, 10000 - used)) > 0",
     "cluster_map": f"WITH {ASSIGNED}, names AS (SELECT session_id, speaker, CASE WHEN count(*) % 2 = 0 THEN 'person_' || session_id ELSE '' END AS name FROM turns GROUP BY session_id, speaker HAVING count(*) > 1) SELECT a.session_id, coalesce(nullif(n.name, ''), a.speaker) AS speaker, count(*) AS n_words FROM assigned a LEFT JOIN names n ON a.session_id = n.session_id AND a.speaker = n.speaker GROUP BY ALL",
-    "srt_export": f"WITH {WORD_SEGMENTS}, seg AS (SELECT session_id, island, min(s_ms) AS s, max(e_ms) AS e, {SMART_TEXT} AS text FROM placed GROUP BY session_id, island), cues AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s, island) AS cue FROM seg WHERE trim(text) <> '') SELECT session_id, cue, CAST(cue AS VARCHAR) || chr(10) || {STAMP.format('s')} || ' --> ' || {STAMP.format('e')} || chr(10) || text || chr(10) AS cue_text FROM cues",
+    "srt_export": f"WITH {WORD_SEGMENTS}, seg AS (SELECT session_id, island, any_value(speaker) AS speaker, min(s_ms) AS s, max(e_ms) AS e, {SMART_TEXT} AS text FROM placed GROUP BY session_id, island), cues AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY s, island) AS cue FROM seg WHERE trim(text) <> '') SELECT session_id, cue, CAST(cue AS VARCHAR) || chr(10) || {STAMP.format('s')} || ' --> ' || {STAMP.format('e')} || chr(10) || speaker || ': ' || text || chr(10) AS cue_text FROM cues",
 }

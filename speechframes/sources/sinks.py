@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechframes.functions import formats
+from speechframes.functions.text import strip
 
 
 def srt_cues(segments: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
-    """Subtitle cues, numbered without gaps after blank texts have gone."""
-    spoken = segments.where(F.trim("text") != "")
+    """Subtitle cues (speaker: text), numbered without gaps after blank texts have gone."""
+    spoken = segments.where(strip("text") != "")
     line = Window.partitionBy(*keys).orderBy(start, "island")
     cue = spoken.withColumn("cue", F.row_number().over(line).cast("long"))
-    text = F.concat_ws("\n", F.col("cue").cast("string"), F.concat(formats.srt_time(F.col(start)), F.lit(" --> "), formats.srt_time(F.col(end))), "text", F.lit(""))
+    text = F.concat_ws("\n", F.col("cue").cast("string"), F.concat(formats.srt_time(F.col(start)), F.lit(" --> "), formats.srt_time(F.col(end))), F.concat(F.coalesce(F.nullif("speaker", F.lit("")), F.lit("UNKNOWN")), F.lit(": "), strip("text")), F.lit(""))
     return cue.withColumn("cue_text", text)
 
 

@@ -58,10 +58,9 @@ def normalise_audio(files: DataFrame) -> DataFrame:
 
 def write_session_wavs(recordings: DataFrame, path: str) -> None:
     """recordings (tenant_id, session_id, ts, pcm) as RIFF bytes, one row each, partitioned by tenant and UTC date."""
-    riff = F.udf(lambda pcm: audio.riff(bytes(pcm)) if pcm is not None else None, "binary")
     tenant = F.coalesce(F.nullif("tenant_id", F.lit("")), F.lit("default"))
     rows = recordings.withColumn("object_key", formats.recording_key("", tenant, F.col("ts"), F.col("session_id").cast("string")))
-    rows.select(tenant.alias("tenant"), F.to_date("ts").alias("date"), "session_id", "object_key", riff("pcm").alias("wav")).write.partitionBy("tenant", "date").parquet(path)
+    rows.select(tenant.alias("tenant"), F.to_date("ts").alias("date"), "session_id", "object_key", audio.riff_column(F.col("pcm")).alias("wav")).write.partitionBy("tenant", "date").parquet(path)
 
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:

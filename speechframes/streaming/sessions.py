@@ -143,11 +143,11 @@ def partial_updates(chunks: DataFrame, keys: list[str], key_schema: str, late: s
 
 
 def novel_epochs(epochs: DataFrame, keys: list[str], key_schema: str, late: str, idle_ms: int, tail: int = 200, order: list[str] = ("epoch",)) -> DataFrame:
-    """Each epoch's new text; the state keeps the committed transcript's tail only as far as echoes reach."""
+    """Each epoch's new text; the state keeps the session's committed transcript, which later echoes may respace."""
 
     def step(state: dict, row: dict) -> Iterator[dict]:
-        new = T.novel_text(state["committed"], row["text"])
-        state["committed"] = T.merge_echo(state["committed"], row["text"])
+        whole = T.merge_echo(state["committed"], row["text"])
+        new, state["committed"] = T.added(state["committed"], whole), whole
         yield {"epoch": int(row["epoch"]), "novel": new, "context": T.context_tail(state["committed"], tail)}
 
     return fold_stream(epochs, keys, list(order), lambda: {"committed": ""}, step, lambda state: iter(()), f"{key_schema}, epoch long, novel string, context string", late, idle_ms)

@@ -133,17 +133,64 @@ def test_text_helpers():
     assert T.merge_echo("abc", "xyz") == "abc xyz"
     assert T.merge_echo("", " x ") == "x" and T.merge_echo(" x ", None) == "x"
     assert T.novel_text("good morning all", "morning all of you") == "of you"
-    words, reason = T.restore([(0, 1, "hello"), (1, 2, "world"), (2, 2, "gone")], "Hello, world!", 5)
-    assert (reason, [w[2] for w in words]) == (None, ["Hello, ", "world!"])
-    assert T.restore([(0, 1, "nope")], "Hello", 5)[1] == "mismatch"
-    assert T.restore([(2, 3, "a"), (1, 2, "b")], "a b", 5)[1] == "nonmonotonic"
-    assert T.restore([], "a", 5)[1] == "empty"
+    assert T.merge_echo("the end is near the end", "near the end of it") == "the end is near the end of it"
+    assert T.overlap("aabaab", "aabaac") == 3 and T.overlap("aaaa", "aa") == 2 and T.overlap(["a", ""], ["", "b"]) == 0 and T.overlap("", "a") == 0 == T.overlap("a", "")
+
+
+def test_echo_matches_trying_every_length():
+    rng = random.Random(3)
+    for _ in range(2000):
+        left, right = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(2))
+        assert T.overlap(left, right) == max(n for n in range(min(len(left), len(right)) + 1) if left.endswith(right[:n]))
+
+
+def test_restored_words(spark, rows):
+    data = [(1, "Hello, world!", [(0.0, 1.0, "hello"), (1.0, 2.0, "world"), (2.0, 2.0, "gone")]), (2, "Hello", [(0.0, 1.0, "nope")]), (3, "a b", [(2.0, 3.0, "a"), (1.0, 2.0, "b")]), (4, "a", []), (5, "a", [(0.0, 9.0, "a"), (float("nan"), 1.0, "x"), (0.0, 1.0, " \n")])]
+    df = spark.createDataFrame([(i, t, 5.0, w) for i, t, w in data], "id int, transcript string, duration_s double, words array<struct<start_s:double,end_s:double,text:string>>")
+    got = rows(ordered.restore_text(df, ["id"]), "id", "idx", "start_s", "end_s", "text", "reason")
+    assert got == [(1, 0, 0.0, 1.0, "Hello, ", None), (1, 1, 1.0, 2.0, "world!", None), (2, 0, None, None, None, "mismatch"), (3, 0, None, None, None, "nonmonotonic"), (4, 0, None, None, None, "empty"), (5, 0, 0.0, 5.0, "a", None)]
+
+
+def test_native_turns(spark, rows):
     text = "Hello, world!  Yes, I agree."
     tagged = [("Hello,", 0.0, 0.8, 1), ("world!", 0.9, 1.8, 1), ("Yes,", 2.0, 2.4, 2), ("I", 2.5, 2.7, 2), ("agree.", 3.0, 4.8, 2)]
-    assert T.turns_of(text, tagged, 0, 5) == [("Hello, world!  ", 0, 1.8, 1), ("Yes, I agree.", 2.0, 4.8, 2)]
     late = [(w, s, 2.3 if w == "world!" else e, k) for w, s, e, k in tagged]
-    assert T.turns_of(text, late, 0, 5)[0][2] == 2.0
-    assert T.turns_of(text, tagged[:-1], 0, 5) == [] and T.turns_of("Hi", [("Hi", 0, 1, 7)], 0, 1) == []
+    data = [(1, text, 0.0, 5.0, tagged), (2, text, 0.0, 5.0, late), (3, text, 0.0, 5.0, tagged[:-1]), (4, "Hi", 0.0, 1.0, [("Hi", 0.0, 1.0, 7)]), (5, "Hi", 0.0, 1.0, [])]
+    df = spark.createDataFrame(data, "id int, text string, start_s double, end_s double, words array<struct<text:string,start_s:double,end_s:double,speaker:int>>")
+    got = rows(ordered.native_turns(df, ["id"]), "id", "pos", "start_s", "end_s", "text", "speaker")
+    first, second = ("Hello, world!", "SPEAKER_00"), ("Yes, I agree.", "SPEAKER_01")
+    assert got == [(1, 0, 0.0, 1.8, *first), (1, 1, 2.0, 4.8, *second), (2, 0, 0.0, 2.0, *first), (2, 1, 2.0, 4.8, *second), (3, 0, 0.0, 5.0, text, ""), (4, 0, 0.0, 1.0, "Hi", ""), (5, 0, 0.0, 1.0, "Hi", "")]
+
+
+def test_chunk_rules_of_each_profile(spark, rows):
+    data = [("a", 0, "t", "", 0, 16000, 10), ("b", 0, "t", "en", 0, 16000, 0), ("c", 0, "t", "xx", 0, 8000, 1), ("d", 0, "t" * 300, "en", 0, 16000, 40_000), ("e e", 0, "t", "en", 3, 16000, 10), ("f", 0, "t", "en", 1, 16000, 10), ("f", 1, "u", "fr", 3, 16000, 10)]
+    df = spark.createDataFrame(data, "session_id string, arrival int, tenant_id string, lang string, seq long, sample_rate int, payload_bytes long")
+    found = lambda p: {(s, n): r for s, n, r in rows(validate.validate_chunks(df, ["session_id"], ["en", "fr"], p).where("reason IS NOT NULL"), "session_id", "arrival", "reason")}
+    assert found("strict") == {("b", 0): "empty-payload", ("c", 0): "unsupported-language", ("d", 0): "tenant-too-long", ("f", 1): "tenant-changed"}
+    assert found("epoch") == {("c", 0): "sample-rate", ("f", 1): "sequence-gap"}
+    assert found("native") == {("c", 0): "sample-rate", ("d", 0): "invalid-tenant-id", ("e e", 0): "invalid-session-id", ("f", 1): "sequence-gap"}
+
+
+def test_white_space_of_every_kind(spark):
+    df = spark.createDataFrame([("no\n", "10d", "\t\u00a0 a\u2003\n")], "b string, n string, t string")
+    got = df.select(controls.lenient_bool(F.col("b"), True), controls.clamped_window(F.col("n"), 60.0), controls.clamped_window(F.lit("15f"), 60.0), controls.clamped_window(F.lit(" 1.5e1\n"), 60.0), T.strip("t")).first()
+    assert tuple(got) == (False, 60.0, 60.0, 15.0, "a")
+    headers = spark.createDataFrame([([("k", "x\ufffdy".encode() + b"\xff")],)], "h array<struct<key:string,value:binary>>")
+    assert headers.select(controls.header_value(F.col("h"), "K")).first()[0] == "x\ufffdy"
+
+
+def test_extensible_pcm_and_riff_column(spark):
+    import struct
+
+    pcm = bytes(range(60))
+    fmt = struct.pack("<HHIIHHHHI", 0xFFFE, 1, 16000, 48000, 3, 24, 22, 24, 4) + audio.PCM_GUID
+    data = b"RIFF" + struct.pack("<I", 4 + 8 + len(fmt) + 8 + len(pcm)) + b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + b"data" + struct.pack("<I", len(pcm)) + pcm
+    assert audio.acceptable(audio.wav_fields(data), len(data)) is None
+    floats = data.replace(audio.PCM_GUID, b"\x03" + audio.PCM_GUID[1:])
+    assert audio.acceptable(audio.wav_fields(floats), len(floats)) == "compressed"
+    df = spark.createDataFrame([(b"\x01\x02" * 300,), (b"",), (None,)], "pcm binary")
+    made = [r[0] and bytes(r[0]) for r in df.select(audio.riff_column(F.col("pcm"))).collect()]
+    assert made == [audio.riff(b"\x01\x02" * 300), audio.riff(b""), None]
 
 
 def test_audio_helpers(spark, rows):
@@ -219,6 +266,7 @@ def test_slices_conserve_samples(spark, rows):
 def test_exports(spark, tmp_path, rows):
     seg = spark.createDataFrame([(1, 1, 0, 900, "A", "hi"), (1, 2, 1000, 1500, "", " "), (1, 3, 2000, 2500, None, "there")], "session_id int, island long, s_ms long, e_ms long, speaker string, text string")
     assert rows(sinks.srt_cues(seg, ["session_id"]), "cue", "text") == [(1, "hi"), (2, "there")]
+    assert sinks.srt_cues(seg, ["session_id"]).orderBy("cue").first()["cue_text"] == "1\n00:00:00,000 --> 00:00:00,900\nA: hi\n"
     sinks.write_lines(seg, str(tmp_path / "txt"), ["session_id"])
     assert rows(spark.read.text(str(tmp_path / "txt")), "value")[2] == ("[2.00 - 2.50] UNKNOWN: there",)
     bad = spark.createDataFrame([("00000000-0000-4000-8000-000000000001", "t", "r"), ("x", "t", "r")], "session_id string, tenant_id string, reason string")
