@@ -10,12 +10,14 @@ share too few trigrams.
 Items and texts are compared in lower case with every run of white space as one
 blank; reported offsets are code points of the text as it stands.
 
-The items reach the tasks in blocks of at most ``BLOCK_CHARS`` characters, one
-pass over the documents for each block, so a benchmark of any size is searched
-with bounded memory. Documents are never shuffled.
+The items reach the driver one at a time and the tasks in blocks of at most
+``BLOCK_CHARS`` characters (or one item), one pass over the documents for each
+block: a task holds one block's automaton, whatever the benchmark's size, and a
+benchmark of up to ``BLOCK_CHARS`` costs one pass. Documents are never shuffled.
 
 Defined cases: null and empty texts match nothing; null and blank items are
-not searched; items that repeat are reported under each of their ids; an item of
+not searched; items that repeat are reported under each of their ids, and items
+that share an id each by their own text and budget; an item of
 fewer than 1/``ERROR_RATE`` characters is met exactly; overlapping matches of one
 item are reported once, at the least distance, the leftmost of ties; repeated
 rows are each reported; empty tables give an empty result; other columns of both
@@ -119,8 +121,8 @@ class Searcher:
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
 
-    def search(self, text: str) -> list[tuple[object, int, int, int]]:
-        """(item id, start, end, distance) of every match in a normalised text."""
+    def search(self, text: str) -> list[tuple[object, int, int, int, int]]:
+        """(item id, start, end, distance, budget) of every match in a normalised text."""
         spots: dict[int, set[int]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for n, offset in places:
@@ -139,7 +141,7 @@ class Searcher:
             for distance, start, stop in sorted(found):
                 if all(stop <= a or start >= z for a, z in taken):
                     taken.append((start, stop))
-                    out.append((item.item_id, start, stop, distance))
+                    out.append((item.item_id, start, stop, distance, item.errors))
         return out
 
     def _within(self, item: Item, text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
@@ -186,13 +188,12 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERRO
     def run_with(block):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             searcher = Searcher(block.value, error_rate)
-            budget = {i.item_id: i.errors for i in searcher.items}
-            for batch in batches:
+            for batch in (part for whole in batches for part in pieces(whole, "text")):
                 ids, out = batch.column("id"), []
                 for n, text in enumerate(batch.column("text").to_pylist()):
                     if found := searcher.search(normal(text)):
                         spans = original_offsets(text, [x[1:3] for x in found])
-                        out += [(n, item, a, b, distance, budget[item]) for (item, _, _, distance), (a, b) in zip(found, spans, strict=True)]
+                        out += [(n, item, a, b, distance, budget) for (item, _, _, distance, budget), (a, b) in zip(found, spans, strict=True)]
                 if out:
                     where, *columns = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(where)), *(pa.array(c) for c in columns)], ["id", "item_id", "start", "end", "distance", "budget"])

@@ -7,7 +7,9 @@ training documents. A document gets the language of the prototype with the
 highest cosine; the score is that cosine, 0 at least.
 
 Training adds up bundles inside tasks, then by language and dimension over all
-tasks; the driver sees the prototypes only (languages x ``DIMENSIONS`` numbers).
+tasks; the driver sees the prototypes only (languages x ``DIMENSIONS`` numbers; more
+than ``MOST_LANGUAGES`` are refused). Tasks hold blocks of n-gram vectors of
+bounded size, however many different n-grams a text has.
 All labelled rows of the training folds are used.
 
 Defined cases: documents without text or without a letter are ``und`` with
@@ -34,6 +36,10 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 20_011
 CHUNK_CHARS = 400_000
+CHUNK_ROWS = 4_000
+BLOCK_CELLS = 1 << 23  # of a block of n-gram vectors, and of its counts by document
+SPARSE = 32
+MOST_LANGUAGES = 2_000
 DENSE_CODES = 1 << 22
 UNDETERMINED = "und"
 
@@ -91,21 +97,43 @@ class Profiler:
         row, rows = (doc, len(texts)) if group is None else (group[doc], groups)
         n = len(self.letters) ** self.gram
         if n <= DENSE_CODES:
-            present = np.flatnonzero(np.bincount(code, minlength=n))
-            local = np.zeros(n, np.int32)
-            local[present] = np.arange(len(present))
-            code = local[code]
+            often = np.bincount(code, minlength=n)
+            present = np.flatnonzero(often)
+            often, local = often[present], np.zeros(n, np.int64)
         else:
-            present, code = np.unique(code, return_inverse=True)
-        counts = np.bincount(row.astype(np.int64) * len(present) + code, minlength=rows * len(present)).reshape(rows, len(present))
-        return counts.astype(np.float32) @ self.vectors(present), letters
+            present, code, often = np.unique(code, return_inverse=True, return_counts=True)
+            local = np.zeros(len(present), np.int64)
+        order = np.argsort(-often, kind="stable")  # frequent n-grams first: their blocks are dense
+        if n <= DENSE_CODES:
+            local[present[order]] = np.arange(len(order))
+        else:
+            local[order] = np.arange(len(order))
+        code, present = local[code], present[order]
+        ranked = np.argsort(code, kind="stable")
+        code, row = code[ranked], row[ranked].astype(np.int64)
+        out = np.zeros((rows, self.dimensions), np.float32)
+        width = max(1, BLOCK_CELLS // max(rows, self.dimensions))
+        for start in range(0, len(present), width):
+            stop = min(start + width, len(present))
+            a, b = np.searchsorted(code, (start, stop))
+            vectors = self.vectors(present[start:stop])
+            if (stop - start) * rows <= SPARSE * (b - a):
+                counts = np.bincount(row[a:b] * (stop - start) + code[a:b] - start, minlength=rows * (stop - start))
+                out += counts.reshape(rows, stop - start).astype(np.float32) @ vectors
+            else:  # a product with almost only zeros: add the vectors row by row
+                by_row = np.argsort(row[a:b], kind="stable") + a
+                for i in range(0, b - a, width):
+                    part = by_row[i : i + width]
+                    begins = np.flatnonzero(np.diff(row[part], prepend=-1))
+                    out[row[part[begins]]] += np.add.reduceat(vectors[code[part] - start], begins)
+        return out, letters
 
 
 def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, chars = 0, 0
     for i, t in enumerate(texts):
         chars += len(t)
-        if chars >= CHUNK_CHARS:
+        if chars >= CHUNK_CHARS or i + 1 - start >= CHUNK_ROWS:
             yield start, i + 1
             start, chars = i + 1, 0
     if start < len(texts):
@@ -131,7 +159,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     summed = rows.mapInArrow(run, "lang string, dim int, value long").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
     found: dict[str, np.ndarray] = {}
-    for r in summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).collect():
+    rows = summed.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    for r in rows:
         vector = np.array([x["value"] for x in r["v"]], np.float64)
         if norm := np.linalg.norm(vector):
             found[r["lang"]] = (vector / norm).astype(np.float32)

@@ -40,7 +40,7 @@ def test_matches_brute_force():
         assert bool(got) == (want <= budget)
         if got:
             assert min(m[3] for m in got) == want
-            assert all(distance(text, doc[a:b]) == d for _, a, b, d in got)
+            assert all(distance(text, doc[a:b]) == d <= e == budget for _, a, b, d, e in got)
 
 
 def test_two_occurrences_side_by_side():
@@ -80,6 +80,14 @@ def test_blocks_give_the_same(spark, rows, monkeypatch):
     assert rows(D.find_matches(df, bench)) == want and len(want) == 2
 
 
+def test_items_of_one_id_keep_their_own_budgets(spark):
+    short = "a question of thirty letters?!"
+    df = spark.createDataFrame([(1, f"{ITEM} and {short}"), (2, "x" * 1_500_000 + ITEM)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (1, short)], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["budget"]) for r in D.find_matches(df, bench).collect())
+    assert got == sorted([(1, 1, len(ITEM) // 10), (1, 1, len(short) // 10), (2, 1, len(ITEM) // 10)])
+
+
 def test_empty_tables(spark, no_docs):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert D.find_matches(no_docs, bench).count() == 0

@@ -35,6 +35,32 @@ def test_bundles_match_hand_work():
         assert np.allclose(row, by_hand(L.Profiler(), text))
 
 
+def test_bundles_of_many_short_texts_need_bounded_memory():
+    """5,000 short texts of a large alphabet: blocks of vectors, not documents x n-grams."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 3000, 80))) for _ in range(5000)]
+    p = L.Profiler()
+    tracemalloc.start()
+    made = [(a, b, p.bundle(texts[a:b])[0]) for a, b in list(L._chunks(texts))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600e6, peak
+    for i in (0, 1234, 4999):
+        a, _, rows = next(x for x in made if x[0] <= i < x[1])
+        assert np.allclose(rows[i - a], by_hand(L.Profiler(), texts[i]))
+
+
+def test_bundles_by_blocks_agree(monkeypatch):
+    texts = ["the cat sat on the mat", "le chat", "", "xyz " * 50]
+    want = L.Profiler().bundle(texts)[0]
+    for cells, sparse in ((2048, 32), (2048, 0), (1 << 23, 0), (2048, 1 << 30)):
+        monkeypatch.setattr(L, "BLOCK_CELLS", cells)
+        monkeypatch.setattr(L, "SPARSE", sparse)
+        assert (L.Profiler().bundle(texts)[0] == want).all()
+
+
 def test_language_held_out_accuracy(spark):
     got = L.op5_language_id(spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "n_chars")
