@@ -1,6 +1,10 @@
 """License scan: Dice coefficient over word bigrams, in DataFrame operations only.
 
-Every line of a document, and the document as a whole, is a unit. Units and
+Units of a document are its lines, every run of up to ``RUN`` consecutive lines
+(a notice wrapped over lines), its paragraphs (parts between blank lines) of more
+lines than that, and the document as a whole. Templates are one-sentence notices
+and the paragraphs of full licence texts and of the headers put on files, so a
+licence inside a longer document is found by its paragraphs. Units and
 templates are normalised alike (lower case, every run of other characters than
 letters and digits becomes one blank) and compared by the Dice coefficient of
 their bags of word bigrams, 2|A and B| / (|A| + |B|); a bag counts repetitions.
@@ -8,16 +12,21 @@ their bags of word bigrams, 2|A and B| / (|A| + |B|); a bag counts repetitions.
 A coefficient of t needs t/(2-t) <= |A|/|B| <= (2-t)/t. So each template is
 listed under every bigram count that a matching unit may have, and units meet
 templates in an equality join on that count; other templates are never tried.
-The expanded template list has at most (sum of template sizes)/t rows, and is
-broadcast only below ``BROADCAST_ROWS``; beyond that Spark joins by shuffle.
-Of what is left, pairs whose vocabularies differ too much for the coefficient
-are dropped before any bigram is built.
+Runs of lines are built only where the count of their words is one of these.
+The expanded template list has at most (sum of template sizes)/t rows; it holds
+ids, sizes and vocabularies, and is broadcast only if its words number at most
+``BROADCAST_WORDS``; beyond that Spark joins by shuffle. Of what is left, pairs
+whose vocabularies differ too much for the coefficient are dropped before any
+bigram is built, and a template's bigrams come by its number.
 
 Defined cases: null and empty texts and lines of one word have no bigram and
-match nothing; ties between templates go to the smallest license id; repeated
-rows are reported as often as they occur; a document of one line reports its line only
-(not the document again); an empty table gives an empty result; other columns
-of the input are ignored.
+match nothing; ties between templates go to the smallest license id, then to the
+smallest part, then to the shorter run; of the runs that begin at one line the
+best is reported; repeated rows are reported as often as they occur; a document
+of one line reports its line only (not the document again); an empty table gives
+an empty result; other columns of the input are ignored. What is not found: a
+notice in a line or paragraph with so much other prose that no unit reaches the
+coefficient.
 """
 
 from __future__ import annotations
@@ -28,7 +37,8 @@ from pyspark.sql import functions as F
 from speechframes.llm.common import table
 
 THRESHOLD = 0.8
-BROADCAST_ROWS = 100_000
+BROADCAST_WORDS = 4_000_000  # some 100 MB
+RUN = 4
 
 # fixed values: notices that publishers put below a text, by SPDX identifier
 TEMPLATES = [
@@ -50,6 +60,84 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+_AS_IS = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_HOLDERS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+    "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_USE = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details.",
+    "You should have received a copy of the GNU {0} along with this program. If not, see <https://www.gnu.org/licenses/>.",
+)
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    return [part.format(name, version) for part in _GNU]
+
+
+# fixed values: licence texts and file headers by paragraph, by SPDX identifier
+TEXTS = {
+    "0BSD": [_AS_IS],
+    "AGPL-3.0": _gnu("Affero General Public License", "3"),
+    "Apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD-2-Clause": [_USE, _SOURCE, _BINARY, _HOLDERS],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        " ".join([_USE, _SOURCE, _BINARY, "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", _HOLDERS]),
+    ],
+    "BSL-1.0": [
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+        "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    ],
+    "GPL-2.0": _gnu("General Public License", "2")[:1],
+    "GPL-3.0": _gnu("General Public License", "3"),
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _AS_IS,
+    ],
+    "LGPL-3.0": _gnu("Lesser General Public License", "3"),
+    "MIT": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+        "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE "
+        "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "Unlicense": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large "
+        "and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "This notice may not be removed or altered from any source distribution.",
+    ],
+}
+#: (license id, part, text): part 0 is the notice, full texts follow by paragraph and as a whole
+PARTS = [(i, 0, t) for i, t in TEMPLATES]
+PARTS += [(i, n, t) for i, ts in TEXTS.items() for n, t in enumerate([*ts, " ".join(ts)] if len(ts) > 1 else ts, 1)]
+
 
 def normalised(text: F.Column) -> F.Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
@@ -61,55 +149,77 @@ def bigrams(words: F.Column) -> F.Column:
     return F.transform(pairs, lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string")))
 
 
+def units_of(docs: DataFrame, sizes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, unit, line_no, n_lines, _words, _n), _id being id and text hash, of the units whose bigram count is one of sizes (_n)."""
+    # explode(array(x)) keeps Spark from working x out anew for every use
+    lines = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")).alias("_id"), F.col(text_col).alias("_text"), F.explode(F.array(F.transform(F.split(F.col(text_col), "\n"), normalised))).alias("_lines"))
+    lines = lines.select("*", F.explode(F.array(F.transform("_lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))))).alias("_counts"))
+    total = lambda first, n: F.aggregate(F.slice("_counts", first, n), F.lit(0), lambda a, x: a + x)
+    long_lines = F.size("_lines")
+    # runs of lines that begin and end with a line of words; their words are counted before they are put together
+    run = F.transform(
+        F.sequence(F.lit(0), long_lines - 1),
+        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), long_lines - i)), lambda k: F.struct(i.alias("line_no"), k.alias("n_lines"), (total(i + 1, k) - 1).alias("_n"), ((F.get("_counts", i) > 0) & (F.get("_counts", i + k - 1) > 0)).alias("_full"))),
+    )
+    runs = lines.where(long_lines > 0).select("_id", "_lines", F.inline(F.flatten(run))).where("_full AND _n > 0")
+    runs = runs.join(sizes, "_n", "left_semi")
+    runs = runs.select("_id", F.lit("lines").alias("unit"), "line_no", "n_lines", F.split(F.array_join(F.filter(F.slice("_lines", F.col("line_no") + 1, F.col("n_lines")), lambda x: x != ""), " "), " ").alias("_words"))
+    whole = lines.where((long_lines > 1) & (total(1, long_lines) > 1)).select("_id", F.lit("document").alias("unit"), F.lit(-1).alias("line_no"), long_lines.alias("n_lines"), F.split(F.array_join(F.filter("_lines", lambda x: x != ""), " "), " ").alias("_words"))
+    parts = lines.where(long_lines > RUN).select("_id", F.posexplode(F.split("_text", r"\n\s*\n")).alias("line_no", "_part"))
+    parts = parts.where(F.size(F.split("_part", "\n")) > RUN).select("_id", F.lit("paragraph").alias("unit"), "line_no", F.size(F.split("_part", "\n")).alias("n_lines"), F.split(normalised(F.col("_part")), " ").alias("_words"))
+    longer = whole.union(parts).withColumn("_n", F.size("_words") - 1).where("_n > 0").join(sizes, "_n", "left_semi").select(*runs.columns)
+    return runs.union(longer).withColumn("_n", F.size("_words") - 1)
+
+
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Matches: (id, line_no, license_id, shared, dice); line_no is -1 for the whole document.
+    """Matches: (id, unit, line_no, n_lines, license_id, part, shared, dice).
 
-    ``templates`` has license_id and text. Of several templates that a unit
-    matches, the one of the highest coefficient is kept.
+    unit is "lines" (line_no from 0, and as many lines), "paragraph" (line_no is
+    the paragraph's number) or "document" (line_no is -1). ``templates`` has
+    license_id, part and text; of several that a unit matches, the one of the
+    highest coefficient is kept.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    size = F.size("_theirs")
+    words = templates.select("license_id", "part", F.split(normalised(F.col("text")), " ").alias("_own")).where(F.size("_own") > 1)
+    size = F.size("_own") - 1
     listed = (
-        templates.select("license_id", F.split(normalised(F.col("text")), " ").alias("_words"))
-        .where(F.size("_words") > 1)
-        .select("license_id", F.array_distinct("_words").alias("_vocabulary"), bigrams(F.col("_words")).alias("_theirs"))
+        words.withColumn("_size", size)
         .withColumn("_n", F.explode(F.sequence(F.ceil(size * low - 1e-9).cast("int"), F.floor(size * high + 1e-9).cast("int"))))
         # a template pair that the unit lacks has two words at most
-        .withColumn("_may_lack", 2 * (size - F.ceil((size + F.col("_n")) * (threshold / 2) - 1e-9)))
+        .withColumn("_may_lack", 2 * (F.col("_size") - F.ceil((F.col("_size") + F.col("_n")) * (threshold / 2) - 1e-9)))
+        .withColumn("_vocabulary", F.array_distinct("_own"))
+        .drop("_own")
     )
-    if listed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        listed = F.broadcast(listed)
-    lines = docs.select(F.col(id_col).alias("_id"), F.split(F.col(text_col), "\n").alias("_lines"))
-    units = lines.select("_id", F.posexplode("_lines").alias("line_no", "_unit"))
-    # explode(array(x)) keeps Spark from working the words out anew for every use
-    units = units.select("_id", "line_no", F.explode(F.array(F.split(normalised(F.col("_unit")), " "))).alias("_words"))
-    whole = lines.where(F.size("_lines") > 1).select("_id", F.lit(-1).alias("line_no"), F.explode(F.array(F.split(normalised(F.array_join("_lines", " ")), " "))).alias("_words"))
+    theirs = words.select("license_id", "part", bigrams(F.col("_own")).alias("_theirs"))
+    sizes = listed.select("_n").distinct()
+    if (listed.agg(F.sum(F.size("_vocabulary"))).first()[0] or 0) <= BROADCAST_WORDS:
+        listed, theirs, sizes = F.broadcast(listed), F.broadcast(theirs), F.broadcast(sizes)
     found = (
-        units.union(whole)
-        .withColumn("_n", F.size("_words") - 1)
+        units_of(docs, sizes, id_col, text_col)
         .join(listed, "_n")
         .where(F.size(F.array_except("_vocabulary", "_words")) <= F.col("_may_lack"))
+        .join(theirs, ["license_id", "part"])
         .withColumn("shared", F.size(F.array_intersect(bigrams(F.col("_words")), "_theirs")))
-        .withColumn("dice", F.col("shared") * 2 / (F.col("_n") + F.size("_theirs")))
+        .withColumn("dice", F.col("shared") * 2 / (F.col("_n") + F.col("_size")))
         .where(F.col("dice") >= threshold)
     )
-    # templates are few, so are the matches of a unit
-    best = Window.partitionBy("_id", "line_no", "_words").orderBy(F.desc("dice"), "license_id")
+    # repeated rows tie and all stay; templates are few, so are the matches of a unit
+    best = Window.partitionBy("_id", "unit", "line_no").orderBy(F.desc("dice"), "license_id", "part", "n_lines")
     return (
         found.withColumn("_rank", F.rank().over(best))
         .where("_rank = 1")
-        .select(F.col("_id").alias(id_col), "line_no", "license_id", F.col("shared").cast("long").alias("shared"), "dice")
+        .select(F.col("_id.id").alias(id_col), "unit", "line_no", "n_lines", "license_id", "part", F.col("shared").cast("long").alias("shared"), "dice")
     )
 
 
 def template_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license_id string, text string")
+    return spark.createDataFrame(PARTS, "license_id string, part int, text string")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and matched unit."""
     found = scan(table(spark, sf_dir, "documents"), template_frame(spark))
-    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "license_id", "shared", F.round("dice", 6).alias("dice"))
+    return found.select("doc_id", "unit", F.col("line_no").cast("long").alias("line_no"), F.col("n_lines").cast("long").alias("n_lines"), "license_id", F.col("part").cast("long").alias("part"), "shared", F.round("dice", 6).alias("dice"))
 
 
 def _sql_text(value: str) -> str:
@@ -121,25 +231,29 @@ _WORDS = "string_split(trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '
 _NUMBERED = "list_transform(range(1, len(p) + 1), lambda i: p[i] || '#' || len(list_filter(p[1:i], lambda q: q = p[i])))"
 
 ORACLE = f"""
-WITH templates(license_id, text) AS (VALUES {", ".join(f"({_sql_text(i)}, {_sql_text(t)})" for i, t in TEMPLATES)}),
+WITH templates(license_id, part, text) AS (VALUES {", ".join(f"({_sql_text(i)}, {n}, {_sql_text(t)})" for i, n, t in PARTS)}),
 theirs AS (
-  SELECT license_id, {_NUMBERED} AS b FROM (SELECT license_id, {_PAIRS} AS p FROM (SELECT license_id, {_WORDS.format("text")} AS w FROM templates))
+  SELECT license_id, part, {_NUMBERED} AS b FROM (SELECT license_id, part, {_PAIRS} AS p FROM (SELECT license_id, part, {_WORDS.format("text")} AS w FROM templates) WHERE len(w) > 1)
 ),
-lines AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw, list_transform(string_split(text, chr(10)), lambda x: list_filter({_WORDS.format("x")}, lambda y: y <> '')) AS ls FROM documents WHERE text IS NOT NULL),
+starts AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM docs),
+runs AS (SELECT doc_id, ls, i, unnest(range(1, least({RUN}, len(ls) - i) + 1)) AS k FROM starts),
 units AS (
-  SELECT doc_id, i - 1 AS line_no, ls[i] AS u FROM lines, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
-  UNION ALL SELECT doc_id, -1, array_to_string(ls, ' ') FROM lines WHERE len(ls) > 1
+  SELECT doc_id, 'lines' AS unit, i AS line_no, k AS n_lines, flatten(ls[i + 1:i + k]) AS w FROM runs WHERE len(ls[i + 1]) > 0 AND len(ls[i + k]) > 0
+  UNION ALL SELECT doc_id, 'document', -1, len(ls), flatten(ls) FROM docs WHERE len(ls) > 1
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, len(string_split(ps[i], chr(10))), list_filter({_WORDS.format("ps[i]")}, lambda y: y <> '')
+  FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS ps FROM docs WHERE len(ls) > {RUN})) WHERE len(string_split(ps[i], chr(10))) > {RUN}
 ),
-sized AS (SELECT doc_id, line_no, {_WORDS.format("u")} AS w FROM units),
 near AS (
-  SELECT doc_id, line_no, license_id, t.b AS b, w FROM sized s JOIN theirs t
-  ON len(s.w) - 1 BETWEEN len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
+  SELECT doc_id, unit, line_no, n_lines, license_id, part, t.b AS b, w FROM units s JOIN theirs t
+  ON len(s.w) > 1 AND len(s.w) - 1 BETWEEN len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
+  WHERE 2 * len(list_intersect(list_distinct(s.w), list_distinct(list_transform(t.b, lambda x: split_part(x, ' ', 1))))) >= 1
 ),
 scored AS (
-  SELECT doc_id, line_no, license_id, len(list_intersect(a, b)) AS shared, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM (SELECT doc_id, line_no, license_id, b, {_NUMBERED} AS a FROM (SELECT doc_id, line_no, license_id, b, {_PAIRS} AS p FROM near))
+  SELECT doc_id, unit, line_no, n_lines, license_id, part, len(list_intersect(a, b)) AS shared, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM (SELECT doc_id, unit, line_no, n_lines, license_id, part, b, {_NUMBERED} AS a FROM (SELECT doc_id, unit, line_no, n_lines, license_id, part, b, {_PAIRS} AS p FROM near))
 )
-SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, license_id, CAST(shared AS BIGINT) AS shared, round(dice, 6) AS dice
-FROM (SELECT *, rank() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, license_id) AS r FROM scored WHERE dice >= {THRESHOLD})
+SELECT doc_id, unit, CAST(line_no AS BIGINT) AS line_no, CAST(n_lines AS BIGINT) AS n_lines, license_id, CAST(part AS BIGINT) AS part, CAST(shared AS BIGINT) AS shared, round(dice, 6) AS dice
+FROM (SELECT *, rank() OVER (PARTITION BY doc_id, unit, line_no ORDER BY dice DESC, license_id, part, n_lines) AS r FROM scored WHERE dice >= {THRESHOLD})
 WHERE r = 1
 """

@@ -1,5 +1,6 @@
 """Sharding and license scan."""
 
+import textwrap
 import zlib
 
 import duckdb
@@ -49,17 +50,45 @@ def test_shard_documents_writes_all(spark, odd_docs, tmp_path):
     assert out.count() == 8 and set(out.columns) == {*odd_docs.columns, "shard"}
 
 
-def test_licenses_match_duckdb(spark, rows):
-    data = [(1, "Intro\nReleased under the MIT License.\nmore text here"), (2, "released UNDER the mit license!!"), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0"), (5, "Licensed under CC BY-NC 4.0"), (6, "Licensed under the Apache License Version 2 0 today"), (7, "word"), (8, "Released under\nthe MIT License."), (9, "the the the the the the")]
+def license_rows(spark, rows, data):
     df = spark.createDataFrame(data, "doc_id long, text string").withColumn("license_id", F.lit("clash"))
     found = licenses.scan(df, licenses.template_frame(spark))
-    got = rows(found, "doc_id", F.col("line_no").cast("long"), "license_id", "shared", F.round("dice", 6))
+    long = lambda c: F.col(c).cast("long")
+    return rows(found, "doc_id", "unit", long("line_no"), long("n_lines"), "license_id", long("part"), "shared", F.round("dice", 6))
+
+
+def test_licenses_match_duckdb(spark, rows):
+    data = [(1, "Intro\nReleased under the MIT License.\nmore text here"), (2, "released UNDER the mit license!!"), (3, None), (4, ""), (5, "Licensed under CC BY-NC 4.0"), (5, "Licensed under CC BY-NC 4.0"), (6, "Licensed under the Apache License Version 2 0 today"), (7, "word"), (8, "Released under\nthe MIT License."), (9, "the the the the the the")]
+    prose = "\n".join(f"some line of prose number {i} that goes on" for i in range(30))
+    for i, (license_id, parts) in enumerate(licenses.TEXTS.items()):
+        wrapped = "\n\n".join(textwrap.fill(p, 60) for p in parts)
+        data.append((100 + i, f"{prose}\n\nCopyright (c) 2020 {license_id} people\n\n{wrapped}\n\n{prose}"))
+    data += [(200, "\n".join(["", " ", "!!", "Licensed under", "CC BY", "4.0", ""])), (201, "x\n" * 5 + "\n \n" + "y\n" * 6)]
+    got = license_rows(spark, rows, data)
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", data)
-    want = con.execute(f"SELECT doc_id, line_no, license_id, shared, dice FROM ({licenses.ORACLE})").fetchall()
+    want = con.execute(f"SELECT doc_id, unit, line_no, n_lines, license_id, part, shared, dice FROM ({licenses.ORACLE})").fetchall()
     assert got == sorted(want, key=repr)
-    assert (1, 1, "MIT", 4, 1.0) in got and (8, -1, "MIT", 4, 1.0) in got and (5, 0, "CC-BY-NC-4.0", 5, 1.0) not in got[:0]
+    assert (1, "lines", 1, 1, "MIT", 0, 4, 1.0) in got and (8, "lines", 0, 2, "MIT", 0, 4, 1.0) in got and (8, "document", -1, 2, "MIT", 0, 4, 1.0) in got
+    assert sum(r[0] == 5 for r in got) == 2
+    found = {(r[0], r[4]) for r in got}
+    assert all((100 + i, license_id) in found for i, license_id in enumerate(licenses.TEXTS))
+
+
+def test_notice_wrapped_over_lines_is_found(spark, rows):
+    notice = dict(licenses.TEMPLATES)["0BSD"]
+    text = "first line of prose\n" + textwrap.fill(notice, 70) + "\nlast line of prose\n" * 3
+    assert [r[1:6] for r in license_rows(spark, rows, [(1, text)]) if r[2] == 1] == [("lines", 1, 2, "0BSD", 0)]
+
+
+def test_license_ids_and_long_texts(spark, rows):
+    """Rows of one id are judged apart; ties between templates go to the smaller id; a text of over a megabyte is read whole."""
+    data = [(None, "Released under the MIT License."), (None, "Licensed under CC BY 4.0."), (1, "filler words here\n" * 70_000 + "Released under the MIT License.")]
+    got = license_rows(spark, rows, data)
+    assert {(r[0], r[4]) for r in got} == {(None, "MIT"), (None, "CC-BY-4.0"), (1, "MIT")} and (1, "lines", 70_000, 1, "MIT", 0, 4, 1.0) in got
+    twins = spark.createDataFrame([("b", 0, "one two three four"), ("a", 0, "one two three four")], "license_id string, part int, text string")
+    assert rows(licenses.scan(spark.createDataFrame([(1, "one two three four")], "doc_id long, text string"), twins), "license_id") == [("a",)]
 
 
 def test_licenses_empty(spark, no_docs):
