@@ -12,7 +12,9 @@ their bags of word bigrams, 2|A and B| / (|A| + |B|); a bag counts repetitions.
 A coefficient of t needs t/(2-t) <= |A|/|B| <= (2-t)/t. So each template is
 listed under every bigram count that a matching unit may have, and units meet
 templates in an equality join on that count; other templates are never tried.
-Runs of lines are built only where the count of their words is one of these.
+A match also shares t/(2-t) of the unit's bigrams, so a unit needs that many
+words that stand in any template; both counts are summed by line, and only runs,
+paragraphs and documents that pass are put together.
 The expanded template list has at most (sum of template sizes)/t rows; it holds
 ids, sizes and vocabularies, and is broadcast only if its words number at most
 ``BROADCAST_WORDS``; beyond that Spark joins by shuffle. Of what is left, pairs
@@ -39,6 +41,7 @@ from speechframes.llm.common import table
 THRESHOLD = 0.8
 BROADCAST_WORDS = 4_000_000  # some 100 MB
 RUN = 4
+KNOWN_WORDS = 5_000  # of all templates; with more of them units are pruned by size alone
 
 # fixed values: notices that publishers put below a text, by SPDX identifier
 TEMPLATES = [
@@ -149,26 +152,46 @@ def bigrams(words: F.Column) -> F.Column:
     return F.transform(pairs, lambda p, i: F.concat_ws("#", p, F.size(F.filter(F.slice(pairs, 1, i + 1), lambda q: q == p)).cast("string")))
 
 
-def units_of(docs: DataFrame, sizes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, unit, line_no, n_lines, _words, _n), _id being id and text hash, of the units whose bigram count is one of sizes (_n)."""
+def units_of(docs: DataFrame, sizes: DataFrame, known: list[str], threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(_id, unit, line_no, n_lines, _words, _n), _id being id and text hash, of the units that may match.
+
+    Their bigram count n is one of sizes (_n), and n * threshold / (2 - threshold) + 1
+    of their words or more are known ones, words of templates: a match shares that
+    many bigrams. Words are counted by line before any unit is put together.
+    """
+    least = threshold / (2 - threshold)
     # explode(array(x)) keeps Spark from working x out anew for every use
-    lines = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")).alias("_id"), F.col(text_col).alias("_text"), F.explode(F.array(F.transform(F.split(F.col(text_col), "\n"), normalised))).alias("_lines"))
-    lines = lines.select("*", F.explode(F.array(F.transform("_lines", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))))).alias("_counts"))
-    total = lambda first, n: F.aggregate(F.slice("_counts", first, n), F.lit(0), lambda a, x: a + x)
-    long_lines = F.size("_lines")
-    # runs of lines that begin and end with a line of words; their words are counted before they are put together
+    once = lambda x: F.explode(F.array(x))
+    lines = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")).alias("_id"), F.col(text_col).alias("_text"), once(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.filter(F.split(normalised(x), " "), lambda w: w != ""))).alias("_lines"))
+    lines = lines.where(F.size("_lines") > 0)
+    if known:
+        lines = lines.select("*", once(F.array_intersect(F.flatten("_lines"), F.array(*map(F.lit, known)))).alias("_known")).where(F.size("_known") > 0)
+        hits = lambda x: F.size(F.filter(x, lambda w: F.array_contains("_known", w)))
+    else:
+        hits = F.size
+    lines = lines.select("*", once(F.transform("_lines", F.size)).alias("_counts"), once(F.transform("_lines", hits)).alias("_hits"))
+    total = lambda c, first, n: F.aggregate(F.slice(c, first, n), F.lit(0), lambda a, x: a + x)
+    n_lines = F.size("_lines")
+    # runs of lines begin and end with a line of words
+    begins = F.filter(F.sequence(F.lit(0), n_lines - 1), lambda i: F.get("_hits", i) > 0 if known else F.get("_counts", i) > 0)
+    begins = F.array_distinct(F.flatten(F.transform(begins, lambda i: F.sequence(F.greatest(i - RUN + 1, F.lit(0)), i)))) if known else begins
     run = F.transform(
-        F.sequence(F.lit(0), long_lines - 1),
-        lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), long_lines - i)), lambda k: F.struct(i.alias("line_no"), k.alias("n_lines"), (total(i + 1, k) - 1).alias("_n"), ((F.get("_counts", i) > 0) & (F.get("_counts", i + k - 1) > 0)).alias("_full"))),
+        begins,
+        lambda i: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(RUN), n_lines - i)),
+            lambda k: F.struct(i.alias("line_no"), k.alias("n_lines"), (total("_counts", i + 1, k) - 1).alias("_n"), total("_hits", i + 1, k).alias("_hit"), ((F.get("_counts", i) > 0) & (F.get("_counts", i + k - 1) > 0)).alias("_full")),
+        ),
     )
-    runs = lines.where(long_lines > 0).select("_id", "_lines", F.inline(F.flatten(run))).where("_full AND _n > 0")
-    runs = runs.join(sizes, "_n", "left_semi")
-    runs = runs.select("_id", F.lit("lines").alias("unit"), "line_no", "n_lines", F.split(F.array_join(F.filter(F.slice("_lines", F.col("line_no") + 1, F.col("n_lines")), lambda x: x != ""), " "), " ").alias("_words"))
-    whole = lines.where((long_lines > 1) & (total(1, long_lines) > 1)).select("_id", F.lit("document").alias("unit"), F.lit(-1).alias("line_no"), long_lines.alias("n_lines"), F.split(F.array_join(F.filter("_lines", lambda x: x != ""), " "), " ").alias("_words"))
-    parts = lines.where(long_lines > RUN).select("_id", F.posexplode(F.split("_text", r"\n\s*\n")).alias("line_no", "_part"))
-    parts = parts.where(F.size(F.split("_part", "\n")) > RUN).select("_id", F.lit("paragraph").alias("unit"), "line_no", F.size(F.split("_part", "\n")).alias("n_lines"), F.split(normalised(F.col("_part")), " ").alias("_words"))
-    longer = whole.union(parts).withColumn("_n", F.size("_words") - 1).where("_n > 0").join(sizes, "_n", "left_semi").select(*runs.columns)
-    return runs.union(longer).withColumn("_n", F.size("_words") - 1)
+    enough = F.expr(f"_n > 0 AND _hit >= _n * {least!r} + 1 - 1e-9")
+    runs = lines.select("_id", "_lines", F.inline(F.flatten(run))).where("_full").where(enough)
+    runs = runs.select("_id", F.lit("lines").alias("unit"), "line_no", "n_lines", F.flatten(F.slice("_lines", F.col("line_no") + 1, F.col("n_lines"))).alias("_words"), "_n")
+    whole = lines.where(n_lines > 1).select("_id", F.lit("document").alias("unit"), F.lit(-1).alias("line_no"), n_lines.alias("n_lines"), F.flatten("_lines").alias("_words"), (F.aggregate("_counts", F.lit(0), lambda a, x: a + x) - 1).alias("_n"), F.aggregate("_hits", F.lit(0), lambda a, x: a + x).alias("_hit"))
+    whole = whole.where(enough).drop("_hit")
+    parts = lines.where(n_lines > RUN).select("_id", *(["_known"] if known else []), F.posexplode(F.split("_text", r"\n\s*\n")).alias("line_no", "_part")).where(F.size(F.split("_part", "\n")) > RUN)
+    parts = parts.select("*", once(F.filter(F.split(normalised(F.col("_part")), " "), lambda w: w != "")).alias("_words"))
+    parts = parts.withColumn("_n", F.size("_words") - 1).withColumn("_hit", hits(F.col("_words"))).where(enough)
+    parts = parts.select("_id", F.lit("paragraph").alias("unit"), "line_no", F.size(F.split("_part", "\n")).alias("n_lines"), "_words", "_n")
+    return runs.union(whole).union(parts).join(sizes, "_n", "left_semi")
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,10 +215,12 @@ def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id
     )
     theirs = words.select("license_id", "part", bigrams(F.col("_own")).alias("_theirs"))
     sizes = listed.select("_n").distinct()
+    known = [r[0] for r in words.select(F.explode("_own")).distinct().limit(KNOWN_WORDS + 1).collect()]
+    known = sorted(known) if len(known) <= KNOWN_WORDS else []
     if (listed.agg(F.sum(F.size("_vocabulary"))).first()[0] or 0) <= BROADCAST_WORDS:
         listed, theirs, sizes = F.broadcast(listed), F.broadcast(theirs), F.broadcast(sizes)
     found = (
-        units_of(docs, sizes, id_col, text_col)
+        units_of(docs, sizes, known, threshold, id_col, text_col)
         .join(listed, "_n")
         .where(F.size(F.array_except("_vocabulary", "_words")) <= F.col("_may_lack"))
         .join(theirs, ["license_id", "part"])
@@ -235,19 +260,22 @@ WITH templates(license_id, part, text) AS (VALUES {", ".join(f"({_sql_text(i)},
 theirs AS (
   SELECT license_id, part, {_NUMBERED} AS b FROM (SELECT license_id, part, {_PAIRS} AS p FROM (SELECT license_id, part, {_WORDS.format("text")} AS w FROM templates) WHERE len(w) > 1)
 ),
-docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS raw, list_transform(string_split(text, chr(10)), lambda x: list_filter({_WORDS.format("x")}, lambda y: y <> '')) AS ls FROM documents WHERE text IS NOT NULL),
-starts AS (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM docs),
-runs AS (SELECT doc_id, ls, i, unnest(range(1, least({RUN}, len(ls) - i) + 1)) AS k FROM starts),
+known AS (SELECT DISTINCT unnest({_WORDS.format("text")}) AS word FROM templates),
+lined AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: list_filter({_WORDS.format("x")}, lambda y: y <> '')) AS ls FROM documents WHERE text IS NOT NULL),
+hits AS (SELECT doc_id, list(DISTINCT word) AS ks FROM (SELECT DISTINCT doc_id, unnest(flatten(ls)) AS word FROM lined) JOIN known USING (word) GROUP BY doc_id),
+docs AS (SELECT * FROM lined JOIN hits USING (doc_id)),
+starts AS (SELECT doc_id, ls, ks, unnest(range(0, len(ls))) AS i FROM docs),
+runs AS (SELECT doc_id, ls, ks, i, unnest(range(1, least({RUN}, len(ls) - i) + 1)) AS k FROM starts),
 units AS (
-  SELECT doc_id, 'lines' AS unit, i AS line_no, k AS n_lines, flatten(ls[i + 1:i + k]) AS w FROM runs WHERE len(ls[i + 1]) > 0 AND len(ls[i + k]) > 0
-  UNION ALL SELECT doc_id, 'document', -1, len(ls), flatten(ls) FROM docs WHERE len(ls) > 1
-  UNION ALL SELECT doc_id, 'paragraph', i - 1, len(string_split(ps[i], chr(10))), list_filter({_WORDS.format("ps[i]")}, lambda y: y <> '')
-  FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, string_split_regex(text, '\\n\\s*\\n') AS ps FROM docs WHERE len(ls) > {RUN})) WHERE len(string_split(ps[i], chr(10))) > {RUN}
+  SELECT doc_id, 'lines' AS unit, i AS line_no, k AS n_lines, flatten(ls[i + 1:i + k]) AS w, ks FROM runs WHERE len(ls[i + 1]) > 0 AND len(ls[i + k]) > 0
+  UNION ALL SELECT doc_id, 'document', -1, len(ls), flatten(ls), ks FROM docs WHERE len(ls) > 1
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, len(string_split(ps[i], chr(10))), list_filter({_WORDS.format("ps[i]")}, lambda y: y <> ''), ks
+  FROM (SELECT doc_id, ks, ps, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, ks, string_split_regex(text, '\\n\\s*\\n') AS ps FROM docs WHERE len(ls) > {RUN})) WHERE len(string_split(ps[i], chr(10))) > {RUN}
 ),
 near AS (
-  SELECT doc_id, unit, line_no, n_lines, license_id, part, t.b AS b, w FROM units s JOIN theirs t
-  ON len(s.w) > 1 AND len(s.w) - 1 BETWEEN len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
-  WHERE 2 * len(list_intersect(list_distinct(s.w), list_distinct(list_transform(t.b, lambda x: split_part(x, ' ', 1))))) >= 1
+  SELECT doc_id, unit, line_no, n_lines, license_id, part, t.b AS b, w
+  FROM (SELECT * FROM units WHERE len(w) > 1 AND len(list_filter(w, lambda x: list_contains(ks, x))) >= (len(w) - 1) * {THRESHOLD} / (2 - {THRESHOLD})) s JOIN theirs t
+  ON len(s.w) - 1 BETWEEN len(t.b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9 AND len(t.b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9
 ),
 scored AS (
   SELECT doc_id, unit, line_no, n_lines, license_id, part, len(list_intersect(a, b)) AS shared, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
