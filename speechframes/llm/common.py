@@ -45,7 +45,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_to = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made. Nothing that is still to run may read them."""
+    for made in tables:
+        context = made.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(made.written_to)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

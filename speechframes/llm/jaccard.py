@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import LOWEST, ordered_keys, pieces, table, written
+from speechframes.llm.common import LOWEST, discard, ordered_keys, pieces, table, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -435,6 +435,7 @@ def linked_classes(forest: DataFrame, texts: DataFrame, depth: int, threshold: f
         links = in_blocks(mixed_nodes, n_mixed, texts, threshold, True, "jaccard-across")
         if not links.isEmpty():
             classes = merged(classes, links.select(F.col("key").alias("a"), F.col("with").alias("b")))
+    discard(live)
     return classes, texts
 
 
@@ -458,9 +459,11 @@ def classified(keyed: DataFrame, threshold: float, text_col: str, plain: bool) -
     forest = firsts.select(F.col("rep").alias("key"), "n", tree.alias("at")).select("at.*", "key", "n")
     forest = written(forest.repartitionByRange(parts, "tree", "high", "low").sortWithinPartitions("tree", "high", "low"), "jaccard-forest")
     classes, near = linked_classes(forest, texts, depth, threshold)
+    discard(forest)
     several = classes.groupBy("class").agg(F.count("*").alias("rows")).where("rows > 1")
     inside = written(spread_join(classes, several, "class", "rows", "key", classes.count()).select(F.col("class").alias("root"), "key", "class", "n"), "jaccard-inside")
     counted = in_blocks(inside, inside.count(), near, threshold, False, "jaccard-counts").groupBy("key").agg(F.sum("links").alias("n_links"))
+    discard(near)
     linked = inside.join(counted, "key").select(F.col("key").alias("text_class"), "n_links", "root")
     members = sets.where("n > 0").join(firsts.select("one", "two", F.col("rep").alias("text_class")), ["one", "two"]).select("key", "text_class")
     members = members.unionByName(sets.where("n = 0").select("key", F.col("key").alias("text_class")))
