@@ -15,8 +15,9 @@ The driver sees one id for each range.
 Defined cases: null texts are empty; an empty text has no k-mer and the
 fingerprint of zeros, alike 1 to another empty text and 0 to any other; a text
 shorter than k is one k-mer; if there are fewer k-mers than minima, the tuple is
-filled up with zeros; null ids come last; equal ids are ordered by the hash of
-their text; a single document is its own next; an empty table gives an empty
+filled up with zeros; ids are integers, null ids come last in an order by the
+hash of their text (over several ranges); equal ids are ordered by the hash of
+their text, in one range; a single document is its own next; an empty table gives an empty
 result; columns beside id and text are ignored.
 """
 
@@ -26,11 +27,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import table
+from speechframes.llm.common import pieces, table
 
 K = 8
 SKETCHES = 64
@@ -114,29 +116,41 @@ def fingerprint(docs: DataFrame, text_col: str = "text", out_col: str = "fingerp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [as_text(sketch(t or "")) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.select(kept_names).columns, pa.array(made, pa.string())], [*kept_names, out_col])
+            for part in pieces(batch, text_col):
+                made = [as_text(sketch(t or "")) for t in part.column(text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.select(kept_names).columns, pa.array(made, pa.string())], [*kept_names, out_col])
 
     return docs.select(*kept_names).mapInArrow(run, docs.select(*kept_names).withColumn(out_col, F.lit("")).schema)
 
 
 def in_next_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (_range, _ghost, id, text), each range in one partition, in order; its last rows (_ghost) begin the range below."""
+    """Rows (_range, _ghost, id, text), each range in one partition, in order; its last rows (_ghost) begin the range below.
+
+    The bounds and the first keys of the ranges, one number each, go to the tasks
+    as sorted arrays, where a key's range is a binary search.
+    """
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("_key", F.coalesce("id", F.lit(LOWEST)))
-    bounds = sorted({int(b) for b in rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    place = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    ranged = rows.withColumn("_range", place)
-    tops = dict(sorted((r["_range"], r["top"]) for r in ranged.groupBy("_range").agg(F.max("_key").alias("top")).collect()))
-    if not tops:
-        return ranged.select("_range", F.lit(0).alias("_ghost"), "id", "text", "_key")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # rows without id share the lowest quarter of the keys, dealt by the hash of their text
+    unnamed = F.lit(LOWEST) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    rows = rows.withColumn("_key", F.when(F.col("id").isNull(), unnamed).otherwise(F.greatest("id", F.lit(LOWEST >> 1))))
+    bounds = np.array(sorted({int(b) for b in rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64)
+    place = F.pandas_udf(lambda key: pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right")), "long")
+    tops = dict(sorted((r["_range"], r["top"]) for r in rows.groupBy(place("_key").alias("_range")).agg(F.max("_key").alias("top")).collect()))
     ranges = list(tops)
-    above = {tops[r]: ranges[(i + 1) % len(ranges)] for i, r in enumerate(ranges)}
-    goes_to = F.create_map(*[F.lit(x) for pair in above.items() for x in pair])
-    ghosts = rows.where(F.col("_key").isin(list(above))).withColumn("_range", F.element_at(goes_to, F.col("_key")))
-    both = ranged.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)))
-    return both.repartitionByRange(parts, "_range").sortWithinPartitions("_range", "_ghost", F.desc("_key"), F.xxhash64("text")).select("_range", "_ghost", "id", "text")
+    firsts = np.array([tops[r] for r in ranges], np.int64)
+    above = np.array([*ranges[1:], *ranges[:1]], np.int64)
+
+    def places(key: pd.Series) -> pd.Series:
+        """A row's range, and for the first rows of a range also the one above."""
+        keys = key.to_numpy()
+        own = np.searchsorted(bounds, keys, side="right")
+        at = np.minimum(np.searchsorted(firsts, keys), len(firsts) - 1)
+        return pd.Series([[o, a] if f else [o] for o, a, f in zip(own.tolist(), above[at].tolist(), (firsts[at] == keys).tolist(), strict=True)])
+
+    both = rows.select("id", "text", "_key", F.posexplode(F.pandas_udf(places, "array<long>")("_key")).alias("_ghost", "_range"))
+    return both.repartitionByRange(parts, "_range").sortWithinPartitions("_range", "_ghost", F.desc("_key"), F.desc("id"), F.xxhash64("text")).select("_range", "_ghost", "id", "text")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,13 +159,14 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def pairs(batches: Iterator[pa.RecordBatch]):
         last = None
         for batch in batches:
-            for place, ghost, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_range", "_ghost", "id", "text")), strict=True):
-                if ghost and (last is None or last[0] != place):
-                    continue  # a further row of the same id: the first one is the next document
-                made = sketch(text)
-                if last is not None and last[0] == place:
-                    yield last[1:], (text, made)
-                last = None if ghost else (place, doc_id, text, made)
+            for part in pieces(batch, "text"):
+                for place, ghost, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("_range", "_ghost", "id", "text")), strict=True):
+                    if ghost and (last is None or last[0] != place):
+                        continue  # a further row of the same id: the first one is the next document
+                    made = sketch(text)
+                    if last is not None and last[0] == place:
+                        yield last[1:], (text, made)
+                    last = None if ghost else (place, doc_id, text, made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -208,3 +208,33 @@ def test_fingerprints_odd_rows(spark, odd_docs, no_docs):
     one = O.compare_with_next(spark.createDataFrame([(7, "only one here")], "doc_id long, text string")).first()
     assert one["near_next"] == 1.0
     assert {r["fingerprint"] for r in O.fingerprint(odd_docs.withColumn("fingerprint", F.lit(1))).where("text = ''").collect()} == {"0" * 4 * O.SKETCHES}
+
+
+def test_fingerprints_hot_null_ids(spark):
+    data = [(None, f"text number {i} of those without id") for i in range(400)] + [(i, f"document {i}") for i in range(100)] + [(-(1 << 63), "the least id"), ((1 << 63) - 1, "the greatest")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    ranges = O.in_next_order(docs, "doc_id", "text").where("_ghost = 0 AND id IS NULL").select("_range").distinct().count()
+    assert ranges > 3
+    got = O.compare_with_next(docs).collect()
+    assert len(got) == len(data)
+    # each text is the next one of exactly one document
+    whole = dict(data[400:])
+    by_edit = {r["edited_sha256"] for r in got if r["doc_id"] == 0}
+    ends = {hashlib.sha256((whole[0][:-3] + t[:3]).encode()).hexdigest() for i, t in data if i == -(1 << 63)}
+    assert by_edit == ends
+    n = len(whole[-(1 << 63)]) // 3
+    first_unnamed = {hashlib.sha256((whole[-(1 << 63)][:-n] + t[:n]).encode()).hexdigest() for i, t in data if i is None}
+    assert {r["edited_sha256"] for r in got if r["doc_id"] == -(1 << 63)} <= first_unnamed
+
+
+def test_kmers_are_numbered_by_occurrence():
+    text = "abababab" * 5 + "xyz"
+    seen, numbered = collections.Counter(), []
+    for i in range(len(text) - O.K + 1):
+        gram = text[i : i + O.K]
+        numbered.append((gram, seen[gram]))
+        seen[gram] += 1
+    made = O.numbered_kmers(text).tolist()
+    assert len(made) == len(numbered) and len(set(made)) == len(set(numbered))
+    longer = O.numbered_kmers(text + "tail").tolist()
+    assert longer[: len(made)] == made  # a k-mer's number counts what stands before it
