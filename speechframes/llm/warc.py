@@ -1,7 +1,7 @@
 """WARC archives: an index first, then coalesced byte-range reads.
 
-``write_archives`` writes one archive for each task into a folder that all
-executors share, each record a gzip member of its own, and with it an index:
+``write_archives`` writes archives of about 1 GB at most, one or more for each
+task, into a folder that all executors share, each record a gzip member of its own, and with it an index:
 for each record the archive, offset, length, URL and payload digest. ``read_records`` takes any selection of index
 rows, sorts them by archive and offset, joins neighbouring ranges into few
 large reads, and parses the records out of them.
@@ -36,12 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import new_path, table, utf8
+from speechframes.llm.common import new_path, pieces, table, utf8
 
 INDEX_SCHEMA = "archive string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 RECORD_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 GAP, SPAN = 64 << 10, 8 << 20
 FLUSH = 4 << 20
+ROLL = 1 << 30  # an archive of this size is closed and another begun
 GZIP_LEVEL = 4
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL name space of RFC 4122
 
@@ -50,20 +51,26 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id: int | None, url: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id} {url}')}>"
+def record_id(page_id: int | None, url: str, place: str) -> str:
+    """The id of a page's record; a page without id is named by the place of its record."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{place if page_id is None else page_id} {url}')}>"
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> tuple[bytes, str]:
-    """One record and its payload digest. A revisit carries the length and digest of the payload it leaves out."""
+def escaped(url: str | None) -> str:
+    return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
+
+
+def record(page_id: int | None, url: str, payload: bytes, refers_to: tuple[int, str] | None, place: str = "") -> tuple[bytes, str]:
+    """One record and its payload digest. A revisit carries the length and digest of the payload it leaves out,
+    and the id and URL of the page it refers to."""
     named = digest(payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{named}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, url, place)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{named}"]
     lines += [f"X-Page-ID: {'' if page_id is None else page_id}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(*refers_to, '')}", f"WARC-Refers-To-Target-URI: {refers_to[1]}", f"X-Refers-To-Page-ID: {refers_to[0]}"]
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     body = head + (payload if refers_to is None else b"")
-    lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}", "", ""]
+    lines += [f"WARC-Block-Digest: sha1:{digest(body)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}", "", ""]
     return gzip.compress("\r\n".join(lines).encode() + body + b"\r\n\r\n", GZIP_LEVEL, mtime=0), named
 
 
@@ -93,17 +100,21 @@ def _writer(folder: str):
 
         where, path = filesystem(folder)
         task = TaskContext.get()
-        name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.gz"
-        out, offset = None, 0
-        for batch in batches:
+        stem = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+        out, offset, n = None, 0, 0
+        for part in (p for batch in batches for p in pieces(batch, "payload")):
             rows = []
-            for page_id, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
+            for page_id, url, payload, refers_to, target in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to", "target")), strict=True):
+                if out is not None and offset >= ROLL:
+                    out.close()
+                    out, offset = None, 0
                 if out is None:
+                    name, n = f"{stem}-{n:05d}.warc.gz", n + 1
                     if isinstance(where, fs.LocalFileSystem):
                         where.create_dir(path, recursive=True)
                     out = where.open_output_stream(f"{path}/{name}", compression=None, buffer_size=FLUSH)
-                url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", url or "")
-                data, named = record(page_id, url, payload, refers_to)
+                url = escaped(url)
+                data, named = record(page_id, url, payload, None if refers_to is None else (refers_to, escaped(target)), f"{name} {offset}")
                 out.write(data)
                 rows.append((name, offset, len(data), page_id, url, named, "response" if refers_to is None else "revisit"))
                 offset += len(data)
@@ -124,8 +135,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), utf8(F.col(payload_col)).alias("payload"))
     keyed = rows.withColumn("_sha", F.sha1("payload"))
-    firsts = keyed.where(F.length("payload") >= least_bytes).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    told = keyed.join(firsts, "_sha", "left").select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("_first"), F.col("_first")).alias("refers_to"))
+    firsts = keyed.where(F.length("payload") >= least_bytes).groupBy("_sha").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    other = F.col("page_id") != F.col("_first.page_id")
+    told = keyed.join(firsts, "_sha", "left").select("page_id", "url", "payload", F.when(other, F.col("_first.page_id")).alias("refers_to"), F.when(other, F.col("_first.url")).alias("target"))
     index = told.mapInArrow(_writer(f"{folder}/archives"), INDEX_SCHEMA)
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
@@ -150,6 +162,8 @@ def _reader(folder: str):
             for run in ranges(zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True)):
                 name, start, end = run[0][0], run[0][1], run[-1][1] + run[-1][2]
                 if opened[0] != name:
+                    if opened[1] is not None:
+                        opened[1].close()
                     opened = (name, where.open_input_file(f"{path}/{name}"))
                 block = memoryview(opened[1].read_at(end - start, start))
                 out = []
@@ -163,6 +177,8 @@ def _reader(folder: str):
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
                 names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        if opened[1] is not None:
+            opened[1].close()
 
     return read
 

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from speechframes.llm import warc
@@ -45,3 +46,28 @@ def test_least_bytes_and_empty(spark):
     assert sorted((r["page_id"], r["record_type"]) for r in read.collect()) == [(1, "response"), (2, "response"), (3, "response"), (4, "revisit")]
     _, index, read = crawl(spark, [])
     assert index.count() == 0 and read.count() == 0
+
+
+def test_rolled_archives_and_named_targets(spark, monkeypatch):
+    data = [(1, "http://a", "same"), (2, "http://b", "same"), (None, "u", "n1"), (None, "u", "n2")]
+    folder, index, _ = crawl(spark, data)
+    where, path = warc.filesystem(f"{folder}/archives")
+    heads = {}
+    for row in index.collect():
+        with where.open_input_file(f"{path}/{row['archive']}") as f:
+            fields, _ = warc.parse(memoryview(f.read_at(row["length"], row["offset"])))
+        heads[fields["WARC-Record-ID"]] = fields
+    assert len(heads) == 4  # pages without id get records with ids of their own
+    revisit = next(f for f in heads.values() if f["WARC-Type"] == "revisit")
+    assert heads[revisit["WARC-Refers-To"]]["X-Page-ID"] == "1" and revisit["WARC-Refers-To-Target-URI"] == "http://a"
+    out = []
+
+    class Task:
+        partitionId = taskAttemptId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(warc, "ROLL", 1)
+    monkeypatch.setattr(warc.TaskContext, "get", staticmethod(Task))
+    rows = pa.RecordBatch.from_pylist([{"page_id": i, "url": "u", "payload": b"x", "refers_to": None, "target": None} for i in range(3)], pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("refers_to", pa.int64()), ("target", pa.string())]))
+    for batch in warc._writer(f"{folder}/rolled")(iter([rows])):
+        out += batch.to_pylist()
+    assert len({r["archive"] for r in out}) == 3 and {r["offset"] for r in out} == {0}
