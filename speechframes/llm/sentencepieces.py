@@ -82,6 +82,8 @@ def load_vocabulary(model_file: str) -> Vocabulary:
     if any(BLANK in p.lstrip(BLANK) for p in ids):
         raise ValueError("a piece spans words")
     scores = np.array([sp.get_score(i) for i in range(n)])
+    if np.unique(scores[list(ids.values())], return_counts=True)[1][-1] > 1:  # learned pieces rank below each other, such symbols are all alike
+        raise ValueError("models with user-defined symbols are not supported")
     ranks = np.unique(-scores, return_inverse=True)[1]
     char_ids = np.full(0x110000, -1, np.int32)
     table: dict[int, int] = {}
