@@ -57,6 +57,28 @@ def score_windows(rows: DataFrame, transcribe: Callable, schema: str, language:
     return rows.sortWithinPartitions(language).mapInPandas(run, schema)
 
 
+def embed_samples(samples: DataFrame, embed: Callable, content: str = "content") -> DataFrame:
+    """samples with embedding: embed(bytes) gives a vector; samples without content have none."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if c is None else [float(x) for x in embed(bytes(c))] for c in batch], dtype=object)
+
+    return samples.withColumn("embedding", F.pandas_udf(run, "array<double>")(content))
+
+
+def score_profiles(rows: DataFrame, scorers: dict[str, Callable], default: str, schema: str, profile: str = "provider_profile_id", **options) -> tuple[DataFrame, DataFrame]:
+    """Results of the scoring function that each row's profile names (blank: the default), and the rows whose profile is unknown."""
+    if default not in scorers:
+        raise ValueError(f"no scoring function for the default profile {default}")
+    chosen = rows.withColumn(profile, F.coalesce(F.nullif(profile, F.lit("")), F.lit(default)))
+    scored = [score_windows(chosen.where(F.col(profile) == name), scorer, schema, **options) for name, scorer in scorers.items()]
+    made = scored[0]
+    for more in scored[1:]:
+        made = made.unionByName(more)
+    return made, chosen.where(~F.col(profile).isin(list(scorers))).withColumn("reason", F.lit("unknown-profile"))
+
+
 def refine_windows(chunks: DataFrame, words: DataFrame, turns: DataFrame, size: int, track: str, names: DataFrame | None = None) -> DataFrame:
     """One refined event per slice: words of the slice with speakers, nested and moved to the absolute clock.
 

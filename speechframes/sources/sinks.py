@@ -64,3 +64,18 @@ def finished_events(recordings: DataFrame, final_tracks) -> DataFrame:
     header = lambda k, v: F.struct(F.lit(k).alias("key"), F.encode(v, "UTF-8").alias("value"))
     store = F.when(F.col("store_recording"), "true").otherwise("false")
     return recordings.withColumn("headers", F.array(header("x-store-recording", store), header("x-outputs", F.lit("final")), header("x-final-tracks", F.array_join(final_tracks, ","))))
+
+
+def asr_events(results: DataFrame, default_lang: str = "", default_profile: str = "") -> DataFrame:
+    """Public event rows of recognition results (session_id, start_s, end_s, text, is_final, lang, speaker); no null or blank language while there is a default."""
+    lang = F.coalesce(F.nullif("lang", F.lit("")), F.lit(default_lang))
+    kind = F.when(F.col("is_final"), "FINAL").otherwise("PARTIAL")
+    return results.select("session_id", "start_s", "end_s", F.coalesce("text", F.lit("")).alias("text"), kind.alias("type"), lang.alias("lang"), F.coalesce("speaker", F.lit("")).alias("speaker"), F.lit(default_profile).alias("provider_profile_id"))
+
+
+def refined_lines(events: DataFrame) -> DataFrame:
+    """events with a line to read: session (the message key where it lacks one), span, speaker, text. For a console or memory sink."""
+    blank = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), other)
+    session = blank("session_id", F.col("key").cast("string") if "key" in events.columns else F.lit(""))
+    span = F.format_string("%.2f-%.2fs", "start_s", "end_s")
+    return events.withColumn("line", F.concat_ws(" ", F.concat(F.lit("session="), F.coalesce(session, F.lit(""))), span, F.concat(F.lit("speaker="), blank("speaker", F.lit("?"))), F.concat(F.lit("text="), F.coalesce("text", F.lit("")))))

@@ -398,3 +398,23 @@ def test_word_timings_and_unsupported(spark):
     df = spark.createDataFrame([([(0.0, 1.0, "a", None), (None, 1.0, "b", None), (1.0, 2.0, None, " c "), (2.0, 3.0, " ", None)], ["en", "xx", "xx", "de"])], "words array<struct<start:double,end:double,word:string,text:string>>, langs array<string>")
     row = df.select(assemble.word_timings(F.col("words")).alias("w"), languages.unsupported(F.col("langs"), ["en", "de"]).alias("u")).first()
     assert [w["text"] for w in row["w"]] == ["a", "c"] and row["u"] == ["xx"]
+
+
+def test_event_rows_and_lines(spark, rows):
+    from speechframes.sources import sinks
+
+    results = spark.createDataFrame([("s", 0.0, 1.5, "hi", True, None, None), ("s", 1.5, 2.0, None, False, "de", "A")], "session_id string, start_s double, end_s double, text string, is_final boolean, lang string, speaker string")
+    assert rows(sinks.asr_events(results, "en", "p")) == [("s", 0.0, 1.5, "hi", "FINAL", "en", "", "p"), ("s", 1.5, 2.0, "", "PARTIAL", "de", "A", "p")]
+    events = spark.createDataFrame([("", "k1", 0.0, 1.5, None, "hi"), ("s", "k2", 1.0, 12.25, "A", "yo")], "session_id string, key string, start_s double, end_s double, speaker string, text string")
+    assert rows(sinks.refined_lines(events), "line") == [("session=k1 0.00-1.50s speaker=? text=hi",), ("session=s 1.00-12.25s speaker=A text=yo",)]
+
+
+def test_profiles_and_embeddings(spark, rows):
+    data = spark.createDataFrame([(1, None, "en"), (2, "b", "en"), (3, "x", "de"), (4, "", None)], "id long, provider_profile_id string, lang string")
+    scorer = lambda tag: lambda part: [part[["id"]].iloc[[i]].assign(text=tag) for i in range(len(part))]
+    made, rejected = jobs.score_profiles(data, {"a": scorer("A"), "b": scorer("B")}, "a", "id long, text string")
+    assert rows(made) == [(1, "A"), (2, "B"), (4, "A")]
+    assert rows(rejected, "id", "reason") == [(3, "unknown-profile")]
+    samples = spark.createDataFrame([(1, bytearray(b"ab")), (2, None)], "id long, content binary")
+    got = {r["id"]: r["embedding"] for r in jobs.embed_samples(samples, lambda c: [len(c), c[0]]).collect()}
+    assert got == {1: [2.0, 97.0], 2: None}
