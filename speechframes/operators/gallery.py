@@ -1,8 +1,9 @@
 """Speaker galleries from sample embeddings, and matching against them.
 
-A gallery has at most ``MOST_SPEAKERS`` labels for each tenant, so it fits in
-one array per tenant: probes meet it in a join on the tenant without
-multiplying their rows.
+A tenant's labels meet probes as one array, in a join on the tenant that does
+not multiply their rows. A strict gallery has at most ``MOST_SPEAKERS`` labels
+for each tenant; a lenient one has what the tenant enrolled, without a bound of
+its own.
 """
 
 from __future__ import annotations
