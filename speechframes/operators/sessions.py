@@ -32,11 +32,14 @@ def end_marker_sessions(chunks: DataFrame, keys: list[str], order: list[str] = (
 
 
 def assemble_pcm(chunks: DataFrame, keys: list[str], most_bytes: int = 512 << 20) -> DataFrame:
-    """One row per recording with its payload in order; recordings over ``most_bytes`` keep a null payload and a reason."""
+    """One row per recording with its payload in order; recordings over ``most_bytes`` keep a null payload and a reason.
+
+    The payloads are joined once, as hexadecimal text; chunks without one add nothing.
+    """
     sized = chunks.groupBy(*keys).agg(F.sum(F.octet_length("pcm")).alias("n_bytes"))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "pcm"))), lambda p: p["pcm"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("seq", "pcm"))), lambda p: F.hex(p["pcm"]))
     fits = chunks.join(sized.where(F.col("n_bytes") <= most_bytes), keys, "left_semi")
-    joined = fits.groupBy(*keys).agg(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b)).alias("pcm"))
+    joined = fits.groupBy(*keys).agg(F.unhex(F.array_join(parts, "")).alias("pcm"))
     return sized.join(joined, keys, "left").withColumn("reason", F.when(F.col("n_bytes") > most_bytes, "too-large"))
 
 
