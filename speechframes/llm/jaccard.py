@@ -467,7 +467,9 @@ def classified(keyed: DataFrame, threshold: float, text_col: str, plain: bool) -
     linked = inside.join(counted, "key").select(F.col("key").alias("text_class"), "n_links", "root")
     members = sets.where("n > 0").join(firsts.select("one", "two", F.col("rep").alias("text_class")), ["one", "two"]).select("key", "text_class")
     members = members.unionByName(sets.where("n = 0").select("key", F.col("key").alias("text_class")))
-    return members.join(linked, "text_class", "left").select("key", F.coalesce("root", "text_class").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_class")
+    found = written(members.join(linked, "text_class", "left").select("key", F.coalesce("root", "text_class").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_class"), "jaccard-classes")
+    discard(sets, firsts, inside)
+    return found
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
