@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechframes.operators import ordered
 from speechframes.plans import views
-from speechframes.plans.streams import kinds
+from speechframes.plans.streams import KINDS, kinds
 from speechframes.plans.views import WORDS
 from speechframes.sources import wav
 
@@ -103,7 +103,30 @@ w AS (SELECT *, CASE WHEN cut THEN 'wrong-length' WHEN n = 0 THEN 'frames' WHEN
 LEVELS = """r AS (SELECT *, CAST(round_even(n * 16000 / rate, 0) AS BIGINT) AS m FROM w),
 j AS (SELECT *, n * 1.0 / m AS pace, CAST(floor((n - 1) * m / n) AS BIGINT) AS k FROM r WHERE m > 1 AND reason IS NULL),
 l AS (SELECT event_id, CASE width WHEN 1 THEN 0.25 WHEN 2 THEN 8208 / 32768 ELSE sqrt((pace * pace * k * (k + 1) * (2 * k + 1) / 6 + (m - 1 - k) * (n - 1.0) * (n - 1.0)) / m) / 8388608 END AS level FROM j)"""
+# a window's words count against the ends of the words that earlier windows gave
+NOVEL = f"""{WORDS}, w AS (SELECT session_id, s_ms // 4000 AS win, s_ms, e_ms, turn * 100000 + idx AS idx, word FROM words),
+steps AS (SELECT session_id, win, row_number() OVER (PARTITION BY session_id ORDER BY win) AS k FROM (SELECT DISTINCT session_id, win FROM w)),
+listed AS (SELECT session_id, k, s_ms, e_ms FROM w JOIN steps USING (session_id, win)),
+said(session_id, k, printed) AS (SELECT session_id, k, CAST(0 AS BIGINT) FROM steps WHERE k = 1
+  UNION ALL SELECT p.session_id, p.k + 1, greatest(p.printed, CAST(coalesce(max(l.e_ms) FILTER (WHERE l.s_ms > p.printed + 1), 0) AS BIGINT)) FROM said p JOIN listed l ON l.session_id = p.session_id AND l.k = p.k GROUP BY p.session_id, p.k, p.printed)"""
+# each step reads the session's next chunk; seq is gapless
+FORCED = f"""{KINDS}, f(session_id, seq, forced, since_final) AS (SELECT DISTINCT session_id, CAST(-1 AS BIGINT), FALSE, CAST(0 AS BIGINT) FROM kinds
+  UNION ALL SELECT c.session_id, c.seq, c.kind <> 'FINAL' AND f.since_final + c.n_samples >= 30000, CASE WHEN c.kind = 'FINAL' OR f.since_final + c.n_samples >= 30000 THEN 0 ELSE f.since_final + c.n_samples END
+  FROM f JOIN kinds c ON c.session_id = f.session_id AND c.seq = f.seq + 1)"""
+# chunks come 0.4 s apart, so the clock is never reset; begun is what was committed before the chunk, commits how many windows it completes
+GATED = f"""{KINDS}, c AS (SELECT session_id, seq, n_samples, CASE WHEN event_type = 'error' THEN '' ELSE text END AS said, sum(n_samples) OVER (PARTITION BY session_id ORDER BY seq) AS ingested FROM kinds),
+e AS (SELECT session_id, seq, said, CAST(ingested AS BIGINT) AS ingested, seq * 400000 - CAST(ingested AS BIGINT) * 1000000 // 16000 > 2000000 AS lagging FROM c),
+g(session_id, seq, begun, ingested, commits, emitted_at, shown, last_text) AS (SELECT DISTINCT session_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), '' FROM e
+  UNION ALL SELECT session_id, seq, begun, ingested, commits, CASE WHEN due THEN ingested ELSE emitted_at END, CASE WHEN due AND said NOT IN ('', last_text) THEN said END,
+    CASE WHEN commits > 0 THEN '' WHEN due AND said <> '' THEN said ELSE last_text END
+  FROM (SELECT e.session_id, e.seq, e.said, e.ingested, g.emitted_at, g.last_text, g.begun + g.commits * 160000 AS begun, greatest(0, (e.ingested - g.begun - g.commits * 160000 - 16000) // 160000) AS commits,
+    NOT e.lagging AND e.ingested - g.emitted_at >= 11200 AND e.ingested - g.begun - g.commits * 160000 BETWEEN 24000 AND 159999 AS due
+    FROM g JOIN e ON e.session_id = g.session_id AND e.seq = g.seq + 1))"""
 ORACLES = {
+    "new_words": f"WITH RECURSIVE {NOVEL} SELECT w.session_id, w.win AS \"window\", w.s_ms, w.idx, w.word FROM w JOIN steps USING (session_id, win) JOIN said USING (session_id, k) WHERE w.s_ms > said.printed + 1",
+    "forced_endpoint": f"WITH RECURSIVE {FORCED} SELECT * FROM f WHERE seq >= 0",
+    "partial_gate": f"""WITH RECURSIVE {GATED} SELECT session_id, seq, 'PARTIAL' AS kind, begun AS start_sample, ingested AS end_sample, shown AS text FROM g WHERE shown IS NOT NULL
+UNION ALL SELECT session_id, seq, 'FINAL', begun + i * 160000, begun + (i + 1) * 160000, '' FROM g, LATERAL (SELECT unnest(range(commits)) AS i)""",
     "text_restore": f"WITH {WORDS}, n AS (SELECT session_id, turn, count(*) AS n_words FROM words WHERE regexp_replace(word, '[^\\p{{L}}\\p{{N}}]+', '', 'g') <> '' GROUP BY ALL) SELECT session_id, n.turn, n_words, CAST(NULL AS VARCHAR) AS reason, md5(text) AS text_md5 FROM n JOIN conversations c ON c.conv_id = n.session_id AND c.turn = n.turn",
     "native_turns": f"""WITH {WORDS}, t AS (SELECT *, (idx // 7 + turn) % 3 AS tag FROM words), g AS (SELECT session_id, turn, idx // 7 AS pos, tag, min(s_ms) AS s, max(e_ms) AS e FROM t GROUP BY ALL),
 n AS (SELECT *, lead(s) OVER (PARTITION BY session_id, turn ORDER BY pos) AS nx FROM g) SELECT session_id, turn, CAST(pos AS BIGINT) AS pos, CASE WHEN tag = 0 THEN '' ELSE printf('SPEAKER_%02d', tag - 1) END AS speaker, s AS start_ms, least(e, coalesce(nx, e)) AS end_ms FROM n""",
