@@ -122,7 +122,20 @@ g(session_id, seq, begun, ingested, commits, emitted_at, shown, last_text) AS (S
   FROM (SELECT e.session_id, e.seq, e.said, e.ingested, g.emitted_at, g.last_text, g.begun + g.commits * 160000 AS begun, greatest(0, (e.ingested - g.begun - g.commits * 160000 - 16000) // 160000) AS commits,
     NOT e.lagging AND e.ingested - g.emitted_at >= 11200 AND e.ingested - g.begun - g.commits * 160000 BETWEEN 24000 AND 159999 AS due
     FROM g JOIN e ON e.session_id = g.session_id AND e.seq = g.seq + 1))"""
+# echo: characters that the text repeats of what was said (eight at least); again: words, where no echo is found
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+BARE = r"list_transform({}, lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', '', 'g'))"
+MERGED = f"""t AS (SELECT conv_id AS session_id, turn, row_number() OVER line AS k, {STRIP.format("concat_ws(' ', trim(right(lag(trim(text)) OVER line, 40)), trim(text))")} AS new FROM conversations WINDOW line AS (PARTITION BY conv_id ORDER BY turn)),
+m(session_id, k, turn, novel, said) AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '' FROM t
+  UNION ALL SELECT session_id, k, CAST(turn AS BIGINT), {STRIP.format("CASE WHEN starts_with(whole, old) THEN substr(whole, length(old) + 1) ELSE whole END")}, whole
+  FROM (SELECT *, CASE WHEN old = '' OR new = '' THEN old || new WHEN echo >= 8 THEN {STRIP.format("old || substr(new, echo + 1)")} WHEN again > 0 THEN array_to_string(list_concat(olds, news[again + 1:]), ' ') ELSE old || ' ' || new END AS whole
+  FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(len(olds), len(news)) + 1), lambda j: bare_olds[-j:] = bare_news[:j] AND NOT list_contains(bare_news[:j], ''))), 0) AS again
+  FROM (SELECT *, {BARE.format("olds")} AS bare_olds, {BARE.format("news")} AS bare_news
+  FROM (SELECT t.session_id, t.k, t.turn, m.said AS old, t.new, string_split_regex(m.said, '\\s+') AS olds, string_split_regex(t.new, '\\s+') AS news,
+    coalesce(list_max(list_filter(range(8, least(length(m.said), length(t.new)) + 1), lambda n: lower(right(m.said, n)) = lower(left(t.new, n)))), 0) AS echo
+    FROM m JOIN t ON t.session_id = m.session_id AND t.k = m.k + 1)))))"""
 ORACLES = {
+    "text_merge": f"WITH RECURSIVE {MERGED} SELECT session_id, turn, novel, length(said) AS committed_chars, right(said, 200) AS context FROM m WHERE k > 0",
     "new_words": f"WITH RECURSIVE {NOVEL} SELECT w.session_id, w.win AS \"window\", w.s_ms, w.idx, w.word FROM w JOIN steps USING (session_id, win) JOIN said USING (session_id, k) WHERE w.s_ms > said.printed + 1",
     "forced_endpoint": f"WITH RECURSIVE {FORCED} SELECT * FROM f WHERE seq >= 0",
     "partial_gate": f"""WITH RECURSIVE {GATED} SELECT session_id, seq, 'PARTIAL' AS kind, begun AS start_sample, ingested AS end_sample, shown AS text FROM g WHERE shown IS NOT NULL
