@@ -52,9 +52,37 @@ SELECT t.doc_id, coalesce(roots.root, c.text_class, t.doc_id) AS class_id, coale
 FROM t LEFT JOIN c ON t.doc_id = c.doc_id LEFT JOIN n ON n.a = c.text_class LEFT JOIN roots ON roots.node = c.text_class
 """
 
+# crc32 bit by bit; pairs of equal words at distance p, whose gapless stretches are the runs
+PERIODIC = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w, CAST(doc_id AS VARCHAR) AS s FROM documents),
+c(doc_id, s, pos, crc, bits) AS (
+  SELECT DISTINCT doc_id, s, 1, xor(4294967295, CAST(ascii(substr(s, 1, 1)) AS BIGINT)), 0 FROM d WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, CASE WHEN bits = 8 THEN pos + 1 ELSE pos END,
+         CASE WHEN bits = 8 THEN xor(crc, CAST(ascii(substr(s, pos + 1, 1)) AS BIGINT)) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END, CASE WHEN bits = 8 THEN 0 ELSE bits + 1 END
+  FROM c WHERE NOT (bits = 8 AND pos = length(s))
+),
+h AS (SELECT doc_id, xor(crc, 4294967295) AS h FROM c WHERE bits = 8 AND pos = length(s)),
+a AS (SELECT k, d.doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d LEFT JOIN h USING (doc_id)),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT k, doc_id, CASE WHEN n > 0 AND h % 10 = 0 THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) ELSE w END AS w FROM p),
+u AS (SELECT k, unnest(w) AS word, unnest(range(len(w))) AS i FROM t),
+e AS (SELECT x.k, y.i - x.i AS p, x.i FROM u x JOIN u y ON x.k = y.k AND x.word = y.word AND x.i < y.i),
+r AS (SELECT k, p, min(i) AS s, count(*) + p AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY k, p ORDER BY i) AS island FROM e) GROUP BY k, p, island HAVING count(*) >= greatest(p, 12 - p)),
+runs AS (SELECT k, s, l, min(p) AS p FROM r GROUP BY k, s, l),
+sums AS (SELECT k, count(*) AS n_runs, string_agg(s || ',' || l || ',' || p || chr(10), '' ORDER BY s, p) AS lines FROM runs GROUP BY k),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY l DESC, s, p) AS nth FROM runs) WHERE nth = 1),
+reach AS (SELECT u.k, u.i FROM u JOIN runs ON u.k = runs.k AND u.i >= runs.s + runs.p AND u.i < runs.s + runs.l GROUP BY u.k, u.i),
+kept AS (SELECT u.k, string_agg(word, ' ' ORDER BY u.i) AS x FROM u LEFT JOIN reach ON u.k = reach.k AND u.i = reach.i WHERE reach.i IS NULL GROUP BY u.k)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(x, '')) AS collapsed_sha256
+FROM t LEFT JOIN sums ON t.k = sums.k LEFT JOIN best ON t.k = best.k LEFT JOIN kept ON t.k = kept.k
+"""
+
 ORACLES = {
     "op3_warc": WARC,
     "op7_suffix_dedup": SUFFIXES,
     "op9_jaccard_join": JACCARD,
     "op10_license_scan": licenses.ORACLE,
+    "op11_periodic_runs": PERIODIC,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, oracles, sentencepieces, sharding, suffixes, toxicity, warc
+from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, oracles, periodic, sentencepieces, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLES = oracles.ORACLES
