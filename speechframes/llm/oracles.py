@@ -79,10 +79,59 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length,
 FROM t LEFT JOIN sums ON t.k = sums.k LEFT JOIN best ON t.k = best.k LEFT JOIN kept ON t.k = kept.k
 """
 
+# the same blocks, seats and seeded orders; 262144 is the number of blocks of a mix
+MIX = r"""
+WITH k AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS o
+  FROM documents
+),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM k GROUP BY source),
+w AS (SELECT *, [5, 2, 1][1 + nth % 3] AS weight, CAST(sum(words) OVER () AS BIGINT) AS mix FROM s),
+l AS (
+  SELECT *, CAST(greatest(1, ceil(mix / 262144)) AS BIGINT) AS block,
+         (mix - 3 * coalesce(sum(words) OVER (ORDER BY words / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY words / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM w
+),
+f AS (SELECT *, 3 * words <= rate * weight AS capped FROM l),
+g AS (SELECT *, first(CASE WHEN NOT capped THEN rate END) OVER (ORDER BY capped, words / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS common FROM f),
+t AS (SELECT *, CASE WHEN capped THEN CAST(3 * words AS DOUBLE) ELSE common * weight END AS target, CAST(ceil(words / block) AS BIGINT) AS cuts FROM g),
+seats AS (SELECT CAST(floor(coalesce(sum(target) / any_value(block), 0) + 0.5) AS BIGINT) AS n FROM t WHERE NOT capped),
+claims AS (SELECT nth, capped, cuts, weight, unnest(range(CASE WHEN capped THEN 3 * cuts ELSE least(3 * cuts, n) END)) AS pick FROM t, seats),
+given AS (SELECT nth, cuts, pick FROM (SELECT *, row_number() OVER (PARTITION BY capped ORDER BY weight / (2 * pick + 1) DESC, nth) AS r FROM claims), seats WHERE capped OR r <= n),
+turns AS (SELECT nth, pass, b, row_number() OVER (PARTITION BY nth, pass ORDER BY md5('0:' || nth || ':' || pass || ':' || b)) - 1 AS turn
+          FROM (SELECT nth, pass, unnest(range(cuts)) AS b FROM t, range(3) AS passes(pass))),
+times AS (SELECT turns.nth, b, count(given.nth) AS times FROM turns LEFT JOIN given ON given.nth = turns.nth AND given.pick // given.cuts = pass AND given.pick % given.cuts = turn GROUP BY turns.nth, b),
+c AS (SELECT times.nth, b, times, b * block AS from_word,
+             coalesce(sum(times * (least((b + 1) * block, words) - b * block)) OVER (PARTITION BY times.nth ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM times JOIN t USING (nth)),
+d AS (SELECT k.*, t.nth, t.words, t.target, t.block, sum(size) OVER (PARTITION BY t.nth ORDER BY o ROWS UNBOUNDED PRECEDING) AS x FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target,
+       CAST(CASE WHEN size > 0 THEN z.before + z.times * (x - z.from_word) - a.before - a.times * (x - size - a.from_word) ELSE 0 END AS BIGINT) AS taken
+FROM d LEFT JOIN c a ON a.nth = d.nth AND a.b = (x - size) // d.block LEFT JOIN c z ON z.nth = d.nth AND z.b = (x - 1) // d.block
+"""
+
+NEGATIVES = """
+WITH r AS (
+  SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT a.k, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.k <> b.k WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS nth FROM s WHERE same),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.k, p.nth ORDER BY s.score DESC, s.vec_id) AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON p.k = s.k AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score WHERE p.nth <= 5
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 ORACLES = {
     "op3_warc": WARC,
     "op7_suffix_dedup": SUFFIXES,
     "op9_jaccard_join": JACCARD,
     "op10_license_scan": licenses.ORACLE,
     "op11_periodic_runs": PERIODIC,
+    "op12_source_mix": MIX,
+    "op13_hard_negatives": NEGATIVES,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, oracles, periodic, sentencepieces, sharding, suffixes, toxicity, warc
+from speechframes.llm import decontamination, fingerprints, jaccard, language, licenses, mixing, negatives, oracles, periodic, sentencepieces, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_source_mix": mixing.op12_source_mix,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLES = oracles.ORACLES
