@@ -19,7 +19,8 @@ interval fragments, shuffled by document and period and stitched where they
 touch. A stretch found under several periods keeps the smallest (the others are
 its multiples).
 
-Fragments are keyed by a 128-bit hash of the text, so that copies of a text,
+Texts under 32 kB are not moved: their tiles are solved and their fragments
+stitched by the same functions in the task that reads them. Fragments are keyed by a 128-bit hash of the text, so that copies of a text,
 rows without id and rows that share one need no numbering; equal fragments of
 copies are combined before the shuffle.
 
@@ -46,6 +47,7 @@ from speechframes.llm.common import pieces, table, utf8, written
 CORE = 4096  # words of a tile at least
 GRAM = 8  # equal words, at most, that a boundary must show before its Z-functions are worked out
 CELLS = 1 << 21  # cells of the window matrix worked on at a time
+SPREAD_BYTES = 1 << 15  # texts from this size on are spread over tasks
 RUN = "array<struct<start:long,length:long,period:long>>"
 TILE = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("core_from", pa.int64()), ("core_to", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("width", pa.int8()), ("codes", pa.binary())])
 FRAGMENT = pa.schema([("key", pa.binary()), ("period", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
@@ -212,8 +214,11 @@ def joined(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.n
     return group[opens], start[opens], (reach - lift)[closes]
 
 
-def solve(tiles: pa.RecordBatch, min_length: int) -> Iterator[pa.RecordBatch]:
-    """The fragments of all tiles of a batch, octave by octave."""
+def solve(tiles: pa.RecordBatch, min_length: int, owner: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The fragments of all tiles of a batch, octave by octave: owner, period, start, stop.
+
+    ``owner`` numbers the document of each tile; reaches of one document are joined.
+    """
     column = {name: tiles.column(name).to_numpy(zero_copy_only=False) for name in ("first", "core_from", "core_to", "low", "high", "width")}
     parts = [np.frombuffer(c, dtype=f"u{w}").astype(np.int32) for c, w in zip(tiles.column("codes").to_pylist(), column["width"])]
     words = np.concatenate(parts)
@@ -240,14 +245,11 @@ def solve(tiles: pa.RecordBatch, min_length: int) -> Iterator[pa.RecordBatch]:
             t, m, s = tile[k : k + rows], place[k : k + rows], shift[k : k + rows]
             left, right = reaches(words, m + s, at[t], at[t + 1], a, step)
             b, p = np.nonzero((left == step) | (right == step) | (left + right >= need))
-            kept.append((t[b] * a + p, m[b] - left[b, p], m[b] + right[b, p]))
+            kept.append((owner[t[b]] * a + p, m[b] - left[b, p], m[b] + right[b, p]))
         group, start, stop = (np.concatenate(c) for c in zip(*kept)) if kept else ([], [], [])
         if len(group):
             group, start, stop = joined(group, start, stop)
-            keys = tiles.column("key").take(pa.array(group // a))
-            for k in range(0, len(group), 1 << 18):
-                cut = slice(k, k + (1 << 18))
-                yield pa.RecordBatch.from_arrays([keys[cut], pa.array(group[cut] % a + a), pa.array(start[cut]), pa.array(stop[cut])], schema=FRAGMENT)
+            yield group // a, group % a + a, start, stop
         a *= 2
 
 
@@ -256,11 +258,44 @@ def solve_tiles(min_length: int):
         for whole in batches:
             for batch in pieces(whole, "codes", 1 << 20):
                 if batch.num_rows:
-                    yield from solve(batch, min_length)
+                    keys = batch.column("key").dictionary_encode()
+                    for owner, *fragment in solve(batch, min_length, keys.indices.to_numpy().astype(np.int64)):
+                        for k in range(0, len(owner), 1 << 18):
+                            cut = slice(k, k + (1 << 18))
+                            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(owner[cut])), *(pa.array(c[cut]) for c in fragment)], schema=FRAGMENT)
 
     return run
 
 
+def runs_of_batch(coded: list[np.ndarray], min_length: int) -> pa.ListArray:
+    """The runs of some documents that lie in one task."""
+    rows = [(d, t) for d, codes in enumerate(coded) for t in tiles_of(codes, min_length)]
+    found = []
+    at = 0
+    while at < len(rows):  # tiles of about a megabyte at a time, whole documents
+        end, held = at, 0
+        while end < len(rows) and (held < 1 << 20 or rows[end][0] == rows[end - 1][0]):
+            held += len(rows[end][1][-1])
+            end += 1
+        owner = np.array([d for d, _ in rows[at:end]])
+        columns = zip(zip(*((b"", *t) for _, t in rows[at:end])), TILE)
+        found += list(solve(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in columns], schema=TILE), min_length, owner))
+        at = end
+    owner, period, start, stop = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+    length = stop - start + period
+    long = length >= np.maximum(min_length, 2 * period)
+    owner, start, length, period = (c[long] for c in (owner, start, length, period))
+    order = np.lexsort((period, length, start, owner))  # of the periods of a stretch the smallest
+    owner, start, length, period = (c[order] for c in (owner, start, length, period))
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (start[1:] != start[:-1]) | (length[1:] != length[:-1])
+    owner, start, length, period = (c[new] for c in (owner, start, length, period))
+    order = np.lexsort((period, start, owner))
+    offsets = np.searchsorted(owner[order], np.arange(len(coded) + 1))
+    values = pa.StructArray.from_arrays([pa.array(c[order]) for c in (start, length, period)], names=["start", "length", "period"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def text_key(text: F.Column) -> F.Column:
     return F.unhex(F.md5(utf8(text)))
 
@@ -289,43 +324,58 @@ def runs_of_texts(docs: DataFrame, text_col: str = "text", min_length: int = 12)
     return runs.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "length", "period"))).cast(RUN).alias("runs"))
 
 
-def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace __sf_runs by the number of words and the words that no run repeats."""
-    for whole in batches:
-        for batch in pieces(whole, "__sf_text"):
-            counts, texts = [], []
-            for text, runs in zip(batch.column("__sf_text"), batch.column("__sf_repeats")):
-                words = text.as_py().split()
-                counts.append(len(words))
-                if runs.is_valid and len(runs):
-                    runs = runs.values
-                    start, length, period = (runs.field(f).to_numpy() for f in ("start", "length", "period"))
-                    change = np.zeros(len(words) + 1, dtype=np.int64)
-                    np.add.at(change, start + period, 1)
-                    np.add.at(change, start + length, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
-                texts.append(b" ".join(words))
-            kept = [n for n in batch.schema.names if n not in ("__sf_text", "__sf_repeats")]
-            added = [pa.array(counts, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + added, names=[*kept, "__sf_n", "__sf_collapsed"])
-
-
-def find_runs(docs: DataFrame, text_col: str = "text", min_length: int = 12, prefix: str = "") -> DataFrame:
+def collapsed(words: list[bytes], runs: pa.Scalar) -> bytes:
+    """The words, joined, that no run repeats."""
+    if runs.is_valid and len(runs):
+        start, length, period = (runs.values.field(f).to_numpy() for f in ("start", "length", "period"))
+        change = np.zeros(len(words) + 1, dtype=np.int64)
+        np.add.at(change, start + period, 1)
+        np.add.at(change, start + length, -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
+    return b" ".join(words)
+
+
+def finish(min_length: int | None):
+    """Replace __sf_text by the number of words, the runs (found here, or given as __sf_runs) and the collapsed text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "__sf_text"):
+                texts = batch.column("__sf_text").to_pylist()
+                runs = batch.column("__sf_runs") if min_length is None else runs_of_batch([word_codes(t) for t in texts], min_length)
+                counts, made = [], []
+                for text, found in zip(texts, runs):
+                    words = text.split()
+                    counts.append(len(words))
+                    made.append(collapsed(words, found))
+                kept = [n for n in batch.schema.names if n not in ("__sf_text", "__sf_runs")]
+                added = [pa.array(counts, pa.int64()), runs, pa.array(made, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + added, names=[*kept, "__sf_n", "__sf_runs", "__sf_collapsed"])
+
+    return run
+
+
+def find_runs(docs: DataFrame, text_col: str = "text", min_length: int = 12, prefix: str = "", spread_bytes: int = SPREAD_BYTES) -> DataFrame:
     """docs with n_words, runs (start, length, period; words numbered from 0) and collapsed.
 
     ``collapsed`` has the words, joined by one blank, that stand in no run, or
     in the first period of all runs they stand in.
 
-    The runs are written and met again by the hash of the text: Spark broadcasts
-    them where their files are small enough for it, or else moves the texts once.
+    Texts below ``spread_bytes`` have their tiles solved and stitched in the task
+    that reads them, with the same functions; longer ones are spread over tasks.
+    Their runs are written and met again by the hash of the text: Spark
+    broadcasts them where their files are small enough for it, or else moves
+    these long texts once. The result does not depend on the bound.
     """
-    runs = written(runs_of_texts(docs, text_col, min_length), "periodic-runs").withColumnRenamed("key", "__sf_key").withColumnRenamed("runs", "__sf_runs")
     names = [prefix + n for n in ("n_words", "runs", "collapsed")]
     kept = [c for c in docs.columns if c not in names]
-    met = docs.select(*kept, text_key(F.col(text_col)).alias("__sf_key"), utf8(F.col(text_col)).alias("__sf_text")).join(runs, "__sf_key", "left").drop("__sf_key")
-    found = met.select(*kept, F.coalesce("__sf_runs", F.array().cast(RUN)).alias("__sf_runs"), F.col("__sf_runs").alias("__sf_repeats"), "__sf_text")
-    kind = T.StructType([f for f in found.schema.fields if f.name not in ("__sf_text", "__sf_repeats")]).add("__sf_n", "long").add("__sf_collapsed", "string")
-    done = found.mapInArrow(collapse, kind)
+    long = F.octet_length(utf8(F.col(text_col))) >= spread_bytes
+    spread = docs.where(long)
+    runs = written(runs_of_texts(spread, text_col, min_length), "periodic-runs").withColumnRenamed("key", "__sf_key").withColumnRenamed("runs", "__sf_runs")
+    met = spread.select(*kept, text_key(F.col(text_col)).alias("__sf_key"), utf8(F.col(text_col)).alias("__sf_text")).join(runs, "__sf_key", "left").drop("__sf_key")
+    met = met.withColumn("__sf_runs", F.coalesce("__sf_runs", F.array().cast(RUN)))
+    kind = T.StructType([*docs.select(*kept).schema.fields, T.StructField("__sf_n", T.LongType()), met.schema["__sf_runs"], T.StructField("__sf_collapsed", T.StringType())])
+    done = docs.where(~long).select(*kept, utf8(F.col(text_col)).alias("__sf_text")).mapInArrow(finish(min_length), kind).unionAll(met.mapInArrow(finish(None), kind))
     return done.select(*kept, F.col("__sf_n").alias(names[0]), F.col("__sf_runs").alias(names[1]), F.col("__sf_collapsed").alias(names[2]))
 
 
