@@ -120,9 +120,13 @@ def acceptable(fields: dict, size: int, recording: bool = False) -> str | None:
 
 def riff(pcm: bytes, rate: int = RATE, width: int = 2, channels: int = 1) -> bytes:
     """PCM as a RIFF file."""
+    return riff_head(len(pcm), rate, width, channels) + pcm
+
+
+def riff_head(n_bytes: int, rate: int = RATE, width: int = 2, channels: int = 1) -> bytes:
+    """What stands before so many bytes of PCM in a RIFF file."""
     frame = width * channels
-    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(pcm), b"WAVE", b"fmt ", 16, 1, channels, rate, rate * frame, frame, 8 * width, b"data", len(pcm))
-    return head + pcm
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + n_bytes, b"WAVE", b"fmt ", 16, 1, channels, rate, rate * frame, frame, 8 * width, b"data", n_bytes)
 
 
 def riff_column(pcm: Column, rate: int = RATE) -> Column:

@@ -69,6 +69,20 @@ def added(committed: str | None, whole: str) -> str:
     return whole.removeprefix((committed or "").strip()).strip()
 
 
+def merge_tail(tail: str, hypothesis: str | None, longest: int) -> tuple[str, str, int]:
+    """(what the hypothesis adds, the new tail, characters added) where only the end of the committed text is kept.
+
+    White space counts as single blanks. A tail of at most 2 * ``longest``
+    characters, cut at a blank, holds all that a hypothesis of up to ``longest``
+    characters can repeat; a longer one may repeat more than is looked for.
+    """
+    whole = merge_echo(tail, " ".join((hypothesis or "").split()))
+    more, kept = len(whole) - len(tail), whole[-2 * longest :]
+    if len(kept) < len(whole) and " " in kept and whole[-2 * longest - 1] != " ":
+        kept = kept[kept.index(" ") + 1 :]  # not from the middle of a word
+    return added(tail, whole), kept.lstrip(), more
+
+
 def context_tail(text: str, n: int) -> str:
     return text[-n:] if n > 0 else ""
 

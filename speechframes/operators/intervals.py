@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechframes.functions.text import strip
+from speechframes.operators import scan
 
 BIN_MS = 60_000
 
@@ -47,21 +48,28 @@ def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], se
     return segments.join(best, [*keys, *segment_id], "left").withColumn(out, F.when(enough, F.col("_best.r_speaker")).otherwise(F.lit(default))).drop("_best")
 
 
-def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms", out: str = "speaker") -> DataFrame:
+def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms", out: str = "speaker", bin_width: int = BIN_MS) -> DataFrame:
     """points with the speaker of the turn whose start or end lies nearest to their middle; ties go to the first turn.
 
-    Boundaries and middles are sorted together once; the last boundary before
-    and the first after a middle are the only candidates. Sessions without
-    turns give null. Positions are doubled to keep half milliseconds whole.
+    Boundaries and middles are sorted together, bin by bin; the last boundary
+    before and the first after a middle are the only candidates, and a bin is
+    carried those of the bins around it. Sessions without turns give null.
+    Positions are doubled to keep half milliseconds whole.
     """
     ends = turns.select(*keys, F.explode(F.array(F.col(start) * 2, F.col(end) * 2)).alias("_at"), "turn_ord", "speaker")
     ends = ends.groupBy(*keys, "_at").agg(F.min(F.struct("turn_ord", "speaker")).alias("_turn")).withColumn("_turn", F.struct("_at", "_turn.turn_ord", "_turn.speaker"))
-    rows = points.withColumn("_at", F.col(start) + F.col(end)).unionByName(ends, allowMissingColumns=True).withColumn("_point", F.col("_turn").isNull())
-    before = Window.partitionBy(*keys).orderBy("_at", "_point").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_point").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.withColumn("_a", F.last("_turn", ignorenulls=True).over(before)).withColumn("_b", F.last("_turn", ignorenulls=True).over(after)).where("_point")
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_at") - F.col(f"{c}._at")).alias("d"), F.col(f"{c}.turn_ord").alias("o"), F.col(f"{c}.speaker").alias("s")))
-    return found.withColumn(out, F.least(rank("_a"), rank("_b"))["s"]).drop("_at", "_turn", "_point", "_a", "_b")
+    rows = points.withColumn("_at", F.col(start) + F.col(end)).unionByName(ends, allowMissingColumns=True)
+    line = scan.numbered(scan.packed(rows, keys, "_at", 2 * bin_width).withColumn("_turn", F.col("_row._turn")), ["_at"])
+    bins = scan.summaries(line, _first=F.min("_turn"), _final=F.max("_turn")).where("_head IS NOT NULL")
+    bins = bins.withColumn("_past", F.max("_final").over(scan.earlier())).withColumn("_next", F.min("_first").over(scan.later()))
+    found = scan.carried(line, bins, "_past", "_next")
+    # a boundary at a middle counts on both sides
+    before = F.max("_turn").over(scan.within(["_at"]).rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min("_turn").over(scan.within(["_at"]).rangeBetween(0, Window.unboundedFollowing))
+    found = found.withColumn("_a", F.coalesce(before, "_past")).withColumn("_b", F.coalesce(after, "_next")).where("_turn IS NULL")
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_row._at") - F.col(f"{c}._at")).alias("d"), F.col(f"{c}.turn_ord").alias("o"), F.col(f"{c}.speaker").alias("s")))
+    near = F.least(rank("_a"), rank("_b"))["s"]
+    return found.select(*[F.col(f"_row.{c}") for c in points.columns if c != out], near.alias(out))
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms") -> DataFrame:
@@ -76,24 +84,48 @@ def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segm
     return both.withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), "_near", F.lit(""))).drop("_near")
 
 
-def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | None, order: list[str], start: str = "s_ms", end: str = "e_ms") -> DataFrame:
+def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | None, order: list[str], start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS) -> DataFrame:
     """rows with island, numbered from 1 in each key.
 
     A row joins the row before it if the columns of ``same`` are equal and, where
     ``gap`` is given, it starts no more than ``gap`` after the island's end so
     far. Within a run of equal rows the running maximum of the ends is the
     island's, because a new island starts beyond all earlier ends.
+
+    Keys are cut into bins of ``bin_width`` of the first order column. A bin is
+    carried the row before it, the greatest end since the last change of
+    ``same``, and the number of islands before it.
     """
-    line = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.lag(F.lit(1)).over(line).isNull()
+    # rows that tie in all of these are alike for what follows
+    order = list(dict.fromkeys([*order, *same, *([start, end] if gap is not None else [])]))
+    line = scan.numbered(scan.packed(rows, keys, order[0], bin_width), order)
+    differs = F.lit(False)
     for c in same:
-        changed |= ~F.col(c).eqNullSafe(F.lag(c).over(line))
-    rows = rows.withColumn("_new", changed.cast("int"))
+        differs |= ~F.col(f"_row.{c}").eqNullSafe(F.lag(f"_row.{c}").over(scan.within(order)))
+    line = line.withColumn("_new", (F.col("_nth") > 1) & differs)
+    breaks = F.sum(F.col("_new").cast("long"))
+    more = {"_breaks": breaks}
     if gap is not None:
-        rows = rows.withColumn("_run", F.sum("_new").over(line))
-        upto = Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_new", F.coalesce((F.col(start) - F.max(end).over(upto) > gap).cast("int"), F.lit(1))).drop("_run")
-    return rows.withColumn("island", F.sum("_new").over(line)).drop("_new")
+        line = line.withColumn("_run", breaks.over(scan.within(order)))
+        line = line.withColumn("_reach", F.max(f"_row.{end}").over(scan.within(order, "_run").rowsBetween(Window.unboundedPreceding, -1)))
+        more["_tail"] = F.max(F.struct("_run", f"_row.{end}"))
+    opens = F.lag("_bin").over(scan.bins()).isNull()
+    for c in same:
+        opens |= ~F.col(f"_head.{c}").eqNullSafe(F.lag("_last").over(scan.bins())[c])
+    bins = scan.summaries(line, **more).withColumn("_opens", opens)
+    if gap is None:
+        bins = bins.withColumn("_islands", F.coalesce(F.sum(F.col("_breaks") + F.col("_opens").cast("long")).over(scan.earlier()), F.lit(0)))
+        line = scan.carried(line, bins, "_opens", "_islands").withColumn("_new", F.col("_new") | ((F.col("_nth") == 1) & F.col("_opens")))
+    else:
+        bins = bins.withColumn("_since", F.sum((F.col("_opens") | (F.col("_breaks") > 0)).cast("long")).over(scan.bins()))
+        bins = bins.withColumn("_reached", F.max(F.col("_tail")[end]).over(Window.partitionBy("_key", "_since").orderBy("_bin"))).withColumn("_carry", F.lag("_reached").over(scan.bins()))
+        line = scan.carried(line, bins, "_opens", "_carry")
+        upto = F.when((F.col("_run") == 0) & ~F.col("_opens"), F.greatest("_reach", "_carry")).otherwise(F.col("_reach"))
+        changed = F.col("_new") | ((F.col("_nth") == 1) & F.col("_opens"))
+        line = line.withColumn("_new", changed | F.coalesce(F.col(f"_row.{start}") - upto > gap, F.lit(True)))
+        counts = scan.summaries(line, _breaks=breaks).where("_head IS NOT NULL")
+        line = scan.carried(line, counts.withColumn("_islands", F.coalesce(F.sum("_breaks").over(scan.earlier()), F.lit(0))), "_islands")
+    return line.withColumn("island", F.col("_islands") + breaks.over(scan.within(order))).select("_row.*", "island")
 
 
 def merge_turns(turns: DataFrame, keys: list[str], gap: int, window_end: str | None = None, start: str = "s_ms", end: str = "e_ms") -> DataFrame:

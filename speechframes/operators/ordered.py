@@ -9,41 +9,70 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from speechframes.functions import formats
 from speechframes.functions import text as T
 
 
 def fold_sessions(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], Iterator[dict]], schema: str) -> DataFrame:
-    """Run step(state, row) over each key's rows in order; what it yields, with the keys, are the result's rows."""
-    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
+    """Run step(state, row) over each key's rows in order; what it yields, with the keys, are the result's rows.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Null keys are a session like any other.
+    """
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                key = tuple(row[k] for k in keys)
+            for row in batch.to_pylist():  # plain values: whole numbers of any size, None for null
+                key = tuple("NaN" if row[k] != row[k] else row[k] for k in keys)
                 if state is None or key != last:
                     last, state = key, start()
                 out += [{**{k: row[k] for k in keys}, **made} for made in step(state, row)]
-            yield pd.DataFrame(out, columns=columns)
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def echo_state() -> dict:
+    return {"tail": "", "chars": 0}
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
+def echo_step(state: dict, text: str | None, longest: int, context: int) -> dict:
+    """One epoch over a bounded tail: what it adds, the committed length, the context of the next."""
+    new, state["tail"], more = T.merge_tail(state["tail"], text, longest)
+    state["chars"] += more
+    return {"novel": new, "committed_chars": state["chars"], "context": T.context_tail(state["tail"], context)}
 
-def merge_epochs(epochs: DataFrame, keys: list[str], order: list[str], key_schema: str, tail: int = 200, text: str = "text") -> DataFrame:
-    """Per epoch its new text, the committed transcript's length, and the context for the next epoch."""
+
+def merge_epochs(epochs: DataFrame, keys: list[str], order: list[str], key_schema: str, tail: int = 200, text: str = "text", longest: int | None = None) -> DataFrame:
+    """Per epoch its new text, the committed transcript's length, and the context for the next epoch.
+
+    With ``longest``, the most characters of a hypothesis, only the transcript's
+    end is kept and looked through, so an epoch costs the same however long the
+    session; white space then counts as single blanks. Without it the whole
+    transcript is kept, because an echo in other white space changes it from its beginning.
+    """
+    if longest is not None and longest < tail:
+        raise ValueError("the context is part of what is kept: tail must not be greater than longest")
 
     def step(state, row):
+        own = {o: row[o] for o in order}
+        if longest is not None:
+            yield own | echo_step(state, row[text], longest, tail)
+            return
         whole = T.merge_echo(state["committed"], row[text])
         new, state["committed"] = T.added(state["committed"], whole), whole
-        yield {**{o: row[o] for o in order}, "novel": new, "committed_chars": len(state["committed"]), "context": T.context_tail(state["committed"], tail)}
+        yield own | {"novel": new, "committed_chars": len(state["committed"]), "context": T.context_tail(state["committed"], tail)}
 
-    return fold_sessions(epochs, keys, order, lambda: {"committed": ""}, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, novel string, committed_chars long, context string")
+    start = echo_state if longest is not None else lambda: {"committed": ""}
+    return fold_sessions(epochs, keys, order, start, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, novel string, committed_chars long, context string")
 
 
 def new_words(words: DataFrame, keys: list[str], key_schema: str, window: str, order: list[str], start: str = "s_ms", end: str = "e_ms", slack: int = 1) -> DataFrame:
@@ -73,6 +102,37 @@ def forced_endpoints(updates: DataFrame, keys: list[str], key_schema: str, order
     return fold_sessions(updates, keys, order, lambda: {"since": 0}, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, forced boolean, since_final long")
 
 
+def freshness_step(state: dict, row: dict, ttl_us: int) -> Iterator[dict]:
+    """What a tenant's row does to the gallery in use.
+
+    row: kind (gallery: a version is enrolled; invalidate; anything else uses the
+    gallery), ts_us, version. A use loads the version enrolled last where none is
+    loaded, the load is older than the time to live, or it was invalidated.
+    """
+    if row["kind"] == "gallery":
+        state["enrolled"] = row["version"]
+    elif row["kind"] == "invalidate":
+        state["loaded_us"] = None
+    else:
+        if state["loaded_us"] is None or row["ts_us"] - state["loaded_us"] > ttl_us:
+            state["loaded_us"], state["version"] = row["ts_us"], state["enrolled"]
+        yield {"loaded_us": state["loaded_us"], "version": state["version"]}
+
+
+def freshness_state() -> dict:
+    return {"enrolled": None, "version": None, "loaded_us": None}
+
+
+def gallery_in_use(rows: DataFrame, key_schema: str, order: list[str], ttl_us: int = 300_000_000, tenant: str = "tenant_id") -> DataFrame:
+    """For each use of a tenant's gallery when it was loaded and which version that was (null: none was enrolled yet)."""
+
+    def step(state, row):
+        for made in freshness_step(state, row, ttl_us):
+            yield {**{o: row[o] for o in order}, **made}
+
+    return fold_sessions(rows, [tenant], order, freshness_state, step, f"{key_schema}, {', '.join(f'{o} long' for o in order)}, loaded_us long, version long")
+
+
 PARTIALS = {
     "rate": 16000, "window": 160_000, "context": 16_000, "least": 4_000, "min_buffer": 11_200, "min_transcribe": 24_000,
     "emit_every": 11_200, "mode": "cumulative", "lookback": 80_000, "repeats": 1, "max_behind_us": 2_000_000, "idle_reset_us": 3_000_000,

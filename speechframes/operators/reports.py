@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from speechframes.operators import intervals
+from speechframes.operators.ordered import fold_sessions
+
 
 def stream_stats(events: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return events.groupBy(*keys).agg(
@@ -45,6 +51,35 @@ def concurrency(spans: DataFrame, start: str, stop: str, bucket: int) -> DataFra
     return steps.withColumn("_in", within).join(offsets, "_bucket").select("at", (F.col("_before") + F.col("_in")).alias("open"))
 
 
+def admissions(opens: DataFrame, keys: list[str], key_schema: str, order: str, most: int, start: str = "at_us", stop: str = "until_us") -> DataFrame:
+    """Whether each open finds one of its key's ``most`` slots free, and how many are taken after it: keys, order, admitted, open.
+
+    A refused open takes no slot, so what comes later depends on it: each key is
+    replayed in order of start (then ``order``, unique in the key, a long), with a
+    heap of the releases to come; slots that fall free at an open's time are free for it.
+    The timeline of a key is cut wherever all earlier spans have ended, whether
+    admitted or not: no slot is taken there, so the pieces are replayed apart.
+    Spans that end no later than they start hold a slot only until the next open.
+    """
+    if most < 1:
+        raise ValueError("the number of slots must be positive")
+    spans = opens.select(*keys, order, start, F.greatest(start, stop).alias(stop))
+    # start - end so far > -1: everything before has ended
+    pieces = intervals.gap_islands(spans, keys, [], -1, [start, order], start, stop, bin_width=3_600_000_000)
+
+    def step(state: dict, row: dict) -> Iterator[dict]:
+        releases = state["releases"]
+        while releases and releases[0] <= row[start]:
+            heapq.heappop(releases)
+        admitted = len(releases) < most
+        if admitted:
+            heapq.heappush(releases, row[stop])
+        yield {order: row[order], "admitted": admitted, "open": len(releases)}
+
+    made = fold_sessions(pieces, [*keys, "island"], [start, order], lambda: {"releases": []}, step, f"{key_schema}, island long, {order} long, admitted boolean, open long")
+    return made.drop("island")
+
+
 def speech_gate(spans: DataFrame, keys: list[str], least: int, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
     """Total speech per key and whether it reaches the gate."""
     made = spans.groupBy(*keys).agg(F.sum(F.greatest(F.lit(0).cast("long"), F.col(end) - F.col(start))).alias("speech_ms"))

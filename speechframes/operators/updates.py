@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from speechframes.functions.text import strip
+from speechframes.operators import scan
 
 
 def live_line(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -31,6 +32,7 @@ def replacement_start(updates: DataFrame, keys: list[str], order: list[str], end
 
 def monotonic_errors(rows: DataFrame, keys: list[str], order: list[str], start: str, end: str, duration: str, tolerance: int = 0) -> DataFrame:
     """Rows that break previous start <= start <= end <= duration."""
-    before = F.coalesce(F.lag(start).over(Window.partitionBy(*keys).orderBy(*order)), F.lit(0).cast("long"))
+    rows = scan.with_previous(rows, keys, order, 4096, "_last")
+    before = F.coalesce(F.col("_last")[start], F.lit(0).cast("long"))
     fine = (F.col("_before") - tolerance <= F.col(start)) & (F.col(start) <= F.col(end)) & (F.col(end) <= F.col(duration))
-    return rows.withColumn("_before", before).where(~fine).drop("_before")
+    return rows.withColumn("_before", before).where(~fine).drop("_before", "_last")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechframes.functions import formats
 from speechframes.functions.text import strip
+from speechframes.operators import scan
 
 # fixed values: the rules of each kind of stream, in their order of precedence
 PROFILES = {
@@ -15,6 +16,7 @@ PROFILES = {
     "native": {"rate": 16000, "most_bytes": 1 << 20, "rules": ("invalid-session-id", "sequence-gap", "sample-rate", "odd-payload", "payload-too-long", "unsupported-language", "language-changed", "invalid-tenant-id", "tenant-changed")},
 }
 IDENTIFIER = r"^[A-Za-z0-9_-]{1,64}$"
+BIN = 4096
 UPLOAD_BYTES = 512 << 20
 UPLOAD_SECONDS = 4 * 3600
 
@@ -33,19 +35,21 @@ def validate_chunks(chunks: DataFrame, keys: list[str], languages: list[str], pr
     language's name at the first chunk only; ``epoch`` bounds no payload.
     """
     p = PROFILES[profile]
-    line = Window.partitionBy(*keys).orderBy(*order)
-    ahead = F.lag("seq").over(line)
-    opening = F.row_number().over(line) == 1
-    lang, tenant = F.coalesce("lang", F.lit("")), F.coalesce(F.col("tenant_id").cast("string"), F.lit(""))
-    changed = lambda c: c != F.first(c).over(line)
+    # bins of 4,096 arrivals: a stream of any length is the work of many tasks
+    columns, chunks = chunks.columns, scan.with_previous(chunks, keys, list(order), BIN, "_ahead", "_opened")
+    ahead = F.col("_ahead.seq")
+    opening = F.col("_ahead").isNull()
+    language, owner = (lambda at: F.coalesce(F.col(f"{at}lang"), F.lit(""))), (lambda at: F.coalesce(F.col(f"{at}tenant_id").cast("string"), F.lit("")))
+    lang, tenant = language(""), owner("")
+    changed = lambda named: named("") != named("_opened.")
     unknown = (lang != "") & ~lang.isin(languages)
     broken = {
         "missing-session-id": F.coalesce(F.col(session).cast("string"), F.lit("")) == "",
         "invalid-session-id": ~F.coalesce(F.col(session).cast("string").rlike(IDENTIFIER), F.lit(False)),
         "tenant-too-long": F.length(tenant) > 256,
         "invalid-tenant-id": opening & (tenant != "") & ~tenant.rlike(IDENTIFIER),
-        "tenant-changed": changed(tenant),
-        "language-changed": changed(lang),
+        "tenant-changed": changed(owner),
+        "language-changed": changed(language),
         "unsupported-language": unknown if profile == "strict" else unknown & opening,
         "sequence-gap": ahead.isNotNull() & (F.col("seq") != ahead + 1),
         "sample-rate": F.col("sample_rate") != p["rate"],
@@ -53,13 +57,13 @@ def validate_chunks(chunks: DataFrame, keys: list[str], languages: list[str], pr
         "odd-payload": F.col("payload_bytes") % 2 != 0,
         "payload-too-long": F.col("payload_bytes") > p["most_bytes"] if p["most_bytes"] else F.lit(False),
     }
-    return chunks.withColumn("reason", first_reason(*[(rule, broken[rule]) for rule in p["rules"]]))
+    reason = first_reason(*[(rule, broken[rule]) for rule in p["rules"]])
+    return chunks.withColumn("reason", reason).select(*dict.fromkeys([*columns, "reason"]))
 
 
 def valid_prefix(validated: DataFrame, keys: list[str], order: list[str] = ("arrival",)) -> DataFrame:
     """The chunks of each stream before its first rejected one."""
-    upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return validated.withColumn("_bad", F.max(F.col("reason").isNotNull().cast("int")).over(upto)).where("_bad = 0").drop("_bad")
+    return scan.before_first(validated, keys, list(order), BIN, F.col("reason").isNotNull())
 
 
 def upload_reason(session: Column, tenant: Column, url: Column, bucket: str) -> Column:

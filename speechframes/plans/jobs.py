@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from speechframes.functions import controls as C
 from speechframes.functions import formats
-from speechframes.operators import assemble, gallery, intervals, ordered, sessions, validate, windows
-from speechframes.sources import sinks, wav
+from speechframes.operators import assemble, crops, gallery, intervals, ordered, sessions, validate, windows
+from speechframes.sources import sinks, tables, wav
 from speechframes.functions.text import strip
 
 KEYS = ["tenant_id", "session_id"]
@@ -37,24 +37,54 @@ def record_sessions(chunks: DataFrame, idle_us: int, rate: int = 16000) -> DataF
     return sinks.finished_events(made, F.col("controls.final_tracks")).drop("_part")
 
 
-def score_windows(rows: DataFrame, transcribe: Callable, schema: str, language: str = "lang", batch: int = 16) -> DataFrame:
-    """Run a scoring function over rows of one language at a time, at most ``batch`` at once.
+def grouped(batches: Iterator[pd.DataFrame], alike: list[str], most: int, samples: str | None, most_samples: int) -> Iterator[pd.DataFrame]:
+    """Rows that come sorted by ``alike`` in groups of one kind: at most ``most`` rows, and at most ``most_samples`` once all are padded to the longest.
 
-    transcribe(pandas frame) returns one result frame for each input row; any
-    other number of results is an error.
+    What a batch leaves of a group is carried into the next batch. A row that is
+    longer than the bound by itself is a group of its own.
     """
-
+    held: pd.DataFrame | None = None
+    kind = lambda frame: pd.factorize(pd.MultiIndex.from_frame(frame[alike].astype(object).where(frame[alike].notna(), None)))[0]
+    for part in batches:
+        held = part if held is None else pd.concat([held, part], ignore_index=True)
+        kinds, at, longest = kind(held), 0, 0
+        sizes = held[samples].fillna(0).to_numpy() if samples else None
+        for row in range(len(held)):
+            longer = max(longest, sizes[row]) if samples else 0
+            if row > at and (kinds[row] != kinds[at] or row - at == most or longer * (row - at + 1) > most_samples):
+                yield held.iloc[at:row]
+                at, longer = row, sizes[row] if samples else 0
+            longest = longer
+        held = held.iloc[at:]
+    if held is not None and len(held):
+        yield held
+
+
+def _scored(rows: DataFrame, alike: list[str], choose: Callable, schema: str, batch: int, samples: str | None, most_samples: int, spread: list[str] | None, salts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            for _, group in part.groupby(language, sort=False, dropna=False):
-                for at in range(0, len(group), batch):
-                    some = group.iloc[at : at + batch]
-                    made = transcribe(some)
-                    if len(made) != len(some):
-                        raise ValueError(f"{len(some)} rows went in, {len(made)} results came out")
-                    yield pd.concat(made, ignore_index=True)
+        for some in grouped(batches, alike, batch, samples, most_samples):
+            made = choose(some)(some)
+            if len(made) != len(some):
+                raise ValueError(f"{len(some)} rows went in, {len(made)} results came out")
+            yield pd.concat(made, ignore_index=True)
+
+    if spread is not None:
+        rows = rows.repartition(*alike, F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    return rows.sortWithinPartitions(*alike, *([samples] if samples else [])).mapInPandas(run, schema)
+
+
+def score_windows(rows: DataFrame, transcribe: Callable, schema: str, language: str = "lang", batch: int = 16, samples: str | None = None, most_samples: int = 16 * 30 * 16_000, spread: list[str] | None = None, salts: int = 32) -> DataFrame:
+    """Run a scoring function over rows of one language at a time, at most ``batch`` at once.
 
-    return rows.sortWithinPartitions(language).mapInPandas(run, schema)
+    transcribe(pandas frame) returns one result frame for each input row, in
+    their order; any other number of results is an error. Groups are filled
+    across Arrow batches. With ``samples``, a column of lengths, rows of like
+    length go together and a group padded to its longest row has at most
+    ``most_samples``. With ``spread``, columns that tell rows apart, rows of a
+    language are brought together, a frequent one in ``salts`` parts; without it
+    they are grouped where they lie.
+    """
+    return _scored(rows, [language], lambda some: transcribe, schema, batch, samples, most_samples, spread, salts)
 
 
 def embed_samples(samples: DataFrame, embed: Callable, content: str = "content") -> DataFrame:
@@ -67,16 +97,18 @@ def embed_samples(samples: DataFrame, embed: Callable, content: str = "content")
     return samples.withColumn("embedding", F.pandas_udf(run, "array<double>")(content))
 
 
-def score_profiles(rows: DataFrame, scorers: dict[str, Callable], default: str, schema: str, profile: str = "provider_profile_id", **options) -> tuple[DataFrame, DataFrame]:
-    """Results of the scoring function that each row's profile names (blank: the default), and the rows whose profile is unknown."""
+def score_profiles(rows: DataFrame, scorers: dict[str, Callable], default: str, schema: str, profile: str = "provider_profile_id", language: str = "lang", batch: int = 16, samples: str | None = None, most_samples: int = 16 * 30 * 16_000, spread: list[str] | None = None, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+    """Results of the scoring function that each row's profile names (blank: the default), and the rows whose profile is unknown.
+
+    One pass over the rows serves all profiles; options as for ``score_windows``.
+    """
     if default not in scorers:
         raise ValueError(f"no scoring function for the default profile {default}")
     chosen = rows.withColumn(profile, F.coalesce(F.nullif(profile, F.lit("")), F.lit(default)))
-    scored = [score_windows(chosen.where(F.col(profile) == name), scorer, schema, **options) for name, scorer in scorers.items()]
-    made = scored[0]
-    for more in scored[1:]:
-        made = made.unionByName(more)
-    return made, chosen.where(~F.col(profile).isin(list(scorers))).withColumn("reason", F.lit("unknown-profile"))
+    known = F.col(profile).isin(list(scorers))
+    choose = lambda some: scorers[some[profile].iloc[0]]
+    made = _scored(chosen.where(known), [profile, language], choose, schema, batch, samples, most_samples, spread, salts)
+    return made, chosen.where(~known).withColumn("reason", F.lit("unknown-profile"))
 
 
 def refine_windows(chunks: DataFrame, words: DataFrame, turns: DataFrame, size: int, track: str, names: DataFrame | None = None) -> DataFrame:
@@ -150,6 +182,70 @@ def split_by_turn(asr: DataFrame, turns: DataFrame, keys: list[str], longest: in
     return merged.unionByName(rest)
 
 
+HEARD = "s_ms long, e_ms long, text string"
+
+
+def score_crops(crops: DataFrame, keys: list[str], key_schema: str, transcribe: Callable) -> DataFrame:
+    """Segments that transcribe(pcm) hears in each crop: keys, turn_ord, pos, s_ms, e_ms (within the crop), text.
+
+    transcribe gives any number of (s_ms, e_ms, text); blank texts are left out.
+    Crops are spread by turn, a few at a time in a task.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"{key_schema}, turn_ord long, pos long, {HEARD}"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # one crop's audio at a time
+                own = {k: batch.column(k)[row].as_py() for k in (*keys, "turn_ord")}
+                heard = [(int(s), int(e), t.strip()) for s, e, t in transcribe(batch.column("pcm")[row].as_py()) if t and t.strip()]
+                yield pa.RecordBatch.from_pylist([{**own, "pos": i, "s_ms": s, "e_ms": e, "text": t} for i, (s, e, t) in enumerate(heard)], schema=kind)
+
+    return crops.select(*keys, "turn_ord", "pcm").repartition(*keys, "turn_ord").mapInArrow(run, schema)
+
+
+def transcribe_by_turn(
+    asr: DataFrame, turns: DataFrame, keys: list[str], key_schema: str, chunks: DataFrame | None = None, transcribe: Callable | None = None, names: DataFrame | None = None,
+    longest: int = 90_000, least: int = 700, gap: int = 150, most: int = 40, rate: int = 16_000, heard: DataFrame | None = None,
+) -> DataFrame:
+    """Segments with text and speaker: keys, turn_ord, pos, s_ms, e_ms, text, speaker, mode.
+
+    A session of two or more speakers whose audio is no longer than ``longest``
+    is split: short turns go, neighbours of one speaker merge, each turn's audio
+    (chunks: keys, seq, pcm) goes to ``transcribe``, and what comes back is moved
+    to the turn's start (mode turn). Sessions that are not split, and those whose
+    crops all came back empty, keep their recognised segments (asr: keys, idx,
+    text, s_ms, e_ms) under the speaker that overlaps each by a tenth or more
+    (mode overlap; turn_ord is null). Speakers get their name, else the raw label.
+
+    ``heard`` (keys, turn_ord, pos, s_ms, e_ms, text) stands for results that were
+    scored before.
+    """
+    voices = turns.where(strip("speaker") != "").groupBy(*keys).agg(F.count_distinct("speaker").alias("_n"), F.max("e_ms").alias("_end"))
+    if chunks is not None:
+        length = F.expr(f"sum(octet_length(pcm) div {crops.WIDTH}) * 1000 div {rate}").alias("_audio")
+        voices = voices.join(chunks.groupBy(*keys).agg(length), keys).withColumn("_end", F.col("_audio"))
+    split = voices.where((F.col("_n") >= 2) & (F.col("_end") <= longest)).select(*keys)
+    merged = intervals.merge_turns_capped(turns.join(split, keys, "left_semi"), keys, least, gap, most).withColumnRenamed("island", "turn_ord")
+    merged = tables.stored(merged, "merged-turns")
+    if heard is None:
+        samples = lambda c: F.expr(f"{c} * {rate} div 1000")
+        audio = crops.turn_audio(chunks, merged.withColumn("s", samples("s_ms")).withColumn("e", samples("e_ms")), keys)
+        heard = tables.stored(score_crops(audio, keys, key_schema, transcribe), "heard")  # two readers, one run of the model
+    base = merged.select(*keys, "turn_ord", "speaker", F.greatest(F.lit(0).cast("long"), F.col("s_ms")).alias("_base"))
+    said = heard.where(strip("text") != "").join(base, [*keys, "turn_ord"])
+    said = said.select(*keys, "turn_ord", "pos", (F.col("_base") + F.col("s_ms")).alias("s_ms"), (F.col("_base") + F.col("e_ms")).alias("e_ms"), strip("text").alias("text"), "speaker", F.lit("turn").alias("mode"))
+    # the results decide the branch: no segment of a session, and its recognised ones stand
+    rest = intervals.assign_by_overlap(asr.join(said.select(*keys).distinct(), keys, "left_anti"), turns, keys, ["idx"])
+    rest = rest.select(*keys, F.lit(None).cast("long").alias("turn_ord"), F.col("idx").cast("long").alias("pos"), "s_ms", "e_ms", "text", "speaker", F.lit("overlap").alias("mode"))
+    both = said.unionByName(rest)
+    return gallery.apply_names(both, names, keys) if names is not None else both
+
+
 def enrich_epochs(words: DataFrame, turns: DataFrame, keys: list[str], epochs: DataFrame | None = None) -> DataFrame:
     """Restored words (text carries its spacing) of each epoch with epoch-scoped speakers, coalesced without separators.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from speechframes.plans import ordering, streams, timed
+from speechframes.plans import crops, ordering, streams, timed
 
-QUERIES = timed.QUERIES | streams.QUERIES | ordering.QUERIES
-ORACLES = timed.ORACLES | streams.ORACLES | ordering.ORACLES
+QUERIES = timed.QUERIES | streams.QUERIES | ordering.QUERIES | crops.QUERIES
+ORACLES = timed.ORACLES | streams.ORACLES | ordering.ORACLES | crops.ORACLES
 FLAGSHIP = timed.speaker_segments

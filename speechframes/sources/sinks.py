@@ -36,29 +36,74 @@ def failure_events(rejects: DataFrame, created_at) -> DataFrame:
     return named.select(F.col("session_id").alias("key"), body.alias("value"))
 
 
-def append_once(path: str, keys: list[str]):
-    """A foreachBatch function: appends rows whose key the table does not have yet.
-
-    Replayed batches and rows repeated inside a batch add nothing. The anti join
-    reads the key columns only.
+def upsert(path: str, keys: list[str], order: list[str] = (), parts: int = 64, by: list[str] = (), replace: bool = True):
+    """A foreachBatch function: a Parquet table with one row for each key, in folders by ``by`` (a date, say) and a hash of the key.
+
+    A batch reads and rewrites the folders that its keys fall into, and no
+    others; their list is as long as the batch has different ones, at most
+    ``parts`` for each value of ``by``. With ``replace`` a key keeps the row that is last
+    by ``order`` (the batch's among equal ones), so neither a replayed nor a late
+    batch undoes a newer one; else it keeps the row that came first.
+
+    The merged folders are written aside first and then put in place by dynamic
+    partition overwrite. A run that dies in between leaves them complete below
+    ``_pending``, and the next batch puts them in place again before its own.
+    ``by`` must be the same for all rows of a key. The table has a column key_part.
     """
+    folders = [*by, "key_part"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
-        try:
-            there = spark.read.parquet(path).select(*keys)
-        except Exception as e:  # no table yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            there = None
-        if there is not None:
-            rows = rows.join(there, keys, "left_anti")
-        rows.write.mode("append").parquet(path)
+        context = spark.sparkContext
+        made = lambda p: context._jvm.org.apache.hadoop.fs.Path(p)
+        files = made(path).getFileSystem(context._jsc.hadoopConfiguration())
+        pending = f"{path}/_pending"
+
+        def put_in_place(schema) -> None:
+            ready = spark.read.schema(schema).parquet(pending)
+            ready.repartition(*folders).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
+            files.delete(made(pending), True)
+
+        rows = batch.withColumn("key_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        if files.exists(made(f"{pending}/_SUCCESS")):
+            put_in_place(spark.read.parquet(pending).schema)
+        named = context._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        strings = rows.select(*[F.col(c).cast("string") for c in folders]).distinct().collect()
+        touched = ["/".join([path, *(named(c, r[c]) for c in folders)]) for r in strings]
+        if not touched:
+            return
+        there = [p for p in touched if files.exists(made(p))]
+        rest = [c for c in rows.columns if c not in keys]
+        both = rows.withColumn("_new", F.lit(1))
+        if there:
+            both = both.unionByName(spark.read.schema(rows.schema).option("basePath", path).parquet(*there).withColumn("_new", F.lit(0)))
+        if replace:
+            kept = F.max_by(F.struct(*rest), F.struct(*order, "_new"))
+        else:
+            kept = F.min_by(F.struct(*rest), F.struct("_new", *order))
+        merged = both.groupBy(*keys).agg(kept.alias("_row")).select(*keys, "_row.*")
+        merged.repartition(*folders).write.mode("overwrite").partitionBy(*folders).parquet(pending)
+        put_in_place(rows.schema)
 
     return write
 
 
+def append_once(path: str, keys: list[str], parts: int = 64):
+    """A foreachBatch function: adds rows whose key the table does not have yet; replayed and repeated rows add nothing."""
+    return upsert(path, keys, parts=parts, replace=False)
+
+
+def refined_sink(path: str, parts: int = 64):
+    """One row for each window of a session's track; the first one stays."""
+    return append_once(path, ["tenant_id", "session_id", "track_id", "window_sec", "slice_index"], parts)
+
+
+def transcript_sink(path: str, model: str, parts: int = 64):
+    """One row for each track of a session, the latest by created_at_ns, with the model that made it."""
+    write = upsert(path, ["tenant_id", "session_id", "track_id"], ["created_at_ns"], parts)
+    return lambda batch, batch_id: write(batch.withColumn("model", F.lit(model)), batch_id)
+
+
 def finished_events(recordings: DataFrame, final_tracks) -> DataFrame:
     """recordings with the headers that the finalizer reads: keep the recording or not, final output, its tracks."""
     header = lambda k, v: F.struct(F.lit(k).alias("key"), F.encode(v, "UTF-8").alias("value"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from speechframes.functions import audio, formats
 
@@ -63,6 +69,60 @@ def write_session_wavs(recordings: DataFrame, path: str) -> None:
     rows.select(tenant.alias("tenant"), F.to_date("ts").alias("date"), "session_id", "object_key", audio.riff_column(F.col("pcm")).alias("wav")).write.partitionBy("tenant", "date").parquet(path)
 
 
+MOST_RIFF = (1 << 32) - 37  # bytes of PCM that a RIFF head can name
+
+
+def write_recordings(chunks: DataFrame, root: str, key_schema: str = "tenant_id string, session_id string", order: str = "seq", ts: str = "ts", pcm: str = "pcm", rate: int = audio.RATE) -> DataFrame:
+    """Each session's chunks as one WAV file below root, under its tenant and the UTC date of its first chunk; returns the index.
+
+    Rows of the index: keys, object_key, path (below root), n_bytes, reason.
+    Sizes are summed first, so the head is right from the start and the chunks
+    stream through a task in order, one at a time. Every attempt of a task writes
+    files of its own name; only what the index, a Parquet table in root/_index,
+    lists is accepted, so a killed attempt leaves nothing that is read. Sessions
+    without audio, or with more than a RIFF file can hold, have a reason and no
+    file. root is a folder or an address that all executors can write to.
+    """
+    keys = [part.strip().split(" ")[0] for part in key_schema.split(",")]
+    schema = f"{key_schema}, object_key string, path string, n_bytes long, reason string"
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+    sizes = chunks.groupBy(F.struct(*keys).alias("_key")).agg(F.coalesce(F.sum(F.octet_length(pcm)), F.lit(0)).cast("long").alias("_total"), F.min(ts).alias("_first"))
+    tenant = F.coalesce(F.nullif(F.col("_key")[keys[0]], F.lit("")), F.lit("default"))
+    sizes = sizes.withColumn("object_key", formats.recording_key("", tenant, F.col("_first"), F.coalesce(F.col("_key")[keys[1]].cast("string"), F.lit(""))))
+    rows = chunks.select(F.struct(*keys).alias("_key"), order, F.col(pcm).alias("_pcm")).join(sizes.drop("_first"), "_key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:12]}"
+        last, out = None, None
+        for batch in batches:
+            done = []
+            named = batch.select(["_key", "_total", "object_key"]).to_pylist()
+            for row, data in zip(named, batch.column("_pcm"), strict=True):
+                if row["_key"] != last:
+                    if out:
+                        out.close()
+                    last, out = row["_key"], None
+                    total, place = row["_total"], None
+                    reason = "no-audio" if not total else "too-large" if total > MOST_RIFF else None
+                    if reason is None:
+                        place = f"{row['object_key'].removesuffix('.wav')}.{attempt}.wav".lstrip("/")
+                        files.create_dir(f"{base}/{place}".rsplit("/", 1)[0], recursive=True)
+                        out = files.open_output_stream(f"{base}/{place}")
+                        out.write(audio.riff_head(total, rate))
+                    done.append({**last, "object_key": row["object_key"], "path": place, "n_bytes": total, "reason": reason})
+                if out and data.is_valid:
+                    out.write(data.as_buffer())
+            yield pa.RecordBatch.from_pylist(done, schema=kind)
+        if out:
+            out.close()
+
+    spark = chunks.sparkSession
+    index = f"{root.rstrip('/')}/_index"
+    rows.repartition("_key").sortWithinPartitions("_key", order).mapInArrow(run, schema).write.mode("append").parquet(index)
+    return spark.read.schema(schema).parquet(index)
+
+
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """Speaker manifests below root/tenant/speakers/speaker/, with tenant and folder from the path."""
     from speechframes.sources import schemas

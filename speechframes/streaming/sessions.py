@@ -14,8 +14,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
@@ -43,26 +42,28 @@ class Fold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", StructType([StructField("json", StringType())]))
 
-    def _frame(self, key, rows: list[dict]) -> pd.DataFrame:
+    def _rows(self, key, made: Iterator[dict]) -> Iterator[Row]:
         named = dict(zip(self.keys, key, strict=True))
-        return pd.DataFrame([{**named, **r} for r in rows], columns=self.columns)
+        for found in made:
+            values = {**named, **found}
+            yield Row(**{c: values[c] for c in self.columns})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         state = json.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        # within a micro-batch the rows of a key come in any order
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = [made for row in batch.to_dict("records") for made in self.step(state, row)]
-        last = max(int(batch[self.ts].max().timestamp() * 1000), state.get("_last", 0))
+        # within a micro-batch the rows of a key come in any order; nulls are first, as in a batch's sort
+        batch = sorted((r.asDict() for r in rows), key=lambda r: [(r[o] is not None, r[o]) for o in self.order])
+        out = [made for row in batch for made in self.step(state, row)]
+        last = max([state.get("_last", 0), *(int(r[self.ts].timestamp() * 1000) for r in batch)])
         self.state.update((json.dumps({**state, "_last": last}),))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(last + self.idle_ms)
-        yield self._frame(key, out)
+        yield from self._rows(key, out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         out = list(self.finish(json.loads(self.state.get()[0]))) if self.state.exists() else []
         self.state.clear()
-        yield self._frame(key, out)
+        yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -72,7 +73,7 @@ def fold_stream(rows: DataFrame, keys: list[str], order: list[str], start: Calla
     """The streaming form of ``operators.ordered.fold_sessions``; needs the RocksDB state store."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     columns = [part.strip().split(" ")[0] for part in schema.split(",")]
-    return rows.withWatermark(ts, late).groupBy(*keys).transformWithStateInPandas(statefulProcessor=Fold(keys, order, start, step, finish, idle_ms, columns, ts), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return rows.withWatermark(ts, late).groupBy(*keys).transformWithState(statefulProcessor=Fold(keys, order, start, step, finish, idle_ms, columns, ts), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def slice_step(size: int) -> Callable:
@@ -142,15 +143,62 @@ def partial_updates(chunks: DataFrame, keys: list[str], key_schema: str, late: s
     return fold_stream(chunks, keys, list(order), ordered.partial_state, step, finish, f"{key_schema}, kind string, start_sample long, end_sample long, text string", late, idle_ms)
 
 
-def novel_epochs(epochs: DataFrame, keys: list[str], key_schema: str, late: str, idle_ms: int, tail: int = 200, order: list[str] = ("epoch",)) -> DataFrame:
-    """Each epoch's new text; the state keeps the session's committed transcript, which later echoes may respace."""
+def novel_epochs(epochs: DataFrame, keys: list[str], key_schema: str, late: str, idle_ms: int, tail: int = 200, order: list[str] = ("epoch",), longest: int = 4_000) -> DataFrame:
+    """Each epoch's new text. The state is the end of the session's transcript, at most 2 * ``longest``
+    characters, where ``longest`` is the most that a hypothesis has; white space counts as single blanks."""
 
     def step(state: dict, row: dict) -> Iterator[dict]:
-        whole = T.merge_echo(state["committed"], row["text"])
-        new, state["committed"] = T.added(state["committed"], whole), whole
-        yield {"epoch": int(row["epoch"]), "novel": new, "context": T.context_tail(state["committed"], tail)}
+        made = ordered.echo_step(state, row["text"], longest, tail)
+        yield {"epoch": int(row["epoch"]), "novel": made["novel"], "context": made["context"]}
 
-    return fold_stream(epochs, keys, list(order), lambda: {"committed": ""}, step, lambda state: iter(()), f"{key_schema}, epoch long, novel string, context string", late, idle_ms)
+    return fold_stream(epochs, keys, list(order), ordered.echo_state, step, lambda state: iter(()), f"{key_schema}, epoch long, novel string, context string", late, idle_ms)
+
+
+class Freshness(StatefulProcessor):
+    """One tenant's gallery: enrolled last, and loaded, with a timer that ends the load after its time to live."""
+
+    def __init__(self, tenant: str, order: list[str], ttl_ms: int, columns: list[str]):
+        self.tenant, self.order, self.ttl_ms, self.columns = tenant, order, ttl_ms, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("gallery", StructType([StructField("json", StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = json.loads(self.state.get()[0]) if self.state.exists() else ordered.freshness_state()
+        before = state["loaded_us"]
+        for row in sorted((r.asDict() for r in rows), key=lambda r: [(r[o] is not None, r[o]) for o in self.order]):
+            for made in ordered.freshness_step(state, row, self.ttl_ms * 1000):
+                values = {self.tenant: key[0], **{o: row[o] for o in self.order}, **made}
+                yield Row(**{c: values[c] for c in self.columns})
+        self.state.update((json.dumps(state),))
+        if state["loaded_us"] != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if state["loaded_us"] is not None:
+                self.handle.registerTimer(state["loaded_us"] // 1000 + self.ttl_ms + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # the enrolled version stays; the next use loads it
+        if self.state.exists():
+            self.state.update((json.dumps({**json.loads(self.state.get()[0]), "loaded_us": None, "version": None}),))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def gallery_in_use(rows: DataFrame, key_schema: str, order: list[str], late: str, ttl_ms: int = 300_000, tenant: str = "tenant_id", ts: str = "ts") -> DataFrame:
+    """The streaming form of ``operators.ordered.gallery_in_use``: the load that each use of a tenant's gallery sees.
+
+    Join its version with the table of galleries to get the embeddings. State is a
+    tenant's version and load stamp, so it stays small whatever the gallery.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = f"{key_schema}, {', '.join(f'{o} long' for o in order)}, loaded_us long, version long"
+    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
+    made = rows.withWatermark(ts, late).groupBy(tenant)
+    return made.transformWithState(statefulProcessor=Freshness(tenant, order, ttl_ms, columns), outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
 def live_lines(updates: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,3 +77,28 @@ def test_live_lines(spark, rows):
     data = [(1, i, T0 + dt.timedelta(seconds=i), k, t) for i, (k, t) in enumerate([("PARTIAL", "a"), ("FINAL", "b"), ("PARTIAL", "c"), ("PARTIAL", "d")])]
     df = spark.createDataFrame(data + [(2, 0, T0, "PARTIAL", "x"), (2, 1, T0, "FINAL", "y")], "session_id long, seq long, ts timestamp, kind string, text string")
     assert rows(S.live_lines(df, ["session_id"])) == [(1, "d"), (2, None)]
+
+
+def test_gallery_is_reloaded_after_its_time_to_live_and_after_an_invalidation(spark, tmp_path):
+    """A load serves until 10 s later, an enrolment in between waits for it, an invalidation does not."""
+    schema = "tenant_id string, ts_us long, kind string, version long, ts timestamp"
+    at = lambda s, kind, version=None, tenant="t": (tenant, s * 1_000_000, kind, version, T0 + dt.timedelta(seconds=s))
+    data = [at(999, "gallery", 1), at(1000, "use"), at(1002, "gallery", 2), at(1005, "use"), at(1015, "use"), at(1015, "use", tenant="u"), at(1016, "invalidate"), at(1017, "use"), at(1027, "use"), at(1028, "gallery", 3), at(1028, "use"), at(1040, "use")]
+    want = [("t", 1000, 1000, 1), ("t", 1005, 1000, 1), ("t", 1015, 1015, 2), ("t", 1017, 1017, 2), ("t", 1027, 1017, 2), ("t", 1028, 1028, 3), ("t", 1040, 1040, 3), ("u", 1015, 1015, None)]
+    plain = lambda df: sorted((r["tenant_id"], r["ts_us"] // 10**6, r["loaded_us"] // 10**6, r["version"]) for r in df.collect())
+    assert plain(ordered.gallery_in_use(spark.createDataFrame(data, schema), "tenant_id string", ["ts_us"], 10_000_000)) == want
+    source = str(tmp_path / "in")
+    for i, rows in enumerate([data[:4], data[4:7], data[7:]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/b={i}")
+    stream = spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(source).drop("b")
+    made = S.gallery_in_use(stream, "tenant_id string", ["ts_us"], "1 second", 10_000)
+    query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert query.exception() is None and plain(spark.read.parquet(str(tmp_path / "out"))) == want
+
+
+def test_streams_keep_null_and_large_numbers(spark, tmp_path, rows):
+    large = 2**53 + 1
+    data = [(None, 0, 5, T0, False, large, None, None), (large, 0, 7, T0, False, 0, "a", True), (large - 1, 0, 9, T0, False, 0, "b", True)]
+    got = run(spark, tmp_path, [data, LATER], lambda s: S.slices(s, ["session_id"], "session_id long", 100, "1 second", 30_000))
+    assert rows(got.where("session_id IS NULL OR session_id > 9"), "session_id", "n_samples") == sorted([(None, 5), (large, 7), (large - 1, 9)], key=repr)
