@@ -30,11 +30,12 @@ def placed_chunks(chunks: DataFrame, keys: list[str], order: str = "seq", pcm: s
     """chunks with first_sample and end_sample, their place in the session; a chunk without payload or with half a sample keeps whole samples."""
     size = F.coalesce(F.expr(f"octet_length({pcm}) div {WIDTH}"), F.lit(0)).cast("long")
     line = scan.numbered(scan.packed(chunks.withColumn("_n", size), keys, order, bin_width), [order])
-    total = F.sum(F.col("_row._n"))
-    bins = scan.summaries(line, _sum=total).where("_head IS NOT NULL").withColumn("_before", F.coalesce(F.sum("_sum").over(scan.earlier()), F.lit(0)))
-    line = scan.carried(line, bins, "_before").withColumn("end_sample", F.col("_before") + total.over(scan.within([order]).rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("_sofar", F.sum("_row._n").over(scan.within([order]).rowsBetween(Window.unboundedPreceding, 0)))
+    bins = scan.summaries(line, _sum=F.max("_sofar")).where("_head IS NOT NULL").withColumn("_before", F.coalesce(F.sum("_sum").over(scan.earlier()), F.lit(0)))
+    line = scan.carried(line, bins, "_before")
+    line = line.withColumn("_end", F.col("_before") + F.col("_sofar"))
     kept = [c for c in chunks.columns if c not in ("first_sample", "end_sample")]
-    return line.select(*[F.col(f"_row.{c}") for c in kept], (F.col("end_sample") - F.col("_row._n")).alias("first_sample"), "end_sample")
+    return scan.unpacked(line, F.col("_end")).select(*kept, (F.col("_end") - F.col("_n")).alias("first_sample"), F.col("_end").alias("end_sample"))
 
 
 def clipped_turns(turns: DataFrame, chunks: DataFrame, keys: list[str], start: str = "s", end: str = "e", pcm: str = "pcm") -> DataFrame:

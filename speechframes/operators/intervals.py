@@ -16,9 +16,9 @@ from speechframes.operators import scan
 BIN_MS = 60_000
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
+def _bins(start: Column, end: Column, width: int, explode=F.explode) -> Column:
     first = F.floor(start / width).cast("long")
-    return F.explode(F.sequence(first, F.greatest(first, F.floor(F.greatest(start, end - 1) / width).cast("long"))))
+    return explode(F.sequence(first, F.greatest(first, F.floor(F.greatest(start, end - 1) / width).cast("long"))))
 
 
 def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS) -> DataFrame:
@@ -34,18 +34,27 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], start:
     )
 
 
-def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], default: str = "", coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms", out: str = "speaker") -> DataFrame:
-    """segments with the speaker of the single turn that overlaps each most.
+def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], default: str = "", coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms", out: str = "speaker", bin_width: int = BIN_MS) -> DataFrame:
+    """segments (one row for each segment_id in its key) with the speaker of the single turn that overlaps each most.
 
     Of equal overlaps the turn that comes first (turn_ord) wins. An overlap below
     the part ``coverage`` (numerator, denominator) of the segment leaves the default.
     """
-    pairs = overlapping_pairs(segments.select(*keys, *segment_id, start, end), turns, keys, start, end)
-    best = pairs.groupBy(*keys, *segment_id).agg(F.max_by(F.struct("r_speaker", "overlap"), F.struct("overlap", F.negative("r_turn_ord"))).alias("_best"))
+    if "_kept" in segments.columns:
+        raise ValueError("_kept is a name of this operator's own")
+    kept = [c for c in segments.columns if c not in (*keys, *segment_id, start, end, out)]
+    a = segments.select(*keys, *segment_id, start, end, F.struct(*kept).alias("_kept") if kept else F.lit(None).alias("_kept")).withColumn("_bin", _bins(F.col(start), F.col(end), bin_width, F.explode_outer))
+    b = turns.select(*keys, F.col("turn_ord").alias("_ord"), F.col("speaker").alias("_said"), F.col(start).alias("_from"), F.col(end).alias("_to")).withColumn("_bin", _bins(F.col("_from"), F.col("_to"), bin_width))
+    # no pair is needed once only: a pair that meets in several bins has one overlap
+    meets = [a[c] == b[c] for c in (*keys, "_bin")] + [F.col("_from") < F.col(end), F.col(start) < F.col("_to")]
+    pairs = a.join(b, meets, "left").select(*[a[k] for k in keys], *segment_id, start, end, "_kept", "_ord", "_said", (F.least(end, "_to") - F.greatest(start, "_from")).alias("overlap"))
+    # the segment's own columns ride along, so the result is not joined back
+    best = pairs.groupBy(*keys, *segment_id, start, end).agg(F.first("_kept").alias("_kept"), F.max_by(F.struct(F.col("_said").alias("speaker"), "overlap"), F.when(F.col("overlap").isNotNull(), F.struct("overlap", F.negative("_ord")))).alias("_best"))
     enough = F.col("_best.overlap").isNotNull() & (F.col(end) > F.col(start))
     if coverage:
         enough &= F.col("_best.overlap") * coverage[1] >= (F.col(end) - F.col(start)) * coverage[0]
-    return segments.join(best, [*keys, *segment_id], "left").withColumn(out, F.when(enough, F.col("_best.r_speaker")).otherwise(F.lit(default))).drop("_best")
+    label = F.when(enough, F.col("_best.speaker")).otherwise(F.lit(default))
+    return best.select(*[label.alias(c) if c == out else F.col(f"_kept.{c}").alias(c) if c in kept else F.col(c) for c in dict.fromkeys([*segments.columns, out])])
 
 
 def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms", out: str = "speaker", bin_width: int = BIN_MS) -> DataFrame:
@@ -60,28 +69,24 @@ def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: st
     ends = ends.groupBy(*keys, "_at").agg(F.min(F.struct("turn_ord", "speaker")).alias("_turn")).withColumn("_turn", F.struct("_at", "_turn.turn_ord", "_turn.speaker"))
     rows = points.withColumn("_at", F.col(start) + F.col(end)).unionByName(ends, allowMissingColumns=True)
     line = scan.numbered(scan.packed(rows, keys, "_at", 2 * bin_width).withColumn("_turn", F.col("_row._turn")), ["_at"])
-    bins = scan.summaries(line, _first=F.min("_turn"), _final=F.max("_turn")).where("_head IS NOT NULL")
-    bins = bins.withColumn("_past", F.max("_final").over(scan.earlier())).withColumn("_next", F.min("_first").over(scan.later()))
+    bins = scan.summaries(line, every=True, _opening=F.min("_turn"), _closing=F.max("_turn")).where("_head IS NOT NULL")
+    bins = bins.withColumn("_past", F.max("_closing").over(scan.earlier())).withColumn("_next", F.min("_opening").over(scan.later()))
     found = scan.carried(line, bins, "_past", "_next")
-    # a boundary at a middle counts on both sides
+    # a boundary at a middle counts on both sides; either way the frame only grows
     before = F.max("_turn").over(scan.within(["_at"]).rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min("_turn").over(scan.within(["_at"]).rangeBetween(0, Window.unboundedFollowing))
+    after = F.min("_turn").over(scan.within([F.desc("_row._at")]).rangeBetween(Window.unboundedPreceding, 0))
     found = found.withColumn("_a", F.coalesce(before, "_past")).withColumn("_b", F.coalesce(after, "_next")).where("_turn IS NULL")
     rank = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("_row._at") - F.col(f"{c}._at")).alias("d"), F.col(f"{c}.turn_ord").alias("o"), F.col(f"{c}.speaker").alias("s")))
     near = F.least(rank("_a"), rank("_b"))["s"]
-    return found.select(*[F.col(f"_row.{c}") for c in points.columns if c != out], near.alias(out))
+    return scan.unpacked(found.withColumn("_near", near), F.col("_near")).select(*[c for c in points.columns if c != out], F.col("_near").alias(out))
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms") -> DataFrame:
-    """Best overlap, else the nearest turn, else blank.
-
-    The nearest turn is looked up for all rows in the pass over the session that
-    coalescing needs anyway; singling out the few rows without overlap first
-    would run the overlap join twice.
-    """
+    """Best overlap, else the nearest turn, else blank. Only rows without overlap enough look for the nearest."""
     first = assign_by_overlap(segments, turns, keys, segment_id, "", coverage, start, end)
-    both = nearest_turn(first, turns, keys, start, end, out="_near")
-    return both.withColumn("speaker", F.coalesce(F.nullif("speaker", F.lit("")), "_near", F.lit(""))).drop("_near")
+    alone = F.coalesce(F.col("speaker"), F.lit("")) == ""
+    near = nearest_turn(first.where(alone).drop("speaker"), turns, keys, start, end).select(*[c for c in first.columns if c != "speaker"], F.coalesce("speaker", F.lit("")).alias("speaker"))
+    return first.where(~alone).unionByName(near)
 
 
 def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | None, order: list[str], start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS) -> DataFrame:
@@ -98,34 +103,36 @@ def gap_islands(rows: DataFrame, keys: list[str], same: list[str], gap: int | No
     """
     # rows that tie in all of these are alike for what follows
     order = list(dict.fromkeys([*order, *same, *([start, end] if gap is not None else [])]))
+    rows = rows.drop("island")
     line = scan.numbered(scan.packed(rows, keys, order[0], bin_width), order)
     differs = F.lit(False)
     for c in same:
         differs |= ~F.col(f"_row.{c}").eqNullSafe(F.lag(f"_row.{c}").over(scan.within(order)))
     line = line.withColumn("_new", (F.col("_nth") > 1) & differs)
-    breaks = F.sum(F.col("_new").cast("long"))
-    more = {"_breaks": breaks}
+    running = F.sum(F.col("_new").cast("long")).over(scan.within(order).rowsBetween(Window.unboundedPreceding, 0))
+    line = line.withColumn("_run", running)
+    more = {"_breaks": F.max("_run")}
     if gap is not None:
-        line = line.withColumn("_run", breaks.over(scan.within(order)))
-        line = line.withColumn("_reach", F.max(f"_row.{end}").over(scan.within(order, "_run").rowsBetween(Window.unboundedPreceding, -1)))
-        more["_tail"] = F.max(F.struct("_run", f"_row.{end}"))
+        run = scan.within(order, "_run")
+        line = line.withColumns({"_reach": F.max(f"_row.{end}").over(run.rowsBetween(Window.unboundedPreceding, -1)), "_tail": F.max(f"_row.{end}").over(run.rowsBetween(Window.unboundedPreceding, 0))})
+        more["_tail"] = F.max_by("_tail", "_nth")
     opens = F.lag("_bin").over(scan.bins()).isNull()
     for c in same:
         opens |= ~F.col(f"_head.{c}").eqNullSafe(F.lag("_last").over(scan.bins())[c])
     bins = scan.summaries(line, **more).withColumn("_opens", opens)
     if gap is None:
         bins = bins.withColumn("_islands", F.coalesce(F.sum(F.col("_breaks") + F.col("_opens").cast("long")).over(scan.earlier()), F.lit(0)))
-        line = scan.carried(line, bins, "_opens", "_islands").withColumn("_new", F.col("_new") | ((F.col("_nth") == 1) & F.col("_opens")))
+        line = scan.carried(line, bins, "_opens", "_islands").withColumn("_run", F.col("_run") + F.col("_opens").cast("long"))
     else:
         bins = bins.withColumn("_since", F.sum((F.col("_opens") | (F.col("_breaks") > 0)).cast("long")).over(scan.bins()))
-        bins = bins.withColumn("_reached", F.max(F.col("_tail")[end]).over(Window.partitionBy("_key", "_since").orderBy("_bin"))).withColumn("_carry", F.lag("_reached").over(scan.bins()))
+        bins = bins.withColumn("_reached", F.max("_tail").over(Window.partitionBy("_key", "_since").orderBy("_bin"))).withColumn("_carry", F.lag("_reached").over(scan.bins()))
         line = scan.carried(line, bins, "_opens", "_carry")
         upto = F.when((F.col("_run") == 0) & ~F.col("_opens"), F.greatest("_reach", "_carry")).otherwise(F.col("_reach"))
         changed = F.col("_new") | ((F.col("_nth") == 1) & F.col("_opens"))
-        line = line.withColumn("_new", changed | F.coalesce(F.col(f"_row.{start}") - upto > gap, F.lit(True)))
-        counts = scan.summaries(line, _breaks=breaks).where("_head IS NOT NULL")
+        line = line.withColumn("_new", changed | F.coalesce(F.col(f"_row.{start}") - upto > gap, F.lit(True))).withColumn("_run", running)
+        counts = scan.summaries(line, _breaks=F.max("_run")).where("_head IS NOT NULL")
         line = scan.carried(line, counts.withColumn("_islands", F.coalesce(F.sum("_breaks").over(scan.earlier()), F.lit(0))), "_islands")
-    return line.withColumn("island", F.col("_islands") + breaks.over(scan.within(order))).select("_row.*", "island")
+    return scan.unpacked(line.withColumn("_island", F.col("_islands") + F.col("_run")), F.col("_island").alias("island"))
 
 
 def merge_turns(turns: DataFrame, keys: list[str], gap: int, window_end: str | None = None, start: str = "s_ms", end: str = "e_ms") -> DataFrame:

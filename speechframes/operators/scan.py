@@ -43,6 +43,15 @@ def within(order: Iterable[str | Column], *further: str) -> WindowSpec:
     return Window.partitionBy(*AT, *further).orderBy(*[F.col(f"_row.{o}") if isinstance(o, str) else o for o in order])
 
 
+def unpacked(rows: DataFrame, *columns: Column) -> DataFrame:
+    """The columns of _row, and further ones.
+
+    The row is opened as a whole: fields taken one by one would be pruned below
+    the exchange, which the summaries then could not share.
+    """
+    return rows.select(F.inline(F.array("_row")), *columns)
+
+
 def bins() -> WindowSpec:
     """The bins of a session in order."""
     return Window.partitionBy("_key").orderBy("_bin")
@@ -56,9 +65,13 @@ def later() -> WindowSpec:
     return bins().rowsBetween(1, Window.unboundedFollowing)
 
 
-def summaries(rows: DataFrame, **columns: Column) -> DataFrame:
-    """One row for each bin of each session, with its first and last row (by _nth) and further columns."""
-    return rows.groupBy(*AT).agg(F.min_by("_row", "_nth").alias("_head"), F.max_by("_row", "_nth").alias("_last"), *[c.alias(n) for n, c in columns.items()])
+def summaries(rows: DataFrame, every: bool = False, **columns: Column) -> DataFrame:
+    """One row for each bin of each session, with its first and last row (by _nth) and further columns.
+
+    Running columns are complete at a bin's last row, so its first and last rows are all that is looked at, unless ``every`` one is asked for.
+    """
+    seen = rows if every else rows.where("_nth = 1 OR _final")
+    return seen.groupBy(*AT).agg(F.min_by("_row", "_nth").alias("_head"), F.max_by("_row", "_nth").alias("_last"), *[c.alias(n) for n, c in columns.items()])
 
 
 def carried(rows: DataFrame, bins: DataFrame, *columns: str) -> DataFrame:
@@ -67,7 +80,8 @@ def carried(rows: DataFrame, bins: DataFrame, *columns: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.withColumn("_nth", F.row_number().over(within(order)))
+    """Rows with their number in the bin and whether they are its last."""
+    return rows.withColumns({"_nth": F.row_number().over(within(order)), "_final": F.lead(F.lit(1)).over(within(order)).isNull()})
 
 
 def with_previous(rows: DataFrame, keys: list[str], order: list[str], width: int, previous: str = "_previous", head: str | None = None) -> DataFrame:
@@ -76,7 +90,7 @@ def with_previous(rows: DataFrame, keys: list[str], order: list[str], width: int
     summed = summaries(line).select(*AT, F.lag("_last").over(bins()).alias("_before"), F.first("_head").over(bins().rowsBetween(Window.unboundedPreceding, 0)).alias("_start"))
     made = carried(line, summed, "_before", "_start")
     added = [F.when(F.col("_nth") == 1, F.col("_before")).otherwise(F.col("_lag")).alias(previous)] + ([F.col("_start").alias(head)] if head else [])
-    return made.select("_row.*", *added)
+    return unpacked(made, *added)
 
 
 def before_first(rows: DataFrame, keys: list[str], order: list[str], width: int, stop: Column) -> DataFrame:
@@ -84,4 +98,5 @@ def before_first(rows: DataFrame, keys: list[str], order: list[str], width: int,
     line = numbered(packed(rows.withColumn("_stop", F.coalesce(stop, F.lit(False))), keys, order[0], width), order)
     line = line.withColumn("_met", F.max("_row._stop").over(within(order).rowsBetween(Window.unboundedPreceding, 0)))
     summed = summaries(line, _any=F.max("_met")).where("_head IS NOT NULL").withColumn("_earlier", F.coalesce(F.max("_any").over(earlier()), F.lit(False)))
-    return carried(line, summed, "_earlier").where("NOT _earlier AND NOT _met").select(*[F.col(f"_row.{c}") for c in rows.columns])
+    kept = carried(line, summed, "_earlier").where("NOT _earlier AND NOT _met")
+    return unpacked(kept).drop("_stop")
