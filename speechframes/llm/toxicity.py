@@ -1,32 +1,35 @@
 """Toxicity by a linear-chain conditional random field over words.
 
 Labels mark documents, so token labels come first. ``marking_words`` counts, over
-all labelled training rows, in how many toxic and clean documents each word
-stands; words of ``LEAST_LOG_ODDS`` or more that stand in ``LEAST_GROUPS`` or more
-groups of near copies (documents of one least three-word hash) mark toxicity, however
-rare they are beside others. Their occurrences in toxic documents are the tagged
+all labelled training rows, in how many groups of near copies (documents of one
+least three-word hash) of toxic and of clean documents each word stands, so that
+copies change nothing; words of ``LEAST_LOG_ODDS`` or more that stand in
+``LEAST_GROUPS`` or more toxic groups mark toxicity, however rare they are beside
+others. Their occurrences in toxic documents are the tagged
 tokens. On these a conditional random field with two states learns weights for
 a word, its neighbours, the step of its log-odds, and the transitions between
 states, by the exact gradient from the forward-backward recursions.
 
 For any text the same recursions give each word's marginal probability of being
-toxic. Their maximum, their sum and the text's length give the document's score
-through a logistic model fitted on the sample's document labels; runs of words
-with a marginal of ``SPAN_AT`` or more are the offending spans.
+toxic. Runs of words with a marginal of ``SPAN_AT`` or more are the offending spans.
+The largest marginal, the sum over the words in spans and that sum beside the
+text's length give the document's score through a logistic model fitted on the
+sample's document labels. Its intercept is held so low that a text without a
+span stays below 0.5, whatever the lengths of the texts that taught it.
 
 The weights are fitted on a bounded sample of labelled rows: at most
 ``SAMPLE_ROWS`` rows of each class (least hash of the id first) and
 ``SAMPLE_CHARS`` characters, of which each class has half and what the other
 does not need. A row that does not fit there is passed over; a class of which no
 row fits teaches by the beginning of its shortest one. Documents of fewer than
-``WINDOW`` words are windows of their own length. The model has at most
-``MOST_MARKS`` marking words (those of the most evidence) and ``MOST_WORDS``
-others and is broadcast. Scoring covers every whole text, without
+``WINDOW`` words are windows of their own length. The model is broadcast: it has
+the words that the sample repeats, and at most ``MOST_MARKS`` marking words; beyond
+that those of the least evidence (log-odds times groups) go unmarked. Scoring covers every whole text, without
 a shuffle.
 
 Defined cases: null and empty texts have no word and get the score of a text
-without any toxic word; rows without id, label or text teach nothing; equal
-texts teach once; without rows of both classes every score is 0; repeated rows
+without any toxic word; rows without id, label or text teach nothing, nor do ids that
+have both labels; equal texts teach once; without rows of both classes every score is 0; repeated rows
 score alike; extra columns are kept by ``score`` and columns named like its
 results are replaced; an empty table gives an empty result.
 """
@@ -45,15 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from speechframes.llm.common import fold, pieces, table
+from speechframes.llm.common import fold, pieces, table, written
 
 SAMPLE_ROWS = 1_000
 SAMPLE_CHARS = 8_000_000
-MOST_WORDS = 50_000
 WINDOW = 48
 STEPS = 60
 SPAN_AT = 0.5
-MOST_MARKS = 50_000
+MOST_MARKS = 500_000  # some 50 MB
 LEAST_GROUPS = 5
 BROADCAST_LABELS = 2_000_000  # ids and labels, some 50 MB; more of them meet the texts in a shuffle join
 STEPS_OF_ODDS = 6
@@ -67,7 +69,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def log_odds(toxic: int, clean: int, n: int, m: int) -> float:
-    """Of a word in so many of n toxic and m clean documents."""
+    """Of a word in so many of n toxic and m clean groups."""
     return math.log((toxic + 0.5) / (n + 1)) - math.log((clean + 0.5) / (m + 1))
 
 
@@ -86,40 +88,46 @@ def near_copy_key(words: list[str]) -> int:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts and labels to (word, group, toxic, clean) counts of documents; clean documents have no group."""
-    counts: Counter = Counter()
+    """Texts and labels to the (word, group, y) that they hold, each group also under the null word."""
+    found: set = set()
 
     def flush() -> pa.RecordBatch:
-        words, groups, toxic, clean = zip(*((w, g, c * (g is not None), c * (g is None)) for (w, g), c in counts.items()), strict=True)
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array(c, pa.int64()) for c in (groups, toxic, clean))], ["word", "group", "toxic", "clean"])
+        columns = zip(*found, strict=True)
+        made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)], ["word", "group", "y"])
+        found.clear()
+        return made
 
     for batch in (part for whole in batches for part in pieces(whole, "text")):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = words_of(text)
-            found = set(words)
-            group = near_copy_key(words) if y else None
-            counts.update((w, group) for w in found)
-            if len(counts) >= 300_000:
+            group = near_copy_key(words)
+            found.update((w, group, y) for w in {None, *words})
+            if len(found) >= 300_000:
                 yield flush()
-    if counts:
+    if found:
         yield flush()
 
 
+def known_labels(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """_of and y of the ids that have one label, 0 or 1."""
+    rows = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("y")).where("_of IS NOT NULL AND y IN (0, 1)")
+    return rows.groupBy("_of").agg(F.min("y").alias("y"), F.max("y").alias("_other")).where("y = _other").drop("_other")
+
+
 def marking_words(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, float]:
-    """Marking words and their log-odds, counted over all labelled rows; groups of near copies count once each."""
-    known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("y")).where("_of IS NOT NULL AND y IN (0, 1)").distinct()
+    """Marking words and their log-odds, counted over all labelled rows; groups of near copies count once each, in either class."""
+    known = known_labels(labels, id_col, label_col)
     few = known.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
     rows = docs.select(F.col(id_col).alias("_of"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(known) if few else known, "_of")
-    total = dict(rows.groupBy("y").count().collect())
-    if len(total) < 2:
+    pairs = rows.select("text", "y").mapInArrow(_count_words, "word string, group long, y int").distinct()
+    counted = pairs.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).where(F.col("word").isNull() | (F.col("toxic") >= LEAST_GROUPS))
+    counted = written(counted, "toxic-words")
+    total = counted.where("word IS NULL").first()
+    if total is None or not (total["toxic"] and total["clean"]):
         return {}
-    counts = rows.select("text", "y").mapInArrow(_count_words, "word string, group long, toxic long, clean long")
-    grouped = counts.groupBy("word", "group").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    by_word = grouped.groupBy("word").agg(F.count("group").alias("groups"), F.sum("clean").alias("clean"))
-    odds = F.log((F.col("groups") + 0.5) / (total[1] + 1)) - F.log((F.col("clean") + 0.5) / (total[0] + 1))
-    found = by_word.where(F.col("groups") >= LEAST_GROUPS).withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
-    return dict(found.orderBy(F.desc(F.col("odds") * F.col("groups")), "word").limit(MOST_MARKS).select("word", "odds").collect())
+    odds = F.log((F.col("toxic") + 0.5) / (total["toxic"] + 1)) - F.log((F.col("clean") + 0.5) / (total["clean"] + 1))
+    found = counted.where("word IS NOT NULL").withColumn("odds", odds).where(F.col("odds") >= LEAST_LOG_ODDS)
+    return dict(found.orderBy(F.desc(F.col("odds") * F.col("toxic")), "word").limit(MOST_MARKS).select("word", "odds").collect())
 
 
 @dataclass
@@ -192,7 +200,7 @@ def fit(rows: list[tuple[str, int]], marks: dict[str, float] | None = None) -> M
         return None
     marks = marking_words_of(rows) if marks is None else marks
     counts = Counter(w for d, _ in docs for w in d)
-    words = {w: i for i, w in enumerate(dict.fromkeys(["", *marks, *[w for w, c in counts.most_common(MOST_WORDS - 1) if c > 1]]))}
+    words = {w: i for i, w in enumerate(dict.fromkeys(["", *marks, *[w for w, c in counts.most_common() if c > 1]]))}
     grade = np.zeros(len(words), int)  # step of the log-odds, 0 for words that mark nothing
     for w, x in marks.items():
         grade[words[w]] = 1 + max(0, min(STEPS_OF_ODDS - 1, int(x - LEAST_LOG_ODDS)))
@@ -243,19 +251,22 @@ def fit(rows: list[tuple[str, int]], marks: dict[str, float] | None = None) -> M
     emission = theta[: 3 * size].reshape(3, size) * values
     emission[1] += theta[3 * size : 3 * size + steps][grade]
     model = Model(words, emission, float(theta[-5]), theta[-4:].reshape(2, 2), np.zeros(4))
-    x = np.array([document_features(*found) for found in marginals(model, [d for d, _ in docs])])
+    x = np.array([document_features(p) for p in marginals(model, [d for d, _ in docs])])
     labels = np.array([t for _, t in docs], float)
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))  # classes count alike
     b = np.zeros(4)
     for _ in range(30):  # Newton's method, lightly regularised
         p = 1 / (1 + np.exp(-x @ b))
         b = b + np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(4), x.T @ (weight * (labels - p)) - 0.05 * b)
+    # below SPAN_AT only the largest marginal counts, and it cannot lift the score to a half
+    b[1] = max(b[1], 0.0)
+    b[0] = min(b[0], -b[1] * SPAN_AT - 1e-6)
     model.document = b
     return model
 
 
-def marginals(model: Model, docs: list[list[str]]) -> Iterator[tuple[float, float, np.ndarray]]:
-    """Of each document the largest marginal, the logarithm of 1 + their sum, and all marginals."""
+def marginals(model: Model, docs: list[list[str]]) -> Iterator[np.ndarray]:
+    """The marginals of each document's words."""
     get = model.words.get
     ids = [np.array([get(w, 0) for w in d], np.int64) for d in docs]
     lengths = np.array([len(d) for d in ids], np.int64)
@@ -280,18 +291,19 @@ def marginals(model: Model, docs: list[list[str]]) -> Iterator[tuple[float, floa
         odds = _odds_chain(np.exp(np.clip(e, -30, 30)), t, lengths[block])
         for row, i in enumerate(block):
             o = odds[row, : lengths[i]]
-            p = o / (1 + o)
-            out[i] = (float(p.max()), math.log1p(float(p.sum())), p) if len(p) else (0.0, 0.0, p)
+            out[i] = o / (1 + o)
         start = stop
     yield from out
 
 
-def document_features(largest: float, log_sum: float, p: np.ndarray) -> list[float]:
-    return [1.0, largest, log_sum, math.log1p(len(p))]
+def document_features(p: np.ndarray) -> list[float]:
+    """A constant, the largest marginal, and of the words in spans the sum, absolute and beside the length; all but the first vanish without evidence."""
+    tagged = math.log1p(float(p[p >= SPAN_AT].sum()))
+    return [1.0, float(p.max(initial=0.0)), tagged, tagged / math.log(len(p) + 2)]
 
 
-def document_score(model: Model, *found) -> float:
-    return 1 / (1 + math.exp(-float(np.dot(model.document, document_features(*found)))))
+def document_score(model: Model, p: np.ndarray) -> float:
+    return 1 / (1 + math.exp(-float(np.dot(model.document, document_features(p)))))
 
 
 def spans(text: str, p: np.ndarray) -> list[dict]:
@@ -332,7 +344,7 @@ def fitting(lengths: list[int], labels: list[int]) -> list[tuple[int, int]]:
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
     """At most SAMPLE_ROWS rows of each class and SAMPLE_CHARS characters."""
-    known = labels.select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_y")).where("_of IS NOT NULL AND _y IN (0, 1)")
+    known = known_labels(labels, id_col, label_col).withColumnRenamed("y", "_y")
     chosen = None
     for y in (0, 1):
         some = known.where(F.col("_y") == y).orderBy(F.xxhash64("_of"), "_of").limit(SAMPLE_ROWS)
@@ -363,9 +375,9 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataF
         for batch in (part for whole in batches for part in pieces(whole, text_col)):
             texts = batch.column(text_col).to_pylist()
             scores, found = [0.0] * len(texts), [[] for _ in texts]
-            for i, (largest, log_sum, p) in enumerate(marginals(model, [words_of(t) for t in texts]) if model else ()):
-                scores[i] = document_score(model, largest, log_sum, p)
-                if largest >= SPAN_AT:
+            for i, p in enumerate(marginals(model, [words_of(t) for t in texts]) if model else ()):
+                scores[i] = document_score(model, p)
+                if p.max(initial=0.0) >= SPAN_AT:
                     found[i] = spans(texts[i], p)
             yield pa.RecordBatch.from_arrays([*batch.select(kept_names).columns, pa.array(scores, pa.float64()), pa.array(found, span_type)], [*kept_names, "score", "toxic_spans"])
 

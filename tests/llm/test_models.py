@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from speechframes.llm import language as L
@@ -129,11 +130,17 @@ def test_marking_words_count_near_copies_once(spark):
     rows += [(300 + i, f"gredin e{i} f{i * 7} g{i * 11} h{i * 13}", 1) for i in range(9)]
     rows += [(400 + i, "copied once more", 1) for i in range(50)]
     rows += [(500 + i, f"calm text {i} of j{i * 3} k{i * 5}", 0) for i in range(600)]
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "scum"), (1000, None)], "doc_id long, text string")
-    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 0), (1000, 1), (7, None)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(None, "scum"), (5000, None), (5001, "scum calm")], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(None, 0), (5000, 1), (5001, 0), (5001, 1), (7, None)], "doc_id long, toxic int")
     found = X.marking_words(docs, labels)
     assert set(found) == {"scum", "gredin"}
-    assert math.isclose(found["gredin"], X.log_odds(len({X.near_copy_key(r[1].split()) for r in rows if "gredin" in r[1]}), 0, 259, 600))
+    groups = lambda y, word="": len({X.near_copy_key(r[1].split()) for r in rows if r[2] == y and word in r[1]})
+    assert math.isclose(found["gredin"], X.log_odds(groups(1, "gredin"), 0, groups(1), groups(0)))
+    # copies of toxic and of clean rows change nothing
+    more = docs.unionByName(docs.where("doc_id < 1100").crossJoin(spark.range(20)).select((F.col("doc_id") + 10_000 * (1 + F.col("id"))).alias("doc_id"), F.concat("text", F.lit(" again")).alias("text")))
+    told = labels.unionByName(labels.where("doc_id < 1100").crossJoin(spark.range(20)).select((F.col("doc_id") + 10_000 * (1 + F.col("id"))).alias("doc_id"), "toxic"))
+    copied = X.marking_words(more, told)
+    assert set(copied) == set(found)
     assert X.marking_words(docs, labels.where("toxic = 1")) == {} and X.marking_words(docs.limit(0), labels) == {}
 
 
@@ -176,6 +183,19 @@ def test_toxicity_learns_from_short_texts_beside_long_ones(spark):
     assert X.fit([("", 1), ("!", 0)]) is not None
 
 
+@pytest.mark.parametrize("toxic_words,clean_words", [(3, 900), (900, 3), (40, 40)])
+def test_a_score_of_a_half_needs_a_span(spark, toxic_words, clean_words):
+    """Whatever the lengths of the texts that teach, none without a tagged word is predicted toxic."""
+    rng = np.random.default_rng(toxic_words)
+    words = lambda n: [f"w{k}" for k in rng.integers(0, 400, n)]
+    rows = [(" ".join([*words(clean_words), f"c{i}"]), 0) for i in range(30)] + [(" ".join([*words(toxic_words), "scum", f"t{i}"]), 1) for i in range(30)]
+    model = X.fit(rows, {"scum": 5.0})
+    texts = [None, "", "calm", " ".join(words(5)), " ".join(words(2000)), "you scum", " ".join([*words(300), "scum"])]
+    got = X.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()
+    assert all(r["score"] < 0.5 and not r["toxic_spans"] for r in got[:5])
+    assert all(r["score"] > 0.5 and r["toxic_spans"] for r in got[5:])
+
+
 def test_toxicity_sample_passes_over_long_rows(spark, monkeypatch):
     monkeypatch.setattr(X, "SAMPLE_CHARS", 100)
     docs = spark.createDataFrame([(i, "x" * 101 if i % 3 == 0 else f"text {i}") for i in range(12)] + [(50, None)], "doc_id long, text string")
