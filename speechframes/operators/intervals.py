@@ -47,7 +47,7 @@ def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], se
     b = turns.select(*keys, F.col("turn_ord").alias("_ord"), F.col("speaker").alias("_said"), F.col(start).alias("_from"), F.col(end).alias("_to")).withColumn("_bin", _bins(F.col("_from"), F.col("_to"), bin_width))
     # no pair is needed once only: a pair that meets in several bins has one overlap
     meets = [a[c] == b[c] for c in (*keys, "_bin")] + [F.col("_from") < F.col(end), F.col(start) < F.col("_to")]
-    pairs = a.join(b, meets, "left").select(*[a[k] for k in keys], *segment_id, start, end, "_kept", "_ord", "_said", (F.least(end, "_to") - F.greatest(start, "_from")).alias("overlap"))
+    pairs = a.join(b, meets, "left").select(*[a[k] for k in keys], *segment_id, start, end, "_kept", "_ord", "_said", F.when(F.col("_from").isNotNull(), F.least(end, "_to") - F.greatest(start, "_from")).alias("overlap"))
     # the segment's own columns ride along, so the result is not joined back
     best = pairs.groupBy(*keys, *segment_id, start, end).agg(F.first("_kept").alias("_kept"), F.max_by(F.struct(F.col("_said").alias("speaker"), "overlap"), F.when(F.col("overlap").isNotNull(), F.struct("overlap", F.negative("_ord")))).alias("_best"))
     enough = F.col("_best.overlap").isNotNull() & (F.col(end) > F.col(start))

@@ -262,6 +262,21 @@ def enrich_epochs(words: DataFrame, turns: DataFrame, keys: list[str], epochs: D
     return with_coarse(made.join(failed, [*keys, "epoch"], "left_anti"), epochs, [*keys, "epoch"])
 
 
+def enrich_transcripts(epochs: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """Finals of epochs from their transcripts and aligned words: the words' spacing is restored, then ``enrich_epochs``.
+
+    epochs: keys, epoch, text, s_ms, e_ms, words (array of start_s, end_s, text
+    within the epoch). Where the words cannot be restored, the epoch's whole text
+    is one final without a speaker.
+    """
+    own = [*keys, "epoch", "s_ms"]  # the epoch's start rides along, so words need no join to be moved
+    crops = epochs.select(*own, F.col("text").alias("transcript"), ((F.col("e_ms") - F.col("s_ms")) / 1000).alias("duration_s"), "words")
+    restored = ordered.restore_text(crops.where("transcript IS NOT NULL AND words IS NOT NULL"), own).where("reason IS NULL")
+    moved = lambda c: (F.col("s_ms") + F.rint(F.col(c) * 1000)).cast("long")
+    words = restored.select(*keys, "epoch", "idx", F.col("text").alias("word"), moved("start_s").alias("s_ms"), moved("end_s").alias("e_ms"))
+    return enrich_epochs(words, turns, keys, epochs.select(*keys, "epoch", "text", "s_ms", "e_ms"))
+
+
 def build_gallery(manifests: DataFrame, sample_embeddings: DataFrame, strict_root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The gallery and the rejected manifests. sample_embeddings: url, embedding."""
     reason = validate.manifest_reason(manifests)

@@ -188,3 +188,20 @@ def test_recordings_are_files_that_others_can_open(spark, tmp_path):
     # a later batch adds to the index
     more = df.where("session_id = 's0'").withColumn("session_id", F.lit("later"))
     assert wav.write_recordings(more, root).count() == 9
+
+
+def test_epochs_are_restored_and_enriched(spark, rows):
+    word = "struct<start_s:double,end_s:double,text:string>"
+    data = [
+        (1, 0, "Hi,  you there.", 10_000, 12_000, [(0.0, 0.4, "hi"), (0.5, 0.9, "you"), (1.0, 1.5, "there")]),
+        (1, 1, "lost words", 12_000, 14_000, [(0.0, 0.4, "other")]),
+        (1, 2, "no words", 14_000, 16_000, None),
+        (1, 3, " ", 16_000, 18_000, [(0.0, 0.4, "x")]),
+    ]
+    epochs = spark.createDataFrame(data, f"session_id int, epoch int, text string, s_ms long, e_ms long, words array<{word}>")
+    turns = spark.createDataFrame([(1, e, k, a, b, who) for e in range(4) for k, (a, b, who) in enumerate([(10_000, 10_450, "A"), (10_450, 18_000, "B")])], "session_id int, epoch int, turn_ord int, s_ms long, e_ms long, speaker string")
+    made = jobs.enrich_transcripts(epochs, turns, ["session_id"])
+    assert rows(made, "epoch", "speaker", "text", "s_ms", "e_ms") == [
+        (0, "EPOCH_0000/A", "Hi,", 10_000, 10_400), (0, "EPOCH_0000/B", "you there.", 10_500, 11_500),
+        (1, "", "lost words", 12_000, 14_000), (2, "", "no words", 14_000, 16_000),
+    ]
