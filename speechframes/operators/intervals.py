@@ -34,7 +34,10 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], start:
     )
 
 
-def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], default: str = "", coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms", out: str = "speaker", bin_width: int = BIN_MS) -> DataFrame:
+def assign_by_overlap(
+    segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], default: str = "", coverage: tuple[int, int] | None = (1, 10),
+    start: str = "s_ms", end: str = "e_ms", out: str = "speaker", bin_width: int = BIN_MS,
+) -> DataFrame:
     """segments (one row for each segment_id in its key) with the speaker of the single turn that overlaps each most.
 
     Of equal overlaps the turn that comes first (turn_ord) wins. An overlap below
@@ -43,13 +46,19 @@ def assign_by_overlap(segments: DataFrame, turns: DataFrame, keys: list[str], se
     if "_kept" in segments.columns:
         raise ValueError("_kept is a name of this operator's own")
     kept = [c for c in segments.columns if c not in (*keys, *segment_id, start, end, out)]
-    a = segments.select(*keys, *segment_id, start, end, F.struct(*kept).alias("_kept") if kept else F.lit(None).alias("_kept")).withColumn("_bin", _bins(F.col(start), F.col(end), bin_width, F.explode_outer))
-    b = turns.select(*keys, F.col("turn_ord").alias("_ord"), F.col("speaker").alias("_said"), F.col(start).alias("_from"), F.col(end).alias("_to")).withColumn("_bin", _bins(F.col("_from"), F.col("_to"), bin_width))
+    rest = F.struct(*kept) if kept else F.lit(None)
+    a = segments.select(*keys, *segment_id, start, end, rest.alias("_kept"))
+    a = a.withColumn("_bin", _bins(F.col(start), F.col(end), bin_width, F.explode_outer))
+    b = turns.select(*keys, F.col("turn_ord").alias("_ord"), F.col("speaker").alias("_said"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    b = b.withColumn("_bin", _bins(F.col("_from"), F.col("_to"), bin_width))
     # no pair is needed once only: a pair that meets in several bins has one overlap
     meets = [a[c] == b[c] for c in (*keys, "_bin")] + [F.col("_from") < F.col(end), F.col(start) < F.col("_to")]
-    pairs = a.join(b, meets, "left").select(*[a[k] for k in keys], *segment_id, start, end, "_kept", "_ord", "_said", F.when(F.col("_from").isNotNull(), F.least(end, "_to") - F.greatest(start, "_from")).alias("overlap"))
+    overlap = F.when(F.col("_from").isNotNull(), F.least(end, "_to") - F.greatest(start, "_from"))
+    pairs = a.join(b, meets, "left").select(*[a[k] for k in keys], *segment_id, start, end, "_kept", "_ord", "_said", overlap.alias("overlap"))
     # the segment's own columns ride along, so the result is not joined back
-    best = pairs.groupBy(*keys, *segment_id, start, end).agg(F.first("_kept").alias("_kept"), F.max_by(F.struct(F.col("_said").alias("speaker"), "overlap"), F.when(F.col("overlap").isNotNull(), F.struct("overlap", F.negative("_ord")))).alias("_best"))
+    rank = F.when(F.col("overlap").isNotNull(), F.struct("overlap", F.negative("_ord")))
+    winner = F.max_by(F.struct(F.col("_said").alias("speaker"), "overlap"), rank)
+    best = pairs.groupBy(*keys, *segment_id, start, end).agg(F.first("_kept").alias("_kept"), winner.alias("_best"))
     enough = F.col("_best.overlap").isNotNull() & (F.col(end) > F.col(start))
     if coverage:
         enough &= F.col("_best.overlap") * coverage[1] >= (F.col(end) - F.col(start)) * coverage[0]

@@ -37,6 +37,9 @@ def record_sessions(chunks: DataFrame, idle_us: int, rate: int = 16000) -> DataF
     return sinks.finished_events(made, F.col("controls.final_tracks")).drop("_part")
 
 
+MOST_SAMPLES = 16 * 30 * 16_000  # sixteen windows of 30 s
+
+
 def grouped(batches: Iterator[pd.DataFrame], alike: list[str], most: int, samples: str | None, most_samples: int) -> Iterator[pd.DataFrame]:
     """Rows that come sorted by ``alike`` in groups of one kind: at most ``most`` rows, and at most ``most_samples`` once all are padded to the longest.
 
@@ -44,7 +47,11 @@ def grouped(batches: Iterator[pd.DataFrame], alike: list[str], most: int, sample
     longer than the bound by itself is a group of its own.
     """
     held: pd.DataFrame | None = None
-    kind = lambda frame: pd.factorize(pd.MultiIndex.from_frame(frame[alike].astype(object).where(frame[alike].notna(), None)))[0]
+
+    def kind(frame: pd.DataFrame):  # nulls are a kind like any other
+        plain = frame[alike].astype(object).where(frame[alike].notna(), None)
+        return pd.factorize(pd.MultiIndex.from_frame(plain))[0]
+
     for part in batches:
         held = part if held is None else pd.concat([held, part], ignore_index=True)
         kinds, at, longest = kind(held), 0, 0
@@ -73,7 +80,10 @@ def _scored(rows: DataFrame, alike: list[str], choose: Callable, schema: str, ba
     return rows.sortWithinPartitions(*alike, *([samples] if samples else [])).mapInPandas(run, schema)
 
 
-def score_windows(rows: DataFrame, transcribe: Callable, schema: str, language: str = "lang", batch: int = 16, samples: str | None = None, most_samples: int = 16 * 30 * 16_000, spread: list[str] | None = None, salts: int = 32) -> DataFrame:
+def score_windows(
+    rows: DataFrame, transcribe: Callable, schema: str, language: str = "lang", batch: int = 16,
+    samples: str | None = None, most_samples: int = MOST_SAMPLES, spread: list[str] | None = None, salts: int = 32,
+) -> DataFrame:
     """Run a scoring function over rows of one language at a time, at most ``batch`` at once.
 
     transcribe(pandas frame) returns one result frame for each input row, in
@@ -97,7 +107,10 @@ def embed_samples(samples: DataFrame, embed: Callable, content: str = "content")
     return samples.withColumn("embedding", F.pandas_udf(run, "array<double>")(content))
 
 
-def score_profiles(rows: DataFrame, scorers: dict[str, Callable], default: str, schema: str, profile: str = "provider_profile_id", language: str = "lang", batch: int = 16, samples: str | None = None, most_samples: int = 16 * 30 * 16_000, spread: list[str] | None = None, salts: int = 32) -> tuple[DataFrame, DataFrame]:
+def score_profiles(
+    rows: DataFrame, scorers: dict[str, Callable], default: str, schema: str, profile: str = "provider_profile_id", language: str = "lang", batch: int = 16,
+    samples: str | None = None, most_samples: int = MOST_SAMPLES, spread: list[str] | None = None, salts: int = 32,
+) -> tuple[DataFrame, DataFrame]:
     """Results of the scoring function that each row's profile names (blank: the default), and the rows whose profile is unknown.
 
     One pass over the rows serves all profiles; options as for ``score_windows``.
