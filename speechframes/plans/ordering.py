@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from speechframes.operators import ordered
 from speechframes.plans import views
@@ -78,11 +80,14 @@ def riff_files(spark, sf):
             pcm = ramp.view(np.uint8).reshape(-1, 4)[:, 4 - width :].tobytes()
         return audio.riff(pcm, RATES[event % 4], width, channels)[: None if event % 5 else -3]
 
-    def make(batches):
+    def made(batches):
         for batch in batches:
-            yield batch.assign(path=batch["event_id"].astype(str), content=[content(int(e), int(n)) for e, n in zip(batch["event_id"], batch["n_samples"], strict=True)])[["path", "content"]]
+            for event, n in zip(batch.column("event_id").to_pylist(), batch.column("n_samples").to_pylist(), strict=True):
+                yield {"path": str(event), "content": content(event, n)}
 
-    return views.chunks(spark, sf).select("event_id", "n_samples").mapInPandas(make, "path string, content binary")
+    schema = "path string, content binary"
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    return views.chunks(spark, sf).select("event_id", "n_samples").mapInArrow(lambda batches: wav.in_pieces(made(batches), kind, "content"), schema)
 
 
 def wav_scan(spark, sf):

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -25,41 +24,64 @@ def read_files(spark: SparkSession, path: str, names: str = "*.wav") -> DataFram
     return spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
 
 
+PIECE_BYTES = 8 << 20  # of audio that a Python worker gives back at once
+
+
+def in_pieces(rows: Iterable[dict], kind: pa.Schema, audio_column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows as batches that hold little more than so many bytes of audio, however many rows there are."""
+    piece, held = [], 0
+    for row in rows:
+        piece.append(row)
+        held += len(row[audio_column] or b"")
+        if held >= most or len(piece) == 10_000:
+            yield pa.RecordBatch.from_pylist(piece, schema=kind)
+            piece, held = [], 0
+    if piece:
+        yield pa.RecordBatch.from_pylist(piece, schema=kind)
+
+
+def _opened(batches: Iterable[pa.RecordBatch], recording: bool) -> Iterator[tuple[str | None, dict, str | None]]:
+    """(path, format fields and payload, reason) of each file; payloads are views of the batch, not copies."""
+    for batch in batches:
+        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+            data = memoryview(content.as_buffer() if content.is_valid else b"")
+            fields = audio.wav_fields(data)
+            yield path.as_py(), fields, audio.acceptable(fields, len(data), recording)
+
+
 def scan_wavs(files: DataFrame, recording: bool = False) -> DataFrame:
     """files (path, content) with channels, rate, width, n_frames, pcm (of accepted files) and reason (of others)."""
+    schema = "path string, channels int, rate int, width int, n_frames long, pcm binary, reason string"
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                data = bytes(content)
-                fields = audio.wav_fields(data)
-                reason = audio.acceptable(fields, len(data), recording)
-                frame = max(1, fields.get("width", 1) * fields.get("channels", 1))
-                row = {c: fields.get(c) for c in ("channels", "rate", "width")}
-                out.append({"path": path, **row, "n_frames": len(fields.get("pcm", b"")) // frame, "pcm": fields.get("pcm") if reason is None else None, "reason": reason})
-            yield pd.DataFrame(out, columns=["path", "channels", "rate", "width", "n_frames", "pcm", "reason"])
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for path, fields, reason in _opened(batches, recording):
+            frame = max(1, fields.get("width", 1) * fields.get("channels", 1))
+            row = {c: fields.get(c) for c in ("channels", "rate", "width")}
+            yield {"path": path, **row, "n_frames": len(fields.get("pcm", b"")) // frame, "pcm": fields.get("pcm") if reason is None else None, "reason": reason}
 
-    return files.select("path", "content").mapInPandas(run, "path string, channels int, rate int, width int, n_frames long, pcm binary, reason string")
+    return files.select("path", "content").mapInArrow(lambda batches: in_pieces(scanned(batches), kind, "pcm"), schema)
 
 
 def normalise_audio(files: DataFrame) -> DataFrame:
-    """files (path, content) as mono 16 kHz PCM with its level, or the reason against them."""
+    """files (path, content) as mono 16 kHz PCM with its level, or the reason against them.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                if row["reason"] is None:
-                    x = audio.resample(audio.decode(bytes(row["pcm"]), int(row["width"]), int(row["channels"])), int(row["rate"]))
-                    bad = None if np.isfinite(x).all() else "not-finite"
-                    level = float(np.sqrt((x.astype(np.float64) ** 2).mean())) if len(x) else 0.0
-                    out.append({"path": row["path"], "n_samples": len(x), "level": level, "pcm16": audio.encode(x) if bad is None else None, "reason": bad})
-                else:
-                    out.append({"path": row["path"], "n_samples": None, "level": None, "pcm16": None, "reason": row["reason"]})
-            yield pd.DataFrame(out, columns=["path", "n_samples", "level", "pcm16", "reason"])
-
-    return scan_wavs(files).mapInPandas(run, "path string, n_samples long, level double, pcm16 binary, reason string")
+    Files are opened and resampled one by one in the same worker.
+    """
+    schema = "path string, n_samples long, level double, pcm16 binary, reason string"
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for path, fields, reason in _opened(batches, False):
+            if reason is not None:
+                yield {"path": path, "n_samples": None, "level": None, "pcm16": None, "reason": reason}
+                continue
+            x = audio.resample(audio.decode(fields["pcm"], fields["width"], fields["channels"]), fields["rate"])
+            bad = None if np.isfinite(x).all() else "not-finite"
+            level = float(np.sqrt((x.astype(np.float64) ** 2).mean())) if len(x) else 0.0
+            yield {"path": path, "n_samples": len(x), "level": level if bad is None else None, "pcm16": audio.encode(x) if bad is None else None, "reason": bad}
+
+    return files.select("path", "content").mapInArrow(lambda batches: in_pieces(normalised(batches), kind, "pcm16"), schema)
 
 
 def write_session_wavs(recordings: DataFrame, path: str) -> None:
