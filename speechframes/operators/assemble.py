@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechframes.operators.intervals import gap_islands
 from speechframes.functions.text import strip
+from speechframes.operators import scan
+from speechframes.operators.intervals import BIN_MS, number_islands
 
 
-def join_words(words: Column, separator: str = "smart") -> Column:
-    """Text of an ordered array of words.
+def spaced_words(words: Column, separator: str = "smart") -> Column:
+    """An ordered array of words as one piece of text; pieces are put together as they are, and stripped at the end.
 
     smart: a blank before words that begin with a letter or digit; space: a
-    blank before every further word; raw: nothing, the words carry their spacing.
+    blank before every word; raw: nothing, the words carry their spacing.
     """
     if separator == "space":
-        return strip(F.array_join(words, " "))
-    if separator == "raw":
-        return strip(F.array_join(words, ""))
-    return strip(F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), w)).otherwise(w)), ""))
+        words = F.transform(words, lambda w: F.concat(F.lit(" "), w))
+    elif separator != "raw":
+        words = F.transform(words, lambda w: F.when(w.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), w)).otherwise(w))
+    return F.array_join(words, "")
+
+
+def join_words(words: Column, separator: str = "smart") -> Column:
+    """Text of an ordered array of words."""
+    return strip(spaced_words(words, separator))
 
 
-def word_segments(words: DataFrame, keys: list[str], order: list[str], gap: int | None = None, separator: str = "smart", with_words: bool = False, start: str = "s_ms", end: str = "e_ms") -> DataFrame:
-    """Runs of words of one speaker (and, with ``gap``, without longer pauses) as segments; blank ones go."""
-    islands = gap_islands(words, keys, ["speaker"], gap, order, start, end)
+def word_segments(
+    words: DataFrame, keys: list[str], order: list[str], gap: int | None = None, separator: str = "smart", with_words: bool = False,
+    start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS,
+) -> DataFrame:
+    """Runs of words of one speaker (and, with ``gap``, without longer pauses) as segments; blank ones go.
+
+    Words are sorted once, in bins of ``bin_width`` of the first order column,
+    and leave their bin as pieces of segments. What comes before a bin can only
+    join pieces, never part them, so the segments are the islands of the pieces.
+    Shuffles keep the number of partitions that the session sets; they are not
+    coalesced, because a task then would hold and sort several times as many words.
+    """
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = list(dict.fromkeys([*order, "speaker", start, end]))
+    rows = words.select(*dict.fromkeys([*keys, *by, "word"]), scan.bin_number(words, order[0], bin_width).alias("_bin")).repartition(parts, *keys, "_bin")
+    rows = number_islands(rows, Window.partitionBy(*keys, "_bin").orderBy(*by), ["speaker"], gap, start, end, "_piece")
     row = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "word", start, end]))))
-    made = islands.groupBy(*keys, "island", "speaker").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_words"), row.alias("_words"))
-    made = made.withColumn("text", join_words(F.transform("_words", lambda w: w["word"]), separator)).where("text <> ''")
+    whole = [F.min(start).alias(start), F.max(end).alias(end)]
+    pieces = rows.groupBy(*keys, "_bin", "_piece", "speaker").agg(*whole, F.min(F.struct(*by))[start].alias("_from"), F.count("*").alias("n_words"), row.alias("_words"))
+    pieces = pieces.withColumn("_text", spaced_words(F.transform("_words", lambda w: w["word"]), separator))
+    kept = ["_bin", "_piece", "_text"]
+    if with_words:
+        pieces = pieces.withColumn("_said", F.transform("_words", lambda w: F.struct((w[start] / 1000).alias("start_s"), (w[end] / 1000).alias("end_s"), w["word"].alias("text"))))
+        kept.append("_said")
+    line = Window.partitionBy(*keys).orderBy("_bin", "_piece")
+    islands = number_islands(pieces.drop("_words").repartition(parts, *keys), line, ["speaker"], gap, "_from", end, "island")
+    made = islands.groupBy(*keys, "island", "speaker").agg(*whole, F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct(*kept))).alias("_pieces"))
+    made = made.withColumn("text", strip(F.array_join(F.transform("_pieces", lambda p: p["_text"]), ""))).where("text <> ''")
     if with_words:
-        made = made.withColumn("words", F.transform("_words", lambda w: F.struct((w[start] / 1000).alias("start_s"), (w[end] / 1000).alias("end_s"), w["word"].alias("text"))))
-    return made.drop("_words")
+        made = made.withColumn("words", F.flatten(F.transform("_pieces", lambda p: p["_said"])))
+    return made.drop("_pieces")
 
 
 def transcripts(segments: DataFrame, keys: list[str], start: str = "s_ms", end: str = "e_ms", raw_text: str | None = None) -> DataFrame:

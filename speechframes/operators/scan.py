@@ -22,11 +22,8 @@ FIRST_BIN = -(1 << 62)
 AT = ["_key", "_bin"]
 
 
-def packed(rows: DataFrame, keys: list[str], lead: str, width: int) -> DataFrame:
-    """Rows as _key (their keys), _bin and _row, each bin of a session in one task.
-
-    A bin spans ``width`` of a numeric lead, or as many seconds of a timestamp.
-    """
+def bin_number(rows: DataFrame, lead: str, width: int) -> Column:
+    """A bin spans ``width`` of a numeric lead, or as many seconds of a timestamp."""
     kind = rows.schema[lead].dataType
     if isinstance(kind, T.TimestampType):
         at = F.unix_micros(lead) / 1_000_000
@@ -34,8 +31,12 @@ def packed(rows: DataFrame, keys: list[str], lead: str, width: int) -> DataFrame
         at = F.col(lead)
     else:
         at = F.lit(0)  # no distance: the session stays in one bin
-    number = F.coalesce(F.floor(at / width).cast("long"), F.lit(FIRST_BIN))
-    return rows.select(F.struct(*keys).alias("_key"), number.alias("_bin"), F.struct("*").alias("_row")).repartition(*AT)
+    return F.coalesce(F.floor(at / width).cast("long"), F.lit(FIRST_BIN))
+
+
+def packed(rows: DataFrame, keys: list[str], lead: str, width: int) -> DataFrame:
+    """Rows as _key (their keys), _bin (see bin_number) and _row, each bin of a session in one task."""
+    return rows.select(F.struct(*keys).alias("_key"), bin_number(rows, lead, width).alias("_bin"), F.struct("*").alias("_row")).repartition(*AT)
 
 
 def within(order: Iterable[str | Column], *further: str) -> WindowSpec:

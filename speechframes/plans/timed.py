@@ -12,6 +12,7 @@ KEY = ["session_id"]
 WORD_ID = ["turn", "idx"]
 GAP_MS, SHORT_MS, WORD_GAP_MS = 750, 700, 1000
 SLICE, CONTEXT, TAIL = 40_000, 4_000, 4_000
+TURN_BIN = 16  # turns that are sorted together
 
 BEST = """best AS (
   SELECT session_id, turn, idx, r_speaker, overlap FROM (
@@ -78,7 +79,7 @@ def turn_merge_dropfirst_cap(spark, sf):
 
 def word_group_gap(spark, sf):
     spoken = views.words(spark, sf).withColumn("speaker", F.col("role"))
-    made = assemble.word_segments(spoken, KEY, ["turn", "idx"], WORD_GAP_MS, "space")
+    made = assemble.word_segments(spoken, KEY, ["turn", "idx"], WORD_GAP_MS, "space", bin_width=TURN_BIN)
     return made.select("session_id", "island", "speaker", "s_ms", "e_ms", "n_words", F.md5("text").alias("text_md5"))
 
 
@@ -114,7 +115,7 @@ SEGMENTS = f"""{FULL}, {islands_sql("full_words", "speaker", None, "s_ms, turn,
 
 def raw_concat_segments(spark, sf):
     spoken = views.words(spark, sf).withColumn("speaker", F.col("role"))
-    made = assemble.word_segments(spoken, KEY, ["turn", "idx"], None, "raw")
+    made = assemble.word_segments(spoken, KEY, ["turn", "idx"], None, "raw", bin_width=TURN_BIN)
     return made.select("session_id", "island", "speaker", "s_ms", "e_ms", "n_words", F.md5("text").alias("text_md5"))
 
 
@@ -240,7 +241,7 @@ def srt_export(spark, sf):
     from speechframes.sources import sinks
 
     spoken = views.words(spark, sf).withColumn("speaker", F.col("role"))
-    return sinks.srt_cues(assemble.word_segments(spoken, KEY, ["turn", "idx"], WORD_GAP_MS), KEY).select("session_id", "cue", "cue_text")
+    return sinks.srt_cues(assemble.word_segments(spoken, KEY, ["turn", "idx"], WORD_GAP_MS, bin_width=TURN_BIN), KEY).select("session_id", "cue", "cue_text")
 
 
 WORD_SEGMENTS = f"""{WORDS}, spoken AS (SELECT *, role AS speaker FROM words), {islands_sql("spoken", "speaker", WORD_GAP_MS, "turn, idx")}, placed AS (
