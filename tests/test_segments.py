@@ -60,7 +60,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize(("gap", "separator"), [(1_000, "smart"), (1_000, "space")])
+@pytest.mark.parametrize(("gap", "separator"), [(1_000, "smart"), (1_000, "space"), (None, "raw")])
 def test_words_are_sorted_once(spark, gap, separator):
     """Once by bin and, as pieces, once by session; a task takes no more words where Spark would coalesce."""
     df = spark.createDataFrame(made_up(n=10), SCHEMA)
