@@ -1,15 +1,17 @@
-"""Text helpers: white space, echo removal, and restoring a transcript's own spacing as array expressions."""
+"""Text helpers: white space, echo removal, and restoring a transcript's own spacing."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import unicodedata
+from collections.abc import Iterable, Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LEAST_ECHO = 8
 BLANK = r"[\s\p{Z}\x1c-\x1f\x85]"
-LETTER = r"[\p{L}\p{N}]"
 
 
 def strip(text: Column | str) -> Column:
@@ -87,41 +89,50 @@ def context_tail(text: str, n: int) -> str:
     return text[-n:] if n > 0 else ""
 
 
-def letters(text: Column) -> Column:
-    """Places (from 1) and lower-case forms of a text's letters and digits."""
-    spots = F.transform(F.split(text, ""), lambda c, i: F.struct((i + 1).alias("at"), F.left(F.lower(c), F.lit(1)).alias("c"), c.rlike(LETTER).alias("ok")))
-    return F.filter(spots, lambda s: s["ok"])
+class _Letters(dict):
+    """For str.translate: letters and digits in lower case, one for one; all else goes."""
 
+    def __missing__(self, code: int) -> str | None:
+        c = chr(code)
+        self[code] = c.lower()[0] if unicodedata.category(c)[0] in "LN" else None
+        return self[code]
 
-def joined(spots: Column) -> Column:
-    return F.array_join(F.transform(spots, lambda s: s["c"]), "")
 
+LETTERS = _Letters()
 
-def clipped(words: Column, duration: Column) -> Column:
+
+def clipped(words: Iterable[tuple[float | None, float | None, str | None]], duration: float | None) -> list[tuple[float, float, str]]:
     """Words (start_s, end_s, text) inside the audio; blank and empty ones go, and those without finite times."""
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    inside = lambda x: F.least(F.greatest(x.cast("double"), F.lit(0.0)), duration.cast("double"))
-    good = F.filter(words, lambda w: (F.coalesce(strip(w["text"]), F.lit("")) != "") & finite(w["start_s"].cast("double")) & finite(w["end_s"].cast("double")))
-    moved = F.transform(good, lambda w: F.struct(inside(w["start_s"]).alias("start_s"), inside(w["end_s"]).alias("end_s"), w["text"].alias("text")))
-    return F.filter(moved, lambda w: w["end_s"] > w["start_s"])
+    most = math.inf if duration is None or math.isnan(duration) else duration
+    inside = lambda x: min(max(x, 0.0), most)
+    good = [(inside(s), inside(e), w) for s, e, w in words if w and w.strip() and s is not None and e is not None and math.isfinite(s) and math.isfinite(e)]
+    return [w for w in good if w[1] > w[0]]
 
 
-def looked_up(words: Column, spots: Column, plain: Column) -> Column:
-    """Where each word begins in a transcript: (begins, backward, lost), found by letters from where the last one ended."""
-    start = F.struct(F.lit(1).alias("at"), F.lit(0.0).alias("last"), F.array().cast("array<int>").alias("begins"), F.lit(False).alias("backward"), F.lit(False).alias("lost"))
+def restored(transcript: str | None, duration: float | None, words: Iterable[tuple[float | None, float | None, str | None]]) -> tuple[list[tuple[float, float, str | None]], str | None]:
+    """Words with the transcript's own text, or the reason against them.
 
-    def step(state: Column, w: Column) -> Column:
-        needle = joined(letters(w["text"]))
-        found = F.when(needle != "", F.position(needle, plain, state["at"])).otherwise(0)
-        return F.struct(
-            F.when(found > 0, found + F.length(needle)).otherwise(state["at"]).alias("at"),
-            w["start_s"].alias("last"),
-            F.concat(state["begins"], F.array(F.get(spots, found - 1)["at"])).alias("begins"),
-            (state["backward"] | (w["start_s"] < state["last"])).alias("backward"),
-            (state["lost"] | (found == 0)).alias("lost"),
-        )
-
-    return F.aggregate(words, start, step)
+    Each word is looked up by its letters from where the last one ended, and
+    reaches up to the next word; without a transcript words have no text.
+    """
+    kept = clipped(words, duration)
+    if any(b[0] < a[0] for a, b in pairwise(kept)):
+        return [], "nonmonotonic"
+    if not kept:
+        return [], "empty"
+    needles = [w[2].translate(LETTERS) for w in kept]
+    if transcript is None:
+        return ([], "mismatch") if "" in needles else ([(s, e, None) for s, e, _ in kept], None)
+    plain, at, begins = transcript.translate(LETTERS), 0, []
+    spots = [i for i, c in enumerate(transcript) if LETTERS[ord(c)] is not None]
+    for needle in needles:
+        found = plain.find(needle, at) if needle else -1
+        if found < 0:
+            return [], "mismatch"
+        begins.append(spots[found])
+        at = found + len(needle)
+    cuts = [0, *begins[1:], len(transcript)]
+    return [(s, e, transcript[cuts[i] : cuts[i + 1]]) for i, (s, e, _) in enumerate(kept)], None
 
 
 def tagged_runs(text: Column, words: Column, start: Column, tolerance: float = 0.02) -> Column:

@@ -8,6 +8,7 @@ length streams through.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -194,28 +195,38 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+CROPS_AT_ONCE = 64
+
+
 def restore_text(crops: DataFrame, keys: list[str]) -> DataFrame:
     """Words with the transcript's spacing, one row each, or one row with the reason.
 
     crops: keys, transcript, duration_s, words (array of start_s, end_s, text).
-    Each word is looked up by its letters and digits from where the last one
-    ended; a word's text reaches up to the next word. Each row is a crop, so no
-    grouping is needed, and all of it are array expressions.
+    Each row is a crop, so no grouping is needed; crops without an array of
+    words have no rows. A crop is worked through once from left to right, and a
+    worker holds the words of a few crops at a time.
     """
-    rows = once(crops.select(*keys, "transcript", "duration_s", "words"), _kept=T.clipped(F.col("words"), F.col("duration_s")), _spots=T.letters(F.col("transcript")))
-    rows = once(rows, _plain=T.joined(F.col("_spots")))
-    rows = once(rows, _found=T.looked_up(F.col("_kept"), F.col("_spots"), F.col("_plain")))
-    reason = F.when(F.col("_found.backward"), "nonmonotonic").when(F.size("_kept") == 0, "empty").when(F.col("_found.lost"), "mismatch")
-
-    def word(w: Column, i: Column) -> Column:
-        begin = F.when(i == 0, 1).otherwise(F.get("_found.begins", i))
-        end = F.coalesce(F.get("_found.begins", i + 1), F.length("transcript") + 1)
-        return F.struct(i.cast("long").alias("idx"), w["start_s"].alias("start_s"), w["end_s"].alias("end_s"), F.substr(F.col("transcript"), begin, end - begin).alias("text"))
-
-    none = F.lit(None).cast("string")
-    refused = F.array(F.struct(F.lit(0).cast("long").alias("idx"), F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), none.alias("text")))
-    rows = rows.withColumn("reason", reason)
-    return rows.select(*keys, F.inline(F.when(F.col("reason").isNull(), F.transform("_kept", word)).otherwise(refused)), "reason")
+    word = lambda w: F.struct(w["start_s"].cast("double").alias("start_s"), w["end_s"].cast("double").alias("end_s"), w["text"].alias("text"))
+    rows = crops.where("words IS NOT NULL").select(*keys, "transcript", F.col("duration_s").cast("double").alias("duration_s"), F.transform("words", word).alias("words"))
+    schema = StructType([*crops.select(*keys).schema.fields, *StructType.fromDDL("idx long, start_s double, end_s double, text string, reason string").fields])
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, CROPS_AT_ONCE):
+                some = batch.slice(first, CROPS_AT_ONCE)
+                said = some.column("words")
+                words = zip(*[c.to_pylist() for c in said.flatten().flatten()], strict=True)
+                made = []
+                for crop, (transcript, duration, n) in enumerate(zip(some.column("transcript").to_pylist(), some.column("duration_s").to_pylist(), said.value_lengths().to_pylist(), strict=True)):
+                    found, reason = T.restored(transcript, duration, islice(words, n))
+                    made += [(crop, i, *w, None) for i, w in enumerate(found)] if reason is None else [(crop, 0, None, None, None, reason)]
+                if made:
+                    crop, *columns = zip(*made, strict=True)
+                    own = [c.cast(f.type) for c, f in zip(some.select(keys).take(pa.array(crop)).columns, kind, strict=False)]
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.array(c, f.type) for c, f in zip(columns, list(kind)[len(keys) :], strict=True)]], schema=kind)
+
+    return rows.mapInArrow(run, schema)
 
 
 def native_turns(finals: DataFrame, keys: list[str]) -> DataFrame:
