@@ -10,22 +10,20 @@ from speechframes.operators import scan
 from speechframes.operators.intervals import BIN_MS, number_islands
 
 
-def spaced_words(words: Column, separator: str = "smart") -> Column:
-    """An ordered array of words as one piece of text; pieces are put together as they are, and stripped at the end.
+def spaced(word: Column, separator: str = "smart") -> Column:
+    """A word with the blank before it; words are put together as they are, and the text is stripped at the end.
 
     smart: a blank before words that begin with a letter or digit; space: a
     blank before every word; raw: nothing, the words carry their spacing.
     """
     if separator == "space":
-        words = F.transform(words, lambda w: F.concat(F.lit(" "), w))
-    elif separator != "raw":
-        words = F.transform(words, lambda w: F.when(w.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), w)).otherwise(w))
-    return F.array_join(words, "")
+        return F.concat(F.lit(" "), word)
+    return word if separator == "raw" else F.when(word.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), word)).otherwise(word)
 
 
 def join_words(words: Column, separator: str = "smart") -> Column:
     """Text of an ordered array of words."""
-    return strip(spaced_words(words, separator))
+    return strip(F.array_join(F.transform(words, lambda w: spaced(w, separator)), ""))
 
 
 def word_segments(
@@ -44,20 +42,22 @@ def word_segments(
     by = list(dict.fromkeys([*order, "speaker", start, end]))
     rows = words.select(*dict.fromkeys([*keys, *by, "word"]), scan.bin_number(words, order[0], bin_width).alias("_bin")).repartition(parts, *keys, "_bin")
     rows = number_islands(rows, Window.partitionBy(*keys, "_bin").orderBy(*by), ["speaker"], gap, start, end, "_piece")
-    row = F.array_sort(F.collect_list(F.struct(*dict.fromkeys([*order, "word", start, end]))))
+    # all of a word is made before it is collected, so the arrays are only sorted and taken apart
+    said = [F.struct((F.col(start) / 1000).alias("start_s"), (F.col(end) / 1000).alias("end_s"), F.col("word").alias("text")).alias("_said")] if with_words else []
+    row = F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, "word", start, end]), spaced(F.col("word"), separator).alias("_spaced"), *said)))
     whole = [F.min(start).alias(start), F.max(end).alias(end)]
     pieces = rows.groupBy(*keys, "_bin", "_piece", "speaker").agg(*whole, F.min(F.struct(*by))[start].alias("_from"), F.count("*").alias("n_words"), row.alias("_words"))
-    pieces = pieces.withColumn("_text", spaced_words(F.transform("_words", lambda w: w["word"]), separator))
+    pieces = pieces.withColumn("_text", F.array_join("_words._spaced", ""))
     kept = ["_bin", "_piece", "_text"]
     if with_words:
-        pieces = pieces.withColumn("_said", F.transform("_words", lambda w: F.struct((w[start] / 1000).alias("start_s"), (w[end] / 1000).alias("end_s"), w["word"].alias("text"))))
+        pieces = pieces.withColumn("_said", F.col("_words._said"))
         kept.append("_said")
     line = Window.partitionBy(*keys).orderBy("_bin", "_piece")
     islands = number_islands(pieces.drop("_words").repartition(parts, *keys), line, ["speaker"], gap, "_from", end, "island")
-    made = islands.groupBy(*keys, "island", "speaker").agg(*whole, F.sum("n_words").alias("n_words"), F.array_sort(F.collect_list(F.struct(*kept))).alias("_pieces"))
-    made = made.withColumn("text", strip(F.array_join(F.transform("_pieces", lambda p: p["_text"]), ""))).where("text <> ''")
+    made = islands.groupBy(*keys, "island", "speaker").agg(*whole, F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct(*kept))).alias("_pieces"))
+    made = made.withColumn("text", strip(F.array_join("_pieces._text", ""))).where("text <> ''")
     if with_words:
-        made = made.withColumn("words", F.flatten(F.transform("_pieces", lambda p: p["_said"])))
+        made = made.withColumn("words", F.flatten("_pieces._said"))
     return made.drop("_pieces")
 
 
@@ -66,7 +66,7 @@ def transcripts(segments: DataFrame, keys: list[str], start: str = "s_ms", end:
     fields = [F.col(start).alias("s"), F.col("island").alias("i"), (F.col(start) / 1000).alias("start_s"), (F.col(end) / 1000).alias("end_s"), F.col("text").alias("text"), F.coalesce("speaker", F.lit("")).alias("speaker")]
     if "words" in segments.columns:
         fields.append(F.col("words").alias("words"))
-    listed = F.array_sort(F.collect_list(F.struct(*fields)))
+    listed = F.sort_array(F.collect_list(F.struct(*fields)))
     extra = [F.first(raw_text, ignorenulls=True).alias("_raw")] if raw_text else []
     made = segments.groupBy(*keys).agg(listed.alias("segments"), *extra)
     made = made.withColumn("segments", F.transform("segments", lambda s: s.dropFields("s", "i")))
