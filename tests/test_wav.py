@@ -23,7 +23,7 @@ def pieces(step, **options):
     return list(step(Plain(), **options)(iter([batch, batch])))
 
 
-@pytest.mark.parametrize(("step", "column"), [(wav.normalise_audio, "pcm16")])
+@pytest.mark.parametrize(("step", "column"), [(wav.normalise_audio, "pcm16"), (wav.scan_wavs, "pcm")])
 def test_audio_in_pieces(spark, step, column):  # schemas are read by the session
     made = pieces(step)
     assert len(made) > 5 and max(b.nbytes for b in made) < wav.PIECE_BYTES + 500_000
