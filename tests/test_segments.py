@@ -66,3 +66,9 @@ def test_words_are_sorted_once(spark, gap, separator):
     df = spark.createDataFrame(made_up(n=10), SCHEMA)
     plan = plan_of(assemble.word_segments(df, ["session_id"], ["turn", "idx"], gap, separator).withColumn("x", F.md5("text")))
     assert plan.count(" Sort [") <= 2 and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") == 2
+
+
+def test_words_of_transcripts_are_sorted_once(spark):
+    df = spark.createDataFrame(made_up(n=10), SCHEMA)
+    plan = plan_of(assemble.transcripts(assemble.word_segments(df, ["session_id"], ["s_ms", "turn", "idx"], with_words=True), ["session_id"]))
+    assert plan.count(" Sort [") <= 2 and plan.count("Exchange hashpartitioning") == 2
