@@ -163,35 +163,39 @@ def units_of(docs: DataFrame, sizes: DataFrame, known: list[str], threshold: flo
     # explode(array(x)) keeps Spark from working x out anew for every use
     once = lambda x: F.explode(F.array(x))
     lines = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc")).alias("_id"), F.col(text_col).alias("_text"), once(F.transform(F.split(F.col(text_col), "\n"), lambda x: F.filter(F.split(normalised(x), " "), lambda w: w != ""))).alias("_lines"))
-    lines = lines.where(F.size("_lines") > 0)
+    n_lines = F.size("_lines")
+    lines = lines.where(n_lines > 0)
     if known:
         lines = lines.select("*", once(F.array_intersect(F.flatten("_lines"), F.array(*map(F.lit, known)))).alias("_known")).where(F.size("_known") > 0)
         hits = lambda x: F.size(F.filter(x, lambda w: F.array_contains("_known", w)))
     else:
         hits = F.size
-    lines = lines.select("*", once(F.transform("_lines", F.size)).alias("_counts"), once(F.transform("_lines", hits)).alias("_hits"))
+    # a paragraph is the lines between runs of blank ones, of which the text's first and last line are no part
+    inner = F.transform(F.split("_text", "\n"), lambda x, i: (i > 0) & (i < n_lines - 1) & x.rlike(r"^\s*\z"))
+    lines = lines.select("_id", "_lines", once(F.when(n_lines > RUN, inner)).alias("_inner"), once(F.transform("_lines", F.size)).alias("_counts"), once(F.transform("_lines", hits)).alias("_hits"))
     total = lambda c, first, n: F.aggregate(F.slice(c, first, n), F.lit(0), lambda a, x: a + x)
-    n_lines = F.size("_lines")
+    numbers = F.sequence(F.lit(0), n_lines - 1)
+
+    def unit(kind: str, line_no: F.Column, first: F.Column, n: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("unit"), line_no.alias("line_no"), n.alias("n_lines"), first.alias("_first"), (total("_counts", first + 1, n) - 1).alias("_n"), total("_hits", first + 1, n).alias("_hit"))
+
     # runs of lines begin and end with a line of words
-    begins = F.filter(F.sequence(F.lit(0), n_lines - 1), lambda i: F.get("_hits", i) > 0 if known else F.get("_counts", i) > 0)
+    begins = F.filter(numbers, lambda i: F.get("_hits", i) > 0 if known else F.get("_counts", i) > 0)
     begins = F.array_distinct(F.flatten(F.transform(begins, lambda i: F.sequence(F.greatest(i - RUN + 1, F.lit(0)), i)))) if known else begins
-    run = F.transform(
-        begins,
-        lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(RUN), n_lines - i)),
-            lambda k: F.struct(i.alias("line_no"), k.alias("n_lines"), (total("_counts", i + 1, k) - 1).alias("_n"), total("_hits", i + 1, k).alias("_hit"), ((F.get("_counts", i) > 0) & (F.get("_counts", i + k - 1) > 0)).alias("_full")),
-        ),
-    )
-    enough = F.expr(f"_n > 0 AND _hit >= _n * {least!r} + 1 - 1e-9")
-    runs = lines.select("_id", "_lines", F.inline(F.flatten(run))).where("_full").where(enough)
-    runs = runs.select("_id", F.lit("lines").alias("unit"), "line_no", "n_lines", F.flatten(F.slice("_lines", F.col("line_no") + 1, F.col("n_lines"))).alias("_words"), "_n")
-    whole = lines.where(n_lines > 1).select("_id", F.lit("document").alias("unit"), F.lit(-1).alias("line_no"), n_lines.alias("n_lines"), F.flatten("_lines").alias("_words"), (F.aggregate("_counts", F.lit(0), lambda a, x: a + x) - 1).alias("_n"), F.aggregate("_hits", F.lit(0), lambda a, x: a + x).alias("_hit"))
-    whole = whole.where(enough).drop("_hit")
-    parts = lines.where(n_lines > RUN).select("_id", *(["_known"] if known else []), F.posexplode(F.split("_text", r"\n\s*\n")).alias("line_no", "_part")).where(F.size(F.split("_part", "\n")) > RUN)
-    parts = parts.select("*", once(F.filter(F.split(normalised(F.col("_part")), " "), lambda w: w != "")).alias("_words"))
-    parts = parts.withColumn("_n", F.size("_words") - 1).withColumn("_hit", hits(F.col("_words"))).where(enough)
-    parts = parts.select("_id", F.lit("paragraph").alias("unit"), "line_no", F.size(F.split("_part", "\n")).alias("n_lines"), "_words", "_n")
-    return runs.union(whole).union(parts).join(sizes, "_n", "left_semi")
+    begins = F.filter(begins, lambda i: F.get("_counts", i) > 0)
+    ends = lambda i: F.filter(F.sequence(F.lit(1), F.least(F.lit(RUN), n_lines - i)), lambda k: F.get("_counts", i + k - 1) > 0)
+    runs = F.flatten(F.transform(begins, lambda i: F.transform(ends(i), lambda k: unit("lines", i, i, k))))
+    whole = F.transform(F.filter(F.array(n_lines), lambda n: n > 1), lambda n: unit("document", F.lit(-1), F.lit(0), n))
+    outer = lambda i: ~F.coalesce(F.get("_inner", i), F.lit(True))
+    first = F.filter(numbers, lambda i: outer(i) & ~outer(i - 1))
+    last = F.filter(numbers, lambda i: outer(i) & ~outer(i + 1))
+    spans = F.zip_with(first, last, lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n")))
+    spans = F.filter(F.transform(spans, lambda x, p: F.struct(p.alias("p"), x["at"].alias("at"), x["n"].alias("n"))), lambda x: x["n"] > RUN)
+    parts = F.transform(spans, lambda x: unit("paragraph", x["p"], x["at"], x["n"]))
+    enough = lambda u: (u["_n"] > 0) & (u["_hit"] >= u["_n"] * F.lit(least) + 1 - 1e-9)
+    # all units of a document come from one reading of it
+    units = lines.select("_id", "_lines", F.inline(F.filter(F.concat(runs, whole, parts), enough)))
+    return units.select("_id", "unit", "line_no", "n_lines", F.flatten(F.slice("_lines", F.col("_first") + 1, F.col("n_lines"))).alias("_words"), "_n").join(sizes, "_n", "left_semi")
 
 
 def scan(docs: DataFrame, templates: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

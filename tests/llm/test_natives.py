@@ -1,5 +1,6 @@
 """Sharding and license scan."""
 
+import re
 import textwrap
 import zlib
 
@@ -93,3 +94,19 @@ def test_license_ids_and_long_texts(spark, rows):
 
 def test_licenses_empty(spark, no_docs):
     assert licenses.scan(no_docs, licenses.template_frame(spark)).count() == 0
+
+
+def test_license_scan_reads_the_texts_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = licenses.scan(spark.read.parquet(str(tmp_path / "docs")), licenses.template_frame(spark))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+
+
+def test_paragraphs_between_odd_blank_lines(spark, rows):
+    """The paragraphs are those that the text's blank lines part, also at its ends and where blank lines hold other spaces."""
+    body = textwrap.fill(licenses.TEXTS["MIT"][0], 40)
+    data = [(i, f"{head}{body}{gap}{body}{tail}") for i, (head, gap, tail) in enumerate([("", "\n\n", ""), ("\n", "\n \t\r\n\n", "\n"), ("\n\n", "\n\u00a0\n", "\n\n"), (" \n\n\n", "\n \n", "\n\n \n"), ("\n \n", "\n", "\n \n\n"), ("!\n", "\n\n\n\n", "\n\x0b\n")])]
+    got = {(r[0], r[2], r[3]) for r in license_rows(spark, rows, data) if r[1] == "paragraph"}
+    split = {i: [p.count("\n") + 1 for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", t)] for i, t in data}
+    want = {(i, n, size) for i, sizes in split.items() for n, size in enumerate(sizes) if size > licenses.RUN}
+    assert got == want - {(2, 1, 25), (4, 1, 24)} and len(got) == 8  # pairs that no blank line parts are too long
