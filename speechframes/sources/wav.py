@@ -58,7 +58,8 @@ def scan_wavs(files: DataFrame, recording: bool = False) -> DataFrame:
         for path, fields, reason in _opened(batches, recording):
             frame = max(1, fields.get("width", 1) * fields.get("channels", 1))
             row = {c: fields.get(c) for c in ("channels", "rate", "width")}
-            yield {"path": path, **row, "n_frames": len(fields.get("pcm", b"")) // frame, "pcm": fields.get("pcm") if reason is None else None, "reason": reason}
+            # a copy: pyarrow keeps the memory of every memoryview that it converts
+            yield {"path": path, **row, "n_frames": len(fields.get("pcm", b"")) // frame, "pcm": bytes(fields["pcm"]) if reason is None else None, "reason": reason}
 
     return files.select("path", "content").mapInArrow(lambda batches: in_pieces(scanned(batches), kind, "pcm"), schema)
 

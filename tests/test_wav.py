@@ -30,3 +30,21 @@ def test_audio_in_pieces(spark, step, column):  # schemas are read by the sessio
     rows = [r for b in made for r in b.to_pylist()]
     assert [r["path"] for r in rows] == [str(i) for i in range(302)] * 2
     assert [(len(r[column] or b""), r["reason"]) for r in rows[299:302]] == [(100_000, None), (0, "not-wav"), (0, "frames")]
+
+
+def test_scan_keeps_nothing_of_what_it_gave_back(spark):
+    """A worker's memory does not grow with the files that went through it."""
+    content = audio.riff(bytes(30_000), 16_000)
+
+    def files(n):
+        for _ in range(n):
+            yield pa.RecordBatch.from_pydict({"path": [str(i) for i in range(1000)], "content": [content] * 1000})
+
+    def held():
+        return next(int(line.split()[1]) >> 10 for line in open("/proc/self/status") if line.startswith("VmRSS"))
+
+    step = wav.scan_wavs(Plain())
+    sum(b.num_rows for b in step(files(2)))  # memory that the first batches touch
+    before = held()
+    assert sum(b.num_rows for b in step(files(10))) == 10_000
+    assert held() - before < 100  # of 300 MB
