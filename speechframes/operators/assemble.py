@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechframes.functions.text import strip
 from speechframes.operators import scan
-from speechframes.operators.intervals import BIN_MS, number_islands
+from speechframes.operators.intervals import BIN_MS, number_islands, speakers_in_bins
 
 
 def spaced(word: Column, separator: str = "smart") -> Column:
@@ -18,7 +18,8 @@ def spaced(word: Column, separator: str = "smart") -> Column:
     """
     if separator == "space":
         return F.concat(F.lit(" "), word)
-    return word if separator == "raw" else F.when(word.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), word)).otherwise(word)
+    plain = F.substring(word, 1, 1).between("a", "z")  # most words, without a regular expression
+    return word if separator == "raw" else F.when(plain | word.rlike(r"^[\p{L}\p{N}]"), F.concat(F.lit(" "), word)).otherwise(word)
 
 
 def join_words(words: Column, separator: str = "smart") -> Column:
@@ -39,21 +40,39 @@ def word_segments(
     coalesced, because a task then would hold and sort several times as many words.
     """
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = [c for c in dict.fromkeys([*order, "speaker", start, end, "word"]) if c not in keys]
+    rows = words.select(*named, F.struct(*keys).alias("_key"), scan.bin_number(words, order[0], bin_width).alias("_bin")).repartition(parts, *scan.AT)
     by = list(dict.fromkeys([*order, "speaker", start, end]))
-    rows = words.select(*dict.fromkeys([*keys, *by, "word"]), scan.bin_number(words, order[0], bin_width).alias("_bin")).repartition(parts, *keys, "_bin")
-    rows = number_islands(rows, Window.partitionBy(*keys, "_bin").orderBy(*by), ["speaker"], gap, start, end, "_piece")
+    return segments_of_bins(rows, keys, order, by, gap, separator, with_words, start, end)
+
+
+def speaker_segments(
+    words: DataFrame, turns: DataFrame, keys: list[str], word_id: list[str], gap: int | None = None, separator: str = "smart", with_words: bool = False,
+    coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS,
+) -> DataFrame:
+    """Words with their speakers (intervals.assign_speakers) as segments (word_segments), ordered by start and word_id: one exchange and one sort of words serve both."""
+    order = list(dict.fromkeys([start, *word_id]))
+    rows = speakers_in_bins(words.select(*dict.fromkeys([*keys, *order, end, "word"])), turns, keys, word_id, coverage, start, end, bin_width)
+    return segments_of_bins(rows, keys, order, [*order, end], gap, separator, with_words, start, end)
+
+
+def segments_of_bins(rows: DataFrame, keys: list[str], order: list[str], by: list[str], gap: int | None, separator: str, with_words: bool, start: str, end: str) -> DataFrame:
+    """The segments of words that are partitioned by _key (their keys) and _bin and sorted ``by`` columns that leave no ties; see word_segments."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = number_islands(rows, Window.partitionBy(*scan.AT).orderBy(*by), ["speaker"], gap, start, end, "_piece")
     # all of a word is made before it is collected, so the arrays are only sorted and taken apart
-    said = [F.struct((F.col(start) / 1000).alias("start_s"), (F.col(end) / 1000).alias("end_s"), F.col("word").alias("text")).alias("_said")] if with_words else []
+    said = [(F.col(start) / 1000).alias("start_s"), (F.col(end) / 1000).alias("end_s")] if with_words else []
     row = F.sort_array(F.collect_list(F.struct(*dict.fromkeys([*order, "word", start, end]), spaced(F.col("word"), separator).alias("_spaced"), *said)))
     whole = [F.min(start).alias(start), F.max(end).alias(end)]
-    pieces = rows.groupBy(*keys, "_bin", "_piece", "speaker").agg(*whole, F.min(F.struct(*by))[start].alias("_from"), F.count("*").alias("n_words"), row.alias("_words"))
+    pieces = rows.groupBy(*scan.AT, "_piece", "speaker").agg(*whole, F.min(F.struct(*by))[start].alias("_from"), F.count("*").alias("n_words"), row.alias("_words"))
     pieces = pieces.withColumn("_text", F.array_join("_words._spaced", ""))
     kept = ["_bin", "_piece", "_text"]
     if with_words:
-        pieces = pieces.withColumn("_said", F.col("_words._said"))
+        pieces = pieces.withColumn("_said", F.arrays_zip(F.col("_words.start_s").alias("start_s"), F.col("_words.end_s").alias("end_s"), F.col("_words.word").alias("text")))
         kept.append("_said")
     line = Window.partitionBy(*keys).orderBy("_bin", "_piece")
-    islands = number_islands(pieces.drop("_words").repartition(parts, *keys), line, ["speaker"], gap, "_from", end, "island")
+    pieces = pieces.select("_key.*", *[c for c in pieces.columns if c not in ("_key", "_words")])
+    islands = number_islands(pieces.repartition(parts, *keys), line, ["speaker"], gap, "_from", end, "island")
     made = islands.groupBy(*keys, "island", "speaker").agg(*whole, F.sum("n_words").alias("n_words"), F.sort_array(F.collect_list(F.struct(*kept))).alias("_pieces"))
     made = made.withColumn("text", strip(F.array_join("_pieces._text", ""))).where("text <> ''")
     if with_words:

@@ -91,11 +91,73 @@ def nearest_turn(points: DataFrame, turns: DataFrame, keys: list[str], start: st
 
 
 def assign_speakers(segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], coverage: tuple[int, int] | None = (1, 10), start: str = "s_ms", end: str = "e_ms") -> DataFrame:
-    """Best overlap, else the nearest turn, else blank. Only rows without overlap enough look for the nearest."""
-    first = assign_by_overlap(segments, turns, keys, segment_id, "", coverage, start, end)
-    alone = F.coalesce(F.col("speaker"), F.lit("")) == ""
-    near = nearest_turn(first.where(alone).drop("speaker"), turns, keys, start, end).select(*[c for c in first.columns if c != "speaker"], F.coalesce("speaker", F.lit("")).alias("speaker"))
-    return first.where(~alone).unionByName(near)
+    """Best overlap, else the nearest turn, else blank; see speakers_in_bins."""
+    made = speakers_in_bins(segments, turns, keys, segment_id, coverage, start, end)
+    return made.select(*[F.col(f"_key.{c}") if c in keys else F.col(c) for c in segments.columns if c != "speaker"], "speaker")
+
+
+def speakers_in_bins(
+    segments: DataFrame, turns: DataFrame, keys: list[str], segment_id: list[str], coverage: tuple[int, int] | None = (1, 10),
+    start: str = "s_ms", end: str = "e_ms", bin_width: int = BIN_MS,
+) -> DataFrame:
+    """segments (one row for each segment_id in its key) with speaker (best overlap, else the nearest turn, else blank) in place of keys _key and _bin.
+
+    They are partitioned by _key and the _bin of their start, and sorted in these
+    by start, segment_id and end. Turns come to the bins: all that touch a bin
+    which one of a bin's segments touches, for the nearest also the last boundary
+    before those and the first after them. So segments cross the network once
+    and are sorted once; turns are few and are hashed.
+    """
+    session = segments.sparkSession
+    number = lambda c: F.floor(c / bin_width).cast("long")
+    kept = [c for c in segments.columns if c not in (*keys, "speaker")]
+    rows = segments.select(F.struct(*keys).alias("_key"), scan.bin_number(segments, start, bin_width).alias("_bin"), F.struct(*kept).alias("_row"))
+    rows = rows.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), *scan.AT)
+    cores = session.sparkContext.defaultParallelism
+    # a row is left of each bin: written by no more tasks than cores
+    timed = F.col(start).isNotNull() & F.col(end).isNotNull()
+    least, most = F.min(F.when(timed, F.least(start, end))), F.max(F.when(timed, F.greatest(start, end)))
+    frames = scan.unpacked(rows.coalesce(cores), *scan.AT).groupBy(*scan.AT)
+    frames = frames.agg(*[F.coalesce(number(c), F.lit(scan.FIRST_BIN)).alias(n) for c, n in ((least, "_first"), (most, "_last"))])
+
+    said = turns.select(F.struct(*keys).alias("_key"), F.col("turn_ord").alias("_ord"), F.col("speaker").alias("_said"), F.col(start).alias("_from"), F.col(end).alias("_to"))
+    spread = said.withColumn("_opens", number(F.least("_from", "_to"))).withColumn("_at", F.explode(F.sequence("_opens", number(F.greatest("_from", "_to")))))
+    touched = frames.withColumn("_at", F.explode(F.sequence("_first", "_last"))).join(spread, ["_key", "_at"]).where(F.col("_at") == F.greatest("_first", "_opens"))
+
+    ends = said.select("_key", F.explode(F.array("_from", "_to")).alias("_t"), "_ord", "_said").where("_t IS NOT NULL")
+    ends = ends.groupBy("_key", number(F.col("_t")).alias("_at")).agg(F.min(F.struct(F.negative("_t").alias("_t"), "_ord", "_said")).alias("_closing"), F.min(F.struct("_t", "_ord", "_said")).alias("_opening"))
+    asked = frames.select(*scan.AT, F.inline(F.array(*[F.struct(F.col(c).alias("_at"), F.lit(c).alias("_side")) for c in ("_first", "_last")])))
+    line = ends.unionByName(asked, allowMissingColumns=True)
+    before = Window.partitionBy("_key").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("_key").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, -1)
+    line = line.withColumn("_past", F.min("_closing").over(before)).withColumn("_next", F.min("_opening").over(after)).where("_side IS NOT NULL")
+    near = F.when(F.col("_side") == "_first", F.struct(F.negative("_past._t").alias("_t"), "_past._ord", "_past._said")).otherwise(F.col("_next"))
+    beyond = line.select(*scan.AT, near.alias("_near")).where("_near._t IS NOT NULL").select(*scan.AT, "_near._ord", "_near._said", F.col("_near._t").alias("_from"), F.col("_near._t").alias("_to"))
+
+    turn = ["_from", "_to", "_ord", "_said"]
+    touched = touched.select(*scan.AT, *turn).coalesce(cores)
+    known = touched.unionByName(beyond).coalesce(cores).groupBy(*scan.AT).agg(F.collect_list(F.struct(*turn)).alias("_turns"))
+
+    first, last = F.col(f"_row.{start}"), F.col(f"_row.{end}")
+    named = F.concat(*[F.col(f"_key.{k}").cast("string") for k in keys]).isNotNull()
+    there = lambda right: right.withColumnsRenamed({"_key": "_k", "_bin": "_b"}).hint("shuffle_hash")
+    same = [F.col("_key") == F.col("_k"), F.col("_bin") == F.col("_b")]
+    # coalesced, because else its columns would be asked to be not null here only, and turns would be read twice
+    meets = [*same, F.coalesce((F.col("_from") < last) & (first < F.col("_to")) & named, F.lit(False))]
+    pairs = rows.join(there(touched), meets, "left").select(*scan.AT, "_row.*", "_ord", "_said", (F.least(last, "_to") - F.greatest(first, "_from")).alias("_overlap"))
+    # the first of a segment's pairs is the best, and is a row of its own if there is none
+    line = Window.partitionBy(*scan.AT, start, *segment_id, end).orderBy(F.desc("_overlap"), "_ord")
+    best = pairs.withColumn("_first", F.lag(F.lit(1)).over(line).isNull()).where("_first")
+    first, last = F.col(start), F.col(end)
+    enough = F.col("_overlap").isNotNull() & (last > first)
+    if coverage:
+        enough &= F.col("_overlap") * coverage[1] >= (last - first) * coverage[0]
+    best = best.withColumn("speaker", F.when(enough & (F.col("_said") != ""), F.col("_said")))
+    met = best.join(there(known), [*same, F.col("speaker").isNull()], "left")
+    # distances are doubled to keep half milliseconds whole
+    away = lambda t: F.least(F.abs(first + last - t["_from"] * 2), F.abs(first + last - t["_to"] * 2))
+    nearest = F.array_min(F.transform("_turns", lambda t: F.struct(away(t).alias("d"), t["_ord"].alias("o"), t["_said"].alias("speaker"))))
+    return met.select(*scan.AT, *kept, F.coalesce("speaker", nearest["speaker"], F.lit("")).alias("speaker"))
 
 
 def number_islands(rows: DataFrame, line: WindowSpec, same: list[str], gap: int | None, start: str, end: str, out: str) -> DataFrame:

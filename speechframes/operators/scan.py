@@ -44,7 +44,7 @@ def within(order: Iterable[str | Column], *further: str) -> WindowSpec:
     return Window.partitionBy(*AT, *further).orderBy(*[F.col(f"_row.{o}") if isinstance(o, str) else o for o in order])
 
 
-def unpacked(rows: DataFrame, *columns: Column) -> DataFrame:
+def unpacked(rows: DataFrame, *columns: str | Column) -> DataFrame:
     """The columns of _row, and further ones.
 
     The row is opened as a whole: fields taken one by one would be pruned below

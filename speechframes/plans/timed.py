@@ -87,9 +87,9 @@ def vad_merge_pad(spark, sf):
     return intervals.merge_speech(views.turns(spark, sf), KEY, 400, 600, 300)
 
 
-def full_assignment(spark, sf):
-    """Every word with a speaker: best overlap, else the nearest turn."""
-    return intervals.assign_speakers(views.words(spark, sf), views.turns(spark, sf), KEY, WORD_ID)
+def full_segments(spark, sf, with_words=False):
+    """Segments of words, each with a speaker: best overlap, else the nearest turn."""
+    return assemble.speaker_segments(views.words(spark, sf), views.turns(spark, sf), KEY, WORD_ID, with_words=with_words)
 
 
 FULL = f"""{TURNS}, {BEST}, {MISSING}, near AS ({NEAREST}), full_words AS (
@@ -100,8 +100,7 @@ FULL = f"""{TURNS}, {BEST}, {MISSING}, near AS ({NEAREST}), full_words AS (
 
 def speaker_segments(spark, sf):
     """Speaker-labelled segments of every session."""
-    made = assemble.word_segments(full_assignment(spark, sf), KEY, ["s_ms", "turn", "idx"])
-    return made.select("session_id", "island", "speaker", "s_ms", "e_ms", "n_words", "text")
+    return full_segments(spark, sf).select("session_id", "island", "speaker", "s_ms", "e_ms", "n_words", "text")
 
 
 SMART_TEXT = "trim(string_agg(CASE WHEN pos > 1 AND regexp_matches(word, '^[\\p{L}\\p{N}]') THEN ' ' || word ELSE word END, '' ORDER BY pos))"
@@ -120,13 +119,13 @@ def raw_concat_segments(spark, sf):
 
 
 def transcript_assembly(spark, sf):
-    made = assemble.transcripts(assemble.word_segments(full_assignment(spark, sf), KEY, ["s_ms", "turn", "idx"], with_words=True), KEY)
+    made = assemble.transcripts(full_segments(spark, sf, with_words=True), KEY)
     n_words = F.aggregate("segments", F.lit(0), lambda a, s: a + F.size(s["words"]))
     return made.select("session_id", F.size("segments").cast("long").alias("n_segments"), n_words.cast("long").alias("n_words"), "full_text", F.round(F.col("duration_s") * 1000).cast("long").alias("end_ms"))
 
 
 def shifted_segments(spark, sf):
-    made = assemble.transcripts(assemble.word_segments(full_assignment(spark, sf), KEY, ["s_ms", "turn", "idx"], with_words=True), KEY)
+    made = assemble.transcripts(full_segments(spark, sf, with_words=True), KEY)
     moved = made.withColumn("segments", assemble.shift_segments(F.col("segments"), F.lit(10.0)))
     return moved.select("session_id", F.posexplode("segments").alias("pos", "s")).select("session_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("s.start_s") * 1000).cast("long").alias("start_ms"), F.round(F.element_at("s.words", -1)["end_s"] * 1000).cast("long").alias("last_word_ms"))
 

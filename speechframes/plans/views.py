@@ -6,7 +6,7 @@ registered query run over whole tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,17 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_words() -> Column:
+    return F.array_remove(F.split("text", "[ \n]+"), "")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per word of a conversation, on a clock in milliseconds."""
-    split = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.posexplode(split).alias("idx", "word"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.posexplode(split_words()).alias("idx", "word"))
     at = F.col("turn") * 20000 + F.col("idx") * 250
     return rows.select("session_id", "turn", "role", "idx", "word", at.alias("s_ms"), (at + 40 + F.length("word") * 20).alias("e_ms"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One speaker turn per conversation turn; turns overlap each other."""
-    spoken = words(spark, sf_dir).groupBy("session_id", "turn", "role").agg(F.count("*").alias("n"))
+    spoken = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.size(split_words()).alias("n")).where("n > 0")
+    spoken = spoken.groupBy("session_id", "turn", "role").agg(F.sum("n").alias("n"))
     start = F.col("turn") * 20000 + (F.col("session_id") % 3) * 100
     end = start + F.col("n") * 250 + ((F.col("session_id") * 7 + F.col("turn") * 13) % 5) * 100 - 200
     return spoken.select("session_id", F.col("turn").alias("turn_ord"), F.col("role").alias("speaker"), start.alias("s_ms"), end.alias("e_ms"))
